@@ -1,0 +1,29 @@
+"""Order-independent aggregates.
+
+A double ``sum``/``avg`` depends on the order partial sums are combined, so
+the same data can give different last bits on another partitioning or a
+retried task.  ``stable_avg`` sums the values as DECIMAL(38, scale) (exact,
+associative), then divides once in double: the result is identical however
+the data is split, which keeps re-runs and keyed upserts idempotent.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def stable_sum(col, scale: int = 6) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
+
+
+def stable_avg(col, scale: int = 6) -> Column:
+    """Average of ``col`` rounded to ``scale`` decimals per value before summing."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.try_divide(stable_sum(c, scale), F.count(c).cast("double"))
+
+
+def avg_sql(expr: str, scale: int = 6) -> str:
+    """The same average written for a DuckDB oracle."""
+    return f"(CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) AS DOUBLE) / count({expr}))"
