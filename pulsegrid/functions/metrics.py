@@ -66,8 +66,8 @@ def last_segment(topic_col, sep: str = "/") -> Column:
 
 
 def get_key(map_col, key: str) -> Column:
-    """C2 (``->>``): value under ``key`` or null."""
-    return _col(map_col).getItem(key)
+    """C2 (``->>``): value under ``key`` or null (also for a null map)."""
+    return F.try_element_at(_col(map_col), F.lit(key))
 
 
 def has_key(map_col, key: str) -> Column:
