@@ -1,11 +1,12 @@
 """Threshold rules (R1-R9) as Catalyst expressions.
 
-Each rule is a pair of columns over (metric, value, phase): a cheap ``guard``
-(can this reading fire?) and an ``alert`` struct (null = no alert).  The
-executor keeps rule order, lets a reading raise 0..n alerts, and filters on
-the OR of the guards first, so with a Parquet history the metric/value
-predicates reach the scan and most row groups are skipped.  No UDF: the
-whole executor is one codegen stage (filter, generate, project).
+Each rule is a pair of SQL expressions over (metric, value, phase): a cheap
+``guard`` (can this reading fire?) and an ``alert`` struct (null = no
+alert).  The executor keeps rule order, lets a reading raise 0..n alerts,
+and filters on the OR of the guards first, so with a Parquet history the
+metric/value predicates reach the scan and row groups are skipped.  No UDF:
+the executor is one codegen stage (filter, generate, project).  Rules are
+written as SQL text so a plan is built with a handful of calls into the JVM.
 
 Null value or null phase means no alert (D1).
 """
@@ -19,95 +20,115 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.metrics import phase_of, short_stage, value_text
 from ..functions.stats import stable_avg
-from ..functions.text import fill
 
-NULL_STR = F.lit(None).cast("string")
 
+def sql_str(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def alert_body(severity, category: str, title, text, phase: Column | None = None) -> Column:
-    """R7 core: the rule-specific part of an alert record."""
-    sev = F.lit(severity) if isinstance(severity, str) else severity
-    ttl = F.lit(title) if isinstance(title, str) else title
-    return F.struct(
-        sev.alias("severity"), F.lit(category).alias("category"), ttl.alias("title"),
-        text.alias("text"), (phase if phase is not None else NULL_STR).alias("phase"))
+
+def fill_sql(template: str, **exprs: str) -> str:
+    """``concat`` of a fixed template's literal pieces and SQL expressions for ``{name}``."""
+    parts, rest = [], template
+    while rest:
+        hits = [(rest.find("{" + k + "}"), k) for k in exprs if "{" + k + "}" in rest]
+        if not hits:
+            parts.append(sql_str(rest))
+            break
+        i, k = min(hits)
+        if i:
+            parts.append(sql_str(rest[:i]))
+        parts.append(exprs[k])
+        rest = rest[i + len(k) + 2:]
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def value_text_sql(v: str, places: int) -> str:
+    """R8 as SQL: fixed-point text, half-even on the binary value, no grouping."""
+    pattern = "0" if places == 0 else "0." + "0" * places
+    return f"format_number({v}, '{pattern}')"
+
+
+def short_stage_sql(p: str) -> str:
+    return f"substring_index({p}, '{C.STAGE_SPLIT_TOKEN}', -1)"
+
+
+def alert_sql(severity: str, category: str, title: str, text: str, phase: str | None = None) -> str:
+    """R7 core: the rule-specific part of an alert record (``severity`` is SQL)."""
+    return (f"named_struct('severity', {severity}, 'category', {sql_str(category)}, 'title', {sql_str(title)}, "
+            f"'text', {text}, 'phase', {phase or 'CAST(NULL AS STRING)'})")
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    guard: Callable[[Column, Column, Column], Column]
-    alert: Callable[[Column, Column, Column], Column]
+    guard: Callable[[str, str, str], str]
+    alert: Callable[[str, str, str], str]
 
 
 def _hr_asleep_guard(m, v, p):
-    return (m == "heart_rate") & (v > C.HR_SLEEP_MAX)
+    return f"{m} = 'heart_rate' AND {v} > {C.HR_SLEEP_MAX}"
 
 
-def rule_hr_asleep(m: Column, v: Column, p: Column) -> Column:
-    """Heart rate above 90 while the phase says Asleep; critical above 110."""
-    fire = _hr_asleep_guard(m, v, p) & p.contains("Asleep")
-    sev = F.when(v > C.HR_SLEEP_CRITICAL, "critical").otherwise("warning")
-    text = fill(C.TEXT_HR_ASLEEP, v=value_text(v, 0), stage=short_stage(p))
-    return F.when(fire, alert_body(sev, C.CAT_CARDIO, C.TITLE_HR_ASLEEP, text, p))
+def _hr_asleep(m, v, p):
+    sev = f"CASE WHEN {v} > {C.HR_SLEEP_CRITICAL} THEN 'critical' ELSE 'warning' END"
+    text = fill_sql(C.TEXT_HR_ASLEEP, v=value_text_sql(v, 0), stage=short_stage_sql(p))
+    return (f"CASE WHEN {_hr_asleep_guard(m, v, p)} AND contains({p}, 'Asleep') "
+            f"THEN {alert_sql(sev, C.CAT_CARDIO, C.TITLE_HR_ASLEEP, text, p)} END")
 
 
 def _tachy_guard(m, v, p):
-    return (m == "heart_rate") & (v > C.HR_TACHYCARDIA + C.HR_TACHYCARDIA_MARGIN)
+    return f"{m} = 'heart_rate' AND {v} > {C.HR_TACHYCARDIA + C.HR_TACHYCARDIA_MARGIN}"
 
 
-def rule_tachycardia(m: Column, v: Column, p: Column) -> Column:
-    """R2: heart rate above 120 while Awake."""
-    fire = _tachy_guard(m, v, p) & p.contains("Awake")
-    text = fill(C.TEXT_TACHY, v=value_text(v, 0))
-    return F.when(fire, alert_body("warning", C.CAT_CARDIO, C.TITLE_TACHY, text))
+def _tachy(m, v, p):
+    text = fill_sql(C.TEXT_TACHY, v=value_text_sql(v, 0))
+    return (f"CASE WHEN {_tachy_guard(m, v, p)} AND contains({p}, 'Awake') "
+            f"THEN {alert_sql(sql_str('warning'), C.CAT_CARDIO, C.TITLE_TACHY, text)} END")
 
 
 def _spo2_guard(m, v, p):
-    return (m == "oxygen") & (v < C.SPO2_LOW)
+    return f"{m} = 'oxygen' AND {v} < {C.SPO2_LOW}"
 
 
-def rule_spo2(m: Column, v: Column, p: Column) -> Column:
-    """Oxygen below 90 critical, else below 92 warning."""
-    vt = value_text(v, 1)
-    return (F.when((m == "oxygen") & (v < C.SPO2_HYPOXIA),
-                   alert_body("critical", C.CAT_RESPIRATORY, C.TITLE_SPO2_CRITICAL,
-                              fill(C.TEXT_SPO2_CRITICAL, v=vt)))
-            .when(_spo2_guard(m, v, p),
-                  alert_body("warning", C.CAT_RESPIRATORY, C.TITLE_SPO2_LOW, fill(C.TEXT_SPO2_LOW, v=vt))))
+def _spo2(m, v, p):
+    vt = value_text_sql(v, 1)
+    crit = alert_sql(sql_str("critical"), C.CAT_RESPIRATORY, C.TITLE_SPO2_CRITICAL,
+                     fill_sql(C.TEXT_SPO2_CRITICAL, v=vt))
+    warn = alert_sql(sql_str("warning"), C.CAT_RESPIRATORY, C.TITLE_SPO2_LOW, fill_sql(C.TEXT_SPO2_LOW, v=vt))
+    return (f"CASE WHEN {m} = 'oxygen' AND {v} < {C.SPO2_HYPOXIA} THEN {crit} "
+            f"WHEN {_spo2_guard(m, v, p)} THEN {warn} END")
 
 
 def _hrv_guard(m, v, p):
-    return (m == "hrv") & (v < C.HRV_VERY_LOW)
+    return f"{m} = 'hrv' AND {v} < {C.HRV_VERY_LOW}"
 
 
-def rule_hrv(m: Column, v: Column, p: Column) -> Column:
-    """HRV below 20."""
-    return F.when(_hrv_guard(m, v, p), alert_body(
-        "warning", C.CAT_RECOVERY, C.TITLE_HRV_LOW, fill(C.TEXT_HRV_LOW, v=value_text(v, 0))))
+def _hrv(m, v, p):
+    body = alert_sql(sql_str("warning"), C.CAT_RECOVERY, C.TITLE_HRV_LOW,
+                     fill_sql(C.TEXT_HRV_LOW, v=value_text_sql(v, 0)))
+    return f"CASE WHEN {_hrv_guard(m, v, p)} THEN {body} END"
 
 
 def _temp_guard(m, v, p):
-    return (m == "temperature") & ((v > C.TEMP_HIGH_FEVER) | (v < C.TEMP_LOW_HYPOTHERMIA))
+    return f"{m} = 'temperature' AND ({v} > {C.TEMP_HIGH_FEVER} OR {v} < {C.TEMP_LOW_HYPOTHERMIA})"
 
 
-def rule_temperature(m: Column, v: Column, p: Column) -> Column:
-    """Temperature above 38.0 critical, else below 35.5 warning."""
-    vt = value_text(v, 1)
-    return (F.when((m == "temperature") & (v > C.TEMP_HIGH_FEVER),
-                   alert_body("critical", C.CAT_GENERAL, C.TITLE_FEVER, fill(C.TEXT_FEVER, v=vt)))
-            .when((m == "temperature") & (v < C.TEMP_LOW_HYPOTHERMIA),
-                  alert_body("warning", C.CAT_GENERAL, C.TITLE_TEMP_LOW, fill(C.TEXT_TEMP_LOW, v=vt))))
+def _temp(m, v, p):
+    vt = value_text_sql(v, 1)
+    fever = alert_sql(sql_str("critical"), C.CAT_GENERAL, C.TITLE_FEVER, fill_sql(C.TEXT_FEVER, v=vt))
+    low = alert_sql(sql_str("warning"), C.CAT_GENERAL, C.TITLE_TEMP_LOW, fill_sql(C.TEXT_TEMP_LOW, v=vt))
+    return (f"CASE WHEN {m} = 'temperature' AND {v} > {C.TEMP_HIGH_FEVER} THEN {fever} "
+            f"WHEN {m} = 'temperature' AND {v} < {C.TEMP_LOW_HYPOTHERMIA} THEN {low} END")
 
 
 ALL_RULES = [
-    Rule("hr_asleep", _hr_asleep_guard, rule_hr_asleep),
-    Rule("tachycardia", _tachy_guard, rule_tachycardia),
-    Rule("spo2", _spo2_guard, rule_spo2),
-    Rule("hrv", _hrv_guard, rule_hrv),
-    Rule("temperature", _temp_guard, rule_temperature),
+    Rule("hr_asleep", _hr_asleep_guard, _hr_asleep),      # R1: HR > 90 asleep; critical > 110
+    Rule("tachycardia", _tachy_guard, _tachy),           # R2: HR > 120 awake
+    Rule("spo2", _spo2_guard, _spo2),                    # R3: SpO2 < 90 critical, < 92 warning
+    Rule("hrv", _hrv_guard, _hrv),                       # R4: HRV < 20
+    Rule("temperature", _temp_guard, _temp),             # R5: > 38.0 critical, < 35.5 warning
 ]
 RULES_BY_NAME = {r.name: r for r in ALL_RULES}
 
@@ -115,33 +136,57 @@ ALERT_COLUMNS = ["user_id", "created_at", "severity", "category", "title", "text
                  "metric", "value", "phase"]
 
 
+def rule_hr_asleep(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
+    """R1 as a column (struct or null) over the named columns."""
+    return F.expr(_hr_asleep(m, v, p))
+
+
+def rule_tachycardia(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
+    """R2 as a column."""
+    return F.expr(_tachy(m, v, p))
+
+
+def rule_spo2(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
+    """R3 as a column."""
+    return F.expr(_spo2(m, v, p))
+
+
+def rule_hrv(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
+    """R4 as a column."""
+    return F.expr(_hrv(m, v, p))
+
+
+def rule_temperature(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
+    """R5 as a column."""
+    return F.expr(_temp(m, v, p))
+
+
+def phase_sql(df: DataFrame) -> str:
+    return "try_element_at(metadata, 'phase')" if "metadata" in df.columns else "phase"
+
+
 def detect_alerts(df: DataFrame, rules: list[Rule] | None = None, created_at=None,
                   keep: list[str] | None = None) -> DataFrame:
     """Every rule on every reading, rule order kept, 0..n alerts per reading.
 
     ``created_at`` is a column (default: the current timestamp, as the stream
     job stamps alerts); pass the event time or a fixed clock for replays.
-    Output: the alert record (R7) plus ``rule`` and ``rule_pos`` and ``keep``.
+    Output: the alert record (R7) plus ``rule``, ``rule_pos`` and ``keep``.
     """
     rules = list(rules or ALL_RULES)
-    m, v, p = F.col("metric"), F.col("value"), phase_of(df)
+    m, v, p = "metric", "value", phase_sql(df)
     created = F.current_timestamp() if created_at is None else (
         F.lit(created_at).cast("timestamp") if isinstance(created_at, str) else created_at)
-    guard = None
-    for r in rules:
-        g = r.guard(m, v, p)
-        guard = g if guard is None else guard | g
-    tagged = [F.struct(F.lit(r.name).alias("rule"), r.alert(m, v, p).alias("a")) for r in rules]
+    guard = " OR ".join(f"({r.guard(m, v, p)})" for r in rules)
+    tagged = ", ".join(f"named_struct('rule', '{r.name}', 'a', {r.alert(m, v, p)})" for r in rules)
     keep = [c for c in (keep or []) if c not in ALERT_COLUMNS]
-    exploded = (df.where(guard)
-                .select("user_id", "metric", "value", *keep, created.alias("created_at"),
-                        F.posexplode(F.array(*tagged)).alias("rule_pos", "r"))
-                .where(F.col("r.a").isNotNull()))
-    return exploded.select(
-        "user_id", "created_at", F.col("r.a.severity").alias("severity"),
-        F.col("r.a.category").alias("category"), F.col("r.a.title").alias("title"),
-        F.col("r.a.text").alias("text"), "metric", "value", F.col("r.a.phase").alias("phase"),
-        F.col("r.rule").alias("rule"), "rule_pos", *keep)
+    fired = (df.where(guard).withColumn("_created_at", created)
+             .selectExpr("user_id", "metric", "value", *keep, "_created_at AS created_at",
+                         f"posexplode(array({tagged})) AS (rule_pos, r)")
+             .where("r.a IS NOT NULL"))
+    return fired.selectExpr(
+        "user_id", "created_at", "r.a.severity AS severity", "r.a.category AS category", "r.a.title AS title",
+        "r.a.text AS text", "metric", "value", "r.a.phase AS phase", "r.rule AS rule", "rule_pos", *keep)
 
 
 def single_rule(df: DataFrame, name: str, created_at=None, keep: list[str] | None = None) -> DataFrame:

@@ -14,21 +14,27 @@ AS_OF = X.AS_OF
 CONTEXT_HOURS = 720
 
 
-def readings_of(spark: SparkSession, root: str) -> DataFrame:
+_PLANS: dict = {}
+
+
+def _memo(spark: SparkSession, root: str, name: str, build):
+    """Reuse the lazy plan of a shared input within one session (plans only, no data)."""
     ensure_utc(spark)
-    return X.readings(spark, root)
+    key = (id(spark._jsparkSession), root, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
+def readings_of(spark: SparkSession, root: str) -> DataFrame:
+    return _memo(spark, root, "readings", lambda: X.readings(spark, root))
 
 
 def alerts_of(spark: SparkSession, root: str) -> DataFrame:
     """Alerts derived by R6 from the readings, stamped with the reading's event time."""
-    r = readings_of(spark, root)
-    return detect_alerts(r, created_at=F.col("event_time"), keep=["event_id", "event_time"])
+    return _memo(spark, root, "alerts", lambda: detect_alerts(
+        readings_of(spark, root), created_at=F.col("event_time"), keep=["event_id", "event_time"]))
 
 
 def users_of(spark: SparkSession, root: str) -> DataFrame:
-    ensure_utc(spark)
-    return X.users(spark, root)
-
-
-def r6(x: float) -> F.Column:
-    return F.round(x, 6) if not isinstance(x, str) else F.round(F.col(x), 6)
+    return _memo(spark, root, "users", lambda: X.users(spark, root))

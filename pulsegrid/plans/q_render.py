@@ -106,12 +106,15 @@ def k2_agg_docs(spark, root):
     return K.agg_docs(A.flatten_window(A.window_agg(readings_of(spark, root))), now=AS_OF)
 
 
-@query("k3_reading_rows", with_views("""
+K3_SQL = with_views("""
 SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simulator') AS source,
        CASE WHEN phase IS NULL THEN '{}' ELSE '{"phase":"' || phase || '"}' END AS metadata,
        CAST(event_time AS DATE) AS event_date
 FROM readings
-""", "readings"))
+""", "readings")
+
+
+@query("k3_reading_rows", K3_SQL)
 def k3_reading_rows(spark, root):
     """K3: reading-history rows with metadata as JSON text."""
     return K.reading_rows(readings_of(spark, root))
@@ -143,7 +146,7 @@ def k5_alert_records(spark, root):
         F.get_json_object("value", "$.user_id").cast("bigint").alias("user_id"))
 
 
-@query("k10_history_layout")
+@query("k10_history_layout", K3_SQL)
 def k10_history_layout(spark, root):
     """Reading history laid out by day, sorted (user, metric, time desc) within partitions."""
     return K.layout(K.reading_rows(readings_of(spark, root)))

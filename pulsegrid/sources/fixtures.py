@@ -40,102 +40,87 @@ def _case(col: Column, mapping: dict, default) -> Column:
     return expr.otherwise(default)
 
 
+def _sql_case(expr: str, mapping: dict, default) -> str:
+    def lit(x):
+        return f"'{x}'" if isinstance(x, str) else str(x)
+    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+    return f"CASE {expr} {whens} ELSE {lit(default)} END"
+
+
 def readings(spark: SparkSession, root: str) -> DataFrame:
     """Decoded readings (the schema ``decode`` produces) from ``events``."""
     ev = read_table(spark, root, "events")
-    k = F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int")
-    et = F.col("event_type")
-    v = F.col("value")
-    metric = _case(et, {"click": "heart_rate", "view": "hrv", "error": "oxygen",
-                        "purchase": "temperature"}, "respiration")
-    value = (F.when(et == "click", 50 + v / 2).when(et == "view", 10 + v)
-             .when(et == "error", 100 - v / 10).when(et == "purchase", 35 + v / 40)
-             .otherwise(10 + v / 10))
-    unit = _case(et, {"view": C.UNIT_MS, "error": C.UNIT_PERCENT, "purchase": C.UNIT_CELSIUS}, C.UNIT_BPM)
-    stage = _case(k % 5, {0: "Awake", 1: "InBed", 2: "AsleepCore", 3: "AsleepDeep"}, "AsleepREM")
-    phase = F.when(k >= 95, F.lit(None).cast("string")).otherwise(F.concat(F.lit(C.STAGE_PREFIX), stage))
-    base = ev.select(
-        "event_id", "user_id", F.col("ts").cast("timestamp").alias("event_time"),
-        metric.alias("metric"), value.alias("value"), unit.alias("unit"), phase.alias("phase"))
-    iso = F.date_format("event_time", ISO_FORMAT)
-    return base.select(
-        "event_id", "user_id",
-        _case(F.col("metric"), _TYPE_BY_METRIC, C.UNKNOWN_METRIC).alias("type"),
-        "unit", "value", iso.alias("start_date"), iso.alias("end_date"),
-        F.when(F.col("phase").isNotNull(), F.lit("watch-sim")).alias("source_name"),
-        F.lit("wrist-sensor").alias("device"),
-        "metric",
-        F.lit(None).cast("string").alias("ingested_at"),
-        F.when(F.col("phase").isNotNull(), F.create_map(F.lit("phase"), F.col("phase"))).alias("metadata"),
-        "event_time",
-    )
+    metric = _sql_case("event_type", {"click": "heart_rate", "view": "hrv", "error": "oxygen",
+                                      "purchase": "temperature"}, "respiration")
+    unit = _sql_case("event_type", {"view": C.UNIT_MS, "error": C.UNIT_PERCENT, "purchase": C.UNIT_CELSIUS},
+                     C.UNIT_BPM)
+    stage = _sql_case("k % 5", {0: "Awake", 1: "InBed", 2: "AsleepCore", 3: "AsleepDeep"}, "AsleepREM")
+    base = ev.selectExpr(
+        "*", "try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k").selectExpr(
+        "event_id", "user_id", "CAST(ts AS TIMESTAMP) AS event_time", f"{metric} AS metric",
+        "CASE event_type WHEN 'click' THEN 50 + value / 2 WHEN 'view' THEN 10 + value "
+        "WHEN 'error' THEN 100 - value / 10 WHEN 'purchase' THEN 35 + value / 40 ELSE 10 + value / 10 END AS value",
+        f"{unit} AS unit",
+        f"CASE WHEN k >= 95 THEN CAST(NULL AS STRING) ELSE concat('{C.STAGE_PREFIX}', {stage}) END AS phase")
+    iso = f"date_format(event_time, \"{ISO_FORMAT}\")"
+    return base.selectExpr(
+        "event_id", "user_id", f"{_sql_case('metric', _TYPE_BY_METRIC, C.UNKNOWN_METRIC)} AS type",
+        "unit", "value", f"{iso} AS start_date", f"{iso} AS end_date",
+        "CASE WHEN phase IS NOT NULL THEN 'watch-sim' END AS source_name",
+        "'wrist-sensor' AS device", "metric", "CAST(NULL AS STRING) AS ingested_at",
+        "CASE WHEN phase IS NOT NULL THEN map('phase', phase) END AS metadata",
+        "event_time")
 
 
 def users(spark: SparkSession, root: str) -> DataFrame:
-    c = read_table(spark, root, "customer").where(F.col("c_custkey") % 10 != 9)
-    return c.select(
-        F.col("c_custkey").alias("user_id"),
-        F.concat(F.lower("c_name"), F.lit("@example.org")).alias("email"),
-        F.col("c_name").alias("name"),
-        _case(F.col("c_nationkey") % 3, {0: "morning", 1: "evening"}, "intermediate").alias("chronotype"),
-        F.lit("Europe/Madrid").alias("timezone"),
-        F.when(F.col("c_custkey") % 3 != 0,
-               F.concat(F.lit("chat-"), F.col("c_custkey").cast("string"))).alias("contact_id"),
-    )
+    c = read_table(spark, root, "customer")
+    return c.where("c_custkey % 10 <> 9").selectExpr(
+        "c_custkey AS user_id", "concat(lower(c_name), '@example.org') AS email", "c_name AS name",
+        "CASE c_nationkey % 3 WHEN 0 THEN 'morning' WHEN 1 THEN 'evening' ELSE 'intermediate' END AS chronotype",
+        "'Europe/Madrid' AS timezone",
+        "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('chat-', CAST(c_custkey AS STRING)) END AS contact_id")
 
 
 def contact_links(spark: SparkSession, root: str) -> DataFrame:
-    c = read_table(spark, root, "customer").where(F.col("c_custkey") % 7 == 0)
-    return c.select(F.col("c_custkey").alias("user_id"),
-                    F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("contact_id"))
+    c = read_table(spark, root, "customer")
+    return c.where("c_custkey % 7 = 0").selectExpr(
+        "c_custkey AS user_id", "concat('new-', CAST(c_custkey AS STRING)) AS contact_id")
 
 
 def journal(spark: SparkSession, root: str) -> DataFrame:
     o = read_table(spark, root, "orders")
-    key = F.col("o_orderkey")
-    return o.select(
-        key.alias("seq"),
-        F.col("o_custkey").alias("user_id"),
-        F.date_trunc("month", "o_orderdate").cast("date").alias("entry_date"),
-        F.when(key % 53 == 0, F.lit(11)).otherwise((1 + key % 10).cast("int")).alias("mood"),
-        (1 + F.col("o_custkey") % 10).cast("int").alias("stress_level"),
-        (F.col("o_orderstatus") == "F").alias("caffeine_after_17"),
-        (F.col("o_orderstatus") == "O").alias("alcohol"),
-        (F.floor("o_totalprice").cast("bigint") % 700).cast("int").alias("screens_min_before_bed"),
-        F.col("o_orderpriority").alias("notes"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
-    )
+    return o.selectExpr(
+        "o_orderkey AS seq", "o_custkey AS user_id",
+        "CAST(date_trunc('month', o_orderdate) AS DATE) AS entry_date",
+        "CASE WHEN o_orderkey % 53 = 0 THEN 11 ELSE CAST(1 + o_orderkey % 10 AS INT) END AS mood",
+        "CAST(1 + o_custkey % 10 AS INT) AS stress_level",
+        "o_orderstatus = 'F' AS caffeine_after_17", "o_orderstatus = 'O' AS alcohol",
+        "CAST(CAST(floor(o_totalprice) AS BIGINT) % 700 AS INT) AS screens_min_before_bed",
+        "o_orderpriority AS notes", "CAST(o_orderdate AS TIMESTAMP) AS created_at")
 
 
 def chat_turns(spark: SparkSession, root: str) -> DataFrame:
     cv = read_table(spark, root, "conversations")
-    seconds = F.col("conv_id") * 600 + F.col("turn")
-    return cv.select(
-        "conv_id", "turn", (F.col("conv_id") % 15).alias("user_id"), "role",
-        F.col("text").alias("content"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp")
-         + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("created_at"),
-    )
+    return cv.selectExpr(
+        "conv_id", "turn", "conv_id % 15 AS user_id", "role", "text AS content",
+        "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, "
+        "CAST(conv_id * 600 + turn AS DECIMAL(18, 6))) AS created_at")
 
 
 def survey(spark: SparkSession, root: str) -> DataFrame:
     c = read_table(spark, root, "customer")
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    s = c.select(
-        key.alias("person_id"),
-        F.when(key % 2 == 0, "Male").otherwise("Female").alias("gender"),
-        (18 + key % 60).cast("int").alias("age"),
-        (5 + (key % 36) / F.lit(10.0)).alias("sleep_duration"),
-        (30 + key % 61).cast("int").alias("physical_activity"),
-        (1 + nation % 10).cast("int").alias("stress_level"),
-        _case(key % 4, {0: "Normal", 1: "Normal Weight", 2: "Overweight"}, "Obese").alias("bmi_category"),
-        F.concat((110 + key % 40).cast("string"), F.lit("/"), (70 + key % 25).cast("string")).alias("blood_pressure"),
-        (60 + nation).cast("int").alias("heart_rate"),
-        F.when(key % 3 == 1, "Insomnia").when(key % 3 == 2, "Sleep Apnea").alias("sleep_disorder"),
-    )
-    quality = F.greatest(F.lit(1.0), F.least(F.lit(10.0), 10 - F.floor(F.col("stress_level") / 2)
-                                             + F.floor(F.col("sleep_duration") - 6)))
-    return s.withColumn("quality_of_sleep", quality.cast("int"))
+    return c.selectExpr(
+        "c_custkey AS person_id", "CASE c_custkey % 2 WHEN 0 THEN 'Male' ELSE 'Female' END AS gender",
+        "CAST(18 + c_custkey % 60 AS INT) AS age", "5 + (c_custkey % 36) / CAST(10 AS DOUBLE) AS sleep_duration",
+        "CAST(30 + c_custkey % 61 AS INT) AS physical_activity", "CAST(1 + c_nationkey % 10 AS INT) AS stress_level",
+        "CASE c_custkey % 4 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Normal Weight' WHEN 2 THEN 'Overweight' "
+        "ELSE 'Obese' END AS bmi_category",
+        "concat(CAST(110 + c_custkey % 40 AS STRING), '/', CAST(70 + c_custkey % 25 AS STRING)) AS blood_pressure",
+        "CAST(60 + c_nationkey AS INT) AS heart_rate",
+        "CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Insomnia' ELSE 'Sleep Apnea' END AS sleep_disorder",
+    ).selectExpr(
+        "*", "CAST(greatest(1, least(10, 10 - floor(stress_level / 2) + floor(sleep_duration - 6))) AS INT) "
+        "AS quality_of_sleep")
 
 
 def wire(spark: SparkSession, root: str) -> DataFrame:
