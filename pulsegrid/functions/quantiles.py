@@ -24,12 +24,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows per (group, value) as ``_v``, ``_c`` (null values kept as their own row)."""
+    return df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def percentile_cont(df: DataFrame, keys: list[str], value: str, p: float = 0.5,
                     alias: str = "percentile") -> DataFrame:
+    """Exact ``percentile_cont(p)`` of ``value`` per group of ``keys``."""
+    return percentile_from_counts(value_counts(df, keys, value), keys, p, alias)
+
+
+def percentile_from_counts(counts: DataFrame, keys: list[str], p: float = 0.5,
+                           alias: str = "percentile") -> DataFrame:
+    """The same from a ``value_counts`` frame (lets callers share one scan)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    counts = counts.where(F.col("_v").isNotNull())
     ranged = counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn(
         "_pid", F.spark_partition_id())
     chunk = Window.partitionBy("_pid", *keys)

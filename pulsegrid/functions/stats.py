@@ -27,3 +27,12 @@ def stable_avg(col, scale: int = 6) -> Column:
 def avg_sql(expr: str, scale: int = 6) -> str:
     """The same average written for a DuckDB oracle."""
     return f"(CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) AS DOUBLE) / count({expr}))"
+
+
+def stable_avg_weighted(value, weight, scale: int = 6) -> Column:
+    """``stable_avg`` over (value, count) pairs: exact sum of value*count / sum of counts."""
+    v = F.col(value) if isinstance(value, str) else value
+    w = F.col(weight) if isinstance(weight, str) else weight
+    total = F.sum(v.cast(f"decimal(38,{scale})") * w).cast("double")
+    n = F.sum(F.when(v.isNotNull(), w)).cast("double")
+    return F.try_divide(total, n)
