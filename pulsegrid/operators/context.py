@@ -1,10 +1,10 @@
 """User context snapshot (J3): one nested row per user.
 
 Four per-user frames (metric stats, stage distribution, newest alerts,
-latest journal entry) are each reduced to at most one row per user by
-aggregations whose groups are bounded (<= 5 metrics, <= 6 stages, <= N
-alerts after the partial top-N), then left-joined on ``user_id``.  Nothing
-per user grows with the raw history.
+latest journal entry) are reduced by aggregations whose groups are bounded
+(<= 5 metrics, <= 6 stages, <= N alerts after the partial top-N), then
+stacked with the user rows and combined by one ``groupBy(user_id)``.
+Nothing per user grows with the raw history.
 """
 
 from __future__ import annotations
@@ -18,35 +18,38 @@ from ..operators.history import latest_journal, recent_alerts
 
 def user_context(users: DataFrame, readings: DataFrame, alerts: DataFrame, journal: DataFrame,
                  as_of, hours: float = 6, n_alerts: int = 10) -> DataFrame:
-    """Nested snapshot per user: user, biometrics map, sleep-phase map, alert list, journal."""
-    stats = metric_stats(readings, as_of, hours).groupBy("user_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("metric", F.struct(
+    """Nested snapshot per user: user, biometrics map, sleep-phase map, alert list, journal.
+
+    The parts are stacked (``unionByName``) as tagged rows and combined by a
+    single ``groupBy(user_id)``; each user gathers at most 5 + 6 + n_alerts + 2
+    small rows, so the combine is one bounded shuffle instead of a chain of joins.
+    """
+    stats = metric_stats(readings, as_of, hours).select("user_id", F.struct(
+        F.col("metric").alias("k"), F.struct(
             F.col("n_samples"), F.round("avg_value", 1).alias("avg"), F.round("min_value", 1).alias("min"),
-            F.round("max_value", 1).alias("max"), F.round("median_value", 1).alias("median"))))).alias(
-        "biometrics"))
-    phases = phase_distribution(readings, as_of, hours).groupBy("user_id").agg(F.map_from_entries(
-        F.collect_list(F.struct("stage", F.struct("n", "pct")))).alias("sleep_phases"))
-    recent = recent_alerts(alerts, n_alerts, as_of, hours).groupBy("user_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rn", "created_at", "severity", "category", "title", "text"))),
-        lambda a: a.dropFields("rn")).alias("recent_alerts"))
+            F.round("max_value", 1).alias("max"), F.round("median_value", 1).alias("median")).alias("v"))
+        .alias("_stat"))
+    phases = phase_distribution(readings, as_of, hours).select("user_id", F.struct(
+        F.col("stage").alias("k"), F.struct("n", "pct").alias("v")).alias("_phase"))
+    recent = recent_alerts(alerts, n_alerts, as_of, hours).select("user_id", F.struct(
+        "rn", "created_at", "severity", "category", "title", "text").alias("_alert"))
     jr = latest_journal(journal).select("user_id", F.struct(
         "entry_date", "mood", "stress_level", "caffeine_after_17", "alcohol", "screens_min_before_bed",
-        "notes").alias("journal"))
-    people = users.select("user_id", F.struct("name", "chronotype", "timezone").alias("user"))
-    ids = (people.select("user_id").unionByName(stats.select("user_id")).unionByName(phases.select("user_id"))
-           .unionByName(recent.select("user_id")).unionByName(jr.select("user_id")).distinct())
+        "notes").alias("_journal"))
+    people = users.select("user_id", F.struct("name", "chronotype", "timezone").alias("_user"))
+    stacked = (people.unionByName(stats, allowMissingColumns=True)
+               .unionByName(phases, allowMissingColumns=True)
+               .unionByName(recent, allowMissingColumns=True)
+               .unionByName(jr, allowMissingColumns=True))
     as_of_col = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
-    return (ids.join(people, "user_id", "left").join(stats, "user_id", "left").join(phases, "user_id", "left")
-            .join(recent, "user_id", "left").join(jr, "user_id", "left")
-            .select("user_id", F.lit(int(hours)).alias("window_hours"), as_of_col.alias("now"), "user",
-                    F.coalesce("biometrics", F.create_map().cast("map<string,struct<n_samples:bigint,"
-                               "avg:double,min:double,max:double,median:double>>")).alias("biometrics"),
-                    F.coalesce("sleep_phases", F.create_map().cast(
-                        "map<string,struct<n:bigint,pct:double>>")).alias("sleep_phases"),
-                    F.coalesce("recent_alerts", F.array().cast(
-                        "array<struct<created_at:timestamp,severity:string,category:string,title:string,"
-                        "text:string>>")).alias("recent_alerts"),
-                    "journal"))
+    combined = stacked.groupBy("user_id").agg(
+        F.first("_user", ignorenulls=True).alias("user"),
+        F.map_from_entries(F.collect_list("_stat")).alias("biometrics"),
+        F.map_from_entries(F.collect_list("_phase")).alias("sleep_phases"),
+        F.transform(F.array_sort(F.collect_list("_alert")), lambda a: a.dropFields("rn")).alias("recent_alerts"),
+        F.first("_journal", ignorenulls=True).alias("journal"))
+    return combined.select("user_id", F.lit(int(hours)).alias("window_hours"), as_of_col.alias("now"), "user",
+                           "biometrics", "sleep_phases", "recent_alerts", "journal")
 
 
 def flatten_context(ctx: DataFrame) -> DataFrame:

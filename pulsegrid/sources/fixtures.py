@@ -49,7 +49,7 @@ def _sql_case(expr: str, mapping: dict, default) -> str:
 
 def readings(spark: SparkSession, root: str) -> DataFrame:
     """Decoded readings (the schema ``decode`` produces) from ``events``."""
-    ev = read_table(spark, root, "events")
+    ev = read_table(spark, root, "events", spread=True)
     metric = _sql_case("event_type", {"click": "heart_rate", "view": "hrv", "error": "oxygen",
                                       "purchase": "temperature"}, "respiration")
     unit = _sql_case("event_type", {"view": C.UNIT_MS, "error": C.UNIT_PERCENT, "purchase": C.UNIT_CELSIUS},
@@ -88,7 +88,7 @@ def contact_links(spark: SparkSession, root: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, root: str) -> DataFrame:
-    o = read_table(spark, root, "orders")
+    o = read_table(spark, root, "orders", spread=True)
     return o.selectExpr(
         "o_orderkey AS seq", "o_custkey AS user_id",
         "CAST(date_trunc('month', o_orderdate) AS DATE) AS entry_date",

@@ -25,11 +25,20 @@ def table_path(root: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
-               options: dict | None = None) -> DataFrame:
+               options: dict | None = None, spread: bool = False) -> DataFrame:
+    """Scan a table.  ``spread``: if the scan has fewer splits than the cluster
+    has cores (a small input, e.g. one row group), round-robin it over all
+    cores so CPU-heavy per-row work (JSON, window expansion) runs in parallel.
+    A large input already has more splits than cores and is left as is."""
     ensure_utc(spark)
     reader = spark.read.format(fmt)
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
     if fmt == "jdbc":
         return reader.option("dbtable", name).load()
-    return reader.load(table_path(root, name))
+    df = reader.load(table_path(root, name))
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
