@@ -20,7 +20,7 @@ _PLANS: dict = {}
 def _memo(spark: SparkSession, root: str, name: str, build):
     """Reuse the lazy plan of a shared input within one session (plans only, no data)."""
     ensure_utc(spark)
-    key = (id(spark._jsparkSession), root, name)
+    key = (spark.sparkContext.applicationId, id(spark), root, name)
     if key not in _PLANS:
         _PLANS[key] = build()
     return _PLANS[key]

@@ -30,7 +30,7 @@ def _survey(spark, root):
 
 
 def _model(spark, root, iters: int = CHECK_ITERS, kind: str = "gbt"):
-    key = (root, iters, kind)
+    key = (spark.sparkContext.applicationId, root, iters, kind)
     if key not in _FITTED:
         train, test = M.split_survey(_survey(spark, root))
         model, secs = M.fit(train, max_iter=iters, model=kind)
