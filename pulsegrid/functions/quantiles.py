@@ -40,7 +40,9 @@ def percentile_from_counts(counts: DataFrame, keys: list[str], p: float = 0.5,
     """The same from a ``value_counts`` frame (lets callers share one scan)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
-    counts = counts.where(F.col("_v").isNotNull())
+    # Null values weigh 0 instead of being filtered out: a filter would be
+    # pushed under the shared count aggregate and stop its reuse.
+    counts = counts.withColumn("_c", F.when(F.col("_v").isNull(), F.lit(0)).otherwise(F.col("_c")))
     ranged = counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn(
         "_pid", F.spark_partition_id())
     chunk = Window.partitionBy("_pid", *keys)

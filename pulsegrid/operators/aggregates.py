@@ -21,14 +21,24 @@ def _ts(value) -> Column:
     return F.lit(value).cast("timestamp") if isinstance(value, str) else value
 
 
-def since(df: DataFrame, as_of, hours: float | None, time_col: str = "event_time") -> DataFrame:
-    """Rows in ``[as_of - hours, as_of]``; ``hours=None`` keeps everything up to ``as_of``."""
+def since(df: DataFrame, as_of, hours: float | None, time_col: str = "event_time",
+          date_col: str = "event_date") -> DataFrame:
+    """Rows in ``[as_of - hours, as_of]``; ``hours=None`` keeps everything up to ``as_of``.
+
+    On a day-partitioned history (``date_col`` present) the same range is
+    also stated on the day column, so Spark prunes whole partitions.
+    """
     if as_of is None:
         return df
     end = _ts(as_of)
+    start = end - F.make_dt_interval(secs=F.lit(int(hours * 3600))) if hours is not None else None
     cond = F.col(time_col) <= end
-    if hours is not None:
-        cond = cond & (F.col(time_col) >= end - F.make_dt_interval(secs=F.lit(int(hours * 3600))))
+    if start is not None:
+        cond = cond & (F.col(time_col) >= start)
+    if date_col in df.columns:
+        cond = cond & (F.col(date_col) <= F.to_date(end))
+        if start is not None:
+            cond = cond & (F.col(date_col) >= F.to_date(start))
     return df.where(cond)
 
 

@@ -10,19 +10,25 @@ from .aggregates import since
 
 
 def in_scope(df: DataFrame, user_id=None, start=None, end=None, metrics: list[str] | None = None,
-             severity: str | None = None, time_col: str = "event_time") -> DataFrame:
+             severity: str | None = None, time_col: str = "event_time", date_col: str = "event_date") -> DataFrame:
     """User equality, time range ``[start, end]``, metric IN-list, severity equality.
 
-    Plain column predicates: Catalyst pushes them into the Parquet scan, and
-    with day-partitioned history the time range prunes partitions.
+    Plain column predicates: Catalyst pushes them into the Parquet scan; on a
+    day-partitioned history the range is repeated on the day column so whole
+    partitions are pruned.
     """
     cond = F.lit(True)
+    has_day = date_col in df.columns
     if user_id is not None:
         cond = cond & (F.col("user_id") == F.lit(user_id))
     if start is not None:
         cond = cond & (F.col(time_col) >= F.lit(start).cast("timestamp"))
+        if has_day:
+            cond = cond & (F.col(date_col) >= F.to_date(F.lit(start).cast("timestamp")))
     if end is not None:
         cond = cond & (F.col(time_col) <= F.lit(end).cast("timestamp"))
+        if has_day:
+            cond = cond & (F.col(date_col) <= F.to_date(F.lit(end).cast("timestamp")))
     if metrics is not None:
         cond = cond & F.col("metric").isin(list(metrics))
     if severity is not None:
