@@ -6,7 +6,8 @@ lands in a single task.  Here the rank is found with distributed prefix sums:
 
 1. count rows per (group, value) - partial aggregation map-side;
 2. range-partition those counts by (group, value), so a hot group's values
-   are split across many partitions;
+   are split across many partitions, and checkpoint them with the partition
+   id stored as a column (both later passes read the same partitions);
 3. inside each (partition, group) chunk take a running count (window over a
    partition-sized chunk) and the chunk total;
 4. over the small table of chunk totals (one row per partition a group
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows per (group, value) as ``_v``, ``_c`` (null values kept as their own row)."""
@@ -32,23 +35,34 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def percentile_cont(df: DataFrame, keys: list[str], value: str, p: float = 0.5,
                     alias: str = "percentile") -> DataFrame:
     """Exact ``percentile_cont(p)`` of ``value`` per group of ``keys``."""
-    return percentile_from_counts(value_counts(df, keys, value), keys, p, alias)
+    return percentile_from_ranged(range_counts(value_counts(df, keys, value), keys), keys, p, alias)
+
+
+def range_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Range-partition (group, value) counts and store each row's partition as ``_pid``.
+
+    The result is checkpointed (reliably, to the session's checkpoint folder):
+    every later pass reads the same partitions, whatever happens to the
+    range sampling on a retry, and the lineage is cut.  Null values weigh 0.
+    """
+    spark = counts.sparkSession
+    checkpoint_root(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (counts.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_v"))
+              .withColumns({"_pid": F.spark_partition_id(),
+                            "_w": F.when(F.col("_v").isNull(), F.lit(0)).otherwise(F.col("_c"))}))
+    return ranged.checkpoint(eager=True)
 
 
-def percentile_from_counts(counts: DataFrame, keys: list[str], p: float = 0.5,
+def percentile_from_ranged(ranged: DataFrame, keys: list[str], p: float = 0.5,
                            alias: str = "percentile") -> DataFrame:
-    """The same from a ``value_counts`` frame (lets callers share one scan)."""
+    """The percentile from a ``range_counts`` frame (lets callers share it)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
-    # Null values weigh 0 instead of being filtered out: a filter would be
-    # pushed under the shared count aggregate and stop its reuse.
-    counts = counts.withColumn("_c", F.when(F.col("_v").isNull(), F.lit(0)).otherwise(F.col("_c")))
-    ranged = counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn(
-        "_pid", F.spark_partition_id())
     chunk = Window.partitionBy("_pid", *keys)
     ranged = ranged.withColumns({
-        "_cum": F.sum("_c").over(chunk.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)),
-        "_chunk_n": F.sum("_c").over(chunk),
+        "_cum": F.sum("_w").over(chunk.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)),
+        "_chunk_n": F.sum("_w").over(chunk),
     })
     chunks = ranged.select("_pid", *keys, "_chunk_n").dropDuplicates(["_pid", *keys])
     by_group = Window.partitionBy(*keys)
@@ -62,7 +76,7 @@ def percentile_from_counts(counts: DataFrame, keys: list[str], p: float = 0.5,
     located = (ranged.join(offsets, ["_pid", *keys])
                .withColumns({"_end": F.col("_off") + F.col("_cum"),
                              "_lo": F.floor(pos), "_hi": F.ceil(pos), "_frac": pos - F.floor(pos)})
-               .withColumn("_start", F.col("_end") - F.col("_c")))
+               .withColumn("_start", F.col("_end") - F.col("_w")))
     covers_lo = (F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end"))
     covers_hi = (F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))
     picked = located.where(covers_lo | covers_hi).groupBy(*keys).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import has_key, phase_of, short_stage, strip_stage_prefix
-from ..functions.quantiles import percentile_from_counts, value_counts
+from ..functions.quantiles import percentile_from_ranged, range_counts, value_counts
 from ..functions.stats import stable_avg, stable_avg_weighted
 
 
@@ -65,18 +65,19 @@ def metric_stats(df: DataFrame, as_of=None, hours: float | None = 6,
                  metrics: list[str] = C.CONTEXT_METRICS, time_col: str = "event_time") -> DataFrame:
     """A3: per user and metric in the last ``hours``: count(*), avg, min, max, exact median.
 
-    One scan: rows are first counted per (user, metric, value) (partial
-    aggregation map-side); the plain statistics and the distributed exact
-    ``percentile_cont(0.5)`` (see ``functions.quantiles``) both read those
-    counts, and are joined on the group key.
+    One scan: rows are counted per (user, metric, value) (partial
+    aggregation map-side) and the counts are range-partitioned and
+    checkpointed once; the plain statistics and the distributed exact
+    ``percentile_cont(0.5)`` (see ``functions.quantiles``) both read that
+    copy and are joined on the group key.
     """
     scoped = since(df, as_of, hours, time_col).where(F.col("metric").isin(metrics))
     keys = ["user_id", "metric"]
-    counts = value_counts(scoped, keys, "value")
-    base = counts.groupBy(*keys).agg(
+    ranged = range_counts(value_counts(scoped, keys, "value"), keys)
+    base = ranged.groupBy(*keys).agg(
         F.sum("_c").alias("n_samples"), stable_avg_weighted("_v", "_c").alias("avg_value"),
         F.min("_v").alias("min_value"), F.max("_v").alias("max_value"))
-    med = percentile_from_counts(counts, keys, 0.5, alias="median_value")
+    med = percentile_from_ranged(ranged, keys, 0.5, alias="median_value")
     return base.join(med, keys, "left")
 
 

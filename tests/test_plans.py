@@ -55,7 +55,7 @@ def test_context_stats_read_history_once(history):
     df.collect()
     final = _plan(df).split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final
-    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+    assert final.count("FileScan parquet") == 0  # both passes read the checkpointed range counts
 
 
 def test_user_dimension_join_is_size_checked(spark):
