@@ -61,3 +61,21 @@ def test_latest_picks_greatest_order_tuple(spark):
                                "k int, t int, s int, v string")
     got = sorted((r.k, r.t, r.s, r.v) for r in latest(df, ["k"], ["t", "s"], ["v"]).collect())
     assert got == [(1, 5, 2, "b"), (2, 1, 1, "d")]
+
+
+def test_percentile_is_exact_without_exchange_reuse(spark):
+    df = _data(spark)
+    ref = {r.k: r.ref for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("ref")).collect()
+           if r.ref is not None}
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled",
+                                            "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        ours = {r.k: r.percentile for r in percentile_cont(df, ["k"], "v", 0.5).collect()}
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert ours.keys() == ref.keys()
+    assert all(abs(ours[k] - ref[k]) <= 1e-9 * max(1.0, abs(ref[k])) for k in ref)
