@@ -72,13 +72,18 @@ def alert_records(alerts: DataFrame) -> DataFrame:
 def layout(df: DataFrame, date_col: str = "event_date", order: list[str] | None = None) -> DataFrame:
     """History layout: rows clustered by day, sorted (user, metric, time desc) within files.
 
-    Repartitioning by the day column keeps one day's rows in few files;
-    the sort gives Parquet row-group min/max stats that make user/metric
-    predicates skip row groups (the index of the row-store original).
+    Range partitioning on (day, user, metric, time) gives each task a
+    contiguous slice, so a day is written as few files per task, yet a big
+    day, or one user holding a third of a day, is split over many tasks
+    (the time column keeps equal keys rare).  The sort (day first, matching
+    ``partitionBy``) gives Parquet row-group min/max stats that let
+    user/metric predicates skip row groups, standing in for the row store's
+    (user, metric, time desc) index.
     """
     order = order or ["user_id", "metric"]
     time_col = "time" if "time" in df.columns else "event_time"
-    return df.repartition(date_col).sortWithinPartitions(*order, F.col(time_col).desc())
+    ranged = df.repartitionByRange(F.col(date_col), *[F.col(c) for c in order], F.col(time_col))
+    return ranged.sortWithinPartitions(date_col, *order, F.col(time_col).desc())
 
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
@@ -111,3 +116,13 @@ def prediction_rows(scored: DataFrame, model_version: str, now=None) -> DataFram
         F.to_date(_now(now)).alias("target_date"), F.col("raw_value").alias("quality_raw"), "score_100",
         "category", F.lit(model_version).alias("model_version"),
         F.to_json(F.struct(*inputs)).alias("inputs"))
+
+
+def latest_docs(docs: DataFrame, key: str = "doc_id", version: str = "batch_id") -> DataFrame:
+    """D5 reader: an update-mode sink rewrites a window in later batches; keep the newest per key.
+
+    A ``max(struct(version, row))`` aggregate, so the pick is map-side combined.
+    """
+    rest = [c for c in docs.columns if c not in (key, version)]
+    agg = docs.groupBy(key).agg(F.max(F.struct(F.col(version).alias("_ver"), *rest)).alias("_l"))
+    return agg.select(key, *[F.col(f"_l.{c}").alias(c) for c in rest], F.col("_l._ver").alias(version))

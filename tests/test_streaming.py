@@ -145,3 +145,33 @@ def test_alert_stream_routed_to_contacts(spark, scratch):
     assert out.count() == 4
     assert out.where("contact_id IS NOT NULL").count() == users.where(
         F.col("user_id").isin(some) & F.col("contact_id").isNotNull()).count()
+
+
+def test_update_mode_docs_keep_latest_window(spark, scratch):
+    base = dt.datetime(2024, 1, 1)
+    src = os.path.join(scratch, "upd")
+    _write_batches(src, [[_reading(1, base + dt.timedelta(seconds=5), value=60.0)],
+                         [_reading(1, base + dt.timedelta(seconds=20), value=80.0)]])
+    cfg = _cfg(scratch, src, agg_mode="update")
+    q = J.start_query(J.windowed(J.read_readings(spark, cfg), cfg), "agg", cfg, spark,
+                      foreach=J.agg_batch(spark, cfg), mode="update")
+    _drain(q)
+    from pulsegrid.streaming.sinks import latest_docs
+    docs = spark.read.json(cfg.out(spark, "agg_docs"))
+    assert docs.count() == 10  # five windows, each written by both batches
+    latest = latest_docs(docs)
+    assert latest.count() == 5
+    assert {r.n_samples for r in latest.collect()} == {2}
+
+
+def test_ingest_counts_on_a_stream_complete_mode(spark, scratch):
+    from pulsegrid.operators.ingest import ingest_counts
+    base = dt.datetime(2024, 1, 1)
+    src = os.path.join(scratch, "counts")
+    _write_batches(src, [[_reading(1, base), _reading(2, base, metric="hrv")], [_reading(3, base)]])
+    cfg = _cfg(scratch, src)
+    q = J.start_query(ingest_counts(J.read_readings(spark, cfg)), "ingest_counts", cfg, spark,
+                      mode="complete", sink="memory")
+    _drain(q)
+    got = {r.metric: r.n for r in spark.table("ingest_counts").collect()}
+    assert got == {"heart_rate": 2, "hrv": 1, "total": 3}
