@@ -33,13 +33,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.9g}")
+        return v if STRICT else float(f"{v:.9g}")
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.9g}")
     if isinstance(v, bool):
@@ -120,12 +123,21 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--plain", action="store_true", help="use a default session, as the driver may")
+    ap.add_argument("--strict", action="store_true", help="compare floats bit for bit")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args(argv)
+    global STRICT
+    STRICT = args.strict
     import __spark_entry__ as E
     from pulsegrid.session import build_session
 
-    spark = build_session(master="local[8]", shuffle_partitions=8)
+    if args.plain:
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "America/New_York")
+                 .getOrCreate())
+    else:
+        spark = build_session(master="local[8]", shuffle_partitions=8)
     qs, os_ = E.queries(), E.oracle_sql()
     con = duck(args.sf)
     names = args.names or sorted(qs)
