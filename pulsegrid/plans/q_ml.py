@@ -50,7 +50,16 @@ def m1_clean_survey(spark, root):
     return _survey(spark, root).select("person_id", "bmi_category", "sleep_disorder", "systolic", "diastolic")
 
 
-@query("m2_split_survey")
+SPLIT_SQL = ("(('0x' || substr(md5('42:' || CAST(person_id AS VARCHAR)), 1, 8))::BIGINT % 10000) < 8000")
+CLEAN_SQL = """
+SELECT * REPLACE (CASE WHEN bmi_category = 'Normal Weight' THEN 'Normal' ELSE bmi_category END AS bmi_category,
+                  coalesce(sleep_disorder, 'None') AS sleep_disorder)
+FROM survey"""
+
+
+@query("m2_split_survey", with_views(f"""
+SELECT person_id, CASE WHEN {SPLIT_SQL} THEN 'train' ELSE 'test' END AS part FROM survey
+""", "survey"))
 def m2_split_survey(spark, root):
     """M2: repeatable 80/20 hash split of the survey rows."""
     train, test = M.split_survey(_survey(spark, root))
@@ -64,9 +73,21 @@ def _features(spark, root):
     return model.stages, train
 
 
-@query("m3_index_categories")
+def _index_sql(col: str) -> str:
+    return (f"{col}_ix AS (SELECT {col}, CAST(row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS DOUBLE)"
+            f" AS {col}_idx FROM tr GROUP BY {col})")
+
+
+@query("m3_index_categories", with_views(f"""
+SELECT tr.person_id, gender_idx, bmi_category_idx, sleep_disorder_idx
+FROM tr JOIN gender_ix USING (gender) JOIN bmi_category_ix USING (bmi_category)
+        JOIN sleep_disorder_ix USING (sleep_disorder)
+""", "survey", ctes=f"""
+clean AS ({CLEAN_SQL}),
+tr AS (SELECT * FROM clean WHERE {SPLIT_SQL}),
+{_index_sql('gender')}, {_index_sql('bmi_category')}, {_index_sql('sleep_disorder')}"""))
 def m3_index_categories(spark, root):
-    """M3: category indices (unknown labels kept as an extra index)."""
+    """M3: category indices fitted on the train part (by frequency, ties by label; unknown kept)."""
     stages, df = _features(spark, root)
     out = df
     for st in stages[:3]:

@@ -39,7 +39,68 @@ def f1_alert_message(spark, root):
     return a.select("event_id", "rule_pos", RD.alert_message(a).alias("message"))
 
 
-@query("f2_context_markdown")
+def _md_sql() -> str:
+    from .. import constants as C
+    from ..functions.stats import avg_sql
+    from .q_joins import ALERT_SCOPE, METRICS_IN, READ_SCOPE
+
+    def lit(text):
+        return "'" + _q(text) + "'"
+
+    def cast(expr):
+        return f"coalesce(CAST({expr} AS VARCHAR), 'None')"
+
+    def boolean(expr):
+        return f"CASE {expr} WHEN true THEN 'True' WHEN false THEN 'False' ELSE 'None' END"
+
+    nl = "chr(10)"
+    stat_line = (f"'- **' || metric || '**: n=' || n || ', media=' || {cast('round(avg_v, 1)')} || ', min=' || "
+                 f"{cast('round(min_v, 1)')} || ', max=' || {cast('round(max_v, 1)')}")
+    phase_line = f"'- ' || stage || ': ' || {cast('pct')} || '% (' || n || ' muestras)'"
+    alert_line = f"'- [' || {cast('severity')} || '] ' || {cast('title')} || ': ' || {cast('text')}"
+    body = f"""
+SELECT ids.user_id, concat_ws({nl},
+  {lit(C.MD_HEADER.format(h=720))},
+  {lit(C.MD_NOW.format(now='2024-01-31T00:00:00.000000+00:00'))},
+  CASE WHEN u.user_id IS NOT NULL THEN {lit('Usuario: ')} || coalesce(u.name, {lit(C.MD_UNKNOWN_NAME)})
+       || {lit(' · cronotipo: ')} || coalesce(u.chronotype, {lit(C.MD_UNKNOWN_CHRONOTYPE)}) END,
+  '',
+  CASE WHEN st.lines IS NOT NULL THEN {lit(C.MD_STATS)} || {nl} || st.lines || {nl} END,
+  CASE WHEN ph.lines IS NOT NULL THEN {lit(C.MD_PHASES)} || {nl} || ph.lines || {nl} END,
+  CASE WHEN al.lines IS NOT NULL THEN {lit(C.MD_ALERTS)} || {nl} || al.lines || {nl} END,
+  CASE WHEN jr.user_id IS NOT NULL THEN concat_ws({nl}, {lit(C.MD_JOURNAL)},
+    '- Fecha: ' || strftime(jr.entry_date, '%Y-%m-%d'),
+    '- Mood: ' || {cast('jr.mood')} || '/10, estrés: ' || {cast('jr.stress_level')} || '/10',
+    '- Cafeína tarde: ' || {boolean('jr.caffeine_after_17')} || ', alcohol: ' || {boolean('jr.alcohol')},
+    CASE WHEN jr.screens_min_before_bed IS NOT NULL
+         THEN '- Pantallas antes de dormir: ' || jr.screens_min_before_bed || ' min' END,
+    CASE WHEN coalesce(jr.notes, '') <> '' THEN '- Notas: ' || jr.notes END) END) AS markdown
+FROM ids
+LEFT JOIN users u ON ids.user_id = u.user_id
+LEFT JOIN st ON ids.user_id = st.user_id
+LEFT JOIN ph ON ids.user_id = ph.user_id
+LEFT JOIN al ON ids.user_id = al.user_id
+LEFT JOIN jr ON ids.user_id = jr.user_id
+"""
+    ctes = f"""
+sm AS (SELECT user_id, metric, count(*) AS n, {avg_sql('value')} AS avg_v, min(value) AS min_v, max(value) AS max_v
+       FROM readings WHERE {READ_SCOPE} AND metric IN ({METRICS_IN}) GROUP BY user_id, metric),
+st AS (SELECT user_id, string_agg({stat_line}, {nl} ORDER BY metric) AS lines FROM sm GROUP BY user_id),
+pd AS (SELECT user_id, string_split(phase, 'Analysis')[-1] AS stage, count(*) AS n,
+              round(100 * count(*) / sum(count(*)) OVER (PARTITION BY user_id), 1) AS pct
+       FROM readings WHERE {READ_SCOPE} AND phase IS NOT NULL GROUP BY user_id, phase),
+ph AS (SELECT user_id, string_agg({phase_line}, {nl} ORDER BY pct DESC, stage, n) AS lines FROM pd GROUP BY user_id),
+ar AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC, rule_pos) AS rn
+       FROM alerts WHERE {ALERT_SCOPE}),
+al AS (SELECT user_id, string_agg({alert_line}, {nl} ORDER BY rn) AS lines FROM ar WHERE rn <= 10 GROUP BY user_id),
+jr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY entry_date DESC, seq DESC) AS rn
+       FROM journal) t WHERE rn = 1),
+ids AS (SELECT user_id FROM users UNION SELECT user_id FROM st UNION SELECT user_id FROM ph
+        UNION SELECT user_id FROM al UNION SELECT user_id FROM jr)"""
+    return with_views(body, "readings", "alerts", "users", "journal", ctes=ctes)
+
+
+@query("f2_context_markdown", _md_sql())
 def f2_context_markdown(spark, root):
     """the context snapshot of every user rendered as Markdown."""
     ctx = _context(spark, root)
@@ -68,7 +129,23 @@ def f3_prompt_text(spark, root):
     return r.select("user_id", "preset", RD.prompt_text(F.col("preset"), F.lit(False)).alias("prompt"))
 
 
-@query("f3_prompt_with_context")
+def _prompt_ctx_sql() -> str:
+    return with_views(f"""
+SELECT r.user_id, r.preset,
+  CASE WHEN r.include_context AND m.markdown IS NOT NULL THEN r.base || chr(10) || chr(10) || m.markdown
+       ELSE r.base END AS prompt
+FROM (SELECT user_id, user_id % 2 = 0 AS include_context,
+             CASE user_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'pre_sleep' WHEN 2 THEN 'post_sleep'
+                              ELSE 'bedtime' END AS preset,
+             CASE user_id % 4 WHEN 1 THEN '{BASE}' || chr(10) || chr(10) || '{PRE}'
+                              WHEN 2 THEN '{BASE}' || chr(10) || chr(10) || '{POST}'
+                              ELSE '{BASE}' END AS base
+      FROM users) r
+LEFT JOIN ({_md_sql()}) m ON r.user_id = m.user_id
+""", "users")
+
+
+@query("f3_prompt_with_context", _prompt_ctx_sql())
 def f3_prompt_with_context(spark, root):
     """prompt plus the user's context Markdown where the request asks for it."""
     r = _chat_requests(spark, root)
