@@ -161,3 +161,33 @@ def run_forever(spark: SparkSession, cfg: StreamConfig) -> None:
     """Start everything and wait on any termination."""
     start_all(spark, cfg)
     spark.streams.awaitAnyTermination()
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: ``python -m pulsegrid.streaming.jobs --source-format kafka --bootstrap host:9092``."""
+    import argparse
+
+    from ..session import build_session
+
+    ap = argparse.ArgumentParser(description="Run the reading stream: raw fan-out, window aggregate, HR watch.")
+    ap.add_argument("--source-format", default="kafka", choices=["kafka", "json", "parquet"])
+    ap.add_argument("--source-path")
+    ap.add_argument("--bootstrap")
+    ap.add_argument("--out-root")
+    ap.add_argument("--checkpoint")
+    ap.add_argument("--agg-mode", default="update", choices=["update", "append"])
+    ap.add_argument("--available-now", action="store_true", help="drain the current input and stop")
+    args = ap.parse_args(argv)
+    spark = build_session(app_name="pulsegrid-stream")
+    cfg = StreamConfig(source_format=args.source_format, source_path=args.source_path, bootstrap=args.bootstrap,
+                       out_root=args.out_root, checkpoint=args.checkpoint, agg_mode=args.agg_mode,
+                       available_now=args.available_now)
+    if args.available_now:
+        for q in start_all(spark, cfg):
+            q.awaitTermination()
+    else:
+        run_forever(spark, cfg)
+
+
+if __name__ == "__main__":
+    main()
