@@ -48,12 +48,16 @@ def encode_readings(df: DataFrame, now=None, keep: list[str] | None = None) -> D
 
 def parse_payload(df: DataFrame, payload: str = "payload",
                   schema=S.DEVICE_READING) -> DataFrame:
-    """Parse a JSON text column into ``schema`` columns plus ``_corrupt_record``."""
+    """Parse a JSON text column into ``schema`` columns plus ``_corrupt_record``.
+
+    The struct is expanded with ``inline(array(...))``: a filter on the
+    parsed fields (the malformed split) cannot be pushed below that
+    generator, so each payload is parsed once instead of once per consumer.
+    """
     parsed = F.from_json(F.col(payload).cast("string"), S.with_corrupt_column(schema),
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT_COLUMN})
     others = [c for c in df.columns if c != payload]
-    return df.select(*others, F.col(payload).cast("string").alias(payload), parsed.alias("_d")).select(
-        *others, payload, "_d.*")
+    return df.select(*others, F.col(payload).cast("string").alias(payload), F.inline(F.array(parsed)))
 
 
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +106,11 @@ def decode(records: DataFrame, schema=S.BROKER_READING) -> DataFrame:
     keep = [c for c in records.columns if c not in ("value", "topic", "timestamp", "key")]
     d = records.select(
         *keep,
-        F.from_json(F.col("value").cast("string"), schema).alias("d"),
         F.col("topic").alias("kafka_topic"),
         F.col("timestamp").cast("timestamp").alias("kafka_ts"),
+        F.inline(F.array(F.from_json(F.col("value").cast("string"), schema))),  # parsed once (see parse_payload)
     )
-    return d.select(*keep, "d.*", "kafka_topic", "kafka_ts").withColumn(
+    return d.select(*keep, *schema.fieldNames(), "kafka_topic", "kafka_ts").withColumn(
         "event_time", F.try_to_timestamp(F.col("start_date")))
 
 

@@ -79,7 +79,7 @@ def read_alerts(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     if cfg.source_format == "kafka":
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", cfg.bootstrap)
                .option("subscribe", C.ALERTS_TOPIC).option("startingOffsets", "latest").load())
-        return raw.select(F.from_json(F.col("value").cast("string"), S.ALERT).alias("a")).select("a.*")
+        return raw.select(F.inline(F.array(F.from_json(F.col("value").cast("string"), S.ALERT))))
     return spark.readStream.schema(S.ALERT).json(cfg.source_path)
 
 
