@@ -89,3 +89,10 @@ def test_bands_and_quality(spark):
     got = [(r[0], r[1]) for r in q.select(quality_category("q"), quality_score("q")).collect()]
     assert got == [("Insuficiente", 60.0), ("Buena", 60.1), ("Buena", 80.0), ("Excelente", 85.0),
                    ("Excelente", 100.0), ("Insuficiente", 10.0)]
+
+
+def test_decode_keeps_null_and_bad_values(spark):
+    df = spark.createDataFrame([(1, None, "t", None), (2, "{bad", "t", None), (3, '{"user_id": 5}', "t", None)],
+                               "offset long, value string, topic string, timestamp timestamp")
+    got = sorted(tuple(r) for r in I.decode(df).select("offset", "user_id", "event_time").collect())
+    assert got == [(1, None, None), (2, None, None), (3, 5, None)]
