@@ -25,19 +25,28 @@ METRICS_IN = ", ".join(f"'{m}'" for m in C.CONTEXT_METRICS)
 
 # --- A1 + A2: sliding window (flagship) -------------------------------------
 
-@query("a1_window_agg", with_views(f"""
+A1_SQL = with_views(f"""
 SELECT ws AS window_start, ws + INTERVAL 5 MINUTE AS window_end, user_id, metric,
        {AVG} AS avg_value, min(value) AS min_value, max(value) AS max_value,
        count(value) AS n_samples
 FROM x GROUP BY ALL
 """, "readings", ctes="""
 x AS (SELECT date_trunc('minute', event_time) - k * INTERVAL 1 MINUTE AS ws, r.*
-      FROM readings r, range(5) g(k))"""))
+      FROM readings r, range(5) g(k))""")
+
+
+@query("a1_window_agg", A1_SQL)
 def a1_window_agg(spark, root):
     """A1 + A2: 5-minute windows sliding by 1 minute, per user and metric, flattened."""
     return A.flatten_window(A.window_agg(readings_of(spark, root)))
 
 
+@query("a1_window_agg_panes", A1_SQL)
+def a1_window_agg_panes(spark, root):
+    """A1 + A2 by 1-minute panes combined into 5-minute windows (batch strategy for dense readings)."""
+    return A.flatten_window(A.window_agg(readings_of(spark, root), panes=True))
+
+
 @query("a2_flatten_window", with_views(f"""
 SELECT DISTINCT ws AS window_start, ws + INTERVAL 5 MINUTE AS window_end FROM x
 """, "readings", ctes="""

@@ -79,3 +79,13 @@ def test_percentile_is_exact_without_exchange_reuse(spark):
             spark.conf.set(k, v)
     assert ours.keys() == ref.keys()
     assert all(abs(ours[k] - ref[k]) <= 1e-9 * max(1.0, abs(ref[k])) for k in ref)
+
+
+def test_pane_windows_equal_sliding_windows(spark):
+    from pulsegrid.operators.aggregates import flatten_window, window_agg
+    from pulsegrid.plans.common import readings_of
+    from conftest import SF_SMALL
+    r = readings_of(spark, SF_SMALL)
+    a = flatten_window(window_agg(r))
+    b = flatten_window(window_agg(r, panes=True)).select(*a.columns)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
