@@ -27,6 +27,17 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` with null-safe equality (a null group key is a group, as in GROUP BY)."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows per (group, value) as ``_v``, ``_c`` (null values kept as their own row)."""
     return df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
@@ -73,7 +84,7 @@ def percentile_from_ranged(ranged: DataFrame, keys: list[str], p: float = 0.5,
         F.sum("_chunk_n").over(by_group).alias("_n"),
     )
     pos = F.lit(p) * (F.col("_n") - 1)
-    located = (ranged.join(offsets, ["_pid", *keys])
+    located = (join_on(ranged, offsets, ["_pid", *keys])
                .withColumns({"_end": F.col("_off") + F.col("_cum"),
                              "_lo": F.floor(pos), "_hi": F.ceil(pos), "_frac": pos - F.floor(pos)})
                .withColumn("_start", F.col("_end") - F.col("_w")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import has_key, phase_of, short_stage, strip_stage_prefix
-from ..functions.quantiles import percentile_from_ranged, range_counts, value_counts
+from ..functions.quantiles import join_on, percentile_from_ranged, range_counts, value_counts
 from ..functions.stats import stable_avg, stable_avg_weighted
 
 
@@ -112,7 +112,7 @@ def metric_stats(df: DataFrame, as_of=None, hours: float | None = 6,
         F.sum("_c").alias("n_samples"), stable_avg_weighted("_v", "_c").alias("avg_value"),
         F.min("_v").alias("min_value"), F.max("_v").alias("max_value"))
     med = percentile_from_ranged(ranged, keys, 0.5, alias="median_value")
-    return base.join(med, keys, "left")
+    return join_on(base, med, keys, "left")
 
 
 def phase_distribution(df: DataFrame, as_of=None, hours: float | None = 6,

@@ -89,3 +89,9 @@ def test_pane_windows_equal_sliding_windows(spark):
     a = flatten_window(window_agg(r))
     b = flatten_window(window_agg(r, panes=True)).select(*a.columns)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_null_group_keys_keep_their_median(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "k string, v double")
+    got = {r.k: r.percentile for r in percentile_cont(df, ["k"], "v", 0.5).collect()}
+    assert got == {None: 2.0, "a": 2.0}
