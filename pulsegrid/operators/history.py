@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.topk import latest, top_n
@@ -63,7 +63,12 @@ def latest_journal(journal: DataFrame) -> DataFrame:
 
 
 def chat_history(turns: DataFrame, n: int = 50) -> DataFrame:
-    """T4: last ``n`` messages per user, ``rn`` = 1 newest; present sorted oldest first."""
+    """T4: last ``n`` messages per user with ``rn`` (1 = newest) and ``position`` (1 = oldest of them).
+
+    ``position`` gives the oldest-first order the chat history is shown in
+    without a global sort; sort by (user_id, position) only when presenting.
+    """
     ranked = top_n(turns, ["user_id"], [F.col("created_at").desc(), F.col("conv_id").desc(),
                                          F.col("turn").desc()], n)
-    return ranked
+    kept = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+    return ranked.withColumn("position", kept - F.col("rn") + 1)

@@ -65,15 +65,16 @@ def t3_latest_journal(spark, root):
 
 
 @query("t4_chat_history", with_views("""
-SELECT user_id, conv_id, turn, role, content, created_at, rn FROM (
+SELECT user_id, conv_id, turn, role, content, created_at, rn,
+       count(*) OVER (PARTITION BY user_id) - rn + 1 AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, conv_id DESC, turn DESC) AS rn
   FROM chat_turns) t
 WHERE rn <= 50
 """, "chat_turns"))
 def t4_chat_history(spark, root):
-    """T4: last 50 chat messages per user (rn 1 = newest)."""
+    """T4: last 50 chat messages per user (rn 1 = newest, position 1 = oldest shown)."""
     return H.chat_history(X.chat_turns(spark, root), 50).select(
-        "user_id", "conv_id", "turn", "role", "content", "created_at", "rn")
+        "user_id", "conv_id", "turn", "role", "content", "created_at", "rn", "position")
 
 
 @query("t5_phase_order", with_views(f"""
