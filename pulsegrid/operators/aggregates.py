@@ -96,7 +96,8 @@ def flatten_window(df: DataFrame, window_col: str = "window") -> DataFrame:
 # --- A3 / A4 / A5: context statistics -------------------------------------
 
 def metric_stats(df: DataFrame, as_of=None, hours: float | None = 6,
-                 metrics: list[str] = C.CONTEXT_METRICS, time_col: str = "event_time") -> DataFrame:
+                 metrics: list[str] = C.CONTEXT_METRICS, time_col: str = "event_time",
+                 exact_median: bool = True, accuracy: int = 10000) -> DataFrame:
     """A3: per user and metric in the last ``hours``: count(*), avg, min, max, exact median.
 
     One scan: rows are counted per (user, metric, value) (partial
@@ -104,9 +105,18 @@ def metric_stats(df: DataFrame, as_of=None, hours: float | None = 6,
     checkpointed once; the plain statistics and the distributed exact
     ``percentile_cont(0.5)`` (see ``functions.quantiles``) both read that
     copy and are joined on the group key.
+
+    ``exact_median=False`` instead computes ``percentile_approx`` in the same
+    single aggregation (a bounded sketch per group, rank error about
+    n / ``accuracy``): one pass, no checkpoint, for dashboards that accept it.
     """
     scoped = since(df, as_of, hours, time_col).where(F.col("metric").isin(metrics))
     keys = ["user_id", "metric"]
+    if not exact_median:
+        return scoped.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_samples"), stable_avg("value").alias("avg_value"),
+            F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+            F.percentile_approx("value", 0.5, accuracy).alias("median_value"))
     ranged = range_counts(value_counts(scoped, keys, "value"), keys)
     base = ranged.groupBy(*keys).agg(
         F.sum("_c").alias("n_samples"), stable_avg_weighted("_v", "_c").alias("avg_value"),

@@ -71,6 +71,12 @@ def a3_metric_stats(spark, root):
     return A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS)
 
 
+@query("a3_metric_stats_approx")
+def a3_metric_stats_approx(spark, root):
+    """A3 with the opt-in approximate median (one aggregation, bounded sketch per group)."""
+    return A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS, exact_median=False)
+
+
 @query("a4_phase_distribution", with_views(f"""
 SELECT user_id, string_split(phase, 'Analysis')[-1] AS stage, phase, count(*) AS n,
        round(100 * count(*) / sum(count(*)) OVER (PARTITION BY user_id), 1) AS pct

@@ -95,3 +95,19 @@ def test_null_group_keys_keep_their_median(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "k string, v double")
     got = {r.k: r.percentile for r in percentile_cont(df, ["k"], "v", 0.5).collect()}
     assert got == {None: 2.0, "a": 2.0}
+
+
+def test_approximate_median_is_close_to_exact(spark):
+    from pulsegrid.operators.aggregates import metric_stats
+    from pulsegrid.plans.common import readings_of
+    from conftest import SF_SMALL
+    r = readings_of(spark, SF_SMALL)
+    exact = {(x.user_id, x.metric): x for x in metric_stats(r, "2024-01-31 00:00:00", 720).collect()}
+    approx = {(x.user_id, x.metric): x for x in
+              metric_stats(r, "2024-01-31 00:00:00", 720, exact_median=False).collect()}
+    assert exact.keys() == approx.keys()
+    for k, e in exact.items():
+        a = approx[k]
+        assert (a.n_samples, a.avg_value, a.min_value, a.max_value) == (e.n_samples, e.avg_value, e.min_value,
+                                                                        e.max_value)
+        assert e.min_value <= a.median_value <= e.max_value
