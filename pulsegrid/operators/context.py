@@ -57,7 +57,7 @@ def flatten_context(ctx: DataFrame) -> DataFrame:
     return ctx.select(
         "user_id", F.col("user.name").alias("name"), F.col("user.chronotype").alias("chronotype"),
         F.size("biometrics").alias("n_metrics"),
-        F.try_element_at("biometrics", F.lit("heart_rate"))["n_samples"].alias("hr_n"),
+        F.coalesce(F.try_element_at("biometrics", F.lit("heart_rate"))["n_samples"], F.lit(0)).alias("hr_n"),
         F.size("sleep_phases").alias("n_stages"),
         F.size("recent_alerts").alias("n_alerts"),
         F.try_element_at("recent_alerts", F.lit(1))["title"].alias("newest_alert_title"),

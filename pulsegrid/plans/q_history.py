@@ -11,7 +11,7 @@ from ..operators import history as H
 from ..sources import fixtures as X
 from .. import constants as C
 from .catalog import query
-from .common import AS_OF, CONTEXT_HOURS, alerts_of, readings_of
+from .common import AS_OF, CONTEXT_HOURS, alerts_of, dates_as_timestamps, readings_of
 from .oracle_views import AS_OF as SQL_AS_OF
 from .oracle_views import with_views
 
@@ -55,13 +55,14 @@ for _n, _name, _tag in [(5, "t2_recent_alerts_5", "T2 (manual check)"),
 
 
 @query("t3_latest_journal", with_views("""
-SELECT user_id, entry_date, seq, mood, stress_level, caffeine_after_17, alcohol, screens_min_before_bed, notes
+SELECT user_id, CAST(entry_date AS TIMESTAMP) AS entry_date, seq, mood, stress_level, caffeine_after_17, alcohol,
+       screens_min_before_bed, notes
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY entry_date DESC, seq DESC) AS rn FROM journal) t
 WHERE rn = 1
 """, "journal"))
 def t3_latest_journal(spark, root):
     """Latest journal entry per user."""
-    return H.latest_journal(X.journal(spark, root))
+    return dates_as_timestamps(H.latest_journal(X.journal(spark, root)))
 
 
 @query("t4_chat_history", with_views("""

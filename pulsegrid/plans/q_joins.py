@@ -9,7 +9,7 @@ from ..operators import joins as J
 from ..operators.context import flatten_context, user_context
 from ..sources import fixtures as X
 from .catalog import query
-from .common import AS_OF, CONTEXT_HOURS, alerts_of, readings_of, users_of
+from .common import AS_OF, CONTEXT_HOURS, alerts_of, dates_as_timestamps, readings_of, users_of
 from .oracle_views import AS_OF as SQL_AS_OF
 from .oracle_views import with_views
 
@@ -51,10 +51,10 @@ METRICS_IN = ", ".join(f"'{m}'" for m in C.CONTEXT_METRICS)
 
 @query("j3_user_context_flat", with_views(f"""
 SELECT ids.user_id, u.name, u.chronotype,
-       CAST(coalesce(st.n_metrics, 0) AS INTEGER) AS n_metrics, st.hr_n,
+       CAST(coalesce(st.n_metrics, 0) AS INTEGER) AS n_metrics, coalesce(st.hr_n, 0) AS hr_n,
        CAST(coalesce(ph.n_stages, 0) AS INTEGER) AS n_stages,
        CAST(coalesce(al.n_alerts, 0) AS INTEGER) AS n_alerts, al.newest_alert_title,
-       jr.entry_date AS journal_date, jr.mood AS journal_mood
+       CAST(jr.entry_date AS TIMESTAMP) AS journal_date, jr.mood AS journal_mood
 FROM ids
 LEFT JOIN users u ON ids.user_id = u.user_id
 LEFT JOIN st ON ids.user_id = st.user_id
@@ -78,7 +78,7 @@ ids AS (SELECT user_id FROM users UNION SELECT user_id FROM st UNION SELECT user
         UNION SELECT user_id FROM al UNION SELECT user_id FROM jr)"""))
 def j3_user_context_flat(spark, root):
     """The context snapshot for every user, checked through its scalar parts."""
-    return flatten_context(_context(spark, root))
+    return dates_as_timestamps(flatten_context(_context(spark, root)))
 
 
 def _context(spark, root):
@@ -124,11 +124,12 @@ def j5_duplicate_emails(spark, root):
 
 
 @query("j5_duplicate_journal_days", with_views(
-    "SELECT user_id, entry_date, count(*) AS n FROM journal GROUP BY user_id, entry_date HAVING count(*) > 1",
+    "SELECT user_id, CAST(entry_date AS TIMESTAMP) AS entry_date, count(*) AS n FROM journal "
+    "GROUP BY user_id, entry_date HAVING count(*) > 1",
     "journal"))
 def j5_duplicate_journal_days(spark, root):
     """(user, date) uniqueness violations in the raw journal."""
-    return J.duplicates(X.journal(spark, root), ["user_id", "entry_date"])
+    return dates_as_timestamps(J.duplicates(X.journal(spark, root), ["user_id", "entry_date"]))
 
 
 @query("k8_link_contacts", with_views("""

@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources.survey import read_survey, write_survey_csv
 from .catalog import query
-from .common import readings_of, users_of
+from .common import dates_as_timestamps, readings_of, users_of
 from .oracle_views import with_views
 
 
@@ -20,8 +20,8 @@ def _journal_halves(spark, root):
 
 
 @query("k7_upsert_journal", with_views("""
-SELECT user_id, entry_date, seq, mood, stress_level, caffeine_after_17, alcohol, screens_min_before_bed, notes,
-       first_created AS created_at
+SELECT user_id, CAST(entry_date AS TIMESTAMP) AS entry_date, seq, mood, stress_level, caffeine_after_17, alcohol,
+       screens_min_before_bed, notes, first_created AS created_at
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, entry_date ORDER BY seq DESC) AS rn,
              min(created_at) OVER (PARTITION BY user_id, entry_date) AS first_created FROM journal) t
 WHERE rn = 1
@@ -29,7 +29,7 @@ WHERE rn = 1
 def k7_upsert_journal(spark, root):
     """K7: upsert of new journal entries into a base on (user, date): last values win, first created_at kept."""
     base, new = _journal_halves(spark, root)
-    return K.upsert_journal(base, new)
+    return dates_as_timestamps(K.upsert_journal(base, new))
 
 
 def _exchanges(spark, root):

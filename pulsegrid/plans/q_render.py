@@ -9,7 +9,7 @@ from ..operators import aggregates as A
 from ..operators import render as RD
 from ..streaming import sinks as K
 from .catalog import query
-from .common import AS_OF, alerts_of, readings_of, users_of
+from .common import AS_OF, alerts_of, dates_as_timestamps, readings_of, users_of
 from .oracle_views import with_views
 from .q_joins import _context
 
@@ -186,7 +186,7 @@ def k2_agg_docs(spark, root):
 K3_SQL = with_views("""
 SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simulator') AS source,
        CASE WHEN phase IS NULL THEN '{}' ELSE '{"phase":"' || phase || '"}' END AS metadata,
-       CAST(event_time AS DATE) AS event_date
+       CAST(CAST(event_time AS DATE) AS TIMESTAMP) AS event_date
 FROM readings
 """, "readings")
 
@@ -194,19 +194,19 @@ FROM readings
 @query("k3_reading_rows", K3_SQL)
 def k3_reading_rows(spark, root):
     """K3: reading-history rows with metadata as JSON text."""
-    return K.reading_rows(readings_of(spark, root))
+    return dates_as_timestamps(K.reading_rows(readings_of(spark, root)))
 
 
 @query("k4_alert_rows", with_views("""
 SELECT user_id, created_at, severity, category, title, text,
        '{"metric":"' || metric || '","value":' || CAST(value AS VARCHAR)
        || CASE WHEN phase IS NULL THEN '' ELSE ',"phase":"' || phase || '"' END || '}' AS metadata,
-       CAST(created_at AS DATE) AS event_date
+       CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS event_date
 FROM alerts
 """, "alerts"))
 def k4_alert_rows(spark, root):
     """K4: alert-history rows, extra fields packed as JSON (nulls omitted)."""
-    return K.alert_rows(alerts_of(spark, root))
+    return dates_as_timestamps(K.alert_rows(alerts_of(spark, root)))
 
 
 @query("k5_alert_records", with_views("""
@@ -226,4 +226,4 @@ def k5_alert_records(spark, root):
 @query("k10_history_layout", K3_SQL)
 def k10_history_layout(spark, root):
     """Reading history laid out by day, sorted (user, metric, time desc) within partitions."""
-    return K.layout(K.reading_rows(readings_of(spark, root)))
+    return dates_as_timestamps(K.layout(K.reading_rows(readings_of(spark, root))))
