@@ -32,7 +32,8 @@ def t1_latest_reading(spark, root):
 def _recent_sql(n: int) -> str:
     return with_views(f"""
 SELECT user_id, rn, created_at, severity, category, title, text, event_id, rule_pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC, rule_pos ASC) AS rn
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC, rule_pos ASC)
+             AS INTEGER) AS rn
   FROM alerts) t
 WHERE rn <= {n}
 """, "alerts")
@@ -68,7 +69,8 @@ def t3_latest_journal(spark, root):
 @query("t4_chat_history", with_views("""
 SELECT user_id, conv_id, turn, role, content, created_at, rn,
        count(*) OVER (PARTITION BY user_id) - rn + 1 AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, conv_id DESC, turn DESC) AS rn
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, conv_id DESC, turn DESC)
+             AS INTEGER) AS rn
   FROM chat_turns) t
 WHERE rn <= 50
 """, "chat_turns"))
@@ -79,7 +81,8 @@ def t4_chat_history(spark, root):
 
 
 @query("t5_phase_order", with_views(f"""
-SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pct DESC, stage ASC) AS position, stage, pct
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pct DESC, stage ASC) AS INTEGER) AS position,
+       stage, pct
 FROM (SELECT user_id, string_split(phase, 'Analysis')[-1] AS stage,
              round(100 * count(*) / sum(count(*)) OVER (PARTITION BY user_id), 1) AS pct
       FROM readings WHERE {SCOPE} AND phase IS NOT NULL GROUP BY user_id, phase) d

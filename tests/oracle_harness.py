@@ -1,6 +1,6 @@
 """Compare registered Spark queries with their DuckDB oracles.
 
-Checks, per query: column names, row count, column type classes and the
+Checks, per query: column names, row count, exact column types and the
 order-insensitive multiset of row values (floats compared to 1e-9 relative).
 
     python tests/oracle_harness.py [--sf /root/testdata/sf0.01] [name ...]
@@ -60,32 +60,18 @@ def _norm(v):
     return v
 
 
+_SPARK_TO_DUCK = {"integer": "INTEGER", "long": "BIGINT", "short": "SMALLINT", "byte": "TINYINT",
+                  "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN",
+                  "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def _kind_spark(t) -> str:
-    name = t.typeName()
-    if name in ("integer", "long", "short", "byte"):
-        return "int"
-    if name in ("double", "float", "decimal"):
-        return "float"
-    if name in ("timestamp", "timestamp_ntz"):
-        return "timestamp"
-    return name
+    """Exact type, in DuckDB's names (the driver compares schemas too)."""
+    return _SPARK_TO_DUCK.get(t.typeName(), t.typeName().upper())
 
 
 def _kind_duck(t: str) -> str:
-    t = t.upper()
-    if t in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER"):
-        return "int"
-    if t in ("DOUBLE", "FLOAT") or t.startswith("DECIMAL"):
-        return "float"
-    if t.startswith("TIMESTAMP"):
-        return "timestamp"
-    if t == "VARCHAR":
-        return "string"
-    if t == "BOOLEAN":
-        return "boolean"
-    if t == "DATE":
-        return "date"
-    return t.lower()
+    return t.upper()
 
 
 def compare(spark, con, name, fn, sql, sf_dir):
