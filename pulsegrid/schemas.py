@@ -75,3 +75,79 @@ SURVEY_CSV = T.StructType([
 
 def with_corrupt_column(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())])
+
+
+# ---------------------------------------------------------------------------
+# Tables at rest (Parquet, day-partitioned where they grow with time).
+# ---------------------------------------------------------------------------
+
+USERS = T.StructType([
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("email", T.StringType(), False),          # unique (J5)
+    T.StructField("name", T.StringType()),
+    T.StructField("chronotype", T.StringType()),             # morning | evening | intermediate
+    T.StructField("timezone", T.StringType()),
+    T.StructField("contact_id", T.StringType()),             # chat-channel id (K8)
+    T.StructField("created_at", T.TimestampType()),
+])
+
+READING_ROWS = T.StructType([                                 # K3, partitioned by event_date
+    T.StructField("time", T.TimestampType(), False),
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("metric", T.StringType(), False),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("source", T.StringType()),
+    T.StructField("metadata", T.StringType()),               # JSON text
+    T.StructField("event_date", T.DateType()),
+])
+
+ALERT_ROWS = T.StructType([                                   # K4, partitioned by event_date
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("severity", T.StringType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("metadata", T.StringType()),               # JSON text of metric, value, phase
+    T.StructField("event_date", T.DateType()),
+])
+
+CHAT_MESSAGES = T.StructType([
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("role", T.StringType(), False),            # user | assistant | system
+    T.StructField("content", T.StringType(), False),
+    T.StructField("session_id", T.StringType()),
+])
+
+JOURNAL = T.StructType([                                      # unique (user_id, entry_date) after K7
+    T.StructField("seq", T.LongType(), False),
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("entry_date", T.DateType(), False),
+    T.StructField("mood", T.IntegerType()),
+    T.StructField("stress_level", T.IntegerType()),
+    T.StructField("caffeine_after_17", T.BooleanType()),
+    T.StructField("alcohol", T.BooleanType()),
+    T.StructField("screens_min_before_bed", T.IntegerType()),
+    T.StructField("notes", T.StringType()),
+    T.StructField("created_at", T.TimestampType()),
+])
+
+PREDICTIONS = T.StructType([                                  # K11
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("predicted_at", T.TimestampType(), False),
+    T.StructField("target_date", T.DateType(), False),
+    T.StructField("quality_raw", T.DoubleType()),
+    T.StructField("score_100", T.DoubleType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("model_version", T.StringType()),
+    T.StructField("inputs", T.StringType()),                  # JSON text
+])
+
+SLEEP_EVENTS = T.StructType([                                 # declared upstream, never written: schema only
+    T.StructField("user_id", T.LongType(), False),
+    T.StructField("start_time", T.TimestampType(), False),
+    T.StructField("end_time", T.TimestampType()),
+    T.StructField("phase", T.StringType()),
+    T.StructField("quality_score", T.DoubleType()),
+])

@@ -43,3 +43,14 @@ def test_fit_metrics_predict_and_registry(spark, scratch):
     version, loaded = M.load_latest(spark, root)
     assert version == 2
     assert loaded.transform(test).select("prediction").collect() == preds.select("prediction").collect()
+
+
+def test_at_rest_schemas_match_writers(spark):
+    from pulsegrid import schemas as S
+    from pulsegrid.plans.common import alerts_of, readings_of
+    from pulsegrid.streaming import sinks as K
+    rows = K.reading_rows(readings_of(spark, SF_SMALL))
+    assert [f.name for f in rows.schema.fields] == S.READING_ROWS.fieldNames()
+    alerts = K.alert_rows(alerts_of(spark, SF_SMALL))
+    assert [f.name for f in alerts.schema.fields] == S.ALERT_ROWS.fieldNames()
+    assert [(f.name, f.dataType) for f in rows.schema.fields] == [(f.name, f.dataType) for f in S.READING_ROWS.fields]
