@@ -18,6 +18,10 @@ from ..functions.metrics import get_key, route_key
 from ..operators.ingest import iso_text
 
 
+# ISO-8601 with microseconds and offset (session zone is UTC), as alert consumers parse it.
+JSON_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
+
+
 def _now(now) -> Column:
     if now is None:
         return F.current_timestamp()
@@ -66,7 +70,7 @@ def alert_records(alerts: DataFrame) -> DataFrame:
     body = F.struct(*[F.col(c) for c in ("user_id", "created_at", "severity", "category", "title", "text",
                                          "metric", "value", "phase")])
     return alerts.select(route_key(F.col("user_id")).alias("key"), F.lit(C.ALERTS_TOPIC).alias("topic"),
-                         F.to_json(body).alias("value"))
+                         F.to_json(body, {"timestampFormat": JSON_TIMESTAMP}).alias("value"))
 
 
 def layout(df: DataFrame, date_col: str = "event_date", order: list[str] | None = None) -> DataFrame:

@@ -175,3 +175,13 @@ def test_ingest_counts_on_a_stream_complete_mode(spark, scratch):
     _drain(q)
     got = {r.metric: r.n for r in spark.table("ingest_counts").collect()}
     assert got == {"heart_rate": 2, "hrv": 1, "total": 3}
+
+
+def test_alert_records_round_trip_through_the_alert_schema(spark):
+    from pulsegrid import schemas as S
+    from pulsegrid.plans.common import alerts_of
+    from pulsegrid.streaming.sinks import alert_records
+    a = alerts_of(spark, SF_SMALL).select(*[f.name for f in S.ALERT.fields])
+    back = alert_records(a).select(F.inline(F.array(F.from_json("value", S.ALERT))))
+    assert back.count() == a.count()
+    assert back.exceptAll(a).count() == 0
