@@ -71,6 +71,30 @@ def a3_metric_stats(spark, root):
     return A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS)
 
 
+A3_SQL = with_views(f"""
+SELECT user_id, metric, count(*) AS n_samples, {AVG} AS avg_value,
+       min(value) AS min_value, max(value) AS max_value,
+       quantile_cont(value, 0.5) AS median_value
+FROM readings WHERE {SCOPE} AND metric IN ({METRICS_IN})
+GROUP BY user_id, metric
+""", "readings")
+
+
+@query("s6_history_metric_stats", A3_SQL)
+def s6_history_metric_stats(spark, root):
+    """S6 + K3 + K10 + A3: readings written as the day-partitioned history, scanned back (partition
+    pruning, pushed filters) and summarised."""
+    from ..session import scratch_path
+    from ..sources.tables import read_table
+    from ..streaming import sinks as K
+
+    path = scratch_path(spark, "history")
+    K.layout(K.reading_rows(readings_of(spark, root))).write.partitionBy("event_date").parquet(
+        path + "/readings")
+    hist = read_table(spark, path, "readings").withColumnRenamed("time", "event_time")
+    return A.metric_stats(hist, AS_OF, CONTEXT_HOURS)
+
+
 @query("a3_metric_stats_approx")
 def a3_metric_stats_approx(spark, root):
     """A3 with the opt-in approximate median (one aggregation, bounded sketch per group)."""
