@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas as S
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+from .tables import path_exists
 
 
 def read_survey(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Read the first path that exists; columns renamed to the model's names."""
     for path in paths:
-        if _exists(spark, path):
+        if path_exists(spark, path):
             df = (spark.read.schema(S.SURVEY_CSV).option("header", True).option("mode", "PERMISSIVE")
                   .csv(path))
             return df.select(*[F.col(f"`{src}`").alias(dst) for src, dst in C.SURVEY_COLUMNS.items()])

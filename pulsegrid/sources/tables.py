@@ -24,6 +24,13 @@ def table_path(root: str, name: str) -> str:
     return os.path.join(root, name)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its (Hadoop) file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+
+
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
                options: dict | None = None, spread: bool = False) -> DataFrame:
     """Scan a table.  ``spread``: if the scan has fewer splits than the cluster
