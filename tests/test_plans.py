@@ -66,3 +66,10 @@ def test_user_dimension_join_is_size_checked(spark):
 def test_top_n_alerts_limits_before_shuffle(spark):
     plan = _plan(recent_alerts(alerts_of(spark, SF_SMALL), 10))
     assert "WindowGroupLimit" in plan
+
+
+def test_user_scope_is_pushed_and_exact(history):
+    uid = history.select("user_id").first()[0]
+    scoped = in_scope(history, user_id=uid, start="2024-01-01 00:00:00", end="2024-01-31 00:00:00")
+    assert "EqualTo(user_id" in _plan(scoped)
+    assert scoped.count() == history.where(F.col("user_id") == uid).count()
