@@ -26,8 +26,10 @@ def _now(now) -> Column:
 
 
 def iso_text(ts: Column) -> Column:
-    """Timestamp -> ISO-8601 text with offset (session zone is UTC)."""
-    return F.date_format(ts, ISO_FORMAT)
+    """Timestamp -> ISO-8601 text with offset (session zone is UTC), like Python's ``isoformat()``:
+    microseconds are written only when they are not zero."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, ISO_FORMAT))
 
 
 def encode_readings(df: DataFrame, now=None, keep: list[str] | None = None) -> DataFrame:

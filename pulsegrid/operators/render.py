@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import bool_text, fill
+from .ingest import iso_text
 
 
 def _icon(severity: Column) -> Column:
@@ -41,7 +42,7 @@ def context_markdown(ctx: DataFrame) -> Column:
     Metrics are listed by name and stages by percent descending (T5); the
     list-valued sections are ``transform``s over the row's bounded arrays.
     """
-    now_text = F.date_format(F.col("now"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    now_text = iso_text(F.col("now"))
     header = fill(C.MD_HEADER, h=F.col("window_hours").cast("string"))
     now_line = fill(C.MD_NOW, now=now_text)
     user_line = F.when(F.col("user").isNotNull(), fill(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.metrics import get_key, metric_of, route_key, route_topic, topic_matches
+from ..functions.metrics import get_key, metric_of, topic_matches
 from ..operators import ingest as I
 from ..sources import fixtures as X
 from .catalog import query
@@ -23,7 +23,7 @@ TYPE_SQL = ("CASE WHEN event_id % 25 = 7 THEN 'HKQuantityTypeIdentifierRestingHe
 METRIC_SQL = "CASE WHEN event_id % 25 = 7 THEN 'unknown' ELSE metric END"
 ISO_SQL = "strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f+00:00')"
 GOOD = "event_id % 97 <> 0"
-INGESTED = "'2024-01-31T00:00:00.000000+00:00'"
+INGESTED = "'2024-01-31T00:00:00+00:00'"
 DEVICE_PREFIX = C.DEVICE_TOPIC_PREFIX
 
 
@@ -162,5 +162,3 @@ def s3_event_time(spark, root):
     """S3: event time parsed from the ISO start date (null on bad text)."""
     return I.decode(_records(spark, root).drop("metric")).select("offset", "start_date", "event_time")
 
-
-__all__ = ["route_key", "route_topic"]

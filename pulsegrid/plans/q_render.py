@@ -16,6 +16,8 @@ from .q_joins import _context
 ICON_SQL = ("CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.SEVERITY_ICON.items())
             + f" ELSE '{C.DEFAULT_ICON}' END")
 ISO_SQL = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%f+00:00')"
+PYISO_SQL = ("CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S+00:00') "
+             "ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f+00:00') END")
 
 
 def _q(text: str) -> str:
@@ -61,7 +63,7 @@ def _md_sql() -> str:
     body = f"""
 SELECT ids.user_id, concat_ws({nl},
   {lit(C.MD_HEADER.format(h=720))},
-  {lit(C.MD_NOW.format(now='2024-01-31T00:00:00.000000+00:00'))},
+  {lit(C.MD_NOW.format(now='2024-01-31T00:00:00+00:00'))},
   CASE WHEN u.user_id IS NOT NULL THEN {lit('Usuario: ')} || coalesce(u.name, {lit(C.MD_UNKNOWN_NAME)})
        || {lit(' · cronotipo: ')} || coalesce(u.chronotype, {lit(C.MD_UNKNOWN_CHRONOTYPE)}) END,
   '',
@@ -170,8 +172,8 @@ def k1_raw_docs(spark, root):
 
 @query("k2_agg_docs", with_views(f"""
 SELECT 'biometrics-agg-2024-01-31' AS "index",
-       {ISO_SQL.format(c='ws')} || '|' || CAST(user_id AS VARCHAR) || '|' || metric AS doc_id,
-       {ISO_SQL.format(c='ws')} AS "@timestamp", {ISO_SQL.format(c='ws + INTERVAL 5 MINUTE')} AS window_end,
+       {PYISO_SQL.format(c='ws')} || '|' || CAST(user_id AS VARCHAR) || '|' || metric AS doc_id,
+       {PYISO_SQL.format(c='ws')} AS "@timestamp", {PYISO_SQL.format(c='(ws + INTERVAL 5 MINUTE)')} AS window_end,
        user_id, metric, (CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value)) AS avg_value,
        min(value) AS min_value, max(value) AS max_value, count(value) AS n_samples
 FROM x GROUP BY ALL

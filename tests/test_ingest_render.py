@@ -56,7 +56,7 @@ def test_encode_omits_null_metadata_and_defaults_dates(spark):
                                "end_date string, metadata map<string,string>")
     doc = json.loads(I.encode_readings(df, now="2024-01-31 00:00:00").first().json)
     assert "metadata" not in doc
-    assert doc["start_date"] == doc["end_date"] == "2024-01-31T00:00:00.000000+00:00"
+    assert doc["start_date"] == doc["end_date"] == "2024-01-31T00:00:00+00:00"
 
 
 def test_ingest_counts_rollup(spark):
@@ -81,6 +81,15 @@ def test_prompt_presets(spark):
     assert out[2] == C.PROMPT_BASE + "\n\n" + C.PROMPT_POST_SLEEP
 
 
+def test_iso_text_like_python_isoformat(spark):
+    import datetime as dt
+    from pulsegrid.operators.ingest import iso_text
+    ts = [dt.datetime(2024, 1, 31), dt.datetime(2024, 1, 31, 1, 2, 3, 45)]
+    df = spark.createDataFrame([(t,) for t in ts], "t timestamp")
+    got = [r[0] for r in df.select(iso_text(F.col("t"))).collect()]
+    assert got == [t.replace(tzinfo=dt.timezone.utc).isoformat() for t in ts]
+
+
 def test_bands_and_quality(spark):
     df = spark.createDataFrame([("heart_rate", 79.9), ("heart_rate", 80.0), ("heart_rate", 100.0),
                                 ("temperature", 36.1), ("hrv", 10.0), ("respiration", 15.0)], "m string, v double")
