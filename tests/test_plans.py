@@ -73,3 +73,31 @@ def test_user_scope_is_pushed_and_exact(history):
     scoped = in_scope(history, user_id=uid, start="2024-01-01 00:00:00", end="2024-01-31 00:00:00")
     assert "EqualTo(user_id" in _plan(scoped)
     assert scoped.count() == history.where(F.col("user_id") == uid).count()
+
+
+def test_hot_user_join_is_split_by_aqe(spark):
+    """One user holds a third of the alerts; with broadcast off, AQE splits that partition."""
+    alerts = spark.range(300000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("user_id"),
+        F.col("id").alias("event_id"))
+    users = spark.range(5000).select(F.col("id").alias("user_id"),
+                                     F.concat(F.lit("chat-"), F.col("id").cast("string")).alias("contact_id"))
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions",
+            "spark.sql.adaptive.coalescePartitions.enabled"]
+    saved = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        routed = route_alerts(alerts, users)
+        n = routed.where(F.col("contact_id").isNotNull()).count()
+        routed.collect()
+        final = _plan(routed).split("== Initial Plan ==")[0]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert n == 300000
+    assert "SortMergeJoin" in final and "skew=true" in final
