@@ -38,10 +38,11 @@ def test_hot_group_is_split_over_range_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        counts = df.where("v IS NOT NULL").groupBy("k", F.col("v").alias("_v")).count()
-        ranged = counts.repartitionByRange("k", "_v").withColumn("pid", F.spark_partition_id())
-        hot_parts = ranged.where("k = 'hot'").select("pid").distinct().count()
+        from pulsegrid.functions.quantiles import range_counts, value_counts
+        ranged = range_counts(value_counts(df, ["k"], "v"), ["k"])
+        hot_parts = ranged.where("k = 'hot'").select("_pid").distinct().count()
         assert hot_parts > 1
+        assert ranged.where("k = 'hot'").agg(F.sum("_w")).first()[0] == df.where("k = 'hot' AND v IS NOT NULL").count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
