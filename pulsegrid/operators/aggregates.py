@@ -132,15 +132,20 @@ def phase_distribution(df: DataFrame, as_of=None, hours: float | None = 6,
     The percent uses a window over the already aggregated rows (at most one
     row per stage per user), so no raw group is gathered.
     """
+    counts = phase_totals(df, as_of, hours, time_col)
+    total = F.sum("n").over(Window.partitionBy("user_id"))
+    return counts.select("user_id", short_stage(F.col("phase")).alias("stage"), "phase", "n",
+                         F.round(100 * F.col("n") / total, 1).alias("pct"))
+
+
+def phase_totals(df: DataFrame, as_of=None, hours: float | None = 6, time_col: str = "event_time") -> DataFrame:
+    """Readings per user and full phase name in the window (rows having a phase key)."""
     scoped = since(df, as_of, hours, time_col)
     if "metadata" in df.columns:
         scoped = scoped.where(has_key("metadata", "phase"))
     else:
         scoped = scoped.where(F.col("phase").isNotNull())
-    counts = scoped.groupBy("user_id", phase_of(scoped).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("user_id"))
-    return counts.select("user_id", short_stage(F.col("phase")).alias("stage"), "phase", "n",
-                         F.round(100 * F.col("n") / total, 1).alias("pct"))
+    return scoped.groupBy("user_id", phase_of(scoped).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def phase_counts(df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import metric_stats, phase_distribution
+from ..functions.metrics import short_stage
+from ..operators.aggregates import metric_stats, phase_totals
 from ..operators.history import latest_journal, recent_alerts
 
 
@@ -23,14 +24,16 @@ def user_context(users: DataFrame, readings: DataFrame, alerts: DataFrame, journ
     The parts are stacked (``unionByName``) as tagged rows and combined by a
     single ``groupBy(user_id)``; each user gathers at most 5 + 6 + n_alerts + 2
     small rows, so the combine is one bounded shuffle instead of a chain of joins.
+    Stage percentages are computed in that combine from the user's stage
+    counts (no separate window pass).
     """
     stats = metric_stats(readings, as_of, hours).select("user_id", F.struct(
         F.col("metric").alias("k"), F.struct(
             F.col("n_samples"), F.round("avg_value", 1).alias("avg"), F.round("min_value", 1).alias("min"),
             F.round("max_value", 1).alias("max"), F.round("median_value", 1).alias("median")).alias("v"))
         .alias("_stat"))
-    phases = phase_distribution(readings, as_of, hours).select("user_id", F.struct(
-        F.col("stage").alias("k"), F.struct("n", "pct").alias("v")).alias("_phase"))
+    phases = phase_totals(readings, as_of, hours).select("user_id", F.struct(
+        short_stage(F.col("phase")).alias("stage"), F.col("n")).alias("_phase"))
     recent = recent_alerts(alerts, n_alerts, as_of, hours).select("user_id", F.struct(
         "rn", "created_at", "severity", "category", "title", "text").alias("_alert"))
     jr = latest_journal(journal).select("user_id", F.struct(
@@ -45,13 +48,20 @@ def user_context(users: DataFrame, readings: DataFrame, alerts: DataFrame, journ
     combined = stacked.groupBy("user_id").agg(
         F.first("_user", ignorenulls=True).alias("user"),
         F.map_from_entries(F.collect_list("_stat")).alias("biometrics"),
-        F.map_from_entries(F.collect_list("_phase")).alias("sleep_phases"),
+        _phase_map(F.collect_list("_phase")).alias("sleep_phases"),
         F.transform(F.array_sort(F.collect_list("_alert")), lambda a: a.dropFields("rn")).alias("recent_alerts"),
         F.first("_journal", ignorenulls=True).alias("journal"))
     return combined.select("user_id", F.lit(int(hours)).alias("window_hours"), as_of_col.alias("now"), "user",
                            "biometrics", "sleep_phases", "recent_alerts", "journal")
 
 
+def _phase_map(entries):
+    """A4 inside the per-user combine: stage -> (n, percent of the user's phase readings, 1 place)."""
+    total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    return F.map_from_entries(F.transform(entries, lambda x: F.struct(
+        x["stage"].alias("k"), F.struct(x["n"].alias("n"), F.round(100 * x["n"] / total, 1).alias("pct")).alias("v"))))
+
+
 def flatten_context(ctx: DataFrame) -> DataFrame:
     """The scalar parts of the snapshot (for checking against SQL)."""
     return ctx.select(
