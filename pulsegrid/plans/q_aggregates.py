@@ -155,6 +155,18 @@ def a8_trend_summary(spark, root):
     return A.bucket_summary(b)
 
 
+@query("a8_hrv_trend_summary", with_views(f"""
+SELECT user_id, {AVG9} AS mean_of_buckets
+FROM (SELECT user_id, date_trunc('hour', event_time) AS bucket, {AVG} AS avg_value
+      FROM readings WHERE metric = 'hrv' GROUP BY ALL) b
+GROUP BY user_id
+""", "readings"))
+def a8_hrv_trend_summary(spark, root):
+    """The HRV legend (mean of the hourly bucket averages)."""
+    b = A.bucket_avg(readings_of(spark, root), "hrv", "1 hour")
+    return A.bucket_summary(b).select("user_id", "mean_of_buckets")
+
+
 # --- A9-A14: alert panels -----------------------------------------------------
 
 @query("a9_alerts_per_minute", with_views(f"""
