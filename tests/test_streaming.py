@@ -185,3 +185,12 @@ def test_alert_records_round_trip_through_the_alert_schema(spark):
     back = alert_records(a).select(F.inline(F.array(F.from_json("value", S.ALERT))))
     assert back.count() == a.count()
     assert back.exceptAll(a).count() == 0
+
+
+def test_empty_micro_batch_writes_nothing(spark, scratch):
+    from pulsegrid import schemas as S
+    cfg = _cfg(scratch, None)
+    empty = spark.createDataFrame([], S.DECODED_READING)
+    J.process_batch(spark, cfg)(empty, 0)
+    assert not os.path.exists(cfg.out(spark, "raw_docs"))
+    assert not os.path.exists(cfg.out(spark, "alerts"))
