@@ -35,6 +35,14 @@ BROKER_READING = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
+# A broker record as a file source carries it (the Kafka source's columns).
+BROKER_RECORD = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("topic", T.StringType()),
+    T.StructField("timestamp", T.TimestampType()),
+])
+
 # Decoded reading as the batch and stream jobs see it.
 DECODED_READING = T.StructType(BROKER_READING.fields + [
     T.StructField("kafka_topic", T.StringType()),

@@ -33,7 +33,7 @@ from . import sinks as K
 @dataclass
 class StreamConfig:
     """Where readings come from and where results go."""
-    source_format: str = "json"             # "kafka" | "json" | "parquet"
+    source_format: str = "json"             # "kafka" | "records" | "json" | "parquet"
     source_path: str | None = None           # file sources
     bootstrap: str | None = None             # kafka
     topic_pattern: str = C.STREAM_TOPIC_PATTERN
@@ -58,8 +58,9 @@ def read_readings(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     """S1 + S2 + S3: the decoded reading stream.
 
     Kafka: every topic matching ``biometrics\\..*`` from the latest offset,
-    tolerating data loss.  Files: JSON documents of broker records
-    (key, topic, value, timestamp) or of decoded readings.
+    tolerating data loss.  Files: ``records`` = JSON lines of broker records
+    (key, topic, value, timestamp), decoded like Kafka values; ``json`` /
+    ``parquet`` = already decoded readings.
     """
     ensure_utc(spark)
     if cfg.source_format == "kafka":
@@ -67,6 +68,11 @@ def read_readings(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
                .option("subscribePattern", cfg.topic_pattern).option("startingOffsets", "latest")
                .option("failOnDataLoss", "false").load())
         return decode(raw.select("key", "value", "topic", "timestamp"))
+    if cfg.source_format == "records":  # broker records dropped as JSON lines: decode like Kafka values
+        reader = spark.readStream.schema(S.BROKER_RECORD)
+        if cfg.max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger)
+        return decode(reader.json(cfg.source_path))
     reader = spark.readStream.format(cfg.source_format)
     if cfg.max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger)

@@ -194,3 +194,18 @@ def test_empty_micro_batch_writes_nothing(spark, scratch):
     J.process_batch(spark, cfg)(empty, 0)
     assert not os.path.exists(cfg.out(spark, "raw_docs"))
     assert not os.path.exists(cfg.out(spark, "alerts"))
+
+
+def test_stream_decodes_broker_records_like_batch(spark, scratch):
+    from pulsegrid.operators import ingest as I
+    from pulsegrid.sources import fixtures as X
+    records, _ = I.bridge(X.wire(spark, SF_SMALL), now="2024-01-31 00:00:00")
+    src = os.path.join(scratch, "records")
+    records.select("key", "value", "topic", "timestamp").write.json(src)
+    cfg = J.StreamConfig(source_format="records", source_path=src, available_now=True,
+                         checkpoint=os.path.join(scratch, "ckpt"), out_root=os.path.join(scratch, "out"))
+    cols = ["user_id", "type", "value", "metric", "kafka_topic", "event_time"]
+    _drain(J.start_query(J.read_readings(spark, cfg).select(*cols), "decoded", cfg, spark, sink="memory"))
+    batch = I.decode(records.drop("metric")).select(*cols)
+    got = spark.table("decoded")
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
