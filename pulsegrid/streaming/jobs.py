@@ -176,7 +176,7 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import build_session
 
     ap = argparse.ArgumentParser(description="Run the reading stream: raw fan-out, window aggregate, HR watch.")
-    ap.add_argument("--source-format", default="kafka", choices=["kafka", "json", "parquet"])
+    ap.add_argument("--source-format", default="kafka", choices=["kafka", "records", "json", "parquet"])
     ap.add_argument("--source-path")
     ap.add_argument("--bootstrap")
     ap.add_argument("--out-root")
