@@ -46,3 +46,11 @@ def test_entry_flagship(spark):
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) >= 100
+
+
+def test_query_names_follow_the_survey_ids():
+    import re
+    for name, fn in QUERIES.items():
+        assert re.fullmatch(r"[sprtacjkfmw]\d+_[a-z0-9_]+", name), name
+        assert "pipeline" not in name and not re.match(r"op\d+_", name)
+        assert (fn.__doc__ or "").strip(), f"{name} has no docstring"
