@@ -94,5 +94,6 @@ def percentile_from_ranged(ranged: DataFrame, keys: list[str], p: float = 0.5,
         F.max(F.when(covers_lo, F.col("_v"))).alias("_vlo"),
         F.max(F.when(covers_hi, F.col("_v"))).alias("_vhi"),
         F.max("_frac").alias("_frac"))
+    # lo * (1 - d) + hi * d: the weighting Spark's own percentile and SQL engines use (same last bits).
     return picked.select(
-        *keys, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(alias))
+        *keys, (F.col("_vlo") * (1 - F.col("_frac")) + F.col("_vhi") * F.col("_frac")).alias(alias))
