@@ -11,6 +11,7 @@ from .bpe import round_trip
 from .common import load
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -32,6 +33,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all ``documents`` by source: doc_id, size, source_size, target, taken."""
+    mixed = mix(load(spark, sf_dir, "documents"))
+    rows = mixed.rows.withColumn("own", F.col("pattern")[0])
+    found = rows.join(F.broadcast(mixed.sources), F.col("own").eqNullSafe(F.col("source")))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 ORACLES = {
     "op3_line_dedup": """
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -50,7 +59,7 @@ ORACLES = {
         FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_mix_sources, op10_exact_dedup)}
 
 
 def queries() -> dict:
