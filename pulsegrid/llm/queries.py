@@ -12,6 +12,7 @@ from .common import load
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .simhash import as_hex, near_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -41,6 +42,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup of all ``documents``: doc_id, fingerprint, component_id."""
+    out = near_dedup(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 ORACLES = {
     "op3_line_dedup": """
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -59,7 +66,7 @@ ORACLES = {
         FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup, op10_exact_dedup)}
 
 
 def queries() -> dict:
