@@ -12,7 +12,9 @@ from .common import load
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .quality import classify, train
 from .simhash import as_hex, near_dedup
+from .topk import search
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -48,7 +50,26 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``, learned from ``labels`` that aren't held out: doc_id, held_out, score, predicted."""
+    docs = load(spark, sf_dir, "documents")
+    return classify(docs, train(docs, load(spark, sf_dir, "labels")))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest inner products of every 100th vector of ``embeddings`` with all others: query_id, rank, vec_id, score."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 ORACLES = {
+    "op9_exact_topk": """
+        WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e
+                   FROM embeddings WHERE len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+              FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_line_dedup": """
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
@@ -66,7 +87,8 @@ ORACLES = {
         FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup, op8_quality_classifier,
+                                   op9_exact_topk, op10_exact_dedup)}
 
 
 def queries() -> dict:
