@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .quality import classify, train
 from .simhash import as_hex, near_dedup
+from .substring_dedup import substring_dedup
 from .topk import search
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +26,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(load(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring dedup of all ``documents`` in windows of 20 words: doc_id, n_words, n_removed, kept_sha256."""
+    return substring_dedup(load(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of all ``documents``: doc_id, n_lines, n_dropped, kept_sha256."""
     out = line_dedup(load(spark, sf_dir, "documents"))
@@ -87,7 +93,7 @@ ORACLES = {
         FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup, op8_quality_classifier,
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup, op8_quality_classifier,
                                    op9_exact_topk, op10_exact_dedup)}
 
 
