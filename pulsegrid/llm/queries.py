@@ -15,6 +15,7 @@ from .mixing import mix
 from .quality import classify, train
 from .simhash import as_hex, near_dedup
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .topk import search
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,6 +57,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of 50-byte strings of ``documents`` that smaller ids have: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return suffix_dedup(load(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all ``documents``, learned from ``labels`` that aren't held out: doc_id, held_out, score, predicted."""
     docs = load(spark, sf_dir, "documents")
@@ -93,7 +99,8 @@ ORACLES = {
         FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup, op8_quality_classifier,
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup,
+                                   op7_suffix_array_dedup, op8_quality_classifier,
                                    op9_exact_topk, op10_exact_dedup)}
 
 
