@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .common import load
 from .exact_dedup import exact_dedup
+from .license_scan import licence_scan
 from .line_dedup import line_dedup
 from .mixing import mix
 from .quality import classify, train
@@ -57,6 +58,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all ``documents``: doc_id, n_paragraphs, n_notices, families, licence, score."""
+    return licence_scan(load(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of 50-byte strings of ``documents`` that smaller ids have: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return suffix_dedup(load(spark, sf_dir, "documents"))
@@ -100,7 +106,7 @@ ORACLES = {
 }
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_line_dedup, op4_mix_sources, op5_simhash_near_dedup,
-                                   op7_suffix_array_dedup, op8_quality_classifier,
+                                   op6_license_scan, op7_suffix_array_dedup, op8_quality_classifier,
                                    op9_exact_topk, op10_exact_dedup)}
 
 

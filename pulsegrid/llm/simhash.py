@@ -54,15 +54,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; a null text has no words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    """(doc_id, text_hash, fp) of every row; a null text has no words."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def _without(fp: Column, bit: Column) -> Column:
@@ -106,11 +111,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id.
+    """One row per input row: doc_id, text_hash, fp, root, component_id.
 
     Fingerprints at most ``max_bits`` apart are linked; ``component_id`` is the
     smallest id reachable over links (null if no document of the component has
-    an id).  Texts without words have fingerprint zero and are linked like any
+    an id) and ``root`` the smallest fingerprint.  Texts without words have fingerprint zero and are linked like any
     other.  Rows that repeat an id are reported each by their own text.  An
     empty table gives an empty result.
     """
@@ -120,8 +125,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left")
                          .select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
     first = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "first-documents")
-    named = materialize(rooted.join(first, "root").select("fp", "component_id"), "named-fingerprints")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(rooted.join(first, "root").select("fp", "root", "component_id"), "named-fingerprints")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay if one of each component does: the smallest id (none last), then the smallest text hash.
+
+    Rows repeated with that id and text become one (the smallest in the order of all their columns).
+    """
+    rows = near_dedup(docs, id_col, text_col, **options)
+    one = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times")).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "times")).alias("x"))
+    one = materialize(one.select(F.col("x.doc_id").alias("own_id"), F.col("x.text_hash").alias("own_hash"), "x.times"), "heads")
+
+    def those(which: DataFrame) -> DataFrame:
+        return docs.join(which, F.col(id_col).eqNullSafe(F.col("own_id")) & (text_hash(text_col) == F.col("own_hash")), "left_semi")
+
+    out, again = those(one.where("times = 1")), one.where("times > 1")
+    if again.isEmpty():
+        return out
+    whole = F.struct(*docs.columns)
+    more = those(again).groupBy(F.col(id_col).alias("own_id"), text_hash(text_col).alias("own_hash")).agg(F.min(whole).alias("x"))
+    return out.unionByName(more.select("x.*"))
 
 
 def as_hex(fp: Column) -> Column:
