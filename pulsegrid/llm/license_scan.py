@@ -4,7 +4,7 @@ A paragraph (a line that holds a word) becomes its lower-cased words and word
 pairs, hashed into a sparse vector, and a multinomial logistic regression names
 the licence family, or class 0, unknown.  It is fitted on the notices in
 ``NOTICES`` and variants of them, against a bounded sample of the corpus's own
-paragraphs as unknown.  A held-out third of both calibrates it: the
+paragraphs as unknown.  A held-out third of the variants and paragraphs calibrates it: the
 temperature of least log loss turns scores into probabilities.  A family is
 reported only if its probability reaches ``THRESHOLD`` and the paragraph holds
 the word pairs of one of the family's notices to ``CONFIRM`` or more.
@@ -126,9 +126,10 @@ def examples(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFr
     around = around.select("around", F.row_number().over(Window.orderBy("u", "around")).alias("k"))  # eight rows
     amid = (notices.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).join(around, "k")
             .select("label", F.concat("around", "words", F.reverse("around")).alias("words")))
-    known_rows = notices.unionByName(shorter).unionByName(amid)
-    every = known_rows.unionByName(drawn.select(F.lit(0).alias("label"), "words"))
-    return materialize(every.withColumn("held", F.pmod(F.xxhash64(F.lit(SEED + 1), "label", "words"), F.lit(3)) == 0), "licence-examples")
+    drawn_from = shorter.unionByName(amid).unionByName(drawn.select(F.lit(0).alias("label"), "words"))
+    third = F.pmod(F.xxhash64(F.lit(SEED + 1), "label", "words"), F.lit(3)) == 0
+    every = notices.withColumn("held", F.lit(False)).unionByName(drawn_from.withColumn("held", third))
+    return materialize(every, "licence-examples")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[LogisticRegressionModel, float]:

@@ -1,0 +1,11 @@
+"""The library's shared test session, and both test folders on the path."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+for folder in (HERE, os.path.dirname(HERE)):
+    if folder not in sys.path:
+        sys.path.insert(0, folder)
