@@ -18,7 +18,6 @@ HK_RESTING_HEART_RATE = "HKQuantityTypeIdentifierRestingHeartRate"
 HK_HRV_SDNN = "HKQuantityTypeIdentifierHeartRateVariabilitySDNN"
 HK_OXYGEN_SATURATION = "HKQuantityTypeIdentifierOxygenSaturation"
 HK_BODY_TEMPERATURE = "HKQuantityTypeIdentifierBodyTemperature"
-HK_ACTIVE_ENERGY = "HKQuantityTypeIdentifierActiveEnergyBurned"
 HK_STEP_COUNT = "HKQuantityTypeIdentifierStepCount"
 HK_SLEEP_ANALYSIS = "HKCategoryTypeIdentifierSleepAnalysis"
 HK_RESPIRATORY_RATE = "HKQuantityTypeIdentifierRespiratoryRate"
@@ -28,8 +27,6 @@ UNIT_BPM = "count/min"
 UNIT_MS = "ms"
 UNIT_PERCENT = "%"
 UNIT_CELSIUS = "degC"
-UNIT_KCAL = "kcal"
-UNIT_COUNT = "count"
 
 # Type -> metric.  Anything else (including the two unmapped declared types
 # and a missing type) is UNKNOWN_METRIC.
@@ -56,7 +53,6 @@ DEFAULT_SOURCE = "simulator"
 
 # Sleep stages: common prefix, then the six stage names.
 STAGE_PREFIX = "HKCategoryValueSleepAnalysis"
-STAGES = ["Awake", "InBed", "AsleepCore", "AsleepDeep", "AsleepREM", "AsleepUnspecified"]
 STAGE_SPLIT_TOKEN = "Analysis"
 
 # Rule thresholds.
@@ -188,7 +184,6 @@ HR_WATCH_WINDOW = "1 minute"
 DEVICE_TOPIC_PREFIX = "wearable/devices"
 NOTIFICATION_SIGNATURE = "pulsegrid"
 HR_WATCH_LIMIT = 120.0
-PRESETS = ["default", "pre_sleep", "post_sleep"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: context Markdown labels (F2), in output order

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import has_key, phase_of, short_stage, strip_stage_prefix
-from ..functions.quantiles import join_on, percentile_from_ranged, range_counts, value_counts
-from ..functions.stats import stable_avg, stable_avg_weighted
+from ..functions.quantiles import pick_percentile, sliced_stats
 
 
 def _ts(value) -> Column:
@@ -53,12 +52,12 @@ def window_agg(df: DataFrame, width: str = C.AGG_WINDOW, slide: str = C.AGG_SLID
     ``panes=True`` (batch only): aggregate each row once into slide-sized
     panes, then combine width/slide panes per window, which costs about one
     aggregation update per raw row instead of width/slide when readings are
-    dense; results are identical (exact sums).
+    dense; results are the same up to the order of the additions.
     """
     if panes and not df.isStreaming:
         return _window_agg_panes(df, width, slide, time_col)
     return df.groupBy(F.window(time_col, width, slide).alias("window"), "user_id", "metric").agg(
-        stable_avg("value").alias("avg_value"), F.min("value").alias("min_value"),
+        F.avg("value").alias("avg_value"), F.min("value").alias("min_value"),
         F.max("value").alias("max_value"), F.count("value").alias("n_samples"))
 
 
@@ -73,7 +72,7 @@ def _window_agg_panes(df: DataFrame, width: str, slide: str, time_col: str) -> D
         raise ValueError("pane aggregation needs the width to be a multiple of the slide")
     pane = F.window(time_col, slide).start
     panes = df.where(F.col(time_col).isNotNull()).groupBy("user_id", "metric", pane.alias("_p")).agg(
-        F.sum(F.col("value").cast("decimal(38,6)")).alias("_s"), F.count("value").alias("_n"),
+        F.sum("value").alias("_s"), F.count("value").alias("_n"),
         F.min("value").alias("_min"), F.max("value").alias("_max"))
     start = F.col("_p") - F.make_dt_interval(secs=F.col("_k") * sl)
     spread = panes.select("*", F.explode(F.sequence(F.lit(0), F.lit(w // sl - 1))).alias("_k")).withColumn(
@@ -82,7 +81,7 @@ def _window_agg_panes(df: DataFrame, width: str, slide: str, time_col: str) -> D
         F.sum("_s").alias("_s"), F.sum("_n").alias("n_samples"), F.min("_min").alias("min_value"),
         F.max("_max").alias("max_value"))
     return agg.select("window", "user_id", "metric",
-                      F.try_divide(F.col("_s").cast("double"), F.col("n_samples").cast("double")).alias("avg_value"),
+                      F.try_divide("_s", "n_samples").alias("avg_value"),
                       "min_value", "max_value", "n_samples")
 
 
@@ -100,29 +99,24 @@ def metric_stats(df: DataFrame, as_of=None, hours: float | None = 6,
                  exact_median: bool = True, accuracy: int = 10000) -> DataFrame:
     """A3: per user and metric in the last ``hours``: count(*), avg, min, max, exact median.
 
-    One scan: rows are counted per (user, metric, value) (partial
-    aggregation map-side) and the counts are range-partitioned and
-    checkpointed once; the plain statistics and the distributed exact
-    ``percentile_cont(0.5)`` (see ``functions.quantiles``) both read that
-    copy and are joined on the group key.
+    The rows are counted per (user, metric, value slice) in one aggregation;
+    all figures but the median come from those counts, and the median reads
+    only the rows of the slice it lies in (see ``functions.quantiles``).
 
     ``exact_median=False`` instead computes ``percentile_approx`` in the same
     single aggregation (a bounded sketch per group, rank error about
-    n / ``accuracy``): one pass, no checkpoint, for dashboards that accept it.
+    n / ``accuracy``): one pass, for dashboards that accept it.
     """
     scoped = since(df, as_of, hours, time_col).where(F.col("metric").isin(metrics))
     keys = ["user_id", "metric"]
     if not exact_median:
         return scoped.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_samples"), stable_avg("value").alias("avg_value"),
+            F.count(F.lit(1)).alias("n_samples"), F.avg("value").alias("avg_value"),
             F.min("value").alias("min_value"), F.max("value").alias("max_value"),
             F.percentile_approx("value", 0.5, accuracy).alias("median_value"))
-    ranged = range_counts(value_counts(scoped, keys, "value"), keys)
-    base = ranged.groupBy(*keys).agg(
-        F.sum("_c").alias("n_samples"), stable_avg_weighted("_v", "_c").alias("avg_value"),
-        F.min("_v").alias("min_value"), F.max("_v").alias("max_value"))
-    med = percentile_from_ranged(ranged, keys, 0.5, alias="median_value")
-    return join_on(base, med, keys, "left")
+    stats = pick_percentile(scoped, sliced_stats(scoped, keys, "value"), keys, "value", 0.5, "median_value")
+    return stats.select(*keys, F.col("n_rows").alias("n_samples"), F.col("avg").alias("avg_value"),
+                        F.col("min").alias("min_value"), F.col("max").alias("max_value"), "median_value")
 
 
 def phase_distribution(df: DataFrame, as_of=None, hours: float | None = 6,
@@ -163,14 +157,14 @@ def bucket_avg(df: DataFrame, metric: str, width: str = "1 hour", time_col: str
     """Tumbling-bucket average of one metric per user (no gap filling)."""
     win = F.window(time_col, width, startTime=start_time) if start_time else F.window(time_col, width)
     agg = df.where(F.col("metric") == metric).groupBy("user_id", win.alias("w")).agg(
-        stable_avg("value").alias("avg_value"))
+        F.avg("value").alias("avg_value"))
     return agg.select("user_id", F.col("w.start").alias("bucket"), "avg_value")
 
 
 def bucket_summary(buckets: DataFrame) -> DataFrame:
     """Legend figures over the bucket averages: mean, min, max per user."""
     return buckets.groupBy("user_id").agg(
-        stable_avg("avg_value", 9).alias("mean_of_buckets"), F.min("avg_value").alias("min_of_buckets"),
+        F.avg("avg_value").alias("mean_of_buckets"), F.min("avg_value").alias("min_of_buckets"),
         F.max("avg_value").alias("max_of_buckets"), F.count(F.lit(1)).alias("n_buckets"))
 
 
@@ -215,7 +209,15 @@ def readings_by_metric(df: DataFrame) -> DataFrame:
     return df.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dispatch_stats(routed: DataFrame) -> DataFrame:
-    """Delivery counters over routed alerts: received, with a contact id."""
-    return routed.agg(F.count(F.lit(1)).alias("received"),
-                      F.count_if(F.col("contact_id").isNotNull()).alias("with_contact"))
+def dispatch_stats(alerts: DataFrame, routed: DataFrame) -> DataFrame:
+    """Delivery counters: alerts received, and of those with a user how many go to each channel.
+
+    ``alerts`` is the alert frame before routing: an alert without a user is
+    received, but goes nowhere.  ``routed`` is J1's left join: the live channel
+    takes every routed alert, the chat channel those with a contact id.
+    """
+    received = alerts.agg(F.count(F.lit(1)).alias("received"))
+    sent = routed.agg(F.count(F.lit(1)).alias("live"), F.count("contact_id").alias("chat"))
+    stacked = received.select("received", F.lit(0).alias("live"), F.lit(0).alias("chat")).unionByName(
+        sent.select(F.lit(0).alias("received"), "live", "chat"))
+    return stacked.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("received", "live", "chat")])

@@ -32,8 +32,10 @@ def user_context(users: DataFrame, readings: DataFrame, alerts: DataFrame, journ
             F.col("n_samples"), F.round("avg_value", 1).alias("avg"), F.round("min_value", 1).alias("min"),
             F.round("max_value", 1).alias("max"), F.round("median_value", 1).alias("median")).alias("v"))
         .alias("_stat"))
-    phases = phase_totals(readings, as_of, hours).select("user_id", F.struct(
-        short_stage(F.col("phase")).alias("stage"), F.col("n")).alias("_phase"))
+    # by short stage: two full names of one stage are one entry, and a null phase is none
+    phases = phase_totals(readings, as_of, hours).where(F.col("phase").isNotNull()).groupBy(
+        "user_id", short_stage(F.col("phase")).alias("stage")).agg(F.sum("n").alias("n"))
+    phases = phases.select("user_id", F.struct("stage", "n").alias("_phase"))
     recent = recent_alerts(alerts, n_alerts, as_of, hours).select("user_id", F.struct(
         "rn", "created_at", "severity", "category", "title", "text").alias("_alert"))
     jr = latest_journal(journal).select("user_id", F.struct(

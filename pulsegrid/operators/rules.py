@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.stats import stable_avg
 
 
 def sql_str(text: str) -> str:
@@ -136,31 +135,6 @@ ALERT_COLUMNS = ["user_id", "created_at", "severity", "category", "title", "text
                  "metric", "value", "phase"]
 
 
-def rule_hr_asleep(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
-    """R1 as a column (struct or null) over the named columns."""
-    return F.expr(_hr_asleep(m, v, p))
-
-
-def rule_tachycardia(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
-    """R2 as a column."""
-    return F.expr(_tachy(m, v, p))
-
-
-def rule_spo2(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
-    """R3 as a column."""
-    return F.expr(_spo2(m, v, p))
-
-
-def rule_hrv(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
-    """R4 as a column."""
-    return F.expr(_hrv(m, v, p))
-
-
-def rule_temperature(m: str = "metric", v: str = "value", p: str = "phase") -> Column:
-    """R5 as a column."""
-    return F.expr(_temp(m, v, p))
-
-
 def phase_sql(df: DataFrame) -> str:
     return "try_element_at(metadata, 'phase')" if "metadata" in df.columns else "phase"
 
@@ -202,7 +176,7 @@ def hr_watch(df: DataFrame, width: str = C.HR_WATCH_WINDOW, limit: float = C.HR_
     """
     hr = df.where(F.col("metric") == "heart_rate")
     agg = hr.groupBy(F.window(time_col, width).alias("window"), "user_id").agg(
-        stable_avg("value").alias("avg_hr"), F.max("value").alias("max_hr"), F.count("value").alias("n_samples"))
+        F.avg("value").alias("avg_hr"), F.max("value").alias("max_hr"), F.count("value").alias("n_samples"))
     return agg.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "user_id", "avg_hr", "max_hr", "n_samples", (F.col("avg_hr") > limit).alias("flagged"))

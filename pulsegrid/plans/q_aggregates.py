@@ -1,7 +1,7 @@
 """Registered aggregation queries (A1-A16) over the fixture readings and derived alerts.
 
-Averages are exact-sum averages (``functions.stats.stable_avg``) on both
-sides, so they agree to the bit whatever the summation order (D15).
+Operators give plain averages; queries and oracles round them to six places,
+because the last bits of a double sum depend on its order (D15).
 """
 
 from __future__ import annotations
@@ -15,11 +15,16 @@ from .catalog import query
 from .common import AS_OF, CONTEXT_HOURS, alerts_of, readings_of, users_of
 from .oracle_views import AS_OF as SQL_AS_OF
 from .oracle_views import with_views
-from ..functions.stats import avg_sql
 
 SCOPE = (f"event_time >= {SQL_AS_OF} - INTERVAL {CONTEXT_HOURS} HOUR AND event_time <= {SQL_AS_OF}")
-AVG = avg_sql("value")
-AVG9 = avg_sql("avg_value", 9)
+AVG = "round(avg(value) + 1e-9, 6)"
+
+
+def _rounded(df, *names):
+    """Six places, on both sides after adding a billionth: an exact half then rounds up whatever the last bits are."""
+    return df.withColumns({n: F.round(F.col(n) + 1e-9, 6) for n in names or ("avg_value",)})
+
+
 METRICS_IN = ", ".join(f"'{m}'" for m in C.CONTEXT_METRICS)
 
 
@@ -38,13 +43,13 @@ x AS (SELECT date_trunc('minute', event_time) - k * INTERVAL 1 MINUTE AS ws, r.*
 @query("a1_window_agg", A1_SQL)
 def a1_window_agg(spark, root):
     """A1 + A2: 5-minute windows sliding by 1 minute, per user and metric, flattened."""
-    return A.flatten_window(A.window_agg(readings_of(spark, root)))
+    return _rounded(A.flatten_window(A.window_agg(readings_of(spark, root))))
 
 
 @query("a1_window_agg_panes", A1_SQL)
 def a1_window_agg_panes(spark, root):
     """A1 + A2 by 1-minute panes combined into 5-minute windows (batch strategy for dense readings)."""
-    return A.flatten_window(A.window_agg(readings_of(spark, root), panes=True))
+    return _rounded(A.flatten_window(A.window_agg(readings_of(spark, root), panes=True)))
 
 
 @query("a2_flatten_window", with_views(f"""
@@ -68,7 +73,7 @@ GROUP BY user_id, metric
 """, "readings"))
 def a3_metric_stats(spark, root):
     """A3: count, avg, min, max and exact median per user and metric in the context window."""
-    return A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS)
+    return _rounded(A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS))
 
 
 A3_SQL = with_views(f"""
@@ -92,13 +97,13 @@ def s6_history_metric_stats(spark, root):
     K.layout(K.reading_rows(readings_of(spark, root))).write.partitionBy("event_date").parquet(
         path + "/readings")
     hist = read_table(spark, path, "readings").withColumnRenamed("time", "event_time")
-    return A.metric_stats(hist, AS_OF, CONTEXT_HOURS)
+    return _rounded(A.metric_stats(hist, AS_OF, CONTEXT_HOURS))
 
 
 @query("a3_metric_stats_approx")
 def a3_metric_stats_approx(spark, root):
     """A3 with the opt-in approximate median (one aggregation, bounded sketch per group)."""
-    return A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS, exact_median=False)
+    return _rounded(A.metric_stats(readings_of(spark, root), AS_OF, CONTEXT_HOURS, exact_median=False))
 
 
 @query("a4_phase_distribution", with_views(f"""
@@ -133,38 +138,38 @@ FROM readings WHERE metric = '{metric}' GROUP BY ALL
 @query("a6_hr_trend", _trend_sql("heart_rate"))
 def a6_hr_trend(spark, root):
     """Hourly heart-rate bucket averages per user."""
-    return A.bucket_avg(readings_of(spark, root), "heart_rate", "1 hour")
+    return _rounded(A.bucket_avg(readings_of(spark, root), "heart_rate", "1 hour"))
 
 
 @query("a7_hrv_trend", _trend_sql("hrv"))
 def a7_hrv_trend(spark, root):
     """Hourly HRV bucket averages per user."""
-    return A.bucket_avg(readings_of(spark, root), "hrv", "1 hour")
+    return _rounded(A.bucket_avg(readings_of(spark, root), "hrv", "1 hour"))
 
 
 @query("a8_trend_summary", with_views(f"""
-SELECT user_id, {AVG9} AS mean_of_buckets, min(avg_value) AS min_of_buckets,
-       max(avg_value) AS max_of_buckets, count(*) AS n_buckets
-FROM (SELECT user_id, date_trunc('hour', event_time) AS bucket, {AVG} AS avg_value
+SELECT user_id, round(avg(avg_value) + 1e-9, 6) AS mean_of_buckets, round(min(avg_value) + 1e-9, 6) AS min_of_buckets,
+       round(max(avg_value) + 1e-9, 6) AS max_of_buckets, count(*) AS n_buckets
+FROM (SELECT user_id, date_trunc('hour', event_time) AS bucket, avg(value) AS avg_value
       FROM readings WHERE metric = 'heart_rate' GROUP BY ALL) b
 GROUP BY user_id
 """, "readings"))
 def a8_trend_summary(spark, root):
     """Legend mean/min/max over the hourly heart-rate bucket averages."""
     b = A.bucket_avg(readings_of(spark, root), "heart_rate", "1 hour")
-    return A.bucket_summary(b)
+    return _rounded(A.bucket_summary(b), "mean_of_buckets", "min_of_buckets", "max_of_buckets")
 
 
 @query("a8_hrv_trend_summary", with_views(f"""
-SELECT user_id, {AVG9} AS mean_of_buckets
-FROM (SELECT user_id, date_trunc('hour', event_time) AS bucket, {AVG} AS avg_value
+SELECT user_id, round(avg(avg_value) + 1e-9, 6) AS mean_of_buckets
+FROM (SELECT user_id, date_trunc('hour', event_time) AS bucket, avg(value) AS avg_value
       FROM readings WHERE metric = 'hrv' GROUP BY ALL) b
 GROUP BY user_id
 """, "readings"))
 def a8_hrv_trend_summary(spark, root):
     """The HRV legend (mean of the hourly bucket averages)."""
     b = A.bucket_avg(readings_of(spark, root), "hrv", "1 hour")
-    return A.bucket_summary(b).select("user_id", "mean_of_buckets")
+    return _rounded(A.bucket_summary(b).select("user_id", "mean_of_buckets"), "mean_of_buckets")
 
 
 # --- A9-A14: alert panels -----------------------------------------------------
@@ -247,9 +252,11 @@ def a15_readings_by_metric(spark, root):
 
 
 @query("a16_dispatch_stats", with_views(f"""
-SELECT count(*) AS received, count(u.contact_id) AS with_contact
-FROM alerts a LEFT JOIN users u ON a.user_id = u.user_id WHERE a.user_id IS NOT NULL
+SELECT count(*) AS received, count(a.user_id) AS live,
+       count(CASE WHEN a.user_id IS NOT NULL THEN u.contact_id END) AS chat
+FROM alerts a LEFT JOIN users u ON a.user_id = u.user_id
 """, "alerts", "users"))
 def a16_dispatch_stats(spark, root):
-    """Received alerts and those with a contact id (J1 left join)."""
-    return A.dispatch_stats(route_alerts(alerts_of(spark, root), users_of(spark, root)))
+    """Alerts received, and those sent to the live and the chat channel (J1 left join)."""
+    alerts = alerts_of(spark, root)
+    return A.dispatch_stats(alerts, route_alerts(alerts, users_of(spark, root)))

@@ -66,7 +66,7 @@ st AS (SELECT user_id, count(DISTINCT metric) AS n_metrics, count(*) FILTER (WHE
               CASE WHEN count(*) FILTER (WHERE metric = 'heart_rate') > 0
                    THEN count(*) FILTER (WHERE metric = 'heart_rate') END AS hr_n
        FROM readings WHERE {READ_SCOPE} AND metric IN ({METRICS_IN}) GROUP BY user_id),
-ph AS (SELECT user_id, count(DISTINCT phase) AS n_stages FROM readings WHERE {READ_SCOPE} AND phase IS NOT NULL
+ph AS (SELECT user_id, count(DISTINCT string_split(phase, 'Analysis')[-1]) AS n_stages FROM readings WHERE {READ_SCOPE} AND phase IS NOT NULL
        GROUP BY user_id),
 ar AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC, rule_pos) AS rn
        FROM alerts WHERE {ALERT_SCOPE}),

@@ -1,12 +1,14 @@
 """Registered ML queries (M1-M12, C7, C8, K11) over the survey view.
 
-Model-dependent queries share one fitted pipeline per (tables, iterations)
-within the process.  Registered queries train 20 boosting iterations (the
-reference's 200 are one argument away: ``GBT_MAX_ITER``).
+Model-dependent queries share one fitted pipeline (``GBT_MAX_ITER``
+iterations) per set of tables within the process.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -21,7 +23,6 @@ from .common import AS_OF
 from .oracle_views import with_views
 from .q_keyed import _requests
 
-CHECK_ITERS = 20
 _FITTED: dict = {}
 
 
@@ -29,7 +30,7 @@ def _survey(spark, root):
     return M.clean_survey(X.survey(spark, root))
 
 
-def _model(spark, root, iters: int = CHECK_ITERS, kind: str = "gbt"):
+def _model(spark, root, iters: int = C.GBT_MAX_ITER, kind: str = "gbt"):
     key = (spark.sparkContext.applicationId, root, iters, kind)
     if key not in _FITTED:
         train, test = M.split_survey(_survey(spark, root))
@@ -67,63 +68,84 @@ def m2_split_survey(spark, root):
         test.select("person_id", F.lit("test").alias("part")))
 
 
-def _features(spark, root):
-    train, _ = M.split_survey(_survey(spark, root))
-    model, _ = _model(spark, root)
-    return model.stages, train
+def _features(spark, root, upto: int):
+    """All survey rows through the first ``upto`` feature stages, fitted on the train part."""
+    survey = _survey(spark, root)
+    train, _ = M.split_survey(survey)
+    out = survey
+    for stage in Pipeline(stages=M.feature_stages()[:upto]).fit(train).stages:
+        out = stage.transform(out)
+    return out
+
+
+def _long(df, **vectors):
+    """One row per (person, vector, position)."""
+    parts = [df.select("person_id", F.lit(name).alias("part"), F.posexplode(vector_to_array(col)).alias("pos", "value"))
+             for name, col in vectors.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", F.round("value", 6))
 
 
 def _index_sql(col: str) -> str:
-    return (f"{col}_ix AS (SELECT {col}, CAST(row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS DOUBLE)"
-            f" AS {col}_idx FROM tr GROUP BY {col})")
+    return (f"{col}_ix AS (SELECT {col}, row_number() OVER (ORDER BY count(*) DESC, {col}) - 1"
+            f" AS idx FROM tr GROUP BY {col})")
 
 
-@query("m3_index_categories", with_views(f"""
-SELECT tr.person_id, gender_idx, bmi_category_idx, sleep_disorder_idx
-FROM tr JOIN gender_ix USING (gender) JOIN bmi_category_ix USING (bmi_category)
-        JOIN sleep_disorder_ix USING (sleep_disorder)
-""", "survey", ctes=f"""
-clean AS ({CLEAN_SQL}),
+FEATURE_CTES = f"""
+clean AS ({CLEAN_SQL.replace("FROM survey", ", TRY_CAST(split_part(blood_pressure, '/', 1) AS INTEGER) AS systolic FROM survey")}),
 tr AS (SELECT * FROM clean WHERE {SPLIT_SQL}),
-{_index_sql('gender')}, {_index_sql('bmi_category')}, {_index_sql('sleep_disorder')}"""))
+{", ".join(_index_sql(c) for c in C.CATEGORICAL_FEATURES)}"""
+
+
+def _code_sql(col: str) -> str:
+    return f"CAST(coalesce((SELECT idx FROM {col}_ix x WHERE x.{col} = clean.{col}), (SELECT count(*) FROM {col}_ix)) AS DOUBLE)"
+
+
+def _flags_sql(col: str, part: str, base: str = "0") -> str:
+    return (f"SELECT person_id, '{part}' AS part, CAST({base} + pos AS INTEGER) AS pos, "
+            f"CASE WHEN {_code_sql(col)} = pos THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value "
+            f"FROM clean, (SELECT idx AS pos FROM {col}_ix) g")
+
+
+def _measures_sql(part: str, scaled: bool, base: str = "0") -> str:
+    def value(c):
+        return (f"({c} - (SELECT avg({c}) FROM tr)) / (SELECT stddev_samp({c}) FROM tr)" if scaled else f"CAST({c} AS DOUBLE)")
+    return " UNION ALL ".join(
+        f"SELECT person_id, '{part}' AS part, CAST({base} + {i} AS INTEGER) AS pos, round({value(c)}, 6) AS value FROM clean"
+        for i, c in enumerate(C.NUMERIC_FEATURES))
+
+
+def _all_sql() -> str:
+    parts, base = [], "0"
+    for c in C.CATEGORICAL_FEATURES:
+        parts.append(_flags_sql(c, "features", base))
+        base += f" + (SELECT count(*) FROM {c}_ix)"
+    return " UNION ALL ".join([*parts, _measures_sql("features", True, base)])
+
+
+@query("m3_index_categories", with_views(
+    "SELECT person_id, " + ", ".join(f"{_code_sql(c)} AS {c}_code" for c in C.CATEGORICAL_FEATURES) + " FROM clean",
+    "survey", ctes=FEATURE_CTES))
 def m3_index_categories(spark, root):
-    """M3: category indices fitted on the train part (by frequency, ties by label; unknown kept)."""
-    stages, df = _features(spark, root)
-    out = df
-    for st in stages[:3]:
-        out = st.transform(out)
-    return out.select("person_id", *[f"{c}_idx" for c in C.CATEGORICAL_FEATURES])
+    """M3: category codes fitted on the train part (by frequency, ties by label; unknown kept) of all rows."""
+    return _features(spark, root, 1).select("person_id", *[f"{c}_code" for c in C.CATEGORICAL_FEATURES])
 
 
-@query("m4_one_hot")
+@query("m4_one_hot", with_views(" UNION ALL ".join(_flags_sql(c, c) for c in C.CATEGORICAL_FEATURES), "survey", ctes=FEATURE_CTES))
 def m4_one_hot(spark, root):
-    """M4: one-hot vectors of the category indices."""
-    stages, df = _features(spark, root)
-    out = df
-    for st in stages[:6]:
-        out = st.transform(out)
-    return out.select("person_id", *[vector_to_array(f"{c}_oh").alias(f"{c}_oh") for c in C.CATEGORICAL_FEATURES])
+    """M4: one-hot flags of the category codes, one row per position."""
+    return _long(_features(spark, root, 2), **{c: f"{c}_flags" for c in C.CATEGORICAL_FEATURES})
 
 
-@query("m5_assemble")
+@query("m5_assemble", with_views(f"{_measures_sql('measures', False)} UNION ALL {_all_sql()}", "survey", ctes=FEATURE_CTES))
 def m5_assemble(spark, root):
-    """M5: numeric feature vector and the full feature vector."""
-    stages, df = _features(spark, root)
-    out = df
-    for st in stages[:9]:
-        out = st.transform(out)
-    return out.select("person_id", vector_to_array("num_raw").alias("num_raw"),
-                      vector_to_array("features").alias("features"))
+    """M5: the numeric vector and the full feature vector, one row per position."""
+    return _long(_features(spark, root, 5), measures="measures", features="features")
 
 
-@query("m6_standardize")
+@query("m6_standardize", with_views(_measures_sql("measures_std", True), "survey", ctes=FEATURE_CTES))
 def m6_standardize(spark, root):
-    """M6: numeric features standardised with the training mean and sample std."""
-    stages, df = _features(spark, root)
-    out = df
-    for st in stages[:8]:
-        out = st.transform(out)
-    return out.select("person_id", vector_to_array("num_scaled").alias("num_scaled"))
+    """M6: measures standardised with the training mean and sample standard deviation, one row per position."""
+    return _long(_features(spark, root, 4), measures_std="measures_std")
 
 
 @query("m7_gbt_predictions")
@@ -136,27 +158,22 @@ def m7_gbt_predictions(spark, root):
 
 @query("m8_model_metrics")
 def m8_model_metrics(spark, root):
-    """M8: MAE, RMSE, R^2 and row count of the fitted model on the test part."""
-    _, test = M.split_survey(_survey(spark, root))
+    """M8: MAE, RMSE, R^2 and row counts of the fitted model on the test part."""
+    train, test = M.split_survey(_survey(spark, root))
     model, _ = _model(spark, root)
-    return M.regression_metrics(model.transform(test))
+    found = M.regression_metrics(model.transform(test))
+    return found.select("mae", "rmse", "r2", F.col("n").alias("n_test"), F.lit(train.count()).cast("bigint").alias("n_train"))
 
 
 @query("m8_baseline_metrics", with_views("""
-SELECT CAST(sum(CAST(abs(prediction - y) AS DECIMAL(38,9))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mae,
-       sqrt(CAST(sum(CAST((prediction - y) * (prediction - y) AS DECIMAL(38,9))) AS DOUBLE)
-            / CAST(count(*) AS DOUBLE)) AS rmse,
-       1 - CAST(sum(CAST((prediction - y) * (prediction - y) AS DECIMAL(38,9))) AS DOUBLE) * CAST(count(*) AS DOUBLE)
-         / (CAST(count(*) AS DOUBLE) * CAST(sum(CAST(CAST(y AS DOUBLE) * CAST(y AS DOUBLE) AS DECIMAL(38,9))) AS DOUBLE)
-            - CAST(sum(CAST(CAST(y AS DOUBLE) AS DECIMAL(38,9))) AS DOUBLE)
-              * CAST(sum(CAST(CAST(y AS DOUBLE) AS DECIMAL(38,9))) AS DOUBLE)) AS r2,
-       count(*) AS n
-FROM (SELECT quality_of_sleep AS y, 10 - stress_level / 2 AS prediction FROM survey) p
+SELECT round(avg(abs(prediction - y)), 6) AS mae, round(sqrt(avg((prediction - y) * (prediction - y))), 6) AS rmse,
+       round(1 - avg((prediction - y) * (prediction - y)) / var_pop(y), 6) AS r2, count(*) AS n
+FROM (SELECT CAST(quality_of_sleep AS DOUBLE) AS y, 10 - stress_level / 2 AS prediction FROM survey) p
 """, "survey"))
 def m8_baseline_metrics(spark, root):
     """M8: the same metrics for a given prediction column (a stress-only baseline)."""
     preds = X.survey(spark, root).withColumn("prediction", 10 - F.col("stress_level") / 2)
-    return M.regression_metrics(preds)
+    return M.regression_metrics(preds).withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "r2")})
 
 
 @query("m9_predict_quality")
@@ -171,10 +188,10 @@ def m9_predict_quality(spark, root):
 def m10_run_log(spark, root):
     """Log the fitted run (params, metrics, time) to a runs table and read it back."""
     model, secs = _model(spark, root)
-    _, test = M.split_survey(_survey(spark, root))
-    metrics = {**M.evaluate(model.transform(test)), "train_time_secs": secs}
+    train, test = M.split_survey(_survey(spark, root))
+    metrics = {**M.evaluate(model.transform(test)), "train_time_secs": secs, "n_train": train.count(), "n_test": test.count()}
     path = scratch_path(spark, "runs")
-    M.log_run(spark, path, "spark-gbt", {"maxIter": CHECK_ITERS, "maxDepth": C.GBT_MAX_DEPTH,
+    M.log_run(spark, path, "spark-gbt", {"maxIter": C.GBT_MAX_ITER, "maxDepth": C.GBT_MAX_DEPTH,
                                          "stepSize": C.GBT_STEP}, metrics)
     return spark.read.parquet(path)
 
@@ -207,7 +224,7 @@ def k11_predictions(spark, root):
     """Prediction-history rows from the batch scores."""
     model, _ = _model(spark, root)
     scored, _ = M.predict_quality(model, _requests(spark, root), keep=["person_id"])
-    return prediction_rows(scored, model_version=f"gbt-{CHECK_ITERS}", now=AS_OF)
+    return prediction_rows(scored, model_version=f"gbt-{C.GBT_MAX_ITER}", now=AS_OF)
 
 
 RAW_SQL = "sleep_duration + stress_level / 4.0"

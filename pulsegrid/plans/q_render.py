@@ -43,7 +43,6 @@ def f1_alert_message(spark, root):
 
 def _md_sql() -> str:
     from .. import constants as C
-    from ..functions.stats import avg_sql
     from .q_joins import ALERT_SCOPE, METRICS_IN, READ_SCOPE
 
     def lit(text):
@@ -85,7 +84,7 @@ LEFT JOIN al ON ids.user_id = al.user_id
 LEFT JOIN jr ON ids.user_id = jr.user_id
 """
     ctes = f"""
-sm AS (SELECT user_id, metric, count(*) AS n, {avg_sql('value')} AS avg_v, min(value) AS min_v, max(value) AS max_v
+sm AS (SELECT user_id, metric, count(*) AS n, avg(value) AS avg_v, min(value) AS min_v, max(value) AS max_v
        FROM readings WHERE {READ_SCOPE} AND metric IN ({METRICS_IN}) GROUP BY user_id, metric),
 st AS (SELECT user_id, string_agg({stat_line}, {nl} ORDER BY metric) AS lines FROM sm GROUP BY user_id),
 pd AS (SELECT user_id, string_split(phase, 'Analysis')[-1] AS stage, count(*) AS n,
@@ -174,7 +173,7 @@ def k1_raw_docs(spark, root):
 SELECT 'biometrics-agg-2024-01-31' AS "index",
        {PYISO_SQL.format(c='ws')} || '|' || CAST(user_id AS VARCHAR) || '|' || metric AS doc_id,
        {PYISO_SQL.format(c='ws')} AS "@timestamp", {PYISO_SQL.format(c='(ws + INTERVAL 5 MINUTE)')} AS window_end,
-       user_id, metric, (CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value)) AS avg_value,
+       user_id, metric, round(avg(value) + 1e-9, 6) AS avg_value,
        min(value) AS min_value, max(value) AS max_value, count(value) AS n_samples
 FROM x GROUP BY ALL
 """, "readings", ctes="""
@@ -182,7 +181,8 @@ x AS (SELECT date_trunc('minute', event_time) - k * INTERVAL 1 MINUTE AS ws, r.*
       FROM readings r, range(5) g(k))"""))
 def k2_agg_docs(spark, root):
     """K2: window-aggregate documents with deterministic ids (window start, user, metric)."""
-    return K.agg_docs(A.flatten_window(A.window_agg(readings_of(spark, root))), now=AS_OF)
+    docs = K.agg_docs(A.flatten_window(A.window_agg(readings_of(spark, root))), now=AS_OF)
+    return docs.withColumn("avg_value", F.round(F.col("avg_value") + 1e-9, 6))
 
 
 K3_SQL = with_views("""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.metrics import short_stage, value_text
-from ..functions.stats import avg_sql
 from ..operators import rules as R
 from .catalog import query
 from .common import AS_OF, readings_of
@@ -62,10 +61,10 @@ def r8_value_text(spark, root):
 @query("r9_hr_watch", with_views(f"""
 SELECT date_trunc('minute', event_time) AS window_start,
        date_trunc('minute', event_time) + INTERVAL 1 MINUTE AS window_end, user_id,
-       {avg_sql('value')} AS avg_hr, max(value) AS max_hr, count(value) AS n_samples,
-       {avg_sql('value')} > 120 AS flagged
+       round(avg(value) + 1e-9, 6) AS avg_hr, max(value) AS max_hr, count(value) AS n_samples,
+       avg(value) > 120 AS flagged
 FROM readings WHERE metric = 'heart_rate' GROUP BY ALL
 """, "readings"))
 def r9_hr_watch(spark, root):
     """1-minute tumbling heart-rate average/max per user, flagged above 120."""
-    return R.hr_watch(readings_of(spark, root))
+    return R.hr_watch(readings_of(spark, root)).withColumn("avg_hr", F.round(F.col("avg_hr") + 1e-9, 6))

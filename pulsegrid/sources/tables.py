@@ -9,21 +9,11 @@ ships with this image, so that path is untested here).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_utc
 
 
-def table_path(root: str, name: str) -> str:
-    """``root/name.parquet`` if it exists, else ``root/name`` (folder table)."""
-    flat = os.path.join(root, f"{name}.parquet")
-    if root.startswith(("s3:", "s3a:", "gs:", "abfs:", "hdfs:")) or os.path.exists(flat):
-        return flat
-    return os.path.join(root, name)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on its (Hadoop) file system."""
     jvm = spark.sparkContext._jvm
@@ -31,21 +21,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
 
 
+def table_path(spark: SparkSession, root: str, name: str) -> str:
+    """``root/name.parquet`` if it exists on its file system, else ``root/name`` (folder table)."""
+    flat = f"{root.rstrip('/')}/{name}.parquet"
+    return flat if path_exists(spark, flat) else f"{root.rstrip('/')}/{name}"
+
+
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
-               options: dict | None = None, spread: bool = False) -> DataFrame:
-    """Scan a table.  ``spread``: if the scan has fewer splits than the cluster
-    has cores (a small input, e.g. one row group), round-robin it over all
-    cores so CPU-heavy per-row work (JSON, window expansion) runs in parallel.
-    A large input already has more splits than cores and is left as is."""
+               options: dict | None = None) -> DataFrame:
+    """Scan a table."""
     ensure_utc(spark)
     reader = spark.read.format(fmt)
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
     if fmt == "jdbc":
         return reader.option("dbtable", name).load()
-    df = reader.load(table_path(root, name))
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    return reader.load(table_path(spark, root, name))

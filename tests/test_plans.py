@@ -50,12 +50,13 @@ def test_projection_prunes_columns(history):
     assert "source" not in read_schema and "metadata" not in read_schema
 
 
-def test_context_stats_read_history_once(history):
+def test_context_stats_shuffle_little(history):
+    """A3 on a history: slices, groups, and the median's slice rows; the scans are pruned to three columns."""
     df = metric_stats(history, "2024-01-31 00:00:00", 720)
     df.collect()
     final = _plan(df).split("== Initial Plan ==")[0]
-    assert "isFinalPlan=true" in final
-    assert final.count("FileScan parquet") == 0  # both passes read the checkpointed range counts
+    assert "isFinalPlan=true" in final and "rangepartitioning" not in final
+    assert all("source" not in part.split("\n")[0] for part in final.split("ReadSchema: ")[1:])
 
 
 def test_user_dimension_join_is_size_checked(spark):

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.quantiles import percentile_cont
+from pulsegrid.functions.quantiles import percentile_cont, value_slice
 from pulsegrid.functions.topk import latest, top_n
 
 
@@ -33,19 +33,29 @@ def test_percentile_matches_builtin(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_hot_group_is_split_over_range_partitions(spark):
+def test_hot_group_meets_its_slices_in_many_partitions(spark):
+    """The rows of a hot group are joined by (group, slice): no task gets the whole group."""
     df = _data(spark)
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        from pulsegrid.functions.quantiles import range_counts, value_counts
-        ranged = range_counts(value_counts(df, ["k"], "v"), ["k"])
-        hot_parts = ranged.where("k = 'hot'").select("_pid").distinct().count()
-        assert hot_parts > 1
-        assert ranged.where("k = 'hot'").agg(F.sum("_w")).first()[0] == df.where("k = 'hot' AND v IS NOT NULL").count()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = df.where("v IS NOT NULL").repartition(16, F.col("k"), value_slice(F.col("v"))).where("k = 'hot'")
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 0.35 * sum(sizes)
+
+
+def test_slices_ascend_with_the_value(spark):
+    rnd = random.Random(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan"), 1.0, 2.0, -1.0]
+    values += [rnd.gauss(0, 10 ** rnd.randint(-300, 300)) for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").withColumn("b", value_slice(F.col("v"))).collect()
+    known = sorted((r for r in rows if r.v is not None), key=lambda r: (r.v != r.v, r.v))
+    assert all(a.b <= b.b for a, b in zip(known, known[1:]))
+    assert [r.b for r in rows if r.v is None] == [None]
+
+
+def test_percentile_without_a_checkpoint(spark):
+    """One aggregation feeds all figures, and nothing runs before the query does."""
+    out = percentile_cont(_data(spark), ["k"], "v", 0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RDDScan" not in plan.replace("Scan ExistingRDD", "") and "rangepartitioning" not in plan
 
 
 def test_top_n_uses_partial_group_limit(spark):
@@ -89,6 +99,8 @@ def test_pane_windows_equal_sliding_windows(spark):
     r = readings_of(spark, SF_SMALL)
     a = flatten_window(window_agg(r))
     b = flatten_window(window_agg(r, panes=True)).select(*a.columns)
+    near = [F.round(c, 9).alias(c) if c == "avg_value" else c for c in a.columns]
+    a, b = a.select(*near), b.select(*near)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
@@ -109,6 +121,6 @@ def test_approximate_median_is_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     for k, e in exact.items():
         a = approx[k]
-        assert (a.n_samples, a.avg_value, a.min_value, a.max_value) == (e.n_samples, e.avg_value, e.min_value,
-                                                                        e.max_value)
+        assert (a.n_samples, a.min_value, a.max_value) == (e.n_samples, e.min_value, e.max_value)
+        assert abs(a.avg_value - e.avg_value) <= 1e-9 * abs(e.avg_value)
         assert e.min_value <= a.median_value <= e.max_value
