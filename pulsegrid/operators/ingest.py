@@ -48,18 +48,27 @@ def encode_readings(df: DataFrame, now=None, keep: list[str] | None = None) -> D
     return df.select(*(keep or []), F.to_json(F.struct(*fields)).alias("json"))
 
 
-def parse_payload(df: DataFrame, payload: str = "payload",
-                  schema=S.DEVICE_READING) -> DataFrame:
-    """Parse a JSON text column into ``schema`` columns plus ``_corrupt_record``.
+def _parsed(text, schema, others: list, df: DataFrame) -> DataFrame:
+    """``others``, then the fields of ``schema`` and the corrupt-record text (not null: unreadable).
 
-    The struct is expanded with ``inline(array(...))``: a filter on the
-    parsed fields (the malformed split) cannot be pushed below that
-    generator, so each payload is parsed once instead of once per consumer.
+    The struct goes through a generator (``inline``): a filter on the parsed
+    fields cannot be pushed below it, so each text is parsed once instead of
+    once per consumer.  Unreadable are: text that is no JSON object of the
+    schema, the JSON null, and empty, blank or missing text.
     """
-    parsed = F.from_json(F.col(payload).cast("string"), S.with_corrupt_column(schema),
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT_COLUMN})
+    t = text.cast("string")
+    parsed = F.from_json(t, S.with_corrupt_column(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT_COLUMN})
+    rows = df.select(*others, F.inline(F.array(F.struct(t.alias("_t"), parsed.alias("_r")))))
+    unreadable = F.col("_r").isNull() | (F.trim(F.coalesce("_t", F.lit(""))) == "")
+    corrupt = F.when(unreadable, F.coalesce("_t", F.lit(""))).otherwise(F.col(f"_r.{S.CORRUPT_COLUMN}"))
+    return rows.select("*", *[F.col(f"_r.{f}").alias(f) for f in schema.fieldNames()], corrupt.alias(S.CORRUPT_COLUMN)).drop("_r")
+
+
+def parse_payload(df: DataFrame, payload: str = "payload",
+                  schema=S.DEVICE_READING) -> DataFrame:
+    """Parse a JSON text column into ``schema`` columns plus ``_corrupt_record`` (null for readable payloads)."""
     others = [c for c in df.columns if c != payload]
-    return df.select(*others, F.col(payload).cast("string").alias(payload), F.inline(F.array(parsed)))
+    return _parsed(F.col(payload), schema, others, df).withColumnRenamed("_t", payload)
 
 
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,42 +87,65 @@ def enrich(df: DataFrame, now=None, topic_col: str = "topic") -> DataFrame:
     })
 
 
+BRIDGE_FIELDS = ("metric", "ingested_at", "source_topic", "bridge")
+
+
 def bridge(messages: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
     """Device messages (topic, payload, ...) -> (broker records, quarantine).
 
-    Broker records carry ``key`` (P4), ``topic`` (P3) and the enriched JSON
-    ``value``; a Kafka or file sink writes them as they are.
+    Broker records carry ``key`` (P4), ``topic`` (P3) and the JSON ``value``:
+    the device's object as it came, unknown fields too, with the four bridge
+    fields put in; a Kafka or file sink writes them as they are.
     """
     good, bad = split_malformed(parse_payload(messages, "payload"))
     enriched = enrich(good, now=now)
-    body = [c for c in S.DEVICE_READING.fieldNames() if c in enriched.columns] + [
-        "metric", "ingested_at", "source_topic", "bridge"]
+    names = ", ".join(f"'{n}'" for n in BRIDGE_FIELDS)
+    added = ", ".join(f"'{n}', cast({n} as variant)" for n in BRIDGE_FIELDS)
+    whole = F.expr("to_json(map_concat(map_filter(try_cast(try_parse_json(payload) as map<string, variant>), "
+                   f"(k, v) -> k not in ({names})), map({added})))")
+    # an object that the variant parser refuses (say, a field named twice) passes its known fields
+    known = F.to_json(F.struct(*S.DEVICE_READING.fieldNames(), *BRIDGE_FIELDS))
     extra = [c for c in messages.columns if c not in ("topic", "payload")]
     records = enriched.select(
         *extra,
         route_key(F.col("user_id")).alias("key"),
         route_topic(F.col("metric")).alias("topic"),
-        F.to_json(F.struct(*body)).alias("value"),
+        F.coalesce(whole, known).alias("value"),
         "metric",
     )
     return records, bad
 
 
-def decode(records: DataFrame, schema=S.BROKER_READING) -> DataFrame:
-    """S2 + S3: broker records (value, topic, timestamp) -> typed readings.
+def decode_marked(records: DataFrame, schema=S.BROKER_READING) -> DataFrame:
+    """S2 + S3: broker records (value, topic, timestamp) -> typed readings, with ``raw`` and ``reason``.
 
     The value is decoded with a fixed schema (unknown fields dropped); the
-    event time is the parsed ``start_date`` (null on bad text, D3).
+    event time is the parsed ``start_date`` (null on bad text, D3).  ``raw`` is
+    the value as it came and ``reason`` says why a row cannot go into the
+    history (null: it can).
     """
-    keep = [c for c in records.columns if c not in ("value", "topic", "timestamp", "key")]
-    d = records.select(
-        *keep,
-        F.col("topic").alias("kafka_topic"),
-        F.col("timestamp").cast("timestamp").alias("kafka_ts"),
-        F.inline(F.array(F.from_json(F.col("value").cast("string"), schema))),  # parsed once (see parse_payload)
-    )
-    return d.select(*keep, *schema.fieldNames(), "kafka_topic", "kafka_ts").withColumn(
-        "event_time", F.try_to_timestamp(F.col("start_date")))
+    others = [c for c in records.columns if c not in ("value", "topic", "timestamp", "key")]
+    head = [*others, F.col("topic").alias("kafka_topic"), F.col("timestamp").cast("timestamp").alias("kafka_ts")]
+    d = _parsed(F.col("value"), schema, head, records).withColumnRenamed("_t", "raw")
+    d = d.withColumn("event_time", F.try_to_timestamp(F.col("start_date")))
+    reason = F.when(F.col(S.CORRUPT_COLUMN).isNotNull(), "unreadable").otherwise(missing_field())
+    return d.select(*others, *schema.fieldNames(), "kafka_topic", "kafka_ts", "event_time", "raw", reason.alias("reason"))
+
+
+def missing_field():
+    """Which of the fields that a stored reading must have is null, if one is."""
+    return (F.when(F.col("user_id").isNull(), "no user").when(F.col("metric").isNull(), "no metric")
+            .when(F.col("event_time").isNull(), "no time"))
+
+
+def mark_incomplete(readings: DataFrame) -> DataFrame:
+    """Decoded readings with ``raw`` (the row as JSON) and ``reason``, as ``decode_marked`` gives them."""
+    return readings.withColumns({"raw": F.to_json(F.struct(*readings.columns)), "reason": missing_field()})
+
+
+def decode(records: DataFrame, schema=S.BROKER_READING) -> DataFrame:
+    """The readings of ``decode_marked`` that are complete."""
+    return decode_marked(records, schema).where(F.col("reason").isNull()).drop("raw", "reason")
 
 
 def monitor_view(parsed: DataFrame, topic_col: str = "topic") -> DataFrame:
@@ -132,7 +164,8 @@ def ingest_counts(records: DataFrame, total_label: str = "total") -> DataFrame:
 
     ``rollup`` gives both in one aggregation (partial aggregation map-side);
     on a stream, run it in complete mode and let the trigger replace the
-    "every 50 messages" report.
+    "every 50 messages" report.  The total is told by its grouping id, so
+    readings without a metric stay a (null) metric of their own.
     """
-    return (records.rollup("metric").agg(F.count(F.lit(1)).alias("n"))
-            .select(F.coalesce(F.col("metric"), F.lit(total_label)).alias("metric"), "n"))
+    counts = records.rollup("metric").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    return counts.select(F.when(F.col("g") == 1, F.lit(total_label)).otherwise(F.col("metric")).alias("metric"), "n")

@@ -51,10 +51,9 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def link_contacts(users: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K8: apply contact-id updates by user id -> (updated users, unknown ids).
 
-    Several updates for one user: the greatest contact id wins (a stated,
-    deterministic rule; the reference applies them in arrival order).
+    Of several updates for one user the last (greatest ``seq``) wins.
     """
-    upd = links.groupBy("user_id").agg(F.max("contact_id").alias("_new"))
+    upd = links.groupBy("user_id").agg(F.max(F.struct("seq", "contact_id"))["contact_id"].alias("_new"))
     updated = users.join(upd, "user_id", "left").withColumn(
         "contact_id", F.coalesce(F.col("_new"), F.col("contact_id"))).drop("_new")
     unknown = upd.join(users.select("user_id"), "user_id", "left_anti").select(

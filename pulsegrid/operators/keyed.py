@@ -29,14 +29,14 @@ def exchange_to_turns(exchanges: DataFrame) -> DataFrame:
     """K9: one exchange (user message + assistant reply) -> two chat rows sharing a session id.
 
     The session id is a deterministic hash of (user, exchange id), so a replay
-    writes the same rows.
+    writes the same rows.  A side that is missing (no reply yet) has no row.
     """
     session = F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("exchange_id").cast("string")))
     turns = F.array(
         F.struct(F.lit(0).alias("pos"), F.lit("user").alias("role"), F.col("message").alias("content")),
         F.struct(F.lit(1).alias("pos"), F.lit("assistant").alias("role"), F.col("reply").alias("content")))
     return exchanges.select("user_id", "exchange_id", "created_at", session.alias("session_id"),
-                            F.inline(turns)).select(
+                            F.inline(turns)).where(F.col("content").isNotNull()).select(
         "user_id", "exchange_id", "pos", "role", "content", "created_at", "session_id")
 
 

@@ -35,8 +35,8 @@ FROM customer
 """
 
 VIEWS["contact_links"] = """
-SELECT c_custkey AS user_id, concat('new-', CAST(c_custkey AS VARCHAR)) AS contact_id
-FROM customer
+SELECT o_orderkey AS seq, o_custkey + o_orderkey % 3 AS user_id, concat('new-', CAST(o_orderkey AS VARCHAR)) AS contact_id
+FROM orders
 """
 
 VIEWS["journal"] = """

@@ -1,8 +1,8 @@
 """Registered ingest queries: bridge steps (P1-P10) and the stream decoder.
 
 The device messages come from the ``wire`` adapter (readings encoded by
-P10, with an unmapped type where ``event_id % 25 = 7`` and a non-JSON
-payload where ``event_id % 97 = 0``); the oracles rebuild the expected rows
+P10, with an unmapped type where ``event_id % 25 = 7`` and an unreadable
+payload where ``event_id % 97 = 0`` (no JSON, empty, blank or null)); the oracles rebuild the expected rows
 from the readings view.
 """
 
@@ -80,10 +80,11 @@ def p6_topic_matches(spark, root):
 
 
 @query("p5_quarantine", with_views(f"""
-SELECT event_id AS offset, 'not json' AS payload FROM readings WHERE NOT ({GOOD})
+SELECT event_id AS offset, CASE event_id // 97 % 4 WHEN 0 THEN 'not json' WHEN 1 THEN '' WHEN 2 THEN '  ' END AS payload
+FROM readings WHERE NOT ({GOOD})
 """, "readings"))
 def p5_quarantine(spark, root):
-    """Unparseable payloads split off to a quarantine output."""
+    """Unreadable payloads (no JSON, empty, blank, missing) split off to a quarantine output."""
     _, bad = I.split_malformed(I.parse_payload(_messages(spark, root)))
     return bad.select("offset", "payload")
 
@@ -160,5 +161,5 @@ SELECT event_id AS offset, {ISO_SQL} AS start_date, event_time FROM readings WHE
 """, "readings"))
 def s3_event_time(spark, root):
     """S3: event time parsed from the ISO start date (null on bad text)."""
-    return I.decode(_records(spark, root).drop("metric")).select("offset", "start_date", "event_time")
+    return I.decode_marked(_records(spark, root).drop("metric")).select("offset", "start_date", "event_time")
 

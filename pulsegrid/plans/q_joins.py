@@ -116,6 +116,14 @@ def j4_orphan_journal(spark, root):
     return J.orphans(X.journal(spark, root), users_of(spark, root)).select("seq", "user_id")
 
 
+@query("j4_orphan_links", with_views("""
+SELECT l.seq, l.user_id FROM contact_links l WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = l.user_id)
+""", "users", "contact_links"))
+def j4_orphan_links(spark, root):
+    """Contact updates whose user does not exist."""
+    return J.orphans(X.contact_links(spark, root), users_of(spark, root)).select("seq", "user_id")
+
+
 @query("j5_duplicate_emails", with_views(
     "SELECT email, count(*) AS n FROM users GROUP BY email HAVING count(*) > 1", "users"))
 def j5_duplicate_emails(spark, root):
@@ -134,7 +142,7 @@ def j5_duplicate_journal_days(spark, root):
 
 @query("k8_link_contacts", with_views("""
 SELECT u.user_id, coalesce(l.contact_id, u.contact_id) AS contact_id
-FROM users u LEFT JOIN (SELECT user_id, max(contact_id) AS contact_id FROM contact_links GROUP BY user_id) l
+FROM users u LEFT JOIN (SELECT user_id, arg_max(contact_id, seq) AS contact_id FROM contact_links GROUP BY user_id) l
   ON u.user_id = l.user_id
 """, "users", "contact_links"))
 def k8_link_contacts(spark, root):
@@ -144,7 +152,7 @@ def k8_link_contacts(spark, root):
 
 
 @query("k8_unknown_links", with_views("""
-SELECT l.user_id, max(l.contact_id) AS contact_id FROM contact_links l
+SELECT l.user_id, arg_max(l.contact_id, l.seq) AS contact_id FROM contact_links l
 WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = l.user_id) GROUP BY l.user_id
 """, "users", "contact_links"))
 def k8_unknown_links(spark, root):

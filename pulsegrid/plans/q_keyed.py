@@ -39,8 +39,7 @@ def _exchanges(spark, root):
     return t.groupBy("user_id", "conv_id", pair.alias("pair")).agg(
         F.max(F.when(F.col("role") == "user", F.col("content"))).alias("message"),
         F.max(F.when(F.col("role") == "assistant", F.col("content"))).alias("reply"),
-        F.min("created_at").alias("created_at")).where(
-        F.col("message").isNotNull() & F.col("reply").isNotNull()).select(
+        F.min("created_at").alias("created_at")).select(
         "user_id", (F.col("conv_id") * 1000 + F.col("pair")).alias("exchange_id"), "message", "reply", "created_at")
 
 
@@ -51,10 +50,10 @@ FROM (SELECT user_id, conv_id * 1000 + pair AS exchange_id, message, reply, crea
         SELECT user_id, conv_id, turn // 2 AS pair,
                max(CASE WHEN role = 'user' THEN content END) AS message,
                max(CASE WHEN role = 'assistant' THEN content END) AS reply, min(created_at) AS created_at
-        FROM chat_turns GROUP BY ALL) g
-      WHERE message IS NOT NULL AND reply IS NOT NULL) e,
+        FROM chat_turns GROUP BY ALL) g) e,
      (SELECT 0 AS pos, 'user' AS role UNION ALL SELECT 1, 'assistant') r(pos, role)
 CROSS JOIN LATERAL (SELECT CASE WHEN r.pos = 0 THEN e.message ELSE e.reply END AS content) c
+WHERE content IS NOT NULL
 """, "chat_turns"))
 def k9_exchange_to_turns(spark, root):
     """K9: each exchange becomes a user row and an assistant row sharing a session id."""
@@ -92,6 +91,13 @@ VALID_SQL = " AND ".join([_range_ok(n) for n in C.PREDICT_RANGES] + [
     f"{n} IN ({', '.join(repr(v) for v in vals)})" for n, vals in C.PREDICT_ENUMS.items()])
 
 
+REASONS_SQL = ", ".join(
+    [x for n in C.PREDICT_RANGES for x in (f"CASE WHEN {n} IS NULL THEN '{n} missing' END",
+                                           f"CASE WHEN NOT {_range_ok(n)} THEN '{n} out of range' END")]
+    + [f"CASE WHEN {n} IS NULL OR {n} NOT IN ({', '.join(repr(v) for v in vals)}) THEN '{n} not allowed' END"
+       for n, vals in C.PREDICT_ENUMS.items()])
+
+
 @query("c5_valid_requests", with_views(f"SELECT person_id, sleep_disorder FROM req WHERE {VALID_SQL}",
                                        "survey", ctes=f"req AS ({REQ_SQL})"))
 def c5_valid_requests(spark, root):
@@ -101,7 +107,7 @@ def c5_valid_requests(spark, root):
 
 
 @query("c5_invalid_requests", with_views(
-    f"SELECT person_id, 'age out of range' AS reasons FROM req WHERE NOT ({VALID_SQL})",
+    f"SELECT person_id, concat_ws('; ', {REASONS_SQL}) AS reasons FROM req WHERE NOT ({VALID_SQL})",
     "survey", ctes=f"req AS ({REQ_SQL})"))
 def c5_invalid_requests(spark, root):
     """Rejected requests with their reasons."""
@@ -154,8 +160,8 @@ def s6_scan_users(spark, root):
 
 
 @query("s6_scan_readings", with_views(
-    "SELECT event_id, user_id, event_time, metric, value, unit FROM readings WHERE value > 100", "readings"))
+    "SELECT event_id, user_id, event_time, metric, value, unit FROM readings", "readings"))
 def s6_scan_readings(spark, root):
-    """Reading history scan; the value predicate is pushed into the Parquet scan."""
-    return readings_of(spark, root).where(F.col("value") > 100).select(
+    """Reading history scan with column pruning."""
+    return readings_of(spark, root).select(
         "event_id", "user_id", "event_time", "metric", "value", "unit")

@@ -6,7 +6,7 @@ they do none of the jobs' work.  Each has a DuckDB twin in
 
 * ``readings``      decoded readings (from ``events``)
 * ``users``         user dimension (from ``customer``)
-* ``contact_links`` contact-id updates (from ``customer``)
+* ``contact_links`` contact-id updates with a sequence number (from ``orders``; a few name users that do not exist)
 * ``journal``       journal entries with a sequence number (from ``orders``)
 * ``chat_turns``    chat messages (from ``conversations``)
 * ``survey``        sleep survey rows (from ``customer``)
@@ -75,9 +75,9 @@ def users(spark: SparkSession, root: str) -> DataFrame:
 
 
 def contact_links(spark: SparkSession, root: str) -> DataFrame:
-    c = read_table(spark, root, "customer")
-    return c.selectExpr(
-        "c_custkey AS user_id", "concat('new-', CAST(c_custkey AS STRING)) AS contact_id")
+    o = read_table(spark, root, "orders")
+    return o.selectExpr("o_orderkey AS seq", "o_custkey + o_orderkey % 3 AS user_id",
+                        "concat('new-', CAST(o_orderkey AS STRING)) AS contact_id")
 
 
 def journal(spark: SparkSession, root: str) -> DataFrame:
@@ -122,7 +122,7 @@ def wire(spark: SparkSession, root: str) -> DataFrame:
     The payload is the P10 JSON encoding of a reading and the topic is P8's
     device topic.  Where ``event_id % 25 = 7`` the type is the unmapped
     resting-heart-rate identifier; where ``event_id % 97 = 0`` the payload is
-    not JSON.  This is the bridge's input (P1-P9).
+    unreadable: no JSON, empty, blank or null.  This is the bridge's input (P1-P9).
     """
     from ..functions.metrics import topic_of
     from ..operators.ingest import encode_readings
@@ -133,6 +133,8 @@ def wire(spark: SparkSession, root: str) -> DataFrame:
     return enc.select(
         F.col("event_id").alias("offset"),
         topic_of(F.col("type")).alias("topic"),
-        F.when(F.col("event_id") % 97 == 0, F.lit("not json")).otherwise(F.col("json")).alias("payload"),
+        F.when(F.col("event_id") % 97 == 0, F.expr("element_at(array('not json', '', '  ', null), "
+                                                   "cast(event_id div 97 % 4 as int) + 1)"))
+        .otherwise(F.col("json")).alias("payload"),
         F.col("event_time").alias("timestamp"),
     )
