@@ -75,6 +75,16 @@ def has_key(map_col, key: str) -> Column:
     return F.coalesce(F.map_contains_key(_col(map_col), F.lit(key)), F.lit(False))
 
 
+def get_key_text(json_col, key: str) -> Column:
+    """C2 on JSON text: the value under ``key`` as text, or null."""
+    return F.get_json_object(_col(json_col), "$['" + key + "']")
+
+
+def has_key_text(json_col, key: str) -> Column:
+    """C2 on JSON text: the object has ``key`` (with a null value too); other text has no keys."""
+    return F.coalesce(F.array_contains(F.json_object_keys(_col(json_col)), key), F.lit(False))
+
+
 def phase_of(df: DataFrame) -> Column:
     """The sleep phase of a reading: ``metadata['phase']`` (or a ``phase`` column)."""
     if "metadata" in df.columns:

@@ -62,13 +62,16 @@ def latest_journal(journal: DataFrame) -> DataFrame:
     return latest(journal, ["user_id"], ["entry_date", "seq"], values)
 
 
-def chat_history(turns: DataFrame, n: int = 50) -> DataFrame:
+def chat_history(turns: DataFrame, n: int = 50, ties: tuple[str, ...] | None = None) -> DataFrame:
     """T4: last ``n`` messages per user with ``rn`` (1 = newest) and ``position`` (1 = oldest of them).
 
+    Messages of one time are ordered by ``ties`` (the stored table's ``row_id``,
+    or conversation and turn).
+
     ``position`` gives the oldest-first order the chat history is shown in
     without a global sort; sort by (user_id, position) only when presenting.
     """
-    ranked = top_n(turns, ["user_id"], [F.col("created_at").desc(), F.col("conv_id").desc(),
-                                         F.col("turn").desc()], n)
+    ties = ties or (("row_id",) if "row_id" in turns.columns else ("conv_id", "turn"))
+    ranked = top_n(turns, ["user_id"], [F.col(c).desc() for c in ("created_at", *ties)], n)
     kept = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     return ranked.withColumn("position", kept - F.col("rn") + 1)

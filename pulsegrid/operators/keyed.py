@@ -40,6 +40,12 @@ def exchange_to_turns(exchanges: DataFrame) -> DataFrame:
         "user_id", "exchange_id", "pos", "role", "content", "created_at", "session_id")
 
 
+def chat_rows(turns: DataFrame) -> DataFrame:
+    """K9 rows as the chat table keeps them: the row id sorts a session's messages in their order."""
+    return turns.select("user_id", "created_at", "role", "content", "session_id",
+                        F.concat_ws("-", "session_id", F.col("pos").cast("string")).alias("row_id"))
+
+
 def _reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(msg)) for bad, msg in checks]), lambda x: x.isNotNull())
 

@@ -17,8 +17,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ["q_sources", "q_ingest", "q_rules", "q_aggregates", "q_history", "q_joins",
-            "q_keyed", "q_sinks", "q_render", "q_ml"]
+_MODULES = ["q_ingest", "q_rules", "q_aggregates", "q_history", "q_joins", "q_keyed", "q_render", "q_ml", "q_stored", "q_stream"]
 
 
 def query(name: str, oracle: str | None = None):
@@ -34,11 +33,7 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     for mod in _MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"{__package__}.{mod}":
-                raise
+        importlib.import_module(f"{__package__}.{mod}")
 
 
 def queries() -> dict[str, QueryFn]:

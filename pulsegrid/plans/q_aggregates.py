@@ -90,14 +90,13 @@ def s6_history_metric_stats(spark, root):
     """S6 + K3 + K10 + A3: readings written as the day-partitioned history, scanned back (partition
     pruning, pushed filters) and summarised."""
     from ..session import scratch_path
-    from ..sources.tables import read_table
+    from ..sources.stored import stored_readings
     from ..streaming import sinks as K
 
     path = scratch_path(spark, "history")
     K.layout(K.reading_rows(readings_of(spark, root))).write.partitionBy("event_date").parquet(
         path + "/readings")
-    hist = read_table(spark, path, "readings").withColumnRenamed("time", "event_time")
-    return _rounded(A.metric_stats(hist, AS_OF, CONTEXT_HOURS))
+    return _rounded(A.metric_stats(stored_readings(spark, path), AS_OF, CONTEXT_HOURS))
 
 
 @query("a3_metric_stats_approx")

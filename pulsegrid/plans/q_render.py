@@ -166,7 +166,7 @@ FROM readings
 """, "readings"))
 def k1_raw_docs(spark, root):
     """K1: raw reading documents for the daily index (write date from a fixed clock)."""
-    return K.raw_docs(readings_of(spark, root), now=AS_OF)
+    return K.raw_docs(readings_of(spark, root), now=AS_OF).drop("doc_id")
 
 
 @query("k2_agg_docs", with_views(f"""
@@ -188,7 +188,7 @@ def k2_agg_docs(spark, root):
 K3_SQL = with_views("""
 SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simulator') AS source,
        CASE WHEN phase IS NULL THEN '{}' ELSE '{"phase":"' || phase || '"}' END AS metadata,
-       CAST(CAST(event_time AS DATE) AS TIMESTAMP) AS event_date
+       lpad(CAST(event_id AS VARCHAR), 20, '0') AS row_id, CAST(CAST(event_time AS DATE) AS TIMESTAMP) AS event_date
 FROM readings
 """, "readings")
 
@@ -203,7 +203,7 @@ def k3_reading_rows(spark, root):
 SELECT user_id, created_at, severity, category, title, text,
        '{"metric":"' || metric || '","value":' || CAST(value AS VARCHAR)
        || CASE WHEN phase IS NULL THEN '' ELSE ',"phase":"' || phase || '"' END || '}' AS metadata,
-       CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS event_date
+       lpad(CAST(event_id AS VARCHAR), 20, '0') AS row_id, rule_pos, CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS event_date
 FROM alerts
 """, "alerts"))
 def k4_alert_rows(spark, root):

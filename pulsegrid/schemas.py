@@ -1,4 +1,7 @@
-"""Schemas declared at each edge (no inference on the hot path)."""
+"""Schemas declared at each edge (no inference on the hot path).
+
+Wire and table field names are fixed values of the data model.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +46,13 @@ BROKER_RECORD = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
 ])
 
+# A device message as a file source carries it.
+DEVICE_MESSAGE = T.StructType([
+    T.StructField("topic", T.StringType()),
+    T.StructField("payload", T.StringType()),
+    T.StructField("timestamp", T.TimestampType()),
+])
+
 # Decoded reading as the batch and stream jobs see it.
 DECODED_READING = T.StructType(BROKER_READING.fields + [
     T.StructField("kafka_topic", T.StringType()),
@@ -106,6 +116,7 @@ READING_ROWS = T.StructType([                                 # K3, partitioned
     T.StructField("value", T.DoubleType()),
     T.StructField("source", T.StringType()),
     T.StructField("metadata", T.StringType()),               # JSON text
+    T.StructField("row_id", T.StringType()),
     T.StructField("event_date", T.DateType()),
 ])
 
@@ -117,6 +128,8 @@ ALERT_ROWS = T.StructType([                                   # K4, partitioned
     T.StructField("title", T.StringType()),
     T.StructField("text", T.StringType()),
     T.StructField("metadata", T.StringType()),               # JSON text of metric, value, phase
+    T.StructField("row_id", T.StringType()),                 # of the reading
+    T.StructField("rule_pos", T.IntegerType()),
     T.StructField("event_date", T.DateType()),
 ])
 
@@ -126,6 +139,7 @@ CHAT_MESSAGES = T.StructType([
     T.StructField("role", T.StringType(), False),            # user | assistant | system
     T.StructField("content", T.StringType(), False),
     T.StructField("session_id", T.StringType()),
+    T.StructField("row_id", T.StringType()),
 ])
 
 JOURNAL = T.StructType([                                      # unique (user_id, entry_date) after K7
@@ -151,11 +165,3 @@ PREDICTIONS = T.StructType([                                  # K11
     T.StructField("model_version", T.StringType()),
     T.StructField("inputs", T.StringType()),                  # JSON text
 ])
-
-SLEEP_EVENTS = T.StructType([                                 # declared upstream, never written: schema only
-    T.StructField("user_id", T.LongType(), False),
-    T.StructField("start_time", T.TimestampType(), False),
-    T.StructField("end_time", T.TimestampType()),
-    T.StructField("phase", T.StringType()),
-    T.StructField("quality_score", T.DoubleType()),
-])

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs (S1, S4, W1-W6, K6): readings, window aggregates, the device bridge, alert delivery.
 
 Same DataFrame functions as the batch queries.  Sources and sinks are
 chosen by config: Kafka in production (the connector jar must be on the
@@ -23,10 +23,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
 from .. import schemas as S
-from ..operators.aggregates import flatten_window, window_agg
-from ..operators.ingest import decode
+from ..functions.metrics import topic_matches
+from ..operators.aggregates import dispatch_stats, flatten_window, window_agg
+from ..operators.ingest import bridge, decode_marked, mark_incomplete
+from ..operators.joins import route_alerts
+from ..operators.render import alert_message
 from ..operators.rules import detect_alerts, hr_watch
 from ..session import checkpoint_root, ensure_utc
+from ..sources.tables import path_exists, read_table
 from . import sinks as K
 
 
@@ -38,6 +42,7 @@ class StreamConfig:
     bootstrap: str | None = None             # kafka
     topic_pattern: str = C.STREAM_TOPIC_PATTERN
     max_files_per_trigger: int | None = None
+    max_offsets_per_trigger: int | None = 1_000_000  # kafka: bounds the batch that follows an outage
     out_root: str | None = None              # sinks (files); default under the checkpoint root
     checkpoint: str | None = None            # default under the checkpoint root
     raw_trigger: str | None = C.RAW_TRIGGER
@@ -46,6 +51,9 @@ class StreamConfig:
     watermark: str = C.WATERMARK_DELAY
     agg_mode: str = "update"                 # "update" (reference) or "append" (final windows)
     alerts_cfg: dict = field(default_factory=dict)
+    device_path: str | None = None           # device messages as JSON files (topic, payload, timestamp): runs the bridge
+    alerts_path: str | None = None           # alert records as JSON files: runs the delivery
+    users_root: str | None = None            # where the delivery reads the users table
 
     def ckpt(self, spark: SparkSession, name: str) -> str:
         return os.path.join(self.checkpoint or os.path.join(checkpoint_root(spark), "pulsegrid-streams"), name)
@@ -53,40 +61,67 @@ class StreamConfig:
     def out(self, spark: SparkSession, name: str) -> str:
         return os.path.join(self.out_root or os.path.join(checkpoint_root(spark), "pulsegrid-out"), name)
 
+    def writer_id(self, spark: SparkSession, name: str) -> str:
+        """The id that the stream's checkpoint keeps over restarts; another checkpoint has another one."""
+        meta = os.path.join(self.ckpt(spark, name), "metadata")
+        if not path_exists(spark, meta):  # a batch run by hand, outside a stream
+            return f"{name}-manual"
+        return spark.read.text(meta).select(F.get_json_object("value", "$.id")).first()[0]
 
-def read_readings(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
-    """S1 + S2 + S3: the decoded reading stream.
+
+def _kafka(spark: SparkSession, cfg: StreamConfig):
+    reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", cfg.bootstrap)
+              .option("startingOffsets", "latest").option("failOnDataLoss", "false"))
+    return reader.option("maxOffsetsPerTrigger", cfg.max_offsets_per_trigger) if cfg.max_offsets_per_trigger else reader
+
+
+def _files(spark: SparkSession, cfg: StreamConfig, schema):
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger) if cfg.max_files_per_trigger else reader
+
+
+def read_marked(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
+    """S1 + S2 + S3: the decoded reading stream, with ``raw`` and ``reason`` (not null: to quarantine).
 
     Kafka: every topic matching ``biometrics\\..*`` from the latest offset,
-    tolerating data loss.  Files: ``records`` = JSON lines of broker records
-    (key, topic, value, timestamp), decoded like Kafka values; ``json`` /
-    ``parquet`` = already decoded readings.
+    tolerating data loss, at most ``max_offsets_per_trigger`` a batch.  Files:
+    ``records`` = JSON lines of broker records (key, topic, value, timestamp),
+    decoded like Kafka values; ``json`` / ``parquet`` = already decoded readings.
     """
     ensure_utc(spark)
     if cfg.source_format == "kafka":
-        raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", cfg.bootstrap)
-               .option("subscribePattern", cfg.topic_pattern).option("startingOffsets", "latest")
-               .option("failOnDataLoss", "false").load())
-        return decode(raw.select("key", "value", "topic", "timestamp"))
-    if cfg.source_format == "records":  # broker records dropped as JSON lines: decode like Kafka values
-        reader = spark.readStream.schema(S.BROKER_RECORD)
-        if cfg.max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger)
-        return decode(reader.json(cfg.source_path))
-    reader = spark.readStream.format(cfg.source_format)
-    if cfg.max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger)
-    return reader.schema(S.DECODED_READING).load(cfg.source_path)
+        raw = _kafka(spark, cfg).option("subscribePattern", cfg.topic_pattern).load()
+        return decode_marked(raw.select("key", "value", "topic", "timestamp"))
+    if cfg.source_format == "records":
+        return decode_marked(_files(spark, cfg, S.BROKER_RECORD).json(cfg.source_path))
+    return mark_incomplete(_files(spark, cfg, S.DECODED_READING).format(cfg.source_format).load(cfg.source_path))
+
+
+def read_readings(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
+    """The complete readings of ``read_marked``."""
+    return read_marked(spark, cfg).where(F.col("reason").isNull()).drop("raw", "reason")
 
 
 def read_alerts(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     """Alert stream: JSON alerts from ``alerts.detected`` (latest offset) or from files."""
     ensure_utc(spark)
     if cfg.source_format == "kafka":
-        raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", cfg.bootstrap)
-               .option("subscribe", C.ALERTS_TOPIC).option("startingOffsets", "latest").load())
+        raw = _kafka(spark, cfg).option("subscribe", C.ALERTS_TOPIC).load()
         return raw.select(F.inline(F.array(F.from_json(F.col("value").cast("string"), S.ALERT))))
-    return spark.readStream.schema(S.ALERT).json(cfg.source_path)
+    return _files(spark, cfg, S.ALERT).json(cfg.alerts_path or cfg.source_path)
+
+
+def read_alert_records(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
+    """S4 from record files, as the K5 sink publishes them (key, topic, value)."""
+    ensure_utc(spark)
+    raw = _files(spark, cfg, "key string, topic string, value string").json(cfg.alerts_path)
+    return raw.select(F.inline(F.array(F.from_json("value", S.ALERT))))
+
+
+def read_device_messages(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
+    """The bridge's input from files: topic, payload, timestamp."""
+    ensure_utc(spark)
+    return _files(spark, cfg, S.DEVICE_MESSAGE).json(cfg.device_path)
 
 
 def with_watermark(df: DataFrame, delay: str = C.WATERMARK_DELAY, time_col: str = "event_time") -> DataFrame:
@@ -99,27 +134,36 @@ def windowed(df: DataFrame, cfg: StreamConfig) -> DataFrame:
     return flatten_window(window_agg(with_watermark(df, cfg.watermark)))
 
 
-def process_batch(spark: SparkSession, cfg: StreamConfig):
-    """K6: micro-batch fan-out: raw documents, history rows and rule alerts.
+def process_batch(spark: SparkSession, cfg: StreamConfig, name: str = "raw"):
+    """K6: micro-batch fan-out: quarantine, raw documents, history rows and rule alerts.
 
     The batch is persisted once and written by DataFrame writers (no
-    collect); an empty batch writes nothing.  Every write is keyed by the
-    batch id, so a replayed batch overwrites its own output.
+    collect); an empty batch writes nothing.  Every write goes to the stream's
+    and batch's own partition, so a replayed batch overwrites its own output.
+    History rows land as they come; ``sinks.compact_day`` sorts a day for good.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
+        if "reason" not in batch.columns:
+            batch = mark_incomplete(batch)
         batch = batch.persist()
         try:
             if batch.isEmpty():
                 return
-            K.write_partitioned(K.raw_docs(batch), cfg.out(spark, "raw_docs"), "json", ["index"], batch_id)
-            K.write_partitioned(K.layout(K.reading_rows(batch)), cfg.out(spark, "readings"), "parquet",
-                                ["event_date"], batch_id)
-            alerts = detect_alerts(batch, created_at=F.col("event_time"), keep=["event_time"]).persist()
+            writer = cfg.writer_id(spark, name)
+
+            def put(df: DataFrame, table: str, fmt: str = "parquet") -> None:
+                K.write_batch(df, cfg.out(spark, table), writer, batch_id, fmt)
+
+            good = batch.where(F.col("reason").isNull()).drop("raw", "reason")
+            put(batch.where(F.col("reason").isNotNull()).select(
+                "reason", "raw", *[c for c in ("kafka_topic", "kafka_ts") if c in batch.columns]), "quarantine", "json")
+            put(K.raw_docs(good), "raw_docs", "json")
+            put(K.reading_rows(good), "readings")
+            marked = good.withColumn("event_id", K.reading_id(good))
+            alerts = detect_alerts(marked, created_at=F.col("event_time"), keep=["event_id", "event_time"]).persist()
             try:
-                K.write_partitioned(K.alert_rows(alerts), cfg.out(spark, "alerts"), "parquet", ["event_date"],
-                                    batch_id)
-                K.publish(K.alert_records(alerts), cfg.alerts_cfg or {"path": cfg.out(spark, "alerts_topic")},
-                          batch_id)
+                put(K.alert_rows(alerts), "alerts")
+                K.publish(K.alert_records(alerts), cfg.alerts_cfg or {"path": cfg.out(spark, "alerts_topic")}, writer, batch_id)
             finally:
                 alerts.unpersist()
         finally:
@@ -127,13 +171,70 @@ def process_batch(spark: SparkSession, cfg: StreamConfig):
     return run
 
 
-def agg_batch(spark: SparkSession, cfg: StreamConfig):
+def agg_batch(spark: SparkSession, cfg: StreamConfig, name: str = "agg"):
     """K2 per micro-batch: window documents, written idempotently by batch id."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        K.write_partitioned(K.agg_docs(batch), cfg.out(spark, "agg_docs"), "json", ["index"], batch_id)
+        K.write_batch(K.agg_docs(batch), cfg.out(spark, "agg_docs"), cfg.writer_id(spark, name), batch_id, "json")
+    return run
+
+
+def bridge_batch(spark: SparkSession, cfg: StreamConfig, name: str = "bridge"):
+    """P1-P6, P9 per micro-batch: device messages on the device topics -> broker records, quarantine, counts per metric."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.where(topic_matches("topic", f"{C.DEVICE_TOPIC_PREFIX}/+")).persist()
+        try:
+            if batch.isEmpty():
+                return
+            writer = cfg.writer_id(spark, name)
+            # the ingest stamp is the message's own time: a replay writes the same records
+            records, bad = bridge(batch, now=F.col("timestamp"))
+            K.write_batch(records.select("key", "value", "topic", "timestamp"), cfg.out(spark, "broker"), writer, batch_id, "json")
+            K.write_batch(bad.select("topic", F.col(S.CORRUPT_COLUMN).alias("raw"), "timestamp"), cfg.out(spark, "bridge_quarantine"),
+                          writer, batch_id, "json")
+            K.write_batch(records.groupBy("metric").agg(F.count(F.lit(1)).alias("n")), cfg.out(spark, "bridge_counts"), writer, batch_id)
+        finally:
+            batch.unpersist()
+    return run
+
+
+def bridge_totals(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
+    """Messages forwarded so far, per metric and in total."""
+    counts = spark.read.parquet(cfg.out(spark, "bridge_counts")).rollup("metric").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    return counts.select(F.when(F.col("g") == 1, F.lit("total")).otherwise(F.col("metric")).alias("metric"), "n")
+
+
+def deliver_batch(spark: SparkSession, cfg: StreamConfig, users, name: str = "delivery"):
+    """S4 -> J1 -> F1 per micro-batch: an outbox row for each alert and channel, and the A16 counters.
+
+    Every alert with a user goes to the live channel, and to the chat channel
+    if the user has a contact id.  ``users()`` gives the user table as it is at
+    the batch.  The outbox id is the alert's id and channel.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            writer = cfg.writer_id(spark, name)
+            routed = route_alerts(batch, users(), "left")
+            text = routed.withColumns({"alert_id": K.alert_id(), "message": alert_message(routed)})
+            channels = F.array_compact(F.array(F.lit("live"), F.when(F.col("contact_id").isNotNull(), F.lit("chat"))))
+            rows = text.withColumn("channel", F.explode(channels)).select(
+                F.concat_ws("-", "alert_id", "channel").alias("outbox_id"), "alert_id", "channel", "user_id",
+                F.when(F.col("channel") == "chat", F.col("contact_id")).alias("contact_id"), "severity", "message", "created_at")
+            K.write_batch(rows, cfg.out(spark, "outbox"), writer, batch_id)
+            K.write_batch(dispatch_stats(batch, routed), cfg.out(spark, "dispatch_counts"), writer, batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 
+def delivery_totals(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
+    """Alerts received and delivered so far, by channel."""
+    counts = spark.read.parquet(cfg.out(spark, "dispatch_counts"))
+    return counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("received", "live", "chat")])
+
+
 def _trigger(writer, every: str | None, available_now: bool):
     if available_now:
         return writer.trigger(availableNow=True)
@@ -152,15 +253,32 @@ def start_query(df: DataFrame, name: str, cfg: StreamConfig, spark: SparkSession
     return writer.format("parquet").option("path", cfg.out(spark, name)).start()
 
 
+def start_bridge(spark: SparkSession, cfg: StreamConfig) -> StreamingQuery:
+    """The device bridge: message files -> broker records, quarantine, counts."""
+    return start_query(read_device_messages(spark, cfg), "bridge", cfg, spark, foreach=bridge_batch(spark, cfg), every=cfg.raw_trigger)
+
+
+def start_delivery(spark: SparkSession, cfg: StreamConfig, users=None) -> StreamingQuery:
+    """Alert delivery: alert records -> outbox and counters."""
+    users = users or (lambda: read_table(spark, cfg.users_root, "users"))
+    alerts = read_alerts(spark, cfg) if cfg.source_format == "kafka" else read_alert_records(spark, cfg)
+    return start_query(alerts, "delivery", cfg, spark, foreach=deliver_batch(spark, cfg, users), every=cfg.raw_trigger)
+
+
 def start_all(spark: SparkSession, cfg: StreamConfig) -> list[StreamingQuery]:
-    """The raw fan-out and the window aggregate over one source (and the HR watch)."""
+    """The raw fan-out, the window aggregate and the HR watch over one source; the bridge and the delivery where configured."""
     parsed = read_readings(spark, cfg)
-    raw_q = start_query(parsed, "raw", cfg, spark, foreach=process_batch(spark, cfg), every=cfg.raw_trigger)
+    raw_q = start_query(read_marked(spark, cfg), "raw", cfg, spark, foreach=process_batch(spark, cfg), every=cfg.raw_trigger)
     agg_q = start_query(windowed(parsed, cfg), "agg", cfg, spark, foreach=agg_batch(spark, cfg),
                         mode=cfg.agg_mode, every=cfg.agg_trigger)
     hr_q = start_query(hr_watch(with_watermark(parsed, cfg.watermark)).where(F.col("flagged")), "hr_watch",
                        cfg, spark, mode="append", every=cfg.raw_trigger)
-    return [raw_q, agg_q, hr_q]
+    queries = [raw_q, agg_q, hr_q]
+    if cfg.device_path:
+        queries.append(start_bridge(spark, cfg))
+    if cfg.users_root:
+        queries.append(start_delivery(spark, cfg))
+    return queries
 
 
 def run_forever(spark: SparkSession, cfg: StreamConfig) -> None:
@@ -181,13 +299,18 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--bootstrap")
     ap.add_argument("--out-root")
     ap.add_argument("--checkpoint")
+    ap.add_argument("--device-path", help="device messages as JSON files: run the bridge too")
+    ap.add_argument("--alerts-path", help="alert records as JSON files, for the delivery")
+    ap.add_argument("--users-root", help="folder of the users table: run the alert delivery too")
+    ap.add_argument("--max-offsets-per-trigger", type=int, default=StreamConfig.max_offsets_per_trigger)
     ap.add_argument("--agg-mode", default="update", choices=["update", "append"])
     ap.add_argument("--available-now", action="store_true", help="drain the current input and stop")
     args = ap.parse_args(argv)
     spark = build_session(app_name="pulsegrid-stream")
     cfg = StreamConfig(source_format=args.source_format, source_path=args.source_path, bootstrap=args.bootstrap,
                        out_root=args.out_root, checkpoint=args.checkpoint, agg_mode=args.agg_mode,
-                       available_now=args.available_now)
+                       available_now=args.available_now, device_path=args.device_path, alerts_path=args.alerts_path,
+                       users_root=args.users_root, max_offsets_per_trigger=args.max_offsets_per_trigger)
     if args.available_now:
         for q in start_all(spark, cfg):
             q.awaitTermination()

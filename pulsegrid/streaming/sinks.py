@@ -1,11 +1,13 @@
-"""Sinks (K1-K5, K10, K11): document projections and idempotent DataFrame writes.
+"""Sinks (K1-K5, K7-K11): document projections and idempotent DataFrame writes.
 
 Each sink is a projection (testable as a query) plus a writer.  Writers
 let errors fail the batch instead of swallowing them (D4) and are
-idempotent per micro-batch: a batch's rows go to a ``batch_id=<n>``
-partition written in overwrite mode (dynamic partition overwrite), so a
-replay after a crash rewrites the same partition instead of appending twice.
-Documents carry deterministic ids (D5), so readers can keep the latest per key.
+idempotent per micro-batch: a batch's rows go to the partition
+``writer_id=<stream>/batch_id=<n>``, written in overwrite mode (dynamic
+partition overwrite).  A replay after a crash rewrites its own partition; a
+stream with another checkpoint is another writer and never touches it.
+Nothing in a row depends on the clock of the replay.  Documents and rows carry
+deterministic ids (D5), so readers and the daily compaction keep one per key.
 """
 
 from __future__ import annotations
@@ -28,10 +30,35 @@ def _now(now) -> Column:
     return F.lit(now).cast("timestamp") if isinstance(now, str) else now
 
 
+def _index(prefix: str, day: Column, now) -> Column:
+    return F.concat(F.lit(prefix), F.date_format(day if now is None else _now(now), "yyyy-MM-dd"))
+
+
+def _digest(*cols) -> Column:
+    """A text id of the columns' values (null and empty told apart)."""
+    return F.md5(F.to_json(F.struct(*cols)))
+
+
+def reading_id(readings: DataFrame) -> Column:
+    """The id of a reading: its event id where it has one (padded, so text sorts as the number), else a digest of its fields."""
+    if "event_id" in readings.columns:
+        text = F.col("event_id").cast("string")
+        return F.when(text.rlike("^[0-9]{1,20}$"), F.lpad(text, 20, "0")).otherwise(text)
+    fields = [c for c in ("user_id", "metric", "event_time", "value", "unit", "type", "end_date", "source_name", "device", "metadata")
+              if c in readings.columns]
+    return _digest(*fields)
+
+
 def raw_docs(readings: DataFrame, now=None) -> DataFrame:
-    """K1: raw reading documents, daily index by UTC write date, source defaults to 'simulator'."""
+    """K1: raw reading documents, daily index by UTC ingest day, source defaults to 'simulator'.
+
+    The day is a column of the record (ingest, broker or event time), so a
+    replay on another day writes the same documents; ``now`` overrides it.
+    """
+    times = [F.to_date(F.try_to_timestamp("ingested_at"))]
+    times += [F.to_date(c) for c in ("kafka_ts", "event_time") if c in readings.columns]
     return readings.select(
-        F.concat(F.lit("biometrics-"), F.date_format(_now(now), "yyyy-MM-dd")).alias("index"),
+        _index("biometrics-", F.coalesce(*times), now).alias("index"), reading_id(readings).alias("doc_id"),
         F.col("start_date").alias("@timestamp"), "user_id", "metric", "value", "unit",
         get_key("metadata", "phase").alias("phase"),
         F.coalesce(F.col("source_name"), F.lit(C.DEFAULT_SOURCE)).alias("source"),
@@ -39,41 +66,48 @@ def raw_docs(readings: DataFrame, now=None) -> DataFrame:
 
 
 def agg_docs(windows: DataFrame, now=None) -> DataFrame:
-    """K2: window-aggregate documents keyed by (window start, user, metric)."""
+    """K2: window-aggregate documents keyed by (window start, user, metric), daily index by the window's day."""
     start = iso_text(F.col("window_start"))
     return windows.select(
-        F.concat(F.lit("biometrics-agg-"), F.date_format(_now(now), "yyyy-MM-dd")).alias("index"),
+        _index("biometrics-agg-", F.to_date("window_start"), now).alias("index"),
         F.concat_ws("|", start, F.col("user_id").cast("string"), F.col("metric")).alias("doc_id"),
         start.alias("@timestamp"), iso_text(F.col("window_end")).alias("window_end"),
         "user_id", "metric", "avg_value", "min_value", "max_value", "n_samples")
 
 
 def reading_rows(readings: DataFrame) -> DataFrame:
-    """K3: reading-history rows: time, user, metric, value, source, metadata as JSON text ('{}' if none)."""
+    """K3: reading-history rows: time, user, metric, value, source, metadata as JSON text ('{}' if none), row id."""
     return readings.select(
         F.col("event_time").alias("time"), "user_id", "metric", "value",
         F.coalesce(F.col("source_name"), F.lit(C.DEFAULT_SOURCE)).alias("source"),
-        F.coalesce(F.to_json("metadata"), F.lit("{}")).alias("metadata"),
+        F.coalesce(F.to_json("metadata"), F.lit("{}")).alias("metadata"), reading_id(readings).alias("row_id"),
         F.to_date("event_time").alias("event_date"))
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
-    """K4: alert-history rows; the non-core fields packed into a JSON column (nulls omitted)."""
+    """K4: alert-history rows; the non-core fields packed into a JSON column (nulls omitted), the reading's row id and rule position."""
     return alerts.select(
         "user_id", "created_at", "severity", "category", "title", "text",
-        F.to_json(F.struct("metric", "value", "phase")).alias("metadata"),
+        F.to_json(F.struct("metric", "value", "phase")).alias("metadata"), reading_id(alerts).alias("row_id"), "rule_pos",
         F.to_date("created_at").alias("event_date"))
 
 
+ALERT_FIELDS = ("user_id", "created_at", "severity", "category", "title", "text", "metric", "value", "phase")
+
+
+def alert_id() -> Column:
+    """The id of an alert record, the same for every copy of it."""
+    return _digest(*ALERT_FIELDS)
+
+
 def alert_records(alerts: DataFrame) -> DataFrame:
-    """K5: alert-topic records: key = user id text, value = the alert as JSON."""
-    body = F.struct(*[F.col(c) for c in ("user_id", "created_at", "severity", "category", "title", "text",
-                                         "metric", "value", "phase")])
+    """K5: alert-topic records: key = user id text, value = the alert as JSON with its id, so consumers can tell copies."""
+    body = F.struct(*ALERT_FIELDS, alert_id().alias("alert_id"))
     return alerts.select(route_key(F.col("user_id")).alias("key"), F.lit(C.ALERTS_TOPIC).alias("topic"),
                          F.to_json(body, {"timestampFormat": JSON_TIMESTAMP}).alias("value"))
 
 
-def layout(df: DataFrame, date_col: str = "event_date", order: list[str] | None = None) -> DataFrame:
+def layout(df: DataFrame, date_col: str = "event_date", order: list[str] | None = None, time_col: str | None = None) -> DataFrame:
     """History layout: rows clustered by day, sorted (user, metric, time desc) within files.
 
     Range partitioning on (day, user, metric, time) gives each task a
@@ -85,31 +119,47 @@ def layout(df: DataFrame, date_col: str = "event_date", order: list[str] | None
     (user, metric, time desc) index.
     """
     order = order or ["user_id", "metric"]
-    time_col = "time" if "time" in df.columns else "event_time"
+    time_col = time_col or ("time" if "time" in df.columns else "event_time")
     ranged = df.repartitionByRange(F.col(date_col), *[F.col(c) for c in order], F.col(time_col))
     return ranged.sortWithinPartitions(date_col, *order, F.col(time_col).desc())
 
 
-def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-                      batch_id: int | None = None) -> None:
-    """Write ``df`` under ``path``; with ``batch_id`` the write is an idempotent partition overwrite."""
-    parts = list(partition_by or [])
-    if batch_id is not None:
-        df = df.withColumn("batch_id", F.lit(int(batch_id)))
-        parts.append("batch_id")
-    writer = df.write.format(fmt).option("partitionOverwriteMode", "dynamic")
-    if parts:
-        writer = writer.partitionBy(*parts)
-    writer.mode("overwrite" if batch_id is not None else "append").save(path)
+def write_batch(df: DataFrame, path: str, writer_id: str, batch_id: int, fmt: str = "parquet") -> None:
+    """Write one micro-batch: an idempotent overwrite of its own partition, no matter how often it is replayed."""
+    marked = df.withColumns({"writer_id": F.lit(writer_id), "batch_id": F.lit(int(batch_id)).cast("bigint")})
+    (marked.write.format(fmt).option("partitionOverwriteMode", "dynamic").partitionBy("writer_id", "batch_id")
+     .mode("overwrite").save(path))
+
+
+def append_log(df: DataFrame, path: str, write_id: str) -> None:
+    """Add rows to a keyed table's log (K7-K9, K11) under the caller's ``write_id``: a repeated write replaces itself."""
+    (df.withColumn("write_id", F.lit(write_id)).write.option("partitionOverwriteMode", "dynamic")
+     .partitionBy("write_id").mode("overwrite").parquet(path))
+
+
+def compact_days(spark, landing: str, history: str, days: list, key: str = "row_id") -> None:
+    """K10 job: write some days of the landing batches into the day-partitioned history.
+
+    Reads every writer's batches of those days, keeps one row per id and rule
+    (a replayed or twice delivered record is one), and replaces the days'
+    partitions in the ``layout`` order: a few large files each.  Running it again,
+    after late readings or a crash, gives the complete days again.
+    """
+    rows = spark.read.parquet(landing).where(F.col("event_date").cast("string").isin([str(d) for d in days])).drop("writer_id", "batch_id")
+    keys = [key] + [c for c in ("rule_pos",) if c in rows.columns]
+    one = rows.dropDuplicates(keys)
+    order = ["user_id", "metric"] if "metric" in rows.columns else ["user_id", "severity"]
+    (layout(one, order=order, time_col="time" if "time" in rows.columns else "created_at").write
+     .option("partitionOverwriteMode", "dynamic").partitionBy("event_date").mode("overwrite").parquet(history))
 
 
-def publish(records: DataFrame, cfg: dict, batch_id: int | None = None) -> None:
-    """K5 writer: Kafka when configured (needs the connector jar), else JSON files."""
+def publish(records: DataFrame, cfg: dict, writer_id: str, batch_id: int) -> None:
+    """K5 writer: Kafka when configured (needs the connector jar; at least once, copies share their alert id), else JSON files."""
     if cfg.get("format") == "kafka":
         (records.selectExpr("key", "value", "topic").write.format("kafka")
          .option("kafka.bootstrap.servers", cfg["bootstrap"]).save())
     else:
-        write_partitioned(records, cfg["path"], fmt="json", batch_id=batch_id)
+        write_batch(records, cfg["path"], writer_id, batch_id, fmt="json")
 
 
 def prediction_rows(scored: DataFrame, model_version: str, now=None) -> DataFrame:
@@ -127,6 +177,6 @@ def latest_docs(docs: DataFrame, key: str = "doc_id", version: str = "batch_id")
 
     A ``max(struct(version, row))`` aggregate, so the pick is map-side combined.
     """
-    rest = [c for c in docs.columns if c not in (key, version)]
+    rest = [c for c in docs.columns if c not in (key, version, "writer_id")]
     agg = docs.groupBy(key).agg(F.max(F.struct(F.col(version).alias("_ver"), *rest)).alias("_l"))
     return agg.select(key, *[F.col(f"_l.{c}").alias(c) for c in rest], F.col("_l._ver").alias(version))

@@ -12,7 +12,7 @@ from pulsegrid.operators.history import in_scope, recent_alerts
 from pulsegrid.operators.joins import route_alerts
 from pulsegrid.operators.rules import detect_alerts
 from pulsegrid.plans.common import alerts_of, readings_of, users_of
-from pulsegrid.sources.tables import read_table
+from pulsegrid.sources.stored import stored_readings
 from pulsegrid.streaming import sinks as K
 
 from conftest import SF_SMALL
@@ -23,8 +23,7 @@ def history(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("hist"))
     rows = K.layout(K.reading_rows(readings_of(spark, SF_SMALL)))
     rows.write.partitionBy("event_date").parquet(os.path.join(root, "readings"))
-    h = read_table(spark, root, "readings").withColumnRenamed("time", "event_time")
-    return h.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    return stored_readings(spark, root)
 
 
 def _plan(df) -> str:
