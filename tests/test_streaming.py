@@ -209,3 +209,120 @@ def test_stream_decodes_broker_records_like_batch(spark, scratch):
     batch = I.decode(records.drop("metric")).select(*cols)
     got = spark.table("decoded")
     assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+
+
+def _records_cfg(scratch, name, src, out):
+    return J.StreamConfig(source_format="records", source_path=src, available_now=True,
+                          checkpoint=os.path.join(scratch, name), out_root=out)
+
+
+def _record(value, ts="2024-01-01T00:00:00Z", topic="biometrics.heart_rate"):
+    return {"key": "1", "value": value, "topic": topic, "timestamp": ts}
+
+
+def _value(user, ts="2024-01-01T00:00:00+00:00", **more):
+    return json.dumps({"user_id": user, "type": "HKQuantityTypeIdentifierHeartRate", "unit": "count/min", "value": 70.0,
+                       "start_date": ts, "metric": "heart_rate", "ingested_at": ts, **more})
+
+
+def test_new_checkpoint_on_an_old_output_keeps_its_rows(spark, scratch):
+    """A second stream with another checkpoint starts at batch 0 again and must not touch the first one's rows."""
+    out = os.path.join(scratch, "out")
+    for user in (1, 2):
+        src = os.path.join(scratch, f"src{user}")
+        _write_batches(src, [[_record(_value(user))]])
+        cfg = _records_cfg(scratch, f"ckpt{user}", src, out)
+        _drain(J.start_query(J.read_marked(spark, cfg), "raw", cfg, spark, foreach=J.process_batch(spark, cfg)))
+    rows = spark.read.parquet(os.path.join(out, "readings"))
+    assert sorted(r.user_id for r in rows.collect()) == [1, 2]
+    assert rows.select("writer_id").distinct().count() == 2
+
+
+def test_replay_on_another_day_writes_the_same_documents(spark, scratch):
+    """Index and ids come from the record, not from the clock of the write."""
+    from pulsegrid.streaming import sinks as K
+    cfg = _cfg(scratch, None)
+    batch = readings_of(spark, SF_SMALL).limit(50).select(*FIELDS)
+    docs = K.raw_docs(batch)
+    assert {r["index"] for r in docs.select("index").distinct().collect()} == {
+        f"biometrics-{r.d}" for r in batch.select(F.date_format("event_time", "yyyy-MM-dd").alias("d")).distinct().collect()}
+    assert docs.select("doc_id").distinct().count() == 50
+    run = J.process_batch(spark, cfg)
+    run(batch, 0)
+    run(batch, 0)
+    assert spark.read.json(cfg.out(spark, "raw_docs")).count() == 50
+
+
+def test_compaction_keeps_one_row_an_id_in_few_files(spark, scratch):
+    """Replays by other writers collapse, a day is one folder, and late rows join on the next run."""
+    from pulsegrid.streaming import sinks as K
+    rows = K.reading_rows(readings_of(spark, SF_SMALL))
+    landing, history = os.path.join(scratch, "landing"), os.path.join(scratch, "history")
+    days = [r.event_date for r in rows.select("event_date").distinct().collect()]
+    for batch in range(5):
+        K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) == batch), landing, "w1", batch)
+    K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) == 0), landing, "w2", 0)
+    K.compact_days(spark, landing, history, days)
+    assert spark.read.parquet(history).count() == rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) < 5).count()
+    K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) == 5), landing, "w1", 5)
+    K.compact_days(spark, landing, history, days[:1])
+    K.compact_days(spark, landing, history, days[1:])
+    back = spark.read.parquet(history).select(*rows.columns)
+    assert back.count() == rows.count() and back.exceptAll(rows).count() == 0
+    folders = [d for d in os.listdir(history) if d.startswith("event_date=")]
+    assert sorted(folders) == sorted(f"event_date={d}" for d in days)
+    assert all(len([f for f in os.listdir(os.path.join(history, d)) if f.endswith(".parquet")]) <= 4 for d in folders)
+
+
+def test_malformed_and_incomplete_records_go_to_quarantine(spark, scratch):
+    bad = ["not json", "", "   ", None, "null", _value(None), _value(1, "no time"), json.dumps({"user_id": 1, "start_date": "2024-01-01T00:00:00Z"})]
+    src = os.path.join(scratch, "src")
+    _write_batches(src, [[_record(v) for v in bad] + [_record(_value(7))]])
+    cfg = _records_cfg(scratch, "ckpt", src, os.path.join(scratch, "out"))
+    for q in J.start_all(spark, cfg):
+        _drain(q)
+    rows = spark.read.parquet(cfg.out(spark, "readings")).collect()
+    assert [r.user_id for r in rows] == [7] and all(r.time and r.metric for r in rows)
+    held = spark.read.schema("reason string, raw string").json(cfg.out(spark, "quarantine")).collect()
+    assert sorted(r.reason for r in held) == ["no metric", "no time", "no user"] + ["unreadable"] * 5
+    assert sorted(r.raw or "" for r in held) == sorted(v or "" for v in bad)
+    assert spark.read.json(cfg.out(spark, "raw_docs")).count() == 1
+
+
+def test_bridge_passes_unknown_fields(spark):
+    from pulsegrid.operators.ingest import bridge
+    payload = '{"user_id":5,"type":"x","value":1.5,"extra":{"a":[1,2]},"metric":"sent by the device","none":null}'
+    msgs = spark.createDataFrame([("wearable/a/b", payload), ("t", ""), ("t", "[1]x")], "topic string, payload string")
+    records, bad = bridge(msgs, now="2024-01-01 00:00:00")
+    value = json.loads(records.first().value)
+    assert value["extra"] == {"a": [1, 2]} and value["none"] is None and value["metric"] == "unknown" and value["bridge"]
+    assert records.count() == 1 and bad.count() == 2
+
+
+def test_delivery_replay_and_channels(spark, scratch):
+    src = os.path.join(scratch, "alerts")
+    rows = [{"key": str(u), "topic": "alerts.detected", "value": json.dumps({
+        "user_id": u, "created_at": "2024-01-01T00:00:00.000000+00:00", "severity": "warning", "category": "general", "title": "t",
+        "text": "x", "metric": "temperature", "value": 35.0})} for u in (1, 2, None)]
+    _write_batches(src, [rows])
+    users = spark.createDataFrame([(1, "chat-1"), (2, None)], "user_id long, contact_id string")
+    cfg = J.StreamConfig(alerts_path=src, available_now=True, checkpoint=os.path.join(scratch, "c"), out_root=os.path.join(scratch, "o"))
+    _drain(J.start_delivery(spark, cfg, lambda: users))
+    out = spark.read.parquet(cfg.out(spark, "outbox"))
+    assert sorted((r.user_id, r.channel) for r in out.collect()) == [(1, "chat"), (1, "live"), (2, "live")]
+    assert out.select("outbox_id").distinct().count() == 3
+    assert tuple(J.delivery_totals(spark, cfg).first()) == (3, 2, 1)
+
+
+def test_logs_replace_a_repeated_write(spark, scratch):
+    from pulsegrid.sources import stored as ST
+    from pulsegrid.streaming import sinks as K
+    users = spark.createDataFrame([(1, "old"), (2, "old")], "user_id long, contact_id string")
+    links = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 9, "c")], "seq long, user_id long, contact_id string")
+    path = os.path.join(scratch, "contact_links")
+    K.append_log(links.where("seq = 2"), path, "w2")
+    for _ in range(2):
+        K.append_log(links.where("seq <> 2"), path, "w1")
+    assert spark.read.parquet(path).count() == 3
+    got = {r.user_id: r.contact_id for r in ST.stored_users(spark, users, scratch).collect()}
+    assert got == {1: "b", 2: "old"}
