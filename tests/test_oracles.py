@@ -10,12 +10,13 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as E  # noqa: E402
+from pulsegrid.plans import catalog  # noqa: E402
 from oracle_harness import compare, duck  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.queries()  # the optional subpackage tests its own
+ORACLES = catalog.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,10 @@ def test_entry_flagship(spark):
     assert df.count() > 0
 
 
+def test_entry_module_has_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) >= 100
