@@ -1,8 +1,8 @@
 """Texts dealt into chunks of ascending ids, and keys exchanged between chunks.
 
 A chunk is about ``CHUNK_BYTES`` of whole texts with neighbouring ids, held as
-compressed blobs and written once to the shared folder, partitioned by chunk,
-so that later passes over the chunks shuffle no text.
+compressed blobs and written once to the shared folder, bucketed by chunk, so
+that later passes over the chunks shuffle no text.
 
 Chunks ask each other about keys (hashes): a chunk sends its distinct sorted
 keys, packed, to buckets; a bucket compares the keys of all chunks and answers
@@ -21,8 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
-from .common import text_or_empty
+from .common import bucketed, text_or_empty
 
 CHUNK_BYTES = 8 << 20
 MAX_CHUNKS = 4_000_000  # a bound of 8 bytes each goes through the driver
@@ -71,7 +70,6 @@ def _by_bucket(table: pa.Table) -> dict:
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Chunked:
     """Deal all rows into chunks of neighbouring integer ids (null ids last), about ``chunk_bytes`` of text each."""
     spark = docs.sparkSession
-    checkpoint_root(spark)  # sets the checkpoint folder
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
     sized = rows.select("ord", F.octet_length("text").cast("bigint").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
@@ -103,7 +101,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     n = len(bounds) + 1
     parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = rows.mapInArrow(pack, "chunk int, ids binary, lens binary, blob binary")
-    return Chunked(packed.repartition(parts, "chunk").checkpoint(eager=True), n)
+    return Chunked(bucketed(packed, "chunks", parts, "chunk"), n)
 
 
 # -- hashes -----------------------------------------------------------------
@@ -132,9 +130,12 @@ def rolling(x: np.ndarray, width: int, base: int = _A) -> np.ndarray:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 # -- short keys: 48 bits, packed in four bytes and a count by the bits above ---

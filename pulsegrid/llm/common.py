@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *by: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder in buckets by ``by`` (sorted) and read it back.
+
+    Later joins and groupings by these columns shuffle nothing of it.  The
+    table is external and leaves the catalog at once; the frame keeps its buckets.
+    """
+    spark = df.sparkSession
+    table = f"llm_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by)
+     .option("path", scratch_path(spark, f"llm-{name}")).saveAsTable(table))
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def first_by_hash(df: DataFrame, n: int, seed: int, *by: str) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest seeded hash of the columns ``by`` (ties by those columns).
+
+    Rows whose hash is far above what ``n`` of all rows need are dropped in the
+    tasks that read them, so the task that puts the rest in order gets about
+    ``2 * n`` rows, not ``n`` from each task.
+    """
+    total = df.count()
+    keyed = df.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 1))
+    out = keyed.orderBy("_hash", *by).limit(n).drop("_hash")
+    if total <= 4 * n:
+        return out
+    near = keyed.where(F.col("_hash") < int((1 << 63) / total * 2 * n))
+    if near.limit(n).count() < n:  # the hashes of repeated rows can leave too few below the mark
+        return out
+    return near.orderBy("_hash", *by).limit(n).drop("_hash")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -9,7 +9,7 @@ has ``FANOUT`` runs they are merged into one run of the next level, so there
 are at most ``FANOUT`` runs a level and a hash is rewritten once a level.
 
 All runs have the same buckets, so a join shuffles the batch's distinct hashes
-only, never a run, and compaction shuffles nothing but writes bucket by bucket.
+only, never a run; compaction shuffles the runs it merges.
 A line that stands in a third of all documents is one row of a batch's distinct
 hashes (pre-aggregated per task); its occurrences meet the decision about it in
 a join of two written tables, which AQE splits.
@@ -19,18 +19,16 @@ Hashes have 128 bits (XXH3).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import materialize, text_or_empty
+from .common import bucketed, materialize, text_or_empty
 
 BATCHES = 4
 FANOUT = 2
@@ -46,48 +44,35 @@ def line_hash(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 class LevelledRuns:
-    """Sorted runs of 128-bit hashes, by level; each is an external table of the session's catalog, files in the shared folder."""
+    """Sorted runs of 128-bit hashes, by level; each is a bucketed table in the shared folder."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT) -> None:
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.levels: list[list[str]] = [[]]
-        self.made: list[str] = []
-
-    def _write(self, hashes: DataFrame) -> str:
-        name = f"llm_run_{uuid.uuid4().hex}"
-        (hashes.select("hi", "lo").write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo")
-         .option("path", scratch_path(self.spark, "llm-run")).saveAsTable(name))
-        self.made.append(name)
-        return name
-
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def __init__(self, buckets: int, fanout: int = FANOUT) -> None:
+        self.buckets, self.fanout = buckets, fanout
+        self.levels: list[list[DataFrame]] = [[]]
 
     def held(self, hashes: DataFrame) -> DataFrame:
         """``hashes`` with ``held``: whether some run has the hash."""
         out = hashes.withColumn("held", F.lit(False))
-        for run in self.runs():
+        for run in (run for level in self.levels for run in level):
             out = (out.join(run.withColumn("here", F.lit(True)), ["hi", "lo"], "left")
                    .withColumn("held", F.col("held") | F.col("here").isNotNull()).drop("here"))
         return out
 
+    def _write(self, hashes: DataFrame) -> DataFrame:
+        return bucketed(hashes.select("hi", "lo"), "run", self.buckets, "hi", "lo")
+
     def add(self, hashes: DataFrame) -> None:
         """A new run of distinct hashes that no run holds; compacts each level that is full."""
-        self.levels[0].append(self._write(hashes.repartition(self.buckets, "hi", "lo")))
+        self.levels[0].append(self._write(hashes))
         for i, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 break
-            merged = self._write(reduce(DataFrame.unionByName, map(self.spark.table, level)).repartition(self.buckets, "hi", "lo"))
+            merged = self._write(reduce(DataFrame.unionByName, level))
             self.levels[i] = []
             if i + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[i + 1].append(merged)
 
-    def forget(self) -> None:
-        """Take the tables out of the catalog; their files stay until the shared folder is cleaned."""
-        for name in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """Distinct (document, line hash): ord, hi, lo."""
@@ -125,7 +110,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     cuts = occurrences.agg(F.percentile_approx("ord", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    runs, drops = LevelledRuns(spark, buckets, fanout), []
+    runs, drops = LevelledRuns(buckets, fanout), []
     for low, high in zip(bounds, bounds[1:]):
         batch = occurrences
         if low is not None:
@@ -138,7 +123,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         decided = known.where(F.col("held") | (F.col("first") < F.col("last")))
         drops.append(batch.join(decided, ["hi", "lo"]).where(F.col("held") | (F.col("ord") > F.col("first"))).select("ord", "hi", "lo"))
     gone = materialize(reduce(DataFrame.unionByName, drops), "dropped-lines")
-    runs.forget()
     by_doc = gone.groupBy("ord").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
