@@ -11,7 +11,8 @@ is removed.  Texts are dealt into chunks of ascending ids (see ``chunks``):
    earlier chunk holds is removed as a whole.
 3. Where several different segments share a minimum, the windows of each
    (sent once, by the first chunk that has it) are compared one by one.
-4. Within a chunk the windows that are left are put in suffix order by
+4. Within a chunk the windows that are left and whose minimum several of its
+   documents have are put in suffix order by
    difference-cover blockwise construction (see ``suffixes``): windows that stand
    together and agree on ``LENGTH`` bytes are one class, and all but those of
    its smallest document go.
@@ -36,6 +37,7 @@ from .suffixes import PERIOD, suffix_classes
 LENGTH = 50
 CHUNK_BYTES = 4 << 20
 _SHARED, _HELD, _VARIED, _WINDOW = 1, 2, 3, 4
+_AT_ONCE = 1 << 14
 SEGMENT_ROWS = "bucket int, chunk int, head binary, low binary, one binary, two binary"
 
 
@@ -62,35 +64,35 @@ class Segments:
     """The segments of a chunk: window starts ``low``..``high`` with one minimum, and what the exchanges say about them."""
 
     def __init__(self, texts: C.Texts, length: int) -> None:
-        self.length, gram = length, max(1, length // 2 + 1)
+        self.length = length
         self.data = b"".join(texts.texts)
         self.raw = np.frombuffer(self.data, dtype=np.uint8)
         self.sizes = np.array([len(t) for t in texts.texts], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         _, self.rank = np.unique(texts.ids, return_inverse=True)  # documents that share an id are one
-        n = max(0, len(self.raw) - length + 1)
+        n = max(0, len(self.raw) - self.length + 1)
         inside = np.ones(n, dtype=bool)
         for e, size in zip(self.ends.tolist(), self.sizes.tolist()):
-            inside[max(e - size, e - length + 1):e] = False
-        at = np.flatnonzero(inside)
+            inside[max(e - size, e - self.length + 1):e] = False
+        least, gram = np.empty(n, dtype=np.uint64), self.length // 2 + 1
         values = np.random.default_rng(gram).integers(0, 1 << 64, 256, dtype=np.uint64)
-        least = _sliding_min(C.mixed(C.rolling(values[self.raw], gram)), length - gram + 1)[at] if n else np.zeros(0, np.uint64)
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
-        self.low, self.high = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else at
-        self.key = C.short(C.mixed(least[new]))
+        for i in range(0, n, _AT_ONCE):  # in pieces that stay in the processor's cache
+            part = values[self.raw[i:i + _AT_ONCE + self.length - 1]]
+            least[i:i + _AT_ONCE] = _sliding_min(C.mixed(C.rolling(part, gram)), self.length - gram + 1)
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | begins[1:]
+        self.low, self.high = np.flatnonzero(begins), np.flatnonzero(ends)
+        self.key = C.short(C.mixed(least[self.low]))
         self.doc = np.searchsorted(self.ends, self.low, side="right")
 
-    def minima(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct sorted keys, index of each segment's key, keys that several documents of the chunk have)."""
-        keys, back = np.unique(self.key, return_inverse=True)
-        width = int(self.rank.max(initial=0)) + 1
-        pairs = np.unique(back * width + self.rank[self.doc])
-        return keys, back, np.bincount(pairs // width, minlength=len(keys)) > 1
-
     def shared(self, answers: dict, bits: int) -> None:
-        """Keep the segments whose minimum another document has, with digests of their bytes."""
-        keys, back, _ = self.minima()
+        """Keep the segments whose minimum another document has, with digests of their bytes.
+
+        ``first`` has each distinct segment in key order, ``back`` each segment's index there.
+        """
+        keys, back = self.minima()
         hit = C.read_answers(answers, _SHARED, keys, C.SHORT, bits)[back]
         self.low, self.high, self.key, self.doc = (x[hit] for x in (self.low, self.high, self.key, self.doc))
         self.one, self.two = _digests(self.data, self.low.tolist(), (self.high + self.length).tolist())
@@ -100,6 +102,18 @@ class Segments:
         self.first, self.back = order[new], np.empty(len(order), dtype=np.int64)
         self.back[order] = np.cumsum(new) - 1
 
+    def minima(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct sorted keys, index of each segment's key)."""
+        return np.unique(self.key, return_inverse=True)
+
+    def again(self, keys: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """The keys that several documents of the chunk have."""
+        rank, width = self.rank[self.doc], len(keys)
+        low, high = np.full(width, len(self.rank)), np.zeros(width, dtype=np.int64)
+        np.minimum.at(low, back, rank)
+        np.maximum.at(high, back, rank)
+        return low < high
+
     def compared(self, answers: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(segments that an earlier chunk holds, segments whose minimum has several segments)."""
         keys = self.key[self.first]
@@ -155,8 +169,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = held.bits
 
     def send_minima(chunk: int, texts: C.Texts, _: dict) -> pa.Table:
-        keys, _, again = Segments(texts, length).minima()
-        return C.send_short(chunk, keys, np.ones(len(keys), dtype=bool), again, bits)
+        s = Segments(texts, length)
+        keys, back = s.minima()
+        return C.send_short(chunk, keys, np.ones(len(keys), dtype=bool), s.again(keys, back), bits)
 
     answers = materialize(C.answer_short(held.emit(send_minima, C.SHORT_ROWS), bits, _SHARED), "shared-minima")
 
@@ -187,17 +202,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at, one, two = s.windows(varied & ~earlier)
         first, back = C.distinct_long(one, two)
         gone = [_ranges(s.low[earlier], s.high[earlier]), at[C.read_answers(answers, _WINDOW, one[first], 64, bits)[back]]]
-        order, group = suffix_classes(s.raw, _ranges(s.low[~earlier], s.high[~earlier]), length)
+        keys, back = s.minima()
+        here = ~earlier & s.again(keys, back)[back]  # a repeat within the chunk shares its minimum with another document of the chunk
+        order, group = suffix_classes(s.raw, _ranges(s.low[here], s.high[here]), length)
         if len(order):
             rank = s.rank[np.searchsorted(s.ends, order, side="right")]
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             smallest = np.minimum.reduceat(rank, starts)[np.cumsum(np.append(False, group[1:] != group[:-1]))]
             gone.append(order[rank > smallest])
-        cover = np.zeros(len(s.raw) + 1, dtype=np.int64)
+        starts = np.zeros(len(s.raw) + 1, dtype=np.int8)
         for x in gone:
-            np.add.at(cover, x, 1)
-            np.add.at(cover, x + length, -1)
-        keep = np.cumsum(cover)[:-1] == 0
+            starts[x] = 1
+        sums = np.cumsum(starts, dtype=np.int32)
+        keep = sums[:-1] == 0
+        keep[length:] = sums[length:-1] == sums[:-length - 1]  # no removed string starts in the last ``length`` places
         total = np.concatenate([[0], np.cumsum(~keep)])
         removed = total[s.ends] - total[s.ends - s.sizes]
         begins = ~keep
