@@ -76,25 +76,33 @@ class Codec:
         return self._join(text, a, m, b, self._tree(text, a, m, leaf), self._tree(text, m, b, leaf))
 
     def _join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
+        p, keep = self._before(text, a, m, left)
+        q, skip = self._after(text, m, b, right)
+        return left[:keep] + self._window(text[p:q]) + right[skip:]
+
+    def _before(self, text: str, a: int, m: int, left: list[int]) -> tuple[int, int]:
+        """The last sure start before the seam that lies between two tokens (else ``a``), and how many tokens stand before it."""
         reach = 16
-        while True:  # leftwards: the last sure start before the seam that lies between two tokens
-            lo = max(a, m - reach)
-            starts = [x.start() for x in self.start.finditer(text, max(a, lo - 1), m) if lo <= x.start() < m and x.start() > a]
-            cut = next((c for p in reversed(starts) if (c := self._fit(reversed(left), text[p:m])) is not None and (at := p) is not None), None)
-            if cut is not None or lo == a:
-                p, keep = (at, len(left) - cut) if cut is not None else (a, 0)
-                break
+        while True:
+            low = max(a, m - reach)
+            for p in reversed([x.start() for x in self.start.finditer(text, max(a, low - 1), m)]):
+                if max(low, a + 1) <= p < m and (n := self._fit(reversed(left), text[p:m])) is not None:
+                    return p, len(left) - n
+            if low == a:
+                return a, 0
             reach *= 4
+
+    def _after(self, text: str, m: int, b: int, right: list[int]) -> tuple[int, int]:
+        """The first sure start after the seam that lies between two tokens (else ``b``), and how many tokens stand before it."""
         reach = 16
-        while True:  # rightwards: the first sure start after the seam
-            hi = min(b, m + reach)
-            starts = [x.start() for x in self.start.finditer(text, m, min(b, hi + 1)) if m < x.start() <= hi and x.start() < b]
-            cut = next((c for q in starts if (c := self._fit(right, text[m:q])) is not None and (at := q) is not None), None)
-            if cut is not None or hi == b:
-                q, skip = (at, cut) if cut is not None else (b, len(right))
-                break
+        while True:
+            high = min(b, m + reach)
+            for q in [x.start() for x in self.start.finditer(text, m, min(b, high + 1))]:
+                if m < q <= min(high, b - 1) and (n := self._fit(right, text[m:q])) is not None:
+                    return q, n
+            if high == b:
+                return b, len(right)
             reach *= 4
-        return left[:keep] + self._window(text[p:q]) + right[skip:]
 
     def _fit(self, tokens, span: str) -> int | None:
         """How many of ``tokens`` cover exactly the bytes of ``span``; None if none do."""
