@@ -75,3 +75,14 @@ def chat_history(turns: DataFrame, n: int = 50, ties: tuple[str, ...] | None = N
     ranked = top_n(turns, ["user_id"], [F.col(c).desc() for c in ("created_at", *ties)], n)
     kept = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     return ranked.withColumn("position", kept - F.col("rn") + 1)
+
+
+def stage_order(distribution: DataFrame) -> DataFrame:
+    """T5: each user's stages by percent, descending, then by name: (user_id, position, stage, pct).
+
+    The few stages of a user are sorted as one array; ``distribution`` is A4's result.
+    """
+    by_share = distribution.groupBy("user_id").agg(F.array_sort(
+        F.collect_list(F.struct((-F.col("pct")).alias("key"), "stage", "pct"))).alias("stages"))
+    placed = by_share.select("user_id", F.posexplode("stages").alias("pos", "s"))
+    return placed.select("user_id", (F.col("pos") + 1).alias("position"), "s.stage", "s.pct")

@@ -89,13 +89,7 @@ FROM (SELECT user_id, string_split(phase, 'Analysis')[-1] AS stage,
 """, "readings"))
 def t5_phase_order(spark, root):
     """T5: each user's stages ordered by percent, descending (array_sort over the user's few stages)."""
-    dist = A.phase_distribution(readings_of(spark, root), AS_OF, CONTEXT_HOURS)
-    ordered = dist.groupBy("user_id").agg(F.array_sort(
-        F.collect_list(F.struct("pct", "stage")),
-        lambda a, b: F.when(a.pct > b.pct, -1).when(a.pct < b.pct, 1)
-        .when(a.stage < b.stage, -1).when(a.stage > b.stage, 1).otherwise(0)).alias("stages"))
-    return ordered.select("user_id", F.posexplode("stages").alias("pos", "s")).select(
-        "user_id", (F.col("pos") + 1).alias("position"), F.col("s.stage").alias("stage"), F.col("s.pct").alias("pct"))
+    return H.stage_order(A.phase_distribution(readings_of(spark, root), AS_OF, CONTEXT_HOURS))
 
 
 @query("c1_scope_readings", with_views("""

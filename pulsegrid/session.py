@@ -85,6 +85,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder of scratch tables under the checkpoint root."""
+    return os.path.join(checkpoint_root(spark), "pulsegrid", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the checkpoint root for a written table."""
-    return os.path.join(checkpoint_root(spark), "pulsegrid", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the application's scratch folder for a written table."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables (when no frame that reads them is needed any more)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

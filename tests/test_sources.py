@@ -38,3 +38,8 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         session.checkpoint_root(Session())
+
+
+def test_scratch_folder_is_the_applications_own(spark):
+    path = session.scratch_path(spark, "t")
+    assert spark.sparkContext.applicationId in path and session.scratch_path(spark, "t") != path
