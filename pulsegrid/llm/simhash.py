@@ -3,7 +3,8 @@
 Two 64-bit fingerprints that differ in at most two bits have, of their two
 32-bit segments, one that differs in at most one bit.  So each distinct
 fingerprint is indexed under every variant of a segment with one bit left out
-(64 keys), and fingerprints that share a key are compared.  Equal fingerprints
+(64 keys; the index is a bucketed table, so it is shuffled once), and
+fingerprints that share a key are compared.  Equal fingerprints
 are one index entry, however many documents share them.
 
 A key shared by more than ``PAIRS_UP_TO`` fingerprints isn't expanded into
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import bucketed, materialize, text_or_empty
 from .components import components
 
 SHINGLE = 3
@@ -87,6 +88,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_
     # key: which bit is left out, and the rest of its segment
     keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     keyed = keyed.select("fp", F.shiftleft(F.col("bit").cast("bigint"), 32).bitwiseOR(_without(segment, F.col("bit") % 32)).alias("key"))
+    keyed = bucketed(keyed, "variants", int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # shuffled once
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variant-sizes")
     two = sizes.where("n = 2").select("a", "b")
 
