@@ -31,7 +31,7 @@ def test_route_key_and_topic_filter(spark):
 def test_bridge_decode_roundtrip_and_quarantine(spark):
     good = {"user_id": 3, "type": C.HK_OXYGEN_SATURATION, "unit": "%", "value": 91.5,
             "start_date": "2024-01-02T03:04:05.000001+00:00", "end_date": "2024-01-02T03:04:05.000001+00:00",
-            "metadata": {"phase": C.STAGE_PREFIX + "Awake", "intensity": 0.25}, "extra_field": "dropped"}
+            "metadata": {"phase": C.STAGE_PREFIX + "Awake", "intensity": 0.25}, "extra_field": "kept"}
     bad_time = dict(good, start_date="yesterday", user_id=None)
     msgs = spark.createDataFrame([(1, "wearable/devices/oxygen", json.dumps(good)),
                                   (2, "wearable/devices/oxygen", json.dumps(bad_time)),
@@ -42,9 +42,10 @@ def test_bridge_decode_roundtrip_and_quarantine(spark):
     rec = {r.offset: r for r in records.collect()}
     assert rec[1].topic == "biometrics.oxygen" and rec[1].key == "3" and rec[2].key == "anonymous"
     doc = json.loads(rec[1].value)
-    assert doc["metric"] == "oxygen" and doc["bridge"] == C.BRIDGE_TAG and "extra_field" not in doc
-    assert doc["metadata"]["intensity"] == "0.25"
-    dec = {r.offset: r for r in I.decode(records.drop("metric")).collect()}
+    assert doc["metric"] == "oxygen" and doc["bridge"] == C.BRIDGE_TAG and doc["extra_field"] == "kept"
+    assert doc["metadata"]["intensity"] == 0.25
+    dec = {r.offset: r for r in I.decode_marked(records.drop("metric")).collect()}
+    assert dec[1].metadata["intensity"] == "0.25" and dec[1].reason is None and dec[2].reason == "no user"
     assert dec[1].event_time == dt.datetime(2024, 1, 2, 3, 4, 5, 1)
     assert dec[2].event_time is None
     assert dec[1].kafka_topic == "biometrics.oxygen"
@@ -100,8 +101,9 @@ def test_bands_and_quality(spark):
                    ("Excelente", 100.0), ("Insuficiente", 10.0)]
 
 
-def test_decode_keeps_null_and_bad_values(spark):
+def test_decode_marks_null_and_bad_values(spark):
     df = spark.createDataFrame([(1, None, "t", None), (2, "{bad", "t", None), (3, '{"user_id": 5}', "t", None)],
                                "offset long, value string, topic string, timestamp timestamp")
-    got = sorted(tuple(r) for r in I.decode(df).select("offset", "user_id", "event_time").collect())
-    assert got == [(1, None, None), (2, None, None), (3, 5, None)]
+    got = sorted(tuple(r) for r in I.decode_marked(df).select("offset", "user_id", "event_time", "reason").collect())
+    assert got == [(1, None, None, "unreadable"), (2, None, None, "unreadable"), (3, 5, None, "no metric")]
+    assert I.decode(df).count() == 0
