@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import first_by_hash, materialize, text_or_empty
 
 # Customary notices of public licence families.
 NOTICES = {
@@ -114,15 +114,14 @@ def examples(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFr
     spark = docs.sparkSession
     notices = spark.createDataFrame([(FAMILIES.index(f), t) for f, texts in NOTICES.items() for t in texts], "label int, text string")
     notices = notices.select("label", words(F.col("text")).alias("words"))
-    found = paragraphs(docs, id_col, text_col).where(F.size("words") > 0).select("words")
+    lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
     known = F.array(*[F.lit(w) for w in ("licensed", "license", "licence", "copyright", "rights", "spdx")])
-    drawn = (found.where(~F.arrays_overlap("words", known)).select("words", F.xxhash64(F.lit(SEED), "words").alias("u"))
-             .orderBy("u").limit(sample))
-    drawn = materialize(drawn, "unknown-paragraphs")
+    drawn = first_by_hash(lines, sample, SEED, "line").select(words(F.col("line")).alias("words"))
+    drawn = materialize(drawn.where(~F.arrays_overlap("words", known)), "unknown-paragraphs")
     place = notices.select("label", "words", F.posexplode("words").alias("i", "w"))
     shorter = place.where(F.size("words") > 3).select(
         "label", F.concat(F.slice("words", F.lit(1), F.col("i")), F.slice("words", F.col("i") + 2, F.size("words"))).alias("words"))
-    around = drawn.select(F.slice("words", 1, 6).alias("around"), "u").orderBy("u").limit(8)
+    around = drawn.select(F.slice("words", 1, 6).alias("around"), F.xxhash64("words").alias("u")).orderBy("u", "around").limit(8)
     around = around.select("around", F.row_number().over(Window.orderBy("u", "around")).alias("k"))  # eight rows
     amid = (notices.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).join(around, "k")
             .select("label", F.concat("around", "words", F.reverse("around")).alias("words")))
