@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import first_by_hash, materialize
 
 PIVOTS = 128
 BLOCK = 2048
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     """
     spark = vectors.sparkSession
     ints = materialize(integer_vectors(vectors, id_col, vec_col), "vectors")
-    picked = ints.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    picked = first_by_hash(ints, pivots, 0, "id").collect()
     centers: dict[int, np.ndarray] = {}
     for r in picked:
         centers.setdefault(len(r.v), []).append(r.v)  # type: ignore[arg-type]
