@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 LEAF = 1024              # characters of a leaf
 PIECE_LEAF = 256         # bytes of a leaf inside one long match
@@ -159,6 +159,7 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
 
 
 def _shared_ranks(df: DataFrame, ranks_path: str):
+    small_batches(df)
     with open(ranks_path, "rb") as f:
         data = f.read(MAX_RANK_BYTES + 1)
     if len(data) > MAX_RANK_BYTES:

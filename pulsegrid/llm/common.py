@@ -12,6 +12,7 @@ from ..session import ensure_utc, scratch_path
 # The white space of every text contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, so a worker's memory does not grow with the length of texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int((conf.get(key, None) or "0").rstrip("b")) not in range(1, BATCH_BYTES + 1):
+        conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 

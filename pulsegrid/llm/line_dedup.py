@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, text_or_empty
+from .common import bucketed, materialize, small_batches, text_or_empty
 
 BATCHES = 4
 FANOUT = 2
@@ -103,6 +103,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keep = [c for c in keep or [] if c not in (id_col, text_col)]
     spark = docs.sparkSession
+    small_batches(docs)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("bigint").alias("ord"), text_or_empty(text_col).alias("text"),
                        F.struct(F.col(id_col), *keep).alias("row"))

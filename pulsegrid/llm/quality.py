@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import first_by_hash, small_batches, text_or_empty
 
 BITS = 17
 BUCKETS = 1 << BITS
@@ -126,8 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     Of an id with several labels the smallest counts; an id that several rows of
     ``docs`` have gives as many examples, but no more than four times ``sample`` in all.
     """
-    chosen = (labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).cast("int").alias("y"))
-              .orderBy(F.xxhash64(F.lit(SEED), F.col(id_col)), id_col).limit(sample).select(F.col(id_col).alias("doc_id"), "y"))
+    small_batches(docs)
+    labelled = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
+    chosen = first_by_hash(labelled, sample, SEED, "doc_id")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +162,7 @@ def classify(docs: DataFrame, model: tuple[bytes, float], id_col: str = "doc_id"
     and count as not held out; repeated rows score alike.
     """
     keep = [c for c in keep or [] if c not in (id_col,)]
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, text_or_empty
+from .common import bucketed, materialize, small_batches, text_or_empty
 from .components import components
 
 SHINGLE = 3
@@ -56,6 +56,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; a null text has no words."""
+    small_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
