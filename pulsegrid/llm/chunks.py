@@ -21,9 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, text_or_empty
+from .common import bucketed, small_batches, text_or_empty
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 MAX_CHUNKS = 4_000_000  # a bound of 8 bytes each goes through the driver
 _LAST = (1 << 63) - 1
 _PIECE = 1 << 16
@@ -70,6 +70,7 @@ def _by_bucket(table: pa.Table) -> dict:
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Chunked:
     """Deal all rows into chunks of neighbouring integer ids (null ids last), about ``chunk_bytes`` of text each."""
     spark = docs.sparkSession
+    small_batches(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
     sized = rows.select("ord", F.octet_length("text").cast("bigint").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0

@@ -35,7 +35,6 @@ from .common import materialize
 from .suffixes import PERIOD, suffix_classes
 
 LENGTH = 50
-CHUNK_BYTES = 4 << 20
 _SHARED, _HELD, _VARIED, _WINDOW = 1, 2, 3, 4
 _AT_ONCE = 1 << 14
 SEGMENT_ROWS = "bucket int, chunk int, head binary, low binary, one binary, two binary"
@@ -154,7 +153,7 @@ def _answer_segments(sent: DataFrame, bits: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                 chunk_bytes: int = CHUNK_BYTES, with_bytes: bool = False) -> DataFrame:
+                 chunk_bytes: int = C.CHUNK_BYTES, with_bytes: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay).
 
     Texts are UTF-8 bytes (null text: empty).  A byte goes if a ``length``-byte
