@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.classify import band, band_of
 from ..functions.metrics import get_key, has_key, short_stage
 from ..operators import aggregates as A

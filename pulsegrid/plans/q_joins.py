@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import constants as C
 from ..operators import joins as J
 from ..operators.context import flatten_context, user_context

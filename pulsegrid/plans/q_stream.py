@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import ingest as I
-from ..operators.aggregates import flatten_window  # noqa: F401
 from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import stored as ST
