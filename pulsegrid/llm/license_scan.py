@@ -1,13 +1,18 @@
 """Licence scan: a trained paragraph classifier (DataFrame and SQL functions, Spark's own ML stages).
 
-A paragraph (a line that holds a word) becomes its lower-cased words and word
-pairs, hashed into a sparse vector, and a multinomial logistic regression names
-the licence family, or class 0, unknown.  It is fitted on the notices in
+A paragraph is a block of lines that hold a word, up to a line without one.
+Each of its lines is a passage, and so is each line joined with its next lines
+as far as a notice wrapped from it can reach.  A passage becomes its lower-cased
+words and word pairs, hashed into a sparse vector, and a multinomial logistic
+regression names the licence family, or class 0, unknown.  It is fitted on the notices in
 ``NOTICES`` and variants of them, against a bounded sample of the corpus's own
 paragraphs as unknown.  A held-out third of the variants and paragraphs calibrates it: the
 temperature of least log loss turns scores into probabilities.  A family is
-reported only if its probability reaches ``THRESHOLD`` and the paragraph holds
-the word pairs of one of the family's notices to ``CONFIRM`` or more.
+reported only if its probability reaches ``THRESHOLD`` and the passage holds
+the word pairs of one of the family's notices to ``CONFIRM`` or more, and no
+like notice of another family to more.  Passages without any word that such a
+share needs (``needed``) can't be reported and aren't scored; the others are
+scored from their first to their last word pair that some notice has.
 
 Scanning is one pass; each document's findings are combined in the task that
 reads it, so what is shuffled is about one small row a document.
@@ -15,6 +20,8 @@ reads it, so what is shuffled is about one small row a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
@@ -73,6 +80,9 @@ SAMPLE = 6000       # paragraphs of the corpus that train and calibrate the unkn
 THRESHOLD = 0.5
 CONFIRM = 0.8
 SEED = 23
+BLANK = r"\n[^\p{L}\p{N}]*\n"  # between paragraphs: one or more lines without a word
+# Tried last as words that a notice needs: plain prose has them too.
+COMMON = frozenset("a any are be by for free in is it may no not of or part person program public that the this to under use with without work you".split())
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
 
@@ -80,11 +90,97 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, words) of every line that holds a word; documents without one have a row with null words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", words(F.col("line")).alias("words"))
+def notice_words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+LONGEST = max(len(notice_words(t)) for texts in NOTICES.values() for t in texts)
+
+PAIRS = sorted({f"{a} {b}" for texts in NOTICES.values() for w in map(notice_words, texts) for a, b in zip(w, w[1:])})
+
+
+def word_pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def needed(confirm: float) -> list[str] | None:
+    """Words of which every text has at least one that holds a share of ``confirm`` of some notice's word pairs; None if there are none."""
+    out = set()
+    for text in (t for texts in NOTICES.values() for t in texts):
+        w = notice_words(text)
+        size, left = len(w) - 1, set(zip(w, w[1:]))
+        for word in sorted(set(w), key=lambda x: (x in COMMON, -len(x), x)):
+            if len(left) / size < confirm:
+                break
+            out.add(word)
+            left = {p for p in left if word not in p}
+        if len(left) / size >= confirm:
+            return None
+    return sorted(out)
+
+
+def _trimmed(w: Column) -> Column:
+    """``w`` from its first to its last word pair that some notice has; empty without one."""
+    known = F.array(*map(F.lit, PAIRS))
+    pairs = word_pairs(w)
+
+    def before(pairs: Column) -> Column:  # how many come before the first known one
+        return F.array_position(pairs, F.try_element_at(F.array_intersect(pairs, known), F.lit(1))).cast("int") - 1
+
+    def cut(pairs: Column) -> Column:
+        skip = before(pairs)
+        return F.slice(w, skip + 1, F.size(w) - skip - before(F.reverse(pairs)))
+
+    return F.coalesce(F.element_at(F.transform(F.array(pairs), cut), 1), F.array().cast("array<string>"))
+
+
+def _passages(lines: Column, hits: Callable[[Column], Column], trim: Callable[[Column], Column]) -> Column:
+    """(last, start, words) of each line, and of each line joined with its next lines, where ``hits`` holds.
+
+    A notice that begins in a line and goes on after it has at most ``LONGEST - 1``
+    words on either side of the line's end, so a joined passage keeps no more.
+    """
+    reach = LONGEST - 1
+    none = F.array().cast("array<int>")
+
+    def after(i: Column, j: Column) -> Column:  # the words of lines i + 1 to j
+        return F.flatten(F.slice(lines, i + 1, j - i))
+
+    def passage(last: Column, start: Column, w: Column) -> Column:
+        return F.struct(last.alias("last"), start.alias("start"), w.alias("words"))
+
+    def of(i: Column) -> Column:
+        first = F.element_at(lines, i)
+        tail = F.slice(first, F.greatest(F.size(first) - reach + 1, F.lit(1)), F.lit(reach))
+        last = F.least(i + reach, F.size(lines))
+        ends = F.when(last > i, F.filter(F.sequence(i + 1, last), lambda j: F.size(after(i, j - 1)) < reach)).otherwise(none)
+        joined = F.transform(ends, lambda j: passage(j, i, F.concat(tail, F.slice(after(i, j), 1, reach))))
+        found = F.filter(F.concat(F.array(passage(i, i, first)), joined), lambda p: hits(p["words"]))
+        return F.transform(found, lambda p: passage(p["last"], p["start"], trim(p["words"])))
+
+    return F.when(F.size(lines) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), of)))
+
+
+def passages(docs: DataFrame, id_col: str, text_col: str, confirm: float) -> DataFrame:
+    """(doc_id, paragraph, first, n, last, start, words): the passages to score of every paragraph.
+
+    ``n`` is the paragraph's number of words, ``last`` and ``start`` the
+    passage's lines.  A paragraph without a passage to score has a row with no
+    words; ``first`` marks one row a paragraph.
+    """
+    marks = needed(confirm)
+    hits, trim = (lambda w: F.arrays_overlap(w, F.array(*map(F.lit, marks)))), _trimmed
+    if marks is None:
+        hits, trim = (lambda w: F.size(w) > 0), (lambda w: w)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+    blocks = rows.select("doc_id", "row", F.posexplode(F.split("text", BLANK)).alias("k", "block"))
+    lines = F.filter(F.transform(F.split("block", "\n"), words), lambda w: F.size(w) > 0)
+    found = F.when(hits(words(F.col("block"))), F.element_at(F.transform(F.array(lines), lambda x: _passages(x, hits, trim)), 1))
+    every = blocks.select("doc_id", F.struct("row", "k").alias("paragraph"), F.size(words(F.col("block"))).alias("n"),
+                          F.posexplode_outer(found).alias("i", "p"))
+    return every.select("doc_id", "paragraph", (F.coalesce("i", F.lit(0)) == 0).alias("first"), "n", "p.last", "p.start",
+                        F.coalesce("p.words", F.array().cast("array<string>")).alias("words"))
 
 
 def _featured(df: DataFrame) -> DataFrame:
@@ -94,19 +190,21 @@ def _featured(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(both)
 
 
-def _notice_pairs() -> Column:
-    """By family: the word pairs of each of its notices."""
-    def pairs(text: str) -> Column:
-        w = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-        return F.array(*[F.lit(f"{a} {b}") for a, b in zip(w, w[1:])])
+def confirmed(pairs: Column, family: Column, confirm: float) -> Column:
+    """Whether ``pairs`` hold the share ``confirm`` of the word pairs of a notice of the family, and of its rivals no more.
 
-    return F.create_map(*[x for name, texts in NOTICES.items() for x in (F.lit(name), F.array(*map(pairs, texts)))])
+    A notice's rivals are those of other families that hold this share of it themselves.
+    """
+    pairs_of = {f: [[f"{a} {b}" for a, b in zip(w, w[1:])] for w in map(notice_words, texts)] for f, texts in NOTICES.items()}
+    lit = lambda n: F.array(*map(F.lit, n))
+    held = lambda n: F.size(F.array_intersect(n, pairs)) / F.size(n)
 
+    def notice(f: str, n: list[str]) -> Column:
+        rivals = [r for g, ns in pairs_of.items() if g != f for r in ns if len({*n} & {*r}) / len(n) >= confirm]
+        return F.struct(lit(n).alias("pairs"), F.array(*map(lit, rivals)).cast("array<array<string>>").alias("rivals"))
 
-def containment(pairs: Column, family: Column) -> Column:
-    """The largest share of a notice's word pairs, over the family's notices, that ``pairs`` hold."""
-    notices = F.element_at(_notice_pairs(), family)
-    return F.array_max(F.transform(notices, lambda n: F.size(F.array_intersect(n, pairs)) / F.size(n)))
+    every = F.create_map(*[x for f, ns in pairs_of.items() for x in (F.lit(f), F.array(*[notice(f, n) for n in ns]))])
+    return F.exists(F.element_at(every, family), lambda n: (held(n["pairs"]) >= confirm) & F.forall(n["rivals"], lambda r: held(r) <= held(n["pairs"])))
 
 
 def examples(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
@@ -117,7 +215,11 @@ def examples(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFr
     lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
     known = F.array(*[F.lit(w) for w in ("licensed", "license", "licence", "copyright", "rights", "spdx")])
     drawn = first_by_hash(lines, sample, SEED, "line").select(words(F.col("line")).alias("words"))
-    drawn = materialize(drawn.where(~F.arrays_overlap("words", known)), "unknown-paragraphs")
+    # nor are the lines that a notice is wrapped into unknown: half their word pairs, or their only word, are a notice's
+    pairs, alone = word_pairs(F.col("words")), F.array(*map(F.lit, sorted({w for p in PAIRS for w in p.split()})))
+    part = F.when(F.size("words") > 1, 2 * F.size(F.filter(pairs, lambda p: p.isin(PAIRS))) >= F.size("words") - 1)
+    drawn = drawn.where(~F.arrays_overlap("words", known) & ~part.otherwise(F.arrays_overlap("words", alone)))
+    drawn = materialize(drawn, "unknown-paragraphs")
     place = notices.select("label", "words", F.posexplode("words").alias("i", "w"))
     shorter = place.where(F.size("words") > 3).select(
         "label", F.concat(F.slice("words", F.lit(1), F.col("i")), F.slice("words", F.col("i") + 2, F.size("words"))).alias("words"))
@@ -152,24 +254,38 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
     """One row per id: doc_id, n_paragraphs, n_notices, families (sorted), licence, score.
 
-    ``licence`` is the family of the surest confirmed notice (ties to the later
-    name; 'unknown' without one), ``score`` its probability (0.0 without one).
-    A null or empty text has no paragraphs; rows that share an id, or have none,
-    are one document.  An empty table gives an empty result.
+    ``n_notices`` counts, family by family, the passages with a confirmed
+    notice that share no line of the text.  ``licence`` is the family of the
+    surest confirmed notice (ties to the later name; 'unknown' without one),
+    ``score`` its probability (0.0 without one).  A null or empty text has no
+    paragraphs; rows that share an id, or have none, are one document.  An
+    empty table gives an empty result.
     """
     model, t = train(docs, id_col, text_col, sample)
-    scored = model.transform(_featured(paragraphs(docs, id_col, text_col)))
-    scored = scored.select("doc_id", "words", "pairs", F.col("prediction").cast("int").alias("label"), "rawPrediction")
-    family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("label") + 1)
-    z = vector_to_array("rawPrediction")
-    best = F.when(F.col("label") > 0, F.struct(family.alias("family"), z.alias("z"), "pairs"))
-    named = scored.select("doc_id", F.size("words").alias("n"), best.alias("b"))
+    scored = model.transform(_featured(passages(docs, id_col, text_col, confirm)))
+    label = F.col("prediction").cast("int")
+    family = F.element_at(F.array(*map(F.lit, FAMILIES)), label + 1)
+    best = F.when((label > 0) & F.col("last").isNotNull(),
+                  F.struct(family.alias("family"), vector_to_array("rawPrediction").alias("z"), "pairs"))
+    named = scored.select("doc_id", "paragraph", "first", "n", "last", "start", best.alias("b"))
     probability = 1 / F.aggregate("b.z", F.lit(0.0), lambda s, x: s + F.exp((x - F.array_max("b.z")) / t))
-    sure = F.when(F.col("b").isNotNull(), (probability >= threshold) & (containment(F.col("b.pairs"), F.col("b.family")) >= confirm))
-    notice = F.when(sure, F.struct(F.round(probability, 6).alias("score"), F.col("b.family").alias("family")))
-    found = named.select("doc_id", "n", notice.alias("notice"))
-    return (found.groupBy("doc_id").agg(
-        F.count_if(F.col("n") > 0).alias("n_paragraphs"), F.count("notice").alias("n_notices"),
-        F.array_sort(F.collect_set("notice.family")).alias("families"), F.max("notice").alias("top"))
-        .select("doc_id", "n_paragraphs", "n_notices", "families", F.coalesce("top.family", F.lit("unknown")).alias("licence"),
-                F.coalesce("top.score", F.lit(0.0)).alias("score")))
+    sure = F.when(F.col("b").isNotNull(), (probability >= threshold) & confirmed(F.col("b.pairs"), F.col("b.family"), confirm))
+    notice = F.when(sure, F.struct(F.col("b.family").alias("family"), "paragraph", "last", "start", F.round(probability, 6).alias("score")))
+    found = named.select("doc_id", F.col("first") & (F.col("n") > 0), notice).toDF("doc_id", "counts", "notice")
+    every = found.groupBy("doc_id").agg(F.count_if("counts").alias("n_paragraphs"), F.array_sort(F.collect_list("notice")).alias("notices"))
+    top = F.array_max(F.transform("notices", lambda x: F.struct(x["score"].alias("score"), x["family"].alias("family"))))
+    return every.select("doc_id", "n_paragraphs", _apart(F.col("notices")).alias("n_notices"),
+                        F.array_sort(F.array_distinct("notices.family")).alias("families"),
+                        F.coalesce(top["family"], F.lit("unknown")).alias("licence"), F.coalesce(top["score"], F.lit(0.0)).alias("score"))
+
+
+def _apart(notices: Column) -> Column:
+    """The most notices (in order of family, paragraph, last line) of which no two of a family share a line."""
+    place = lambda x: F.struct(x["family"].alias("family"), x["paragraph"].alias("paragraph"))
+
+    def step(s: Column, x: Column) -> Column:
+        apart = s["at"].isNull() | (place(s["at"]) != place(x)) | (x["start"] > s["at"]["last"])
+        return F.struct((s["n"] + apart.cast("bigint")).alias("n"), F.when(apart, x).otherwise(s["at"]).alias("at"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.try_element_at(F.slice(notices, 1, 0), F.lit(1)).alias("at"))  # no notice yet
+    return F.aggregate(notices, start, step, lambda s: s["n"])

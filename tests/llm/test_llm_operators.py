@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -331,6 +332,34 @@ def test_licence_scan(spark):
     assert got[None].licence == "mit" and got[203].licence == "unknown"
 
 
+def test_licence_scan_wrapped(spark):
+    """Notices wrapped at any width, in prose or a comment, count as on one line."""
+    rng = random.Random(6)
+    plain = [(i, "\n".join(sentence(rng, rng.randint(3, 15)) for _ in range(4))) for i in range(60)]
+    every = [(f, t) for f, texts in license_scan.NOTICES.items() for t in texts]
+    wrapped, want = [], {}
+    for width in (16, 40, 72, 80):
+        for mark in ("", " * "):
+            for lead in (0, 5):
+                for f, text in every:
+                    lines = textwrap.wrap(f"{sentence(rng, lead)} {text} {sentence(rng, lead)}".strip(), width, break_long_words=False)
+                    want[1000 + len(want)] = f
+                    wrapped.append((999 + len(want), "\n".join(mark + x for x in lines)))
+    bsd = ("Copyright (c) 2020, The Authors.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain this.")
+    whole = [(1, bsd), (2, bsd.replace("reserved.\n\n", "reserved.\n")), (3, "MIT License\n\nCopyright (c) 2020 A\n\n" + textwrap.fill(
+        license_scan.NOTICES["mit"][1] + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights', 72)),
+        (4, textwrap.fill(license_scan.NOTICES["gpl-3.0"][1] + " as published by the Free Software Foundation, either version 3 of the License.", 72)),
+        (5, "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */")]
+    docs = frame(spark, [(i + 10000, t) for i, t in plain] + wrapped + whole)
+    got = {r.doc_id: r for r in license_scan.licence_scan(docs).collect()}
+    assert not {i: (got[i].licence, f) for i, f in want.items() if got[i].licence != f}
+    assert all(got[i].families == [f] and got[i].n_notices == 1 and got[i].n_paragraphs == 1 for i, f in want.items())
+    assert [got[i].families for i in range(1, 6)] == [["bsd", "proprietary"]] * 2 + [["mit"], ["gpl-3.0"], ["mpl-2.0"]]
+    assert [got[i].n_paragraphs for i in range(1, 6)] == [3, 2, 3, 1, 1]
+    assert all(got[i + 10000].licence == "unknown" for i, _ in plain)
+
+
 # -- suffix-array dedup ------------------------------------------------------------------
 def test_difference_cover_shifts():
     for v in (3, 16, 32):
