@@ -252,14 +252,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
                  threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
-    """One row per id: doc_id, n_paragraphs, n_notices, families (sorted), licence, score.
+    """One row per input row: doc_id, n_paragraphs, n_notices, families (sorted), licence, score.
 
     ``n_notices`` counts, family by family, the passages with a confirmed
     notice that share no line of the text.  ``licence`` is the family of the
     surest confirmed notice (ties to the later name; 'unknown' without one),
     ``score`` its probability (0.0 without one).  A null or empty text has no
-    paragraphs; rows that share an id, or have none, are one document.  An
-    empty table gives an empty result.
+    paragraphs; rows that share an id, or have none, stay apart.  An empty
+    table gives an empty result.
     """
     model, t = train(docs, id_col, text_col, sample)
     scored = model.transform(_featured(passages(docs, id_col, text_col, confirm)))
@@ -271,8 +271,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     probability = 1 / F.aggregate("b.z", F.lit(0.0), lambda s, x: s + F.exp((x - F.array_max("b.z")) / t))
     sure = F.when(F.col("b").isNotNull(), (probability >= threshold) & confirmed(F.col("b.pairs"), F.col("b.family"), confirm))
     notice = F.when(sure, F.struct(F.col("b.family").alias("family"), "paragraph", "last", "start", F.round(probability, 6).alias("score")))
-    found = named.select("doc_id", F.col("first") & (F.col("n") > 0), notice).toDF("doc_id", "counts", "notice")
-    every = found.groupBy("doc_id").agg(F.count_if("counts").alias("n_paragraphs"), F.array_sort(F.collect_list("notice")).alias("notices"))
+    found = named.select("paragraph.row", "doc_id", F.col("first") & (F.col("n") > 0), notice).toDF("row", "doc_id", "counts", "notice")
+    every = found.groupBy("row", "doc_id").agg(F.count_if("counts").alias("n_paragraphs"), F.array_sort(F.collect_list("notice")).alias("notices"))
     top = F.array_max(F.transform("notices", lambda x: F.struct(x["score"].alias("score"), x["family"].alias("family"))))
     return every.select("doc_id", "n_paragraphs", _apart(F.col("notices")).alias("n_notices"),
                         F.array_sort(F.array_distinct("notices.family")).alias("families"),

@@ -360,6 +360,18 @@ def test_licence_scan_wrapped(spark):
     assert all(got[i + 10000].licence == "unknown" for i, _ in plain)
 
 
+def test_licence_scan_shared_ids(spark):
+    """Rows without an id, or with one id, have findings of their own."""
+    rng = random.Random(7)
+    plain = [(i, sentence(rng, 12)) for i in range(40)]
+    rows = [(None, "Released under the MIT License."), (None, "SPDX-License-Identifier: Apache-2.0"), (None, None), (None, sentence(rng, 9)),
+            (50, "All rights reserved."), (50, "All rights reserved."), (50, "Licensed under CC BY 4.0.\n\nAll rights reserved.")]
+    got = license_scan.licence_scan(frame(spark, plain + rows)).where("doc_id IS NULL OR doc_id = 50").collect()
+    want = [(50, 1, ["proprietary"])] * 2 + [(50, 2, ["cc-by", "proprietary"]), (None, 0, []), (None, 1, []), (None, 1, ["apache-2.0"]), (None, 1, ["mit"])]
+    key = lambda r: (r[0] is None, *r[1:])
+    assert sorted([(r.doc_id, r.n_paragraphs, r.families) for r in got], key=key) == sorted(want, key=key)
+
+
 # -- suffix-array dedup ------------------------------------------------------------------
 def test_difference_cover_shifts():
     for v in (3, 16, 32):
