@@ -23,10 +23,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the quality classifier predicts to be of label 1 (score 0.7 or more).
 
     The model learns from the rows of ``docs`` that ``labels`` covers and that
-    aren't held out.  Rows are judged by their text alone; null counts as empty.
+    aren't held out; if there are none, nothing can be judged and every row stays.
+    Rows are judged by their text alone; null counts as empty.
     """
     docs = docs.select(COLUMNS)
-    scored = quality.classify(docs, quality.train(docs, load(spark, sf_dir, "labels")), keep=COLUMNS)
+    model = quality.train(docs, load(spark, sf_dir, "labels"))
+    if model == quality.UNTRAINED:
+        return docs
+    scored = quality.classify(docs, model, keep=COLUMNS)
     return scored.where("predicted = 1").select(COLUMNS)
 
 

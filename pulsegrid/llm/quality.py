@@ -33,6 +33,7 @@ SAMPLE = 4000
 SEED = 29
 THRESHOLD = 0.7
 WORDS_AT_ONCE = 1 << 16
+UNTRAINED = (bytes(4 * BUCKETS), 0.0)  # the model of no rows: every score is 0.5
 _MUL = 0x9E3779B1
 _BASE = np.uint64(0x100000001B3)
 _BACK = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -125,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
     Of an id with several labels the smallest counts; an id that several rows of
     ``docs`` have gives as many examples, but no more than four times ``sample`` in all.
+    ``UNTRAINED`` if there is no such row (no labels, all held out, or of other ids).
     """
     small_batches(docs)
     labelled = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
@@ -151,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     examples = (rows.select("doc_id", "text", "y").mapInArrow(extract, "doc_id bigint, y int, ids binary, n binary")
                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample))
     model = examples.coalesce(1).mapInArrow(learn, "table binary, bias double").first()
-    return (bytes(model["table"]), model["bias"]) if model else (bytes(4 * BUCKETS), 0.0)
+    return (bytes(model["table"]), model["bias"]) if model else UNTRAINED
 
 
 def classify(docs: DataFrame, model: tuple[bytes, float], id_col: str = "doc_id", text_col: str = "text",

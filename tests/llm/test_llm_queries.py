@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import corpus_pipeline as P
 import pytest
@@ -69,3 +70,12 @@ def test_stages_on_odd_rows(spark):
     for table in (docs, docs.limit(0)):
         for _, stage in P.STAGES:
             assert stage(spark, table, sf).count() <= 3 * len(rows)
+
+
+@pytest.mark.parametrize("case", ["empty", "held out", "other ids"])
+def test_quality_stage_without_training_rows(spark, scratch, case):
+    docs = frame(spark, corpus())
+    ids = {"empty": [], "held out": [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2], "other ids": range(9000, 9040)}[case]
+    spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{scratch}/labels.parquet")
+    kept = P.quality_classifier(spark, docs, scratch)
+    assert kept.columns == P.COLUMNS and result(kept, "doc_id", "text") == result(docs, "doc_id", "text")
