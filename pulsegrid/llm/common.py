@@ -28,15 +28,15 @@ def small_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder (in folders by ``partition_by``) and read it back.
 
     Cuts the lineage, fixes generated ids, survives lost executors, and gives
     later joins exchanges on both sides, which AQE can split when skewed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +73,17 @@ def first_by_hash(df: DataFrame, n: int, seed: int, *by: str) -> DataFrame:
     return near.orderBy("_hash", *by).limit(n).drop("_hash")
 
 
+def load_order(df: DataFrame, keys: list, order: list) -> DataFrame:
+    """``df`` range-sorted by ``keys`` then ``order`` (columns), with ``_at``: the task's number in its upper bits, the place in the task below.
+
+    A row's own place is the last sort key, so rows alike in all others are
+    dealt over tasks too.  ``df`` should be a written table (it is read twice).
+    """
+    marked = df.withColumn("_row", F.monotonically_increasing_id())
+    by = [*keys, *order, F.col("_row")]
+    return marked.repartitionByRange(*by).sortWithinPartitions(*by).drop("_row").withColumn("_at", F.monotonically_increasing_id())
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
