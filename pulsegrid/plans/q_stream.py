@@ -17,10 +17,11 @@ from ..operators import ingest as I
 from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import stored as ST
+from ..streaming import compaction as CP
 from ..streaming import jobs as J
 from ..streaming import sinks as K
 from .catalog import query
-from .common import AS_OF, _memo, dates_as_timestamps, users_of
+from .common import AS_OF, _memo, alerts_of, dates_as_timestamps, readings_of, users_of
 from .oracle_views import with_views
 from .q_ingest import DEVICE_PREFIX, GOOD, METRIC_SQL, TYPE_SQL
 
@@ -84,12 +85,61 @@ SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simula
        CAST(CAST(event_time AS DATE) AS TIMESTAMP) AS event_date FROM ({COUNTED}) r
 """, "readings"))
 def k6_stream_history(spark, root):
-    """K6 + K3 + K10: history rows of the fan-out, compacted into days and read back."""
-    cfg = _all(spark, root)
-    landing, history = cfg.out(spark, "readings"), scratch_path(spark, "compacted")
-    days = [r.event_date for r in spark.read.parquet(landing).select("event_date").distinct().collect()]
-    K.compact_days(spark, landing, history, days)
-    return dates_as_timestamps(spark.read.parquet(history).drop("row_id"))
+    """K6 + K3 + K10: history rows of the fan-out, compacted into the versioned history and read back."""
+    table = scratch_path(spark, "compacted")
+    CP.compact(spark, _all(spark, root).out(spark, "readings"), table)
+    return dates_as_timestamps(CP.read_history(spark, table).drop("row_id"))
+
+
+def _twice_compacted(spark, root) -> str:
+    """Folder of the histories of readings and alerts: two landings a table, with the landing folder cleared between them.
+
+    The second landing brings late rows of every day, and rows of the first
+    once more by another writer; the last compactions rewrite days that have
+    two runs.
+    """
+    def write() -> str:
+        base = scratch_path(spark, "histories")
+        for name, rows in (("readings", K.reading_rows(readings_of(spark, root))), ("alerts", K.alert_rows(alerts_of(spark, root)))):
+            landing, table = f"{base}/landing-{name}", f"{base}/{name}"
+            late = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0
+            for batch, part in enumerate((rows.where(~late), rows.where(late))):
+                K.write_batch(part, landing, "writer", batch, by=("event_date",))
+                CP.compact(spark, landing, table, max_runs=2)
+                CP.retire(spark, landing, table, min_age_seconds=0)
+            K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(7)) == 0), landing, "replay", 0, by=("event_date",))
+            CP.compact(spark, landing, table, max_runs=2)
+        return base
+
+    return _memo(spark, root, "histories", write)
+
+
+@query("k10_compacted_history", with_views("""
+SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simulator') AS source, event_id
+FROM readings
+""", "readings"))
+def k10_compacted_history(spark, root):
+    """The reading history after three compactions: late rows, a cleared landing folder, rows landed twice."""
+    rows = CP.read_history(spark, _twice_compacted(spark, root) + "/readings")
+    return rows.select("time", "user_id", "metric", "value", "source", F.col("row_id").cast("bigint").alias("event_id"))
+
+
+@query("k10_compacted_alerts", with_views("""
+SELECT user_id, created_at, severity, category, title, text, metric, value, phase, rule_pos FROM alerts
+""", "alerts"))
+def k10_compacted_alerts(spark, root):
+    """K10 + K4: the alert history after three compactions, read as alerts."""
+    return ST.stored_alerts(spark, _twice_compacted(spark, root)).drop("event_id", "event_date")
+
+
+@query("c1_user_history", with_views("""
+SELECT event_time AS time, user_id, metric, value, event_id FROM readings
+WHERE user_id = 7 AND event_time >= TIMESTAMP '2024-01-05 12:00:00' AND event_time <= TIMESTAMP '2024-01-20 06:00:00'
+""", "readings"))
+def c1_user_history(spark, root):
+    """One user's readings in a time range from the history; days and files outside are not opened."""
+    rows = CP.read_history(spark, _twice_compacted(spark, root) + "/readings", start="2024-01-05 12:00:00", end="2024-01-20 06:00:00", user_id=7)
+    return rows.select("time", "user_id", "metric", "value", F.col("row_id").cast("bigint").alias("event_id"))
 
 
 @query("k6_stream_alerts", with_views(f"""

@@ -14,20 +14,30 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators.joins import link_contacts
 from ..operators.keyed import JOURNAL_VALUES, upsert_journal
-from .tables import read_table
+from .tables import path_exists, read_table
 
 
-def stored_readings(spark: SparkSession, root: str, name: str = "readings") -> DataFrame:
+def history_rows(spark: SparkSession, root: str, name: str, **scope) -> DataFrame:
+    """A history's rows: a versioned table's newest version (with the scope of ``compaction.read_history``), else a plain folder."""
+    from ..streaming.compaction import read_history
+    if path_exists(spark, f"{root}/{name}/versions"):
+        return read_history(spark, f"{root}/{name}", **scope)
+    if scope:
+        raise ValueError("a scope needs a versioned history")
+    return read_table(spark, root, name)
+
+
+def stored_readings(spark: SparkSession, root: str, name: str = "readings", **scope) -> DataFrame:
     """K3 rows as decoded readings."""
-    rows = read_table(spark, root, name)
+    rows = history_rows(spark, root, name, **scope)
     return rows.select(
         F.col("row_id").alias("event_id"), "user_id", F.col("time").alias("event_time"), "metric", "value",
         F.col("source").alias("source_name"), F.from_json("metadata", "map<string,string>").alias("metadata"), "event_date")
 
 
-def stored_alerts(spark: SparkSession, root: str, name: str = "alerts") -> DataFrame:
+def stored_alerts(spark: SparkSession, root: str, name: str = "alerts", **scope) -> DataFrame:
     """K4 rows as alerts."""
-    rows = read_table(spark, root, name)
+    rows = history_rows(spark, root, name, **scope)
     extra = F.from_json("metadata", "metric string, value double, phase string")
     return rows.withColumn("m", extra).select(
         "user_id", "created_at", "severity", "category", "title", "text", "m.metric", "m.value", "m.phase",

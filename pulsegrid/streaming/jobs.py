@@ -140,7 +140,7 @@ def process_batch(spark: SparkSession, cfg: StreamConfig, name: str = "raw"):
     The batch is persisted once and written by DataFrame writers (no
     collect); an empty batch writes nothing.  Every write goes to the stream's
     and batch's own partition, so a replayed batch overwrites its own output.
-    History rows land as they come; ``sinks.compact_day`` sorts a day for good.
+    History rows land by day, writer and batch; ``compaction.compact`` merges them into the history.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         if "reason" not in batch.columns:
@@ -151,18 +151,18 @@ def process_batch(spark: SparkSession, cfg: StreamConfig, name: str = "raw"):
                 return
             writer = cfg.writer_id(spark, name)
 
-            def put(df: DataFrame, table: str, fmt: str = "parquet") -> None:
-                K.write_batch(df, cfg.out(spark, table), writer, batch_id, fmt)
+            def put(df: DataFrame, table: str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
+                K.write_batch(df, cfg.out(spark, table), writer, batch_id, fmt, by)
 
             good = batch.where(F.col("reason").isNull()).drop("raw", "reason")
             put(batch.where(F.col("reason").isNotNull()).select(
                 "reason", "raw", *[c for c in ("kafka_topic", "kafka_ts") if c in batch.columns]), "quarantine", "json")
             put(K.raw_docs(good), "raw_docs", "json")
-            put(K.reading_rows(good), "readings")
+            put(K.reading_rows(good), "readings", by=("event_date",))
             marked = good.withColumn("event_id", K.reading_id(good))
             alerts = detect_alerts(marked, created_at=F.col("event_time"), keep=["event_id", "event_time"]).persist()
             try:
-                put(K.alert_rows(alerts), "alerts")
+                put(K.alert_rows(alerts), "alerts", by=("event_date",))
                 K.publish(K.alert_records(alerts), cfg.alerts_cfg or {"path": cfg.out(spark, "alerts_topic")}, writer, batch_id)
             finally:
                 alerts.unpersist()

@@ -7,7 +7,7 @@ idempotent per micro-batch: a batch's rows go to the partition
 partition overwrite).  A replay after a crash rewrites its own partition; a
 stream with another checkpoint is another writer and never touches it.
 Nothing in a row depends on the clock of the replay.  Documents and rows carry
-deterministic ids (D5), so readers and the daily compaction keep one per key.
+deterministic ids (D5), so readers and the compaction (``compaction``) keep one per key.
 """
 
 from __future__ import annotations
@@ -120,14 +120,22 @@ def layout(df: DataFrame, date_col: str = "event_date", order: list[str] | None
     """
     order = order or ["user_id", "metric"]
     time_col = time_col or ("time" if "time" in df.columns else "event_time")
-    ranged = df.repartitionByRange(F.col(date_col), *[F.col(c) for c in order], F.col(time_col))
-    return ranged.sortWithinPartitions(date_col, *order, F.col(time_col).desc())
+    return ranged(df, date_col, order, time_col).sortWithinPartitions(date_col, *order, F.col(time_col).desc())
 
 
-def write_batch(df: DataFrame, path: str, writer_id: str, batch_id: int, fmt: str = "parquet") -> None:
-    """Write one micro-batch: an idempotent overwrite of its own partition, no matter how often it is replayed."""
+def ranged(df: DataFrame, date_col: str, order: list[str], time_col: str) -> DataFrame:
+    """Contiguous slices of (day, order, time), one a task."""
+    return df.repartitionByRange(F.col(date_col), *[F.col(c) for c in order], F.col(time_col))
+
+
+def write_batch(df: DataFrame, path: str, writer_id: str, batch_id: int, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
+    """Write one micro-batch: an idempotent overwrite of its own partition, no matter how often it is replayed.
+
+    ``by`` puts columns (the day) above the writer and batch, so a later job
+    lists and reads one day's batches only.
+    """
     marked = df.withColumns({"writer_id": F.lit(writer_id), "batch_id": F.lit(int(batch_id)).cast("bigint")})
-    (marked.write.format(fmt).option("partitionOverwriteMode", "dynamic").partitionBy("writer_id", "batch_id")
+    (marked.write.format(fmt).option("partitionOverwriteMode", "dynamic").partitionBy(*by, "writer_id", "batch_id")
      .mode("overwrite").save(path))
 
 
@@ -137,22 +145,6 @@ def append_log(df: DataFrame, path: str, write_id: str) -> None:
      .partitionBy("write_id").mode("overwrite").parquet(path))
 
 
-def compact_days(spark, landing: str, history: str, days: list, key: str = "row_id") -> None:
-    """K10 job: write some days of the landing batches into the day-partitioned history.
-
-    Reads every writer's batches of those days, keeps one row per id and rule
-    (a replayed or twice delivered record is one), and replaces the days'
-    partitions in the ``layout`` order: a few large files each.  Running it again,
-    after late readings or a crash, gives the complete days again.
-    """
-    rows = spark.read.parquet(landing).where(F.col("event_date").cast("string").isin([str(d) for d in days])).drop("writer_id", "batch_id")
-    keys = [key] + [c for c in ("rule_pos",) if c in rows.columns]
-    one = rows.dropDuplicates(keys)
-    order = ["user_id", "metric"] if "metric" in rows.columns else ["user_id", "severity"]
-    (layout(one, order=order, time_col="time" if "time" in rows.columns else "created_at").write
-     .option("partitionOverwriteMode", "dynamic").partitionBy("event_date").mode("overwrite").parquet(history))
-
-
 def publish(records: DataFrame, cfg: dict, writer_id: str, batch_id: int) -> None:
     """K5 writer: Kafka when configured (needs the connector jar; at least once, copies share their alert id), else JSON files."""
     if cfg.get("format") == "kafka":

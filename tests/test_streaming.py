@@ -253,27 +253,6 @@ def test_replay_on_another_day_writes_the_same_documents(spark, scratch):
     assert spark.read.json(cfg.out(spark, "raw_docs")).count() == 50
 
 
-def test_compaction_keeps_one_row_an_id_in_few_files(spark, scratch):
-    """Replays by other writers collapse, a day is one folder, and late rows join on the next run."""
-    from pulsegrid.streaming import sinks as K
-    rows = K.reading_rows(readings_of(spark, SF_SMALL))
-    landing, history = os.path.join(scratch, "landing"), os.path.join(scratch, "history")
-    days = [r.event_date for r in rows.select("event_date").distinct().collect()]
-    for batch in range(5):
-        K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) == batch), landing, "w1", batch)
-    K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) == 0), landing, "w2", 0)
-    K.compact_days(spark, landing, history, days)
-    assert spark.read.parquet(history).count() == rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) < 5).count()
-    K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(6)) == 5), landing, "w1", 5)
-    K.compact_days(spark, landing, history, days[:1])
-    K.compact_days(spark, landing, history, days[1:])
-    back = spark.read.parquet(history).select(*rows.columns)
-    assert back.count() == rows.count() and back.exceptAll(rows).count() == 0
-    folders = [d for d in os.listdir(history) if d.startswith("event_date=")]
-    assert sorted(folders) == sorted(f"event_date={d}" for d in days)
-    assert all(len([f for f in os.listdir(os.path.join(history, d)) if f.endswith(".parquet")]) <= 4 for d in folders)
-
-
 def test_malformed_and_incomplete_records_go_to_quarantine(spark, scratch):
     bad = ["not json", "", "   ", None, "null", _value(None), _value(1, "no time"), json.dumps({"user_id": 1, "start_date": "2024-01-01T00:00:00Z"})]
     src = os.path.join(scratch, "src")
