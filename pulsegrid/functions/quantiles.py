@@ -49,17 +49,26 @@ def value_slice(value: Column) -> Column:
     return F.when(F.isnan(v), F.lit(4 * _ORIGIN)).when(v.isNotNull(), F.when(v < 0, -place).otherwise(place)).cast("bigint")
 
 
-def sliced_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: n_rows, n, avg, min, max of ``value`` and ``_slices``: its value slices in order with count, min and max."""
+def slice_parts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group and value slice ``_b``: rows, values, sum, min, max.  Parts of parts add up."""
     v = F.col(value).cast("double")
-    parts = df.groupBy(*keys, value_slice(v).alias("_b")).agg(
+    return df.groupBy(*keys, value_slice(v).alias("_b")).agg(
         F.count(F.lit(1)).alias("_all"), F.count(v).alias("_c"), F.sum(v).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+
+
+def stats_of_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: n_rows, n, avg, min, max and ``_slices``: its value slices in order with count, min and max (one part a slice)."""
     piece = F.when(F.col("_c") > 0, F.struct(F.col("_b").alias("b"), F.col("_c").alias("c"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
     return parts.groupBy(*keys).agg(
         F.sum("_all").alias("n_rows"), F.sum("_c").alias("n"), F.try_divide(F.sum("_s"), F.sum("_c")).alias("avg"),
         F.min("_lo").alias("min"), F.max("_hi").alias("max"), F.array_sort(F.collect_list(piece)).alias("_slices"))
 
 
+def sliced_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``stats_of_parts`` of the rows' own parts."""
+    return stats_of_parts(slice_parts(df, keys, value), keys)
+
+
 def _located(rank: Column) -> Column:
     """The slice that holds the 0-based rank, and the rank within it (``k``)."""
     start = F.struct(F.lit(0).cast("bigint").alias("off"), F.lit(None).cast(_SLICE).alias("at"), F.lit(None).cast("bigint").alias("k"))

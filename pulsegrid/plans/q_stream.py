@@ -13,15 +13,18 @@ import os
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..operators import aggregates as A
 from ..operators import ingest as I
 from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import stored as ST
 from ..streaming import compaction as CP
 from ..streaming import jobs as J
+from ..streaming import rollups as R
 from ..streaming import sinks as K
-from .catalog import query
-from .common import AS_OF, _memo, alerts_of, dates_as_timestamps, readings_of, users_of
+from . import q_aggregates
+from .catalog import ORACLES, query
+from .common import AS_OF, CONTEXT_HOURS, _memo, alerts_of, dates_as_timestamps, readings_of, users_of
 from .oracle_views import with_views
 from .q_ingest import DEVICE_PREFIX, GOOD, METRIC_SQL, TYPE_SQL
 
@@ -107,13 +110,93 @@ def _twice_compacted(spark, root) -> str:
                 K.write_batch(part, landing, "writer", batch, by=("event_date",))
                 CP.compact(spark, landing, table, max_runs=2)
                 CP.retire(spark, landing, table, min_age_seconds=0)
+                for rollup, made in _ROLLUPS.get(name, {}).items():
+                    R.refresh(spark, table, f"{base}/{rollup}", made)
             K.write_batch(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(7)) == 0), landing, "replay", 0, by=("event_date",))
             CP.compact(spark, landing, table, max_runs=2)
+            for rollup, made in _ROLLUPS.get(name, {}).items():
+                R.refresh(spark, table, f"{base}/{rollup}", made)
+        R.refresh(spark, f"{base}/minutes", f"{base}/hours", R.READING_HOURS)
         return base
 
     return _memo(spark, root, "histories", write)
 
 
+_ROLLUPS = {"readings": {"minutes": R.READING_MINUTES, "slices": R.READING_SLICES}, "alerts": {"alert-minutes": R.ALERT_MINUTES}}
+
+
+def _rolled(spark, root, name: str, **scope):
+    return R.read_rollup(spark, f"{_twice_compacted(spark, root)}/{name}", **scope)
+
+
+@query("a6_hr_trend_rolled", ORACLES["a6_hr_trend"])
+def a6_hr_trend_rolled(spark, root):
+    """A6 from the hour rollup, which was kept up through late rows and rewrites."""
+    return q_aggregates._rounded(R.bucket_avg(_rolled(spark, root, "hours"), "heart_rate", "1 hour"))
+
+
+@query("a7_hrv_trend_rolled", ORACLES["a7_hrv_trend"])
+def a7_hrv_trend_rolled(spark, root):
+    """A7 from the minute rollup, at an hour's width."""
+    return q_aggregates._rounded(R.bucket_avg(_rolled(spark, root, "minutes"), "hrv", "1 hour"))
+
+
+@query("a8_trend_summary_rolled", ORACLES["a8_trend_summary"])
+def a8_trend_summary_rolled(spark, root):
+    """A8 over the hour rollup's buckets."""
+    return q_aggregates._rounded(A.bucket_summary(R.bucket_avg(_rolled(spark, root, "hours"), "heart_rate", "1 hour")),
+                                 "mean_of_buckets", "min_of_buckets", "max_of_buckets")
+
+
+@query("a3_metric_stats_rolled", ORACLES["a3_metric_stats"])
+def a3_metric_stats_rolled(spark, root):
+    """A3 with its exact median from stored hourly slice counts; raw rows are read for the window's edges and the medians' slices."""
+    base = _twice_compacted(spark, root)
+    return q_aggregates._rounded(R.metric_stats(spark, f"{base}/readings", f"{base}/slices", AS_OF, CONTEXT_HOURS))
+
+
+@query("a3_user_stats_rolled", with_views(f"""
+SELECT user_id, metric, count(*) AS n_samples, {q_aggregates.AVG} AS avg_value, min(value) AS min_value, max(value) AS max_value,
+       quantile_cont(value, 0.5) AS median_value
+FROM readings WHERE user_id = 7 AND event_time >= TIMESTAMP '2024-01-18 19:20:00' AND event_time <= TIMESTAMP '2024-01-24 15:20:00'
+     AND metric IN ({q_aggregates.METRICS_IN}) GROUP BY ALL
+""", "readings"))
+def a3_user_stats_rolled(spark, root):
+    """A3 for one user over a window that begins and ends within an hour; other users' files are not opened."""
+    base = _twice_compacted(spark, root)
+    return q_aggregates._rounded(R.metric_stats(spark, f"{base}/readings", f"{base}/slices", "2024-01-24 15:20:00", 140, user_id=7))
+
+
+@query("a9_alerts_per_minute_rolled", ORACLES["a9_alerts_per_minute"])
+def a9_alerts_per_minute_rolled(spark, root):
+    """A9 from the alert rollup."""
+    return R.alerts_per_minute(_rolled(spark, root, "alert-minutes"))
+
+
+@query("a10_critical_per_minute_rolled", ORACLES["a10_critical_per_minute"])
+def a10_critical_per_minute_rolled(spark, root):
+    """A10 (critical) from the alert rollup."""
+    return R.alerts_per_minute(_rolled(spark, root, "alert-minutes"), "critical")
+
+
+@query("a11_alert_timeline_rolled", ORACLES["a11_alert_timeline"])
+def a11_alert_timeline_rolled(spark, root):
+    """A11 from the alert rollup."""
+    return R.alert_timeline(_rolled(spark, root, "alert-minutes"))
+
+
+@query("a12_alert_totals_rolled", ORACLES["a12_alert_totals"])
+def a12_alert_totals_rolled(spark, root):
+    """A12 from the alert rollup."""
+    return R.alert_totals(_rolled(spark, root, "alert-minutes"))
+
+
+@query("a13_alerts_by_category_rolled", ORACLES["a13_alerts_by_category"])
+def a13_alerts_by_category_rolled(spark, root):
+    """A13 from the alert rollup."""
+    return R.alerts_by_category(_rolled(spark, root, "alert-minutes"))
+
+
 @query("k10_compacted_history", with_views("""
 SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simulator') AS source, event_id
 FROM readings

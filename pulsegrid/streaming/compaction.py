@@ -4,9 +4,10 @@ Streams land readings (K3) and alerts (K4) in ``event_date=<day>/writer_id=<stre
 ``compact`` takes the batches that the history does not have yet and commits a new version:
 
 * rows whose id the day already has are left out (a record delivered twice, a replayed batch);
-* a day gets a new sorted run, or, once it has ``max_runs``, is rewritten as one, *from the history and
-  the new rows*: what left the landing folder long ago stays in the history;
-* days without new batches are not read, neither in the landing folder nor in the history.
+* a day gets a sorted run of its new rows; what left the landing folder long ago stays in the history;
+* days without new batches are not read, neither in the landing folder nor in the history;
+* a day that has reached ``max_runs`` is then rewritten as one run, in a version of its own that says so:
+  the rollups know that it brings nothing new.
 
 ``retire`` removes landing batches that a version holds.  A crash at any point leaves the version that
 was there; running again does the work anew.
@@ -80,17 +81,29 @@ def compact(spark: SparkSession, landing: str, table: str, days: list[str] | Non
         known = V.read(spark, table, base, list(new), schema=landed.schema)
         if any(held[day]["runs"] for day in new):
             rows = rows.join(known.select(keys), keys, "left_anti")
-        whole = [day for day in new if len(held[day]["runs"]) >= max_runs]
-        if whole:
-            rows = rows.unionByName(known.where(F.col(DAY).cast("string").isin(whole)))
-        columns = known.columns  # the table's own order
-        order, time_col = cluster_columns(rows), time_column(rows)
-        runs = V.write_run(ranged(rows.select(columns), DAY, order, time_col), table, F.col(DAY), [*order, F.col(time_col).desc()], zone_columns(rows))
-        parts = {}
-        for day in new:
-            kept = [] if day in whole else held[day]["runs"]
-            parts[day] = {"runs": kept + ([runs[day]] if day in runs else []), "notes": {"merged": sorted(present[day])}}
-        number = V.commit(spark, table, base, parts, known.schema)
+        runs = _write_days(rows.select(known.columns), table)
+        parts = {day: {"runs": held[day]["runs"] + ([runs[day]] if day in runs else []), "notes": {"merged": sorted(present[day])}} for day in new}
+        if V.commit(spark, table, base, parts, known.schema) is not None:
+            return merge_runs(spark, table, list(new), max_runs)
+
+
+def _write_days(rows: DataFrame, table: str) -> dict[str, dict]:
+    order, time_col = cluster_columns(rows), time_column(rows)
+    return V.write_run(ranged(rows, DAY, order, time_col), table, F.col(DAY), [*order, F.col(time_col).desc()], zone_columns(rows))
+
+
+def merge_runs(spark: SparkSession, table: str, days: list[str] | None = None, max_runs: int = MAX_RUNS) -> int:
+    """Rewrite days that have ``max_runs`` runs or more as one run each; the version afterwards."""
+    while True:
+        base = V.state(spark, table)
+        parts = {day: V.part_of(spark, table, base, day) for day in (days or base["parts"])}
+        parts = {day: part for day, part in parts.items() if len(part["runs"]) >= max(2, max_runs)}
+        if not parts:
+            return base["number"]
+        rows = V.read(spark, table, base, list(parts))
+        made = _write_days(rows, table)
+        after = {day: part | {"runs": [V.merged_run(made[day], part["runs"])]} for day, part in parts.items()}
+        number = V.commit(spark, table, base, after, rows.schema)
         if number is not None:
             return number
 

@@ -61,10 +61,11 @@ def test_only_days_with_new_batches_are_touched(spark, place):
 
 def test_a_day_with_many_runs_becomes_one_sorted_run(spark, place):
     rows, landing, table = place
-    for i in range(4):
-        K.write_batch(_slice(rows, 4, i), landing, "w", i, by=DAYS)
+    for i in range(3):
+        K.write_batch(_slice(rows, 3, i), landing, "w", i, by=DAYS)
         CP.compact(spark, landing, table, max_runs=3)
     at = V.state(spark, table)
+    assert at["number"] == 4  # three merges and the rewrite
     assert all(len(V.part_of(spark, table, at, day)["runs"]) == 1 for day in at["parts"])
     assert _same(CP.read_history(spark, table), rows)
     part = V.part_of(spark, table, at, "2024-01-02")
@@ -73,6 +74,14 @@ def test_a_day_with_many_runs_becomes_one_sorted_run(spark, place):
         assert own == sorted(own)
 
 
+def test_what_is_new_since_a_version(spark):
+    run = lambda name, *of: {"run": name, "of": list(of or (name,))}
+    assert V.fresh_runs([run("a"), run("b")], [run("a")]) == [run("b")]
+    assert V.fresh_runs([run("m", "a", "b"), run("c")], [run("a"), run("b")]) == [run("c")]
+    assert V.fresh_runs([run("m", "a", "b")], [run("m", "a", "b")]) == [] and V.fresh_runs([run("a")], []) == [run("a")]
+    assert V.fresh_runs([run("m", "a", "b")], [run("a")]) is None and V.fresh_runs([run("b")], [run("a")]) is None
+
+
 def test_crash_before_the_commit_leaves_the_old_version(spark, place, monkeypatch):
     rows, landing, table = place
     K.write_batch(_slice(rows, 2, 0), landing, "w", 0, by=DAYS)
