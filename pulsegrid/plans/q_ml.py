@@ -17,7 +17,8 @@ from ..functions.classify import quality_category, quality_score
 from ..operators import ml as M
 from ..session import scratch_path
 from ..sources import fixtures as X
-from ..streaming.sinks import append_log, prediction_rows
+from ..sources import keyed as KD
+from ..streaming.sinks import prediction_rows
 from .catalog import query
 from .common import AS_OF
 from .oracle_views import with_views
@@ -221,12 +222,12 @@ def m12_compare_runs(spark, root):
 
 @query("k11_predictions")
 def k11_predictions(spark, root):
-    """Prediction-history rows from the batch scores, appended to the prediction log and read back."""
+    """Prediction-history rows from the batch scores, appended to the prediction table and read back."""
     model, _ = _model(spark, root)
     scored, _ = M.predict_quality(model, _requests(spark, root), keep=["person_id"])
     version, path = f"gbt-{C.GBT_MAX_ITER}", scratch_path(spark, "predictions")
-    append_log(prediction_rows(scored, model_version=version, now=AS_OF), path, version)
-    return spark.read.parquet(path).drop("write_id")
+    KD.append(prediction_rows(scored, model_version=version, now=AS_OF), path, KD.PREDICTIONS, version, 0)
+    return KD.read(spark, path, KD.PREDICTIONS)
 
 
 RAW_SQL = "sleep_duration + stress_level / 4.0"

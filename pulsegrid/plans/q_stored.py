@@ -18,6 +18,7 @@ from ..operators import rules as RU
 from ..operators.context import flatten_context, user_context
 from ..session import scratch_path
 from ..sources import fixtures as X
+from ..sources import keyed as KD
 from ..sources import stored as ST
 from ..sources.tables import read_table
 from ..streaming import sinks as K
@@ -28,18 +29,22 @@ from . import q_aggregates, q_history, q_joins, q_keyed, q_render, q_rules  # no
 
 
 def _root(spark, root) -> str:
-    """The folder of the written tables: readings and alerts by day, journal, contact links and chat as logs."""
+    """The folder of the written tables: readings and alerts by day, journal, contact links and chat as keyed tables."""
     def write() -> str:
         path = scratch_path(spark, "stored")
         K.layout(K.reading_rows(readings_of(spark, root))).write.partitionBy("event_date").parquet(path + "/readings")
         alerts = K.alert_rows(alerts_of(spark, root))
         K.layout(alerts, order=["user_id", "severity"], time_col="created_at").write.partitionBy("event_date").parquet(path + "/alerts")
         journal = X.journal(spark, root)
-        for half in (0, 1):  # two writes: later sequence numbers win whichever comes first
-            K.append_log(journal.where(F.col("seq") % 2 == half), path + "/journal", f"write-{half}")
-        K.append_log(X.contact_links(spark, root), path + "/contact_links", "write-0")
-        turns = KY.exchange_to_turns(q_keyed._exchanges(spark, root))
-        K.append_log(KY.chat_rows(turns), path + "/chat_messages", "write-0")
+        for n in range(5):  # later sequence numbers win whichever comes first; the writes fill two levels
+            KD.append(journal.where(F.col("seq") % 5 == n), path + "/journal", KD.JOURNAL, "journal", n, fanout=3)
+        KD.append(journal.where(F.col("seq") % 5 == 4), path + "/journal", KD.JOURNAL, "journal", 4)  # a replay
+        links = X.contact_links(spark, root)
+        for n in range(2):
+            KD.append(links.where(F.col("seq") % 2 == n), path + "/contact_links", KD.CONTACT_LINKS, "links", n, fanout=2)
+        turns = KY.chat_rows(KY.exchange_to_turns(q_keyed._exchanges(spark, root)))
+        for n in range(2):
+            KD.append(turns.where(F.pmod(F.xxhash64("row_id"), F.lit(2)) == n), path + "/chat_messages", KD.CHAT, "chat", n)
         return path
 
     return _memo(spark, root, "stored", write)
@@ -157,17 +162,28 @@ def c2_metadata_text(spark, root):
 
 @query("k7_journal_stored", ORACLES["k7_upsert_journal"])
 def k7_journal_stored(spark, root):
-    """K7 written: the journal log of two writes, read as one row per (user, date)."""
+    """K7 written: the journal of five writes and a replay, read as one row per (user, date)."""
     rows = ST.stored_journal(spark, _root(spark, root))
     return dates_as_timestamps(rows.select("user_id", "entry_date", "seq", *KY.JOURNAL_VALUES, "created_at"))
 
 
 @query("k8_links_stored", ORACLES["k8_link_contacts"])
 def k8_links_stored(spark, root):
-    """K8 written: users with the last contact id of the link log."""
+    """K8 written: users with their last contact id of two writes of links."""
     return ST.stored_users(spark, users_of(spark, root), _root(spark, root)).select("user_id", "contact_id")
 
 
+@query("k7_user_journal", with_views("""
+SELECT entry_date_ts AS entry_date, seq, mood, notes, created_at FROM (
+  SELECT CAST(entry_date AS TIMESTAMP) AS entry_date_ts, *  EXCLUDE (created_at), min(created_at) OVER (PARTITION BY user_id, entry_date) AS created_at,
+         row_number() OVER (PARTITION BY user_id, entry_date ORDER BY seq DESC) AS rn FROM journal WHERE user_id = 7) t
+WHERE rn = 1
+""", "journal"))
+def k7_user_journal(spark, root):
+    """K7 written: one user's journal; files whose users lie elsewhere are not opened."""
+    return dates_as_timestamps(ST.stored_journal(spark, _root(spark, root), user_id=7).select("entry_date", "seq", "mood", "notes", "created_at"))
+
+
 @query("t4_chat_history_stored", with_views("""
 SELECT user_id, role, content, created_at, rn, count(*) OVER (PARTITION BY user_id) - rn + 1 AS position FROM (
   SELECT user_id, role, content, created_at, CAST(row_number() OVER (PARTITION BY user_id

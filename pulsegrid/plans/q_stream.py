@@ -17,6 +17,7 @@ from ..operators import aggregates as A
 from ..operators import ingest as I
 from ..session import scratch_path
 from ..sources import fixtures as X
+from ..sources import keyed as KD
 from ..sources import stored as ST
 from ..streaming import compaction as CP
 from ..streaming import jobs as J
@@ -259,17 +260,30 @@ WINDOWS = f"""
 x AS (SELECT date_trunc('minute', event_time) - k * INTERVAL 1 MINUTE AS ws, r.* FROM ({COUNTED}) r, range(5) g(k))"""
 
 
+AGG_DOCS = ("doc_id string, `@timestamp` string, user_id bigint, metric string, avg_value double, min_value double, max_value double, "
+            "n_samples bigint, batch_id bigint")
+
+
+def _windows_of(docs):
+    return docs.select(F.to_timestamp("@timestamp").alias("window_start"), "user_id", "metric",
+                       F.round(F.col("avg_value") + 1e-9, 6).alias("avg_value"), "min_value", "max_value", "n_samples")
+
+
 @query("w2_stream_updates", with_views("""
 SELECT ws AS window_start, user_id, metric, round(avg(value) + 1e-9, 6) AS avg_value, min(value) AS min_value,
        max(value) AS max_value, count(value) AS n_samples FROM x GROUP BY ALL
 """, "readings", ctes=WINDOWS))
 def w2_stream_updates(spark, root):
     """W2 + W4 + K2: window documents of the update-mode stream, the newest of each."""
-    docs = spark.read.schema("doc_id string, `@timestamp` string, user_id bigint, metric string, avg_value double, min_value double, "
-                             "max_value double, n_samples bigint, batch_id bigint").json(_all(spark, root).out(spark, "agg_docs"))
-    newest = K.latest_docs(docs)
-    return newest.select(F.to_timestamp("@timestamp").alias("window_start"), "user_id", "metric",
-                         F.round(F.col("avg_value") + 1e-9, 6).alias("avg_value"), "min_value", "max_value", "n_samples")
+    return _windows_of(K.latest_docs(spark.read.schema(AGG_DOCS).json(_all(spark, root).out(spark, "agg_docs"))))
+
+
+@query("k2_compacted_docs", ORACLES["w2_stream_updates"])
+def k2_compacted_docs(spark, root):
+    """K2: the update-mode stream's documents absorbed into a keyed table, the newest of each."""
+    table = scratch_path(spark, "agg-docs")
+    KD.absorb(spark, _all(spark, root).out(spark, "agg_docs"), table, KD.AGG_DOCS, AGG_DOCS)
+    return _windows_of(KD.read(spark, table, KD.AGG_DOCS))
 
 
 @query("w1_stream_closed_windows", with_views("""

@@ -2,8 +2,8 @@
 
 Histories (K3, K4) keep the metadata as JSON text and a text row id; here the
 map, the alert fields and ``event_id`` come back, and the day column stays, so
-time scopes prune partitions.  Keyed tables (K7-K9, K11) are append-only logs
-of written rows; here the last state per key comes back.
+time scopes prune partitions.  Keyed tables (K7-K9) come back with their last
+state per key; with ``user_id`` only that user's files are opened.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.joins import link_contacts
-from ..operators.keyed import JOURNAL_VALUES, upsert_journal
+from . import keyed
 from .tables import path_exists, read_table
 
 
@@ -44,19 +44,17 @@ def stored_alerts(spark: SparkSession, root: str, name: str = "alerts", **scope)
         F.col("row_id").alias("event_id"), "rule_pos", "event_date")
 
 
-def stored_journal(spark: SparkSession, root: str, name: str = "journal") -> DataFrame:
-    """K7: the journal log with one row per (user, date)."""
-    log = read_table(spark, root, name)
-    return upsert_journal(log.drop("write_id"), log.limit(0).drop("write_id")).select(
-        "seq", "user_id", "entry_date", *JOURNAL_VALUES, "created_at")
+def stored_journal(spark: SparkSession, root: str, name: str = "journal", user_id: int | None = None) -> DataFrame:
+    """K7: one journal row per (user, date)."""
+    return keyed.read(spark, f"{root}/{name}", keyed.JOURNAL, user_id)
 
 
 def stored_users(spark: SparkSession, users: DataFrame, root: str, name: str = "contact_links") -> DataFrame:
-    """K8: users with the contact ids of the link log."""
-    updated, _ = link_contacts(users, read_table(spark, root, name))
+    """K8: users with their last contact ids."""
+    updated, _ = link_contacts(users, keyed.read(spark, f"{root}/{name}", keyed.CONTACT_LINKS))
     return updated
 
 
-def stored_chat(spark: SparkSession, root: str, name: str = "chat_messages") -> DataFrame:
+def stored_chat(spark: SparkSession, root: str, name: str = "chat_messages", user_id: int | None = None) -> DataFrame:
     """K9: chat messages (``schemas.CHAT_MESSAGES``)."""
-    return read_table(spark, root, name).select(*S.CHAT_MESSAGES.fieldNames())
+    return keyed.read(spark, f"{root}/{name}", keyed.CHAT, user_id).select(*S.CHAT_MESSAGES.fieldNames())

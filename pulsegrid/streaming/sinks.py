@@ -1,4 +1,4 @@
-"""Sinks (K1-K5, K7-K11): document projections and idempotent DataFrame writes.
+"""Sinks (K1-K5, K10, K11): document projections and idempotent DataFrame writes (keyed tables: ``sources.keyed``).
 
 Each sink is a projection (testable as a query) plus a writer.  Writers
 let errors fail the batch instead of swallowing them (D4) and are
@@ -139,12 +139,6 @@ def write_batch(df: DataFrame, path: str, writer_id: str, batch_id: int, fmt: st
      .mode("overwrite").save(path))
 
 
-def append_log(df: DataFrame, path: str, write_id: str) -> None:
-    """Add rows to a keyed table's log (K7-K9, K11) under the caller's ``write_id``: a repeated write replaces itself."""
-    (df.withColumn("write_id", F.lit(write_id)).write.option("partitionOverwriteMode", "dynamic")
-     .partitionBy("write_id").mode("overwrite").parquet(path))
-
-
 def publish(records: DataFrame, cfg: dict, writer_id: str, batch_id: int) -> None:
     """K5 writer: Kafka when configured (needs the connector jar; at least once, copies share their alert id), else JSON files."""
     if cfg.get("format") == "kafka":

@@ -291,17 +291,3 @@ def test_delivery_replay_and_channels(spark, scratch):
     assert sorted((r.user_id, r.channel) for r in out.collect()) == [(1, "chat"), (1, "live"), (2, "live")]
     assert out.select("outbox_id").distinct().count() == 3
     assert tuple(J.delivery_totals(spark, cfg).first()) == (3, 2, 1)
-
-
-def test_logs_replace_a_repeated_write(spark, scratch):
-    from pulsegrid.sources import stored as ST
-    from pulsegrid.streaming import sinks as K
-    users = spark.createDataFrame([(1, "old"), (2, "old")], "user_id long, contact_id string")
-    links = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 9, "c")], "seq long, user_id long, contact_id string")
-    path = os.path.join(scratch, "contact_links")
-    K.append_log(links.where("seq = 2"), path, "w2")
-    for _ in range(2):
-        K.append_log(links.where("seq <> 2"), path, "w1")
-    assert spark.read.parquet(path).count() == 3
-    got = {r.user_id: r.contact_id for r in ST.stored_users(spark, users, scratch).collect()}
-    assert got == {1: "b", 2: "old"}
