@@ -311,6 +311,23 @@ def w6_stream_hr_watch(spark, root):
     return rows.select("window_start", "user_id", F.round(F.col("avg_hr") + 1e-9, 6).alias("avg_hr"), "max_hr", "n_samples")
 
 
+HR_MINUTES = f"""
+m AS (SELECT date_trunc('minute', event_time) AS window_start, user_id, avg(value) AS a, max(value) AS max_hr, count(value) AS n_samples
+      FROM ({COUNTED}) r WHERE metric = 'heart_rate' GROUP BY ALL),
+w AS (SELECT max(event_time) - {DELAY} AS mark FROM ({COUNTED}) r WHERE metric = 'heart_rate')"""
+
+
+@query("r9_stream_early", with_views("""
+SELECT user_id, window_start, kind, round(a + 1e-9, 6) AS avg_hr, max_hr, n_samples, a > 120 AS flagged
+FROM m, w, (SELECT 'early' AS kind UNION ALL SELECT 'closed') k
+WHERE CASE kind WHEN 'early' THEN a > 120 ELSE window_start + INTERVAL 1 MINUTE <= mark END
+""", "readings", ctes=HR_MINUTES))
+def r9_stream_early(spark, root):
+    """R9 by state and timers: early rows of the minutes above the limit, closed rows of all that the watermark has passed."""
+    rows = spark.read.parquet(_all(spark, root).out(spark, "hr_early"))
+    return rows.withColumn("avg_hr", F.round(F.col("avg_hr") + 1e-9, 6))
+
+
 def _delivery(spark, root) -> J.StreamConfig:
     """The delivery over the alert records that the fan-out published."""
     def start() -> J.StreamConfig:

@@ -32,6 +32,7 @@ from ..operators.rules import detect_alerts, hr_watch
 from ..session import checkpoint_root, ensure_utc
 from ..sources.tables import path_exists, read_table
 from . import sinks as K
+from .watch import early_watch
 
 
 @dataclass
@@ -266,14 +267,16 @@ def start_delivery(spark: SparkSession, cfg: StreamConfig, users=None) -> Stream
 
 
 def start_all(spark: SparkSession, cfg: StreamConfig) -> list[StreamingQuery]:
-    """The raw fan-out, the window aggregate and the HR watch over one source; the bridge and the delivery where configured."""
+    """The raw fan-out, the window aggregate, the HR watch (closed minutes, and early flags) over one source; the bridge
+    and the delivery where configured."""
     parsed = read_readings(spark, cfg)
     raw_q = start_query(read_marked(spark, cfg), "raw", cfg, spark, foreach=process_batch(spark, cfg), every=cfg.raw_trigger)
     agg_q = start_query(windowed(parsed, cfg), "agg", cfg, spark, foreach=agg_batch(spark, cfg),
                         mode=cfg.agg_mode, every=cfg.agg_trigger)
     hr_q = start_query(hr_watch(with_watermark(parsed, cfg.watermark)).where(F.col("flagged")), "hr_watch",
                        cfg, spark, mode="append", every=cfg.raw_trigger)
-    queries = [raw_q, agg_q, hr_q]
+    early_q = start_query(early_watch(parsed, cfg.watermark), "hr_early", cfg, spark, mode="append", every=cfg.raw_trigger)
+    queries = [raw_q, agg_q, hr_q, early_q]
     if cfg.device_path:
         queries.append(start_bridge(spark, cfg))
     if cfg.users_root:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
+from ..session import DEFAULT_CONF
 
 MINUTE_US = 60_000_000
 PARTIAL = "user_id bigint, minute bigint, n bigint, total double, high double, event_time timestamp"
@@ -95,7 +96,15 @@ class MinuteWatch(StatefulProcessor):
 
 
 def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: float = C.HR_WATCH_LIMIT, rearm: float | None = None) -> DataFrame:
-    """R9 with early rows, over a stream of readings (needs the RocksDB state store, as ``session`` sets it)."""
+    """R9 with early rows, over a stream of readings.
+
+    The state operator needs the RocksDB state store: a session with another
+    one is switched for the queries it starts from here on (started queries and
+    old checkpoints keep theirs).
+    """
+    conf, key = readings.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if conf.get(key) != DEFAULT_CONF[key]:
+        conf.set(key, DEFAULT_CONF[key])
     hr = readings.where(F.col("metric") == "heart_rate").select(
         F.col("user_id").cast("bigint").alias("user_id"), F.col("event_time").cast("timestamp").alias("event_time"), F.col("value").cast("double").alias("value"))
     sums = hr.mapInArrow(minute_sums, PARTIAL).withWatermark("event_time", delay)
