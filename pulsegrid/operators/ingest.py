@@ -9,6 +9,8 @@ batch and streaming frames alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,18 @@ def enrich(df: DataFrame, now=None, topic_col: str = "topic") -> DataFrame:
 
 
 BRIDGE_FIELDS = ("metric", "ingested_at", "source_topic", "bridge")
+# one object, at most one more inside a value, strings without escapes: its last brace closes it
+_PLAIN = r"""(?:[^{}"\\]++|"[^"\\]*+")*+"""
+PLAIN_OBJECT = rf"^\s*\{{{_PLAIN}(?:\{{{_PLAIN}\}}{_PLAIN})*+\}}\s*$"
+PLAIN_CHARS = 4096  # longer texts go the other way (the pattern needs stack for each string in a text)
+
+
+def _put_in(payload: Column) -> Column:
+    """The payload's text with the bridge fields put in before its last brace; null where that can't be done by text alone."""
+    names = [payload.contains(f'"{n}"') for n in BRIDGE_FIELDS]
+    plain = (F.length(payload) <= PLAIN_CHARS) & ~reduce(lambda a, b: a | b, names) & payload.rlike(PLAIN_OBJECT) & ~payload.rlike(r"^\s*\{\s*\}")
+    body = F.regexp_replace(payload, r"\}\s*$", ",")
+    return F.when(plain, F.concat(body, F.substring(F.to_json(F.struct(*BRIDGE_FIELDS)), 2, 1 << 30)))
 
 
 def bridge(messages: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +109,9 @@ def bridge(messages: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
 
     Broker records carry ``key`` (P4), ``topic`` (P3) and the JSON ``value``:
     the device's object as it came, unknown fields too, with the four bridge
-    fields put in; a Kafka or file sink writes them as they are.
+    fields put in; a Kafka or file sink writes them as they are.  A plain
+    payload is parsed once and gets the fields as text; one that has such a
+    field already, escapes or deeper objects is rebuilt by the variant parser.
     """
     good, bad = split_malformed(parse_payload(messages, "payload"))
     enriched = enrich(good, now=now)
@@ -110,7 +126,7 @@ def bridge(messages: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
         *extra,
         route_key(F.col("user_id")).alias("key"),
         route_topic(F.col("metric")).alias("topic"),
-        F.coalesce(whole, known).alias("value"),
+        F.coalesce(_put_in(F.col("payload")), whole, known).alias("value"),
         "metric",
     )
     return records, bad

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import detect_alerts
-from ..session import ensure_utc
+from ..session import ensure_utc, scratch_generation
 from ..sources import fixtures as X
 
 AS_OF = X.AS_OF
@@ -18,9 +18,9 @@ _PLANS: dict = {}
 
 
 def _memo(spark: SparkSession, root: str, name: str, build):
-    """Reuse the lazy plan of a shared input within one session (plans only, no data)."""
+    """Reuse a shared input within one session: a lazy plan, or the place of a table written to scratch (until scratch is dropped)."""
     ensure_utc(spark)
-    key = (spark.sparkContext.applicationId, id(spark), root, name)
+    key = (spark.sparkContext.applicationId, id(spark), scratch_generation(), root, name)
     if key not in _PLANS:
         _PLANS[key] = build()
     return _PLANS[key]

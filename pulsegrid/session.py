@@ -10,6 +10,7 @@ folder is made in local mode (tests) and any other master is refused.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -63,6 +64,26 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, whatever folder the driver was started in.
+
+    Nothing to do where the workers' path has it (``PYTHONPATH``,
+    ``--py-files``).  Workers on the driver's machine get this folder on their
+    path; on a cluster the package goes along as a zip, once a session.
+    """
+    import pulsegrid
+
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(pulsegrid.__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if ".zip" in root or root in map(os.path.abspath, filter(None, paths)) or getattr(sc, "_pulsegrid_shipped", False):
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, sc.environment.get("PYTHONPATH", "")]))  # workers beside the driver
+    if not sc.master.startswith("local[") and sc.master != "local":
+        folder = tempfile.mkdtemp(prefix="pulsegrid-", dir=sc._temp_dir)  # served to executors from here, gone with the session
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "pulsegrid"), "zip", root, "pulsegrid"))
+    sc._pulsegrid_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts, stream checkpoints and scratch tables.
 
@@ -95,7 +116,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+_DROPPED = [0]
+
+
+def scratch_generation() -> int:
+    """Changes whenever scratch tables were dropped: what was remembered of them is void."""
+    return _DROPPED[0]
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (when no frame that reads them is needed any more)."""
+    _DROPPED[0] += 1
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
