@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .. import constants as C
 from ..operators import joins as J
 from ..operators.context import flatten_context, user_context
@@ -32,6 +34,22 @@ def j1_deliverable_alerts(spark, root):
     return routed.select("user_id", "event_id", "rule_pos", "contact_id")
 
 
+@query("j1_route_as_of", with_views("""
+SELECT a.user_id, a.event_id, a.rule_pos, a.created_at, l.contact_id
+FROM alerts a ASOF LEFT JOIN (
+  SELECT user_id, linked_at, arg_max(contact_id, seq) AS contact_id FROM (
+    SELECT *, TIMESTAMP '2024-01-01 00:00:00' + (seq * 7919 % 40320) * INTERVAL 1 MINUTE AS linked_at FROM contact_links) t GROUP BY ALL) l
+ON a.user_id = l.user_id AND a.created_at >= l.linked_at
+WHERE a.user_id IS NOT NULL
+""", "alerts", "contact_links"))
+def j1_route_as_of(spark, root):
+    """J1 + K8: each alert with the contact that was linked when it was raised; links recorded in no order of time."""
+    links = X.contact_links(spark, root).withColumn(
+        "linked_at", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("seq") * 7919 % 40320).cast("int")))
+    routed = J.route_alerts_as_of(alerts_of(spark, root), links)
+    return routed.select("user_id", "event_id", "rule_pos", "created_at", "contact_id")
+
+
 @query("j2_lookup_users", with_views("""
 SELECT r.user_id, u.email, u.name, u.chronotype, u.timezone, u.contact_id, u.user_id IS NOT NULL AS found
 FROM (SELECT DISTINCT user_id FROM readings) r LEFT JOIN users u ON r.user_id = u.user_id

@@ -19,6 +19,7 @@ from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import keyed as KD
 from ..sources import stored as ST
+from ..streaming import buffer as B
 from ..streaming import compaction as CP
 from ..streaming import jobs as J
 from ..streaming import rollups as R
@@ -311,6 +312,38 @@ def w6_stream_hr_watch(spark, root):
     return rows.select("window_start", "user_id", F.round(F.col("avg_hr") + 1e-9, 6).alias("avg_hr"), "max_hr", "n_samples")
 
 
+@query("a1_stream_twice_sent", ORACLES["w1_stream_closed_windows"])
+def a1_stream_twice_sent(spark, root):
+    """A1 in the stream over records that were all sent twice: windows count each once."""
+    cfg = _config(spark, "twice", source_format="records", source_path=scratch_path(spark, "records-twice"), agg_mode="append")
+    rows = spark.read.schema("key string, value string, topic string, timestamp timestamp").json(_records(spark, root))
+    rows.unionByName(rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 5 SECONDS"))).repartition(3).write.json(cfg.source_path)
+    _drain(J.start_query(J.windowed(J.read_readings(spark, cfg), cfg), "windows", cfg, spark, mode="append"))
+    return spark.read.parquet(cfg.out(spark, "windows")).withColumn("avg_value", F.round(F.col("avg_value") + 1e-9, 6))
+
+
+@query("t6_stream_buffer", with_views("""
+SELECT user_id, rn, created_at, severity, title, event_id, rule_pos FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC, rule_pos ASC) AS INTEGER) AS rn
+  FROM alerts WHERE user_id IS NOT NULL) t
+WHERE rn <= 100
+""", "alerts"))
+def t6_stream_buffer(spark, root):
+    """T6 in the stream: every user's newest 100 alerts after three batches in no order of time, some alerts twice."""
+    path, cfg = scratch_path(spark, "alert-files"), _config(spark, "buffers", max_files_per_trigger=1)
+    rows = K.alert_rows(alerts_of(spark, root))
+    for n in range(3):
+        rows.where(F.pmod(F.xxhash64("row_id"), F.lit(4)).isin(n, 3)).coalesce(1).write.mode("append").parquet(path)
+    alerts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumnRenamed("row_id", "event_id")
+
+    def put(batch, batch_id):
+        K.write_batch(batch, cfg.out(spark, "buffers"), cfg.writer_id(spark, "buffers"), batch_id)
+
+    _drain(J.start_query(B.alert_buffers(alerts), "buffers", cfg, spark, foreach=put, mode="update"))
+    kept = B.latest_buffers(spark.read.parquet(cfg.out(spark, "buffers")))
+    return kept.select("user_id", "rn", "created_at", "severity", "title", F.col("event_id").cast("bigint").alias("event_id"), "rule_pos")
+
+
 HR_MINUTES = f"""
 m AS (SELECT date_trunc('minute', event_time) AS window_start, user_id, avg(value) AS a, max(value) AS max_hr, count(value) AS n_samples
       FROM ({COUNTED}) r WHERE metric = 'heart_rate' GROUP BY ALL),

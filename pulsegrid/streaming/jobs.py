@@ -51,6 +51,7 @@ class StreamConfig:
     available_now: bool = False              # tests: drain what is there, then stop
     watermark: str = C.WATERMARK_DELAY
     agg_mode: str = "update"                 # "update" (reference) or "append" (final windows)
+    dedup: bool = True                       # windows and watches count a record sent twice once
     alerts_cfg: dict = field(default_factory=dict)
     device_path: str | None = None           # device messages as JSON files (topic, payload, timestamp): runs the bridge
     alerts_path: str | None = None           # alert records as JSON files: runs the delivery
@@ -130,9 +131,20 @@ def with_watermark(df: DataFrame, delay: str = C.WATERMARK_DELAY, time_col: str
     return df.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
 
 
+def once(df: DataFrame, cfg: StreamConfig) -> DataFrame:
+    """Readings under the watermark, each counted once: a record sent again within the watermark's delay is known by its id.
+
+    State: an id a reading, for as long as the watermark allows a copy.
+    """
+    marked = with_watermark(df, cfg.watermark)
+    if not cfg.dedup:
+        return marked
+    return marked.withColumn("_reading", K.reading_id(marked)).dropDuplicatesWithinWatermark(["_reading"]).drop("_reading")
+
+
 def windowed(df: DataFrame, cfg: StreamConfig) -> DataFrame:
     """A1 + A2 under the watermark (W1, W2: late rows dropped, state evicted)."""
-    return flatten_window(window_agg(with_watermark(df, cfg.watermark)))
+    return flatten_window(window_agg(once(df, cfg)))
 
 
 def process_batch(spark: SparkSession, cfg: StreamConfig, name: str = "raw"):
@@ -273,7 +285,7 @@ def start_all(spark: SparkSession, cfg: StreamConfig) -> list[StreamingQuery]:
     raw_q = start_query(read_marked(spark, cfg), "raw", cfg, spark, foreach=process_batch(spark, cfg), every=cfg.raw_trigger)
     agg_q = start_query(windowed(parsed, cfg), "agg", cfg, spark, foreach=agg_batch(spark, cfg),
                         mode=cfg.agg_mode, every=cfg.agg_trigger)
-    hr_q = start_query(hr_watch(with_watermark(parsed, cfg.watermark)).where(F.col("flagged")), "hr_watch",
+    hr_q = start_query(hr_watch(once(parsed, cfg)).where(F.col("flagged")), "hr_watch",
                        cfg, spark, mode="append", every=cfg.raw_trigger)
     early_q = start_query(early_watch(parsed, cfg.watermark), "hr_early", cfg, spark, mode="append", every=cfg.raw_trigger)
     queries = [raw_q, agg_q, hr_q, early_q]
