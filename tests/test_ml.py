@@ -45,6 +45,39 @@ def test_fit_metrics_predict_and_registry(spark, scratch):
     assert loaded.transform(test).select("prediction").collect() == preds.select("prediction").collect()
 
 
+def test_predictions_equal_a_plain_evaluation_of_the_saved_trees(spark, scratch):
+    """M7: the saved trees walked in plain Python on the assembled features give the model's predictions."""
+    train, test = M.split_survey(M.clean_survey(X.survey(spark, SF_SMALL)))
+    model, _ = M.fit(train, max_iter=6)
+    root = os.path.join(scratch, "models")
+    M.save_model(spark, model, root)
+    folder = next(os.path.join(root, "v1", "stages", d) for d in os.listdir(os.path.join(root, "v1", "stages")) if "GBT" in d)
+    weights = {r[0]: r[2] for r in spark.read.parquet(os.path.join(folder, "treesMetadata")).collect()}
+    nodes = {}
+    for r in spark.read.parquet(os.path.join(folder, "data")).collect():
+        nodes.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
+    assert len(nodes) == 6
+
+    def leaf(tree, x):
+        n = tree[0]
+        while n.leftChild >= 0:
+            s = n.split
+            left = x[s.featureIndex] <= s.leftCategoriesOrThreshold[0] if s.numCategories < 0 else x[s.featureIndex] in s.leftCategoriesOrThreshold
+            n = tree[n.leftChild if left else n.rightChild]
+        return n.prediction
+
+    rows = model.transform(test).collect()
+    features = model.stages[-1].getFeaturesCol()
+    assert len(rows) > 20 and all(abs(sum(w * leaf(nodes[t], r[features]) for t, w in weights.items()) - r.prediction) < 1e-9 for r in rows)
+    scored, _ = M.predict_quality(model, test, keep=["person_id"])  # M9 on the same trees
+    want = {r.person_id: round(r.prediction, 3) for r in rows}
+    assert all(abs(r.raw_value - want[r.person_id]) <= 0.001 for r in scored.collect())
+
+
+def test_two_savers_get_versions_of_their_own(spark, scratch):
+    assert M._claim_version(spark, scratch, 1) == 1 and M._claim_version(spark, scratch, 1) == 2 and M._claim_version(spark, scratch, 1) == 3
+
+
 def test_at_rest_schemas_match_writers(spark):
     from pulsegrid import schemas as S
     from pulsegrid.plans.common import alerts_of, readings_of
