@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_utc, scratch_path
@@ -84,6 +84,17 @@ def load_order(df: DataFrame, keys: list, order: list) -> DataFrame:
     return marked.repartitionByRange(*by).sortWithinPartitions(*by).drop("_row").withColumn("_at", F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` (a written table) with ``rank``: its rows' places, from 0, in the order of ``order``; no task holds them all."""
+    placed = materialize(load_order(df, [], order), name)
+    part = F.shiftright("_at", 33)
+    tasks = placed.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    tasks = tasks.select("_part", (before - F.col("_first")).alias("_offset"))
+    out = placed.join(tasks, part == F.col("_part"))
+    return out.withColumn("rank", F.col("_at") + F.col("_offset")).drop("_at", "_part", "_offset")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

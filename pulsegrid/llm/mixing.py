@@ -9,9 +9,11 @@ Then documents are selected by a seeded hash: each of a pattern's documents is
 taken as often as the flow uses the pattern in full, and the first in hash
 order once more for the rest.
 
-The flow has one node a pattern and one a source; both are aggregates, and
-their number is checked against ``MAX_PATTERNS`` before they come to the
-driver.  The selection never sorts a pattern as a whole: hash slices are
+Sources, their sizes and targets are a table, however many there are.  A source
+whose documents belong to it alone needs no search: the flow gives it its own
+words up to its target.  Only patterns of several sources, and those that share
+a source with them, are searched, on the driver; their number (not that of
+sources or documents) is checked against ``MAX_PATTERNS``.  The selection never sorts a pattern as a whole: hash slices are
 summed, the slice in which the cut falls is found, then cut into finer slices,
 and only the documents of one fine slice are put in order.
 """
@@ -25,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, materialize, numbered, text_or_empty
 
 MAX_REPEATS = 3
 MAX_PATTERNS = 20_000
@@ -33,13 +35,13 @@ SLICES = 4096
 SEED = 17
 
 
-def cycle_weight(i: int) -> int:
-    """Weights 1, 2, 3, repeating, of the sources in order."""
-    return i % 3 + 1
+def cycle_weight(rank: Column) -> Column:
+    """Weights 1, 2, 3, repeating, of the sources in order (``rank`` counts from 0)."""
+    return rank % 3 + 1
 
 
 def targets(sizes: list[int], weights: list[float], total: int, most: float = MAX_REPEATS) -> list[float]:
-    """Shares of ``total`` by weight; none above ``most`` times its size, the excess reshared by weight."""
+    """Shares of ``total`` by weight; none above ``most`` times its size, the excess reshared by weight: ``shared_targets`` in plain words."""
     out = [0.0] * len(sizes)
     open_, left = [i for i, n in enumerate(sizes) if n > 0], float(total)
     while open_:
@@ -52,6 +54,25 @@ def targets(sizes: list[int], weights: list[float], total: int, most: float = MA
     return out
 
 
+def shared_targets(sources: DataFrame, total: int, most: int = MAX_REPEATS) -> DataFrame:
+    """``sources`` (source_size, weight, a written table) with ``target``: shares of ``total`` by weight; none above ``most``
+    times its size, the excess reshared by weight.
+
+    A round is one aggregate: sources that the share of the round before
+    overfills are full, and what is left is shared by the weight of the others.
+    """
+    size, weight, full = F.col("source_size"), F.col("weight").cast("double"), F.col("source_size") * most
+    left, over, held = float(total), 0.0, -1
+    while True:
+        brim = (F.lit(left) * weight / F.lit(over) > full) if over else F.lit(False)
+        figures = sources.where(size > 0).agg(F.count_if(brim).alias("n"), F.sum(F.when(brim, full)).alias("full"), F.sum(F.when(~brim, weight)).alias("open")).first()
+        if figures.n == held or figures.open is None:
+            break
+        held, left, over = figures.n, float(total - (figures.full or 0)), figures.open
+    share = F.lit(left) * weight / F.lit(over or 1.0)
+    return sources.withColumn("target", F.when(size <= 0, 0.0).otherwise(F.least(full.cast("double"), share)))
+
+
 def min_cost_flow(capacity: list[int], member_of: list[list[int]], quota: list[int], repeats: int = MAX_REPEATS) -> list[dict[int, int]]:
     """Words of each pattern that go to each source, at the least total cost of repetition.
 
@@ -114,7 +135,7 @@ class Mix(NamedTuple):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None,
-        keep: list[str] | None = None, weight: Callable[[int], float] = cycle_weight, repeats: int = MAX_REPEATS,
+        keep: list[str] | None = None, weight: Callable[[Column], Column] = cycle_weight, repeats: int = MAX_REPEATS,
         seed: int = SEED) -> Mix:
     """How many words of each document the mix takes.
 
@@ -125,7 +146,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     ``sources`` is an array of source names (default: the one in column
     ``source``); repeated names count once, null is a source of its own, and
     an empty or null array is the null source.  Sources in code point order,
-    null last, weigh ``weight(0)``, ``weight(1)``, ...; together they share all
+    null last, weigh ``weight(rank)``, a column of their rank from 0; together they share all
     sizes, none over ``repeats`` times its own.  Of each pattern, documents in
     hash order are taken whole; the one at the cut gives the words still
     missing, so the words taken are the words routed (rows that repeat one id
@@ -144,24 +165,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     if not keep:
         rows = slim.withColumn("row", F.struct(F.col("mix_id").alias(id_col)))
 
-    found = slim.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns; mix fewer sources at a time")
-    in_order = lambda s: (s is None, s or "")
-    found.sort(key=lambda r: [in_order(s) for s in r.pattern])
-    order = sorted({s for r in found for s in r.pattern}, key=in_order)
-    index = {s: i for i, s in enumerate(order)}
-    size_of = [sum(r.size for r in found if s in r.pattern) for s in order]
-    goal = targets(size_of, [weight(i) for i in range(len(order))], sum(r.size for r in found), repeats)
-    flow = min_cost_flow([r.size for r in found], [[index[s] for s in r.pattern] for r in found], [round(g) for g in goal], repeats)
+    found = materialize(slim.groupBy("pattern").agg(F.sum("size").alias("size")), "mix-patterns")
+    per = found.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked = numbered(materialize(per, "mix-source-sizes"), [F.col("source").asc_nulls_last()], "mix-sources")
+    total = found.agg(F.sum("size")).first()[0] or 0
+    about = materialize(shared_targets(materialize(ranked.withColumn("weight", weight(F.col("rank"))), "mix-weights"), total, repeats), "mix-targets")
+    about = about.withColumn("goal", F.bround("target").cast("bigint"))
+
+    # sources that share documents are searched; the others get their own words
+    shared = found.where(F.size("pattern") > 1)
+    if shared.isEmpty():
+        tangled, knots, flows = about.limit(0).select("source"), [], []
+    else:
+        tangled = materialize(shared.select(F.explode("pattern").alias("source")).distinct(), "mix-shared-sources")
+        named = found.withColumn("own", F.explode("pattern")).alias("p").join(tangled.alias("t"), F.col("p.own").eqNullSafe(F.col("t.source")), "left_semi")
+        knots = named.select("pattern", "size").distinct().limit(MAX_PATTERNS + 1).collect()
+        if len(knots) > MAX_PATTERNS:
+            raise ValueError(f"over {MAX_PATTERNS} patterns of sources that share documents; mix fewer of these at a time")
+        ends = about.alias("a").join(tangled.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source")), "left_semi").orderBy("rank").collect()
+        index = {r.source: i for i, r in enumerate(ends)}
+        knots.sort(key=lambda r: [index[s] for s in r.pattern])
+        flows = min_cost_flow([r.size for r in knots], [[index[s] for s in r.pattern] for r in knots], [r.goal for r in ends], repeats)
 
     spark = docs.sparkSession
-    about = spark.createDataFrame(
-        [(s, size_of[i], goal[i], sum(f.get(i, 0) for f in flow)) for i, s in enumerate(order)],
-        "source string, source_size long, target double, routed long")
-    quota = spark.createDataFrame([(r.pattern, sum(f.values()) // r.size, sum(f.values()) % r.size)
-                                   for r, f in zip(found, flow) if r.size], "pattern array<string>, whole long, rest long")
-    return Mix(_select(rows, slim, F.broadcast(quota)), about)  # quota: at most MAX_PATTERNS rows
+    routes = spark.createDataFrame([(r.pattern, sum(f.values()) // r.size, sum(f.values()) % r.size) for r, f in zip(knots, flows) if r.size],
+                                   "pattern array<string>, whole long, rest long")
+    given: dict[int, int] = {}
+    for f in flows:
+        for s, n in f.items():
+            given[s] = given.get(s, 0) + n
+    reached = spark.createDataFrame([(i, r.source, given.get(i, 0)) for i, r in enumerate(ends)] if knots else [], "at int, source string, got long")
+    own = about.alias("a").join(tangled.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source")), "left_anti")
+    quota = own.where("source_size > 0").select(F.array("source").alias("pattern"), F.expr("goal div source_size").alias("whole"), (F.col("goal") % F.col("source_size")).alias("rest"))
+    quota = materialize(quota.unionByName(routes), "mix-quota")
+    whole = own.select("rank", "source", "source_size", "target", F.col("goal").alias("routed"))
+    if knots:
+        part = about.alias("a").join(reached.alias("r"), F.col("a.source").eqNullSafe(F.col("r.source")))
+        whole = whole.unionByName(part.select("rank", "a.source", "source_size", "target", F.col("got").alias("routed")))
+    return Mix(_select(rows, slim, quota), materialize(whole, "mix-result").orderBy("rank").drop("rank"))
 
 
 def _select(rows: DataFrame, slim: DataFrame, quota: DataFrame) -> DataFrame:
@@ -181,12 +222,12 @@ def _select(rows: DataFrame, slim: DataFrame, quota: DataFrame) -> DataFrame:
     marked = slim.where("size > 0").join(quota, "pattern").withColumn("before", F.lit(0).cast("bigint"))
     for at, of in slices.items():
         found = cut(marked.withColumn(at, of), [at], f"mix-{at}")
-        marked = marked.drop("before", "rest").withColumn(at, of).join(F.broadcast(found.drop("n")), ["pattern", at])
+        marked = marked.drop("before", "rest").withColumn(at, of).join(found.drop("n"), ["pattern", at])
     edge = cut(marked, ["fine", "u", "mix_id", "size"], "mix-edge")
     edge = edge.select("pattern", F.struct("u", "mix_id", "size").alias("edge"), "fine",
                        F.floor((F.col("rest") - F.col("before")) / F.col("n")).alias("part"))
 
-    out = rows.join(quota, "pattern", "left").join(F.broadcast(edge), "pattern", "left")
+    out = rows.join(quota, "pattern", "left").join(materialize(edge, "mix-edges"), "pattern", "left")
     own = F.struct("u", "mix_id", "size")
     more = (F.when(F.col("fine").isNull(), 0)
             .when(slices["fine"] != F.col("fine"), F.when(slices["fine"] < F.col("fine"), F.col("size")).otherwise(0))

@@ -50,7 +50,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all ``documents`` by source: doc_id, size, source_size, target, taken."""
     mixed = mix(load(spark, sf_dir, "documents"))
     rows = mixed.rows.withColumn("own", F.col("pattern")[0])
-    found = rows.join(F.broadcast(mixed.sources), F.col("own").eqNullSafe(F.col("source")))
+    found = rows.join(mixed.sources, F.col("own").eqNullSafe(F.col("source")))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 

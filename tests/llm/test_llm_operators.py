@@ -254,6 +254,51 @@ def test_targets_reshare():
     assert mixing.targets([], [], 0) == [] and mixing.targets([0], [1], 0) == [0.0]
 
 
+@pytest.mark.parametrize("n", [1, 4, 200])
+def test_shared_targets_equal_the_plain_rounds(spark, n):
+    rng = random.Random(n)
+    sizes = [rng.choice([0, 1, 3, 10, 1000, 10 ** 6]) for _ in range(n)]
+    weights = [rng.randint(1, 9) for _ in range(n)]
+    df = spark.createDataFrame(list(zip(range(n), sizes, weights)), "i long, source_size long, weight long")
+    got = [r.target for r in mixing.shared_targets(df, sum(sizes)).orderBy("i").collect()]
+    assert got == pytest.approx(mixing.targets(sizes, weights, sum(sizes)), rel=1e-12)
+
+
+_ORDER: dict = {}  # Spark's xxhash64 of (seed, id, size), as the unsigned number that documents are ordered by
+
+
+def brute_choice(rows, targets):
+    """Words taken of each (id, source, size) of disjoint sources: whole uses, then documents in hash order, the last one in part."""
+    out = {}
+    for s, goal in targets.items():
+        own = sorted((_ORDER[i, n], i, n) for i, src, n in rows if src == s and n)
+        size = sum(n for *_, n in own)
+        goal = round(goal)
+        whole, rest = (goal // size, goal % size) if size else (0, 0)
+        for _, i, n in own:
+            out[i] = whole * n + min(n, rest)
+            rest -= min(n, rest)
+    return out
+
+
+@pytest.mark.parametrize("n_sources", [3, 400])
+def test_mix_chooses_as_the_plain_version(spark, n_sources):
+    """More sources than documents share: every source's own words, chosen in hash order, the document at the cut in part."""
+    rng = random.Random(n_sources)
+    rows = [(i, f"s{min(rng.randrange(n_sources), rng.randrange(n_sources))}", rng.choice([0, 1, 5, 30, 200])) for i in range(900)]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, s, n in rows], "doc_id long, text string, source string").repartition(4)
+    hashes = spark.createDataFrame([(i, n) for i, _, n in rows], "i long, n long").select("i", "n", F.xxhash64(F.lit(mixing.SEED), "i", "n").alias("u"))
+    _ORDER.update({(r.i, r.n): r.u & (1 << 64) - 1 for r in hashes.collect()})
+    mixed = mixing.mix(df)
+    about = {r.source: r for r in mixed.sources.collect()}
+    names = sorted(about)
+    sizes = [sum(n for _, s, n in rows if s == name) for name in names]
+    want = dict(zip(names, mixing.targets(sizes, [i % 3 + 1 for i in range(len(names))], sum(sizes))))
+    assert all(about[s].target == pytest.approx(want[s]) and about[s].routed == round(about[s].target) for s in names)
+    taken = brute_choice(rows, {s: about[s].target for s in names})
+    assert {r.doc_id: r.taken for r in mixed.rows.collect()} == {i: taken.get(i, 0) for i, _, _ in rows}
+
+
 # -- SimHash ------------------------------------------------------------------------
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
