@@ -18,15 +18,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, small_batches, text_or_empty
+from .common import bucketed, load_order, materialize, small_batches, text_or_empty
 
 CHUNK_BYTES = 4 << 20
-MAX_CHUNKS = 4_000_000  # a bound of 8 bytes each goes through the driver
+BUCKET_BYTES = 256 << 20  # about so much text in a bucket of the written chunks
+MAX_BUCKETS = 100_000     # Spark's own bound (spark.sql.sources.bucketing.maxBuckets)
 _LAST = (1 << 63) - 1
-_PIECE = 1 << 16
 
 
 class Chunked:
@@ -74,14 +74,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
     sized = rows.select("ord", F.octet_length("text").cast("bigint").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
-    if chunks > MAX_CHUNKS:
-        raise ValueError(f"{chunks} chunks: take larger ones")
-    bounds = np.zeros(0, dtype=np.int64)
-    if chunks > 1:  # long texts weigh more
-        weighed = sized.select("ord", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / _PIECE))))
-        last = weighed.repartitionByRange(chunks, "ord").groupBy(F.spark_partition_id().alias("p")).agg(F.max("ord").alias("b")).collect()
-        bounds = np.unique([r.b for r in last])[:-1]
+    bounds = _bounds(sized, chunk_bytes) if total > chunk_bytes else np.zeros(0, dtype=np.int64)
     shared = spark.sparkContext.broadcast(bounds)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +93,27 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
                                                  names=["chunk", "ids", "lens", "blob"])
 
     n = len(bounds) + 1
-    parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(n, MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     packed = rows.mapInArrow(pack, "chunk int, ids binary, lens binary, blob binary")
     return Chunked(bucketed(packed, "chunks", parts, "chunk"), n)
 
 
+def _bounds(sized: DataFrame, chunk_bytes: int) -> np.ndarray:
+    """The last id of each chunk but the last: ids (with the bytes of their texts) run into chunks by their running sum.
+
+    The sum runs in the tasks of a range sort and over their totals; the driver
+    gets 8 bytes a chunk.
+    """
+    per = materialize(sized.groupBy("ord").agg(F.sum("n").alias("n")), "id-bytes")
+    placed = materialize(load_order(per, [], [F.col("ord")]).withColumn("_part", F.shiftright("_at", 33)), "ordered-ids")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy("_part").agg(F.sum("n").alias("n")).select("_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"))  # a row a task
+    within = Window.partitionBy("_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.select("_part", "ord", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_sum")).join(tasks, "_part")
+    last = run.groupBy(F.floor((F.col("_sum") + F.col("_before")) / chunk_bytes).alias("chunk")).agg(F.max("ord").alias("b"))
+    return np.sort(last.select("b").toArrow().column("b").to_numpy())[:-1]
+
+
 # -- hashes -----------------------------------------------------------------
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 

@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_first, load_order, materialize
+from .common import id_first, load_order, materialize, numbered
 
 ARITY = 3
 SPAN = 4          # levels of one grouping: at most ARITY ** SPAN digests in a row
@@ -107,11 +107,8 @@ def manifest(docs: DataFrame, leaf: Column, group: str, order: str, keep: dict[s
     # a group's pieces: one a task that holds rows of it
     pieces = placed.groupBy("name", F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     pieces = materialize(pieces, "pieces")
-    names = materialize(load_order(pieces.groupBy("name").agg(F.sum("_rows").alias("n")), [], [F.col("name")]), "groups")
-    tasks = names.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
-    names = names.join(tasks.select("_part", "_first", before.alias("_before")), F.shiftright("_at", 33) == F.col("_part"))
-    groups = materialize(names.select("name", "n", (F.col("_at") - F.col("_first") + F.col("_before")).alias("g")), "numbered-groups")
+    sizes = materialize(pieces.groupBy("name").agg(F.sum("_rows").alias("n")), "group-sizes")
+    groups = materialize(numbered(sizes, [F.col("name")], "groups").withColumnRenamed("rank", "g"), "numbered-groups")
     ahead = F.coalesce(F.sum("_rows").over(Window.partitionBy("name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = pieces.select(F.col("name").alias("_name"), F.col("_part").alias("_p"), (ahead - F.col("_first")).alias("_offset"))
     offsets = offsets.join(groups.withColumnRenamed("name", "_own"), F.col("_name").eqNullSafe(F.col("_own")))
