@@ -89,7 +89,8 @@ def compact(spark: SparkSession, landing: str, table: str, days: list[str] | Non
 
 def _write_days(rows: DataFrame, table: str) -> dict[str, dict]:
     order, time_col = cluster_columns(rows), time_column(rows)
-    return V.write_run(ranged(rows, DAY, order, time_col), table, F.col(DAY), [*order, F.col(time_col).desc()], zone_columns(rows))
+    return V.write_run(ranged(rows, DAY, order, time_col), table, F.col(DAY), [*order, F.col(time_col).desc()], zone_columns(rows),
+                       {"parquet.bloom.filter.enabled#user_id": "true"})
 
 
 def merge_runs(spark: SparkSession, table: str, days: list[str] | None = None, max_runs: int = MAX_RUNS) -> int:

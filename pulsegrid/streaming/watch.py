@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -82,6 +82,12 @@ class MinuteWatch(StatefulProcessor):
             self.minutes.updateValue(at, (n, total, high, armed))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            at = (int(r.minute),)
+            self.minutes.updateValue(at, (int(r.n), float(r.total), None if pd.isna(r.high) else float(r.high), bool(r.armed)))
+            self.handle.registerTimer((at[0] + 1) * MINUTE_US // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         minute = expiredTimerInfo.getExpiryTimeInMs() * 1000 // MINUTE_US - 1
         out = []
@@ -95,9 +101,24 @@ class MinuteWatch(StatefulProcessor):
         pass
 
 
-def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: float = C.HR_WATCH_LIMIT, rearm: float | None = None) -> DataFrame:
+def open_minutes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The minutes that a watch's checkpoint holds open: user_id, minute, n, total, high, armed, and the state's partition.
+
+    Read with Spark's state data source, also while the query runs.
+    """
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "minutes").load()
+    return state.select(F.col("key.user_id").alias("user_id"), F.col("user_map_key.minute").alias("minute"), "user_map_value.*", "partition_id")
+
+
+def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: float = C.HR_WATCH_LIMIT, rearm: float | None = None,
+                initial: DataFrame | None = None) -> DataFrame:
     """R9 with early rows, over a stream of readings.
 
+    ``initial`` (``open_minutes`` of a stopped query, written to a table) are
+    minutes to go on with: that is how a watch moves to another shuffle width,
+    which a checkpoint fixes.  The new query gets a checkpoint of its own and
+    the readings from where the old one stopped.
+
     The state operator needs the RocksDB state store: a session with another
     one is switched for the queries it starts from here on (started queries and
     old checkpoints keep theirs).
@@ -108,5 +129,6 @@ def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: floa
     hr = readings.where(F.col("metric") == "heart_rate").select(
         F.col("user_id").cast("bigint").alias("user_id"), F.col("event_time").cast("timestamp").alias("event_time"), F.col("value").cast("double").alias("value"))
     sums = hr.mapInArrow(minute_sums, PARTIAL).withWatermark("event_time", delay)
+    held = None if initial is None else initial.select("user_id", "minute", "n", "total", "high", "armed").groupBy("user_id")
     return sums.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=MinuteWatch(limit, rearm), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=MinuteWatch(limit, rearm), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime", initialState=held)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.rules import hr_watch
 from pulsegrid.plans.common import readings_of
 from pulsegrid.streaming import jobs as J
-from pulsegrid.streaming.watch import early_watch
+from pulsegrid.streaming.watch import early_watch, open_minutes
 
 from conftest import SF_SMALL
 from test_streaming import _cfg, _drain, _reading, _write_batches
@@ -61,6 +61,30 @@ def test_restart_keeps_the_state(spark, scratch):
     assert [(r.kind, r.avg_hr, r.n_samples) for r in rows if r.window_start.minute == 0] == [("early", 125.0, 2), ("closed", 125.0, 2)]
 
 
+def test_watch_moves_to_another_shuffle_width(spark, scratch):
+    """Open minutes read from the old checkpoint go on under a new one; totals are those of one query over all."""
+    first = [_at(0, 1 + u, 100.0 + u, user=u) for u in range(12)]
+    second = [_at(0, 30 + u, 145.0, user=u) for u in range(12)]
+    end = [[_at(9, 0, 70.0, user=99)], [_at(9, 1, 70.0, user=99)]]
+    old, new = os.path.join(scratch, "old"), os.path.join(scratch, "new")
+    _write_batches(old, [first])
+    _write_batches(new, [second, *end])
+    cfg = _cfg(os.path.join(scratch, "a"), old)
+    assert _run(spark, cfg, "width") == []
+    held = open_minutes(spark, cfg.ckpt(spark, "width"))
+    assert sorted((r.user_id, r.minute * 60, r.n, r.total) for r in held.collect()) == [(u, int(BASE.replace(tzinfo=dt.timezone.utc).timestamp()), 1, 100.0 + u) for u in range(12)]
+    held.write.parquet(os.path.join(scratch, "held"))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        rows = _run(spark, _cfg(os.path.join(scratch, "b"), new), "width", initial=spark.read.parquet(os.path.join(scratch, "held")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {p for p, in open_minutes(spark, os.path.join(scratch, "b", "ckpt", "width")).select("partition_id").distinct().collect()} <= {0, 1, 2}
+    assert {r.user_id: (r.n_samples, r.avg_hr, r.flagged) for r in rows if r.kind == "closed"} == {
+        u: (2, (245.0 + u) / 2, (245.0 + u) / 2 > 120) for u in range(12)}
+    assert sorted(r.user_id for r in rows if r.kind == "early" and r.window_start.minute == 0) == list(range(12))
+
+
 def test_closed_minutes_equal_the_batch_rule(spark, scratch):
     rows = readings_of(spark, SF_SMALL).where("metric = 'heart_rate'")
     src = os.path.join(scratch, "src")
