@@ -75,19 +75,19 @@ class LevelledRuns:
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Distinct (document, line hash): ord, hi, lo."""
+    """Distinct (row, line hash): ord, th (the text's hash), hi, lo."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, digests = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for text in batch.column(1):
+            ids, marks, counts, digests = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), [], []
+            for text in batch.column(2):
                 own = {h for line in text.as_py().split("\n") if (h := line_hash(line, min_chars))}
                 counts.append(len(own))
                 digests += own
             pair = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
-                                             names=["ord", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.repeat(marks, counts)), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
+                                             names=["ord", "th", "hi", "lo"])
 
-    return docs.select("ord", "text").mapInArrow(run, "ord bigint, hi bigint, lo bigint")
+    return docs.select("ord", "th", "text").mapInArrow(run, "ord bigint, th bigint, hi bigint, lo bigint")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
@@ -106,7 +106,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("bigint").alias("ord"), text_or_empty(text_col).alias("text"),
-                       F.struct(F.col(id_col), *keep).alias("row"))
+                       F.struct(F.col(id_col), *keep).alias("row")).withColumn("th", F.xxhash64("text"))
     occurrences = materialize(_occurrences(rows, min_chars), "line-hashes")
 
     cuts = occurrences.agg(F.percentile_approx("ord", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
@@ -122,9 +122,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = materialize(runs.held(hashes), "batch-hashes")
         runs.add(known.where(~F.col("held")))
         decided = known.where(F.col("held") | (F.col("first") < F.col("last")))
-        drops.append(batch.join(decided, ["hi", "lo"]).where(F.col("held") | (F.col("ord") > F.col("first"))).select("ord", "hi", "lo"))
+        drops.append(batch.join(decided, ["hi", "lo"]).where(F.col("held") | (F.col("ord") > F.col("first"))).select("ord", "th", "hi", "lo"))
     gone = materialize(reduce(DataFrame.unionByName, drops), "dropped-lines")
-    by_doc = gone.groupBy("ord").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
+    # a row's lines, not an id's: a third of all rows may lack an id (texts of one id and hash share their lines' decisions anyway)
+    by_row = gone.groupBy("ord", "th").agg(F.collect_set(F.struct("hi", "lo")).alias("out")).select(
+        "ord", "th", F.transform("out", lambda x: x["hi"]).alias("his"), F.transform("out", lambda x: x["lo"]).alias("los"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +147,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
                                               pa.array(kept_text, pa.string())], names=["row", "n_lines", "n_dropped", "kept_text"])
 
-    out = rows.join(by_doc, "ord", "left").select("row", "text", "his", "los")
+    out = rows.join(by_row, ["ord", "th"], "left").select("row", "text", "his", "los")
     kind = rows.schema["row"].dataType.simpleString()
     out = out.mapInArrow(rebuild, f"row {kind}, n_lines bigint, n_dropped bigint, kept_text string")
     return out.select("row.*", "n_lines", "n_dropped", "kept_text")

@@ -187,6 +187,19 @@ def test_line_dedup(spark, batches, fanout):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_run_")]
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_lines_of_many_rows_without_an_id(spark, same):
+    """A third of the rows has no id (and even one text): what is dropped of them is kept row by row."""
+    shared = [f"a shared line number {i}" for i in range(6)]
+    rows = [(i, "\n".join([shared[i % 6], f"own line of document {i}"])) for i in range(80)]
+    rows += [(None, "\n".join([shared[0], "x" if same else f"a line without an id {i}", shared[i % 6 if not same else 1]])) for i in range(40)]
+    got = line_dedup.line_dedup(frame(spark, rows))
+    from collections import Counter
+    want = [(i, *r) for i, *r in ((a, b, c, d) for a, b, c, d in brute_lines(rows))]
+    have = [(r.doc_id, r.n_lines, r.n_dropped, sha(r.kept_text)) for r in got.collect()]
+    assert Counter(have) == Counter(want)
+
+
 # -- mixing -----------------------------------------------------------------------
 def cheapest(capacity, member_of, quota, repeats):
     """Least cost over all ways to fill the quotas as far as they can be filled (tiny cases)."""
