@@ -19,6 +19,7 @@ from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import keyed as KD
 from ..sources import stored as ST
+from ..sources import topics as T
 from ..streaming import buffer as B
 from ..streaming import compaction as CP
 from ..streaming import jobs as J
@@ -84,6 +85,20 @@ def s1_stream_readings(spark, root):
     return spark.read.parquet(cfg.out(spark, "s1"))
 
 
+@query("s1_stream_topics", ORACLES["s1_stream_readings"])
+def s1_stream_topics(spark, root):
+    """S1 + W5 over topic logs: topics by pattern, offsets kept by the checkpoint; half of the records and all topics but two come before a restart."""
+    logs = scratch_path(spark, "topic-logs")
+    cfg = _config(spark, "s1-topics", source_format="topics", source_path=logs, starting_offsets="earliest")
+    rows = spark.read.schema("key string, value string, topic string, timestamp timestamp").json(_records(spark, root))
+    early = (F.pmod(F.xxhash64("value", "timestamp"), F.lit(2)) == 0) & ~F.col("topic").isin("biometrics.hrv", "biometrics.oxygen")
+    for part in (early, ~early):
+        T.append_segments(rows.where(part), logs, partitions=2)
+        readings = J.read_readings(spark, cfg).withColumn("phase", F.try_element_at("metadata", F.lit("phase")))
+        _drain(J.start_query(readings.select("user_id", "type", "unit", "value", "metric", "phase", "event_time", "kafka_topic"), "s1", cfg, spark))
+    return spark.read.parquet(cfg.out(spark, "s1"))
+
+
 @query("k6_stream_history", with_views(f"""
 SELECT event_time AS time, user_id, metric, value, coalesce(source_name, 'simulator') AS source,
        CASE WHEN phase IS NULL THEN '{{}}' ELSE '{{"phase":"' || phase || '"}}' END AS metadata,
@@ -382,6 +397,18 @@ def s4_stream_outbox(spark, root):
     return spark.read.parquet(_delivery(spark, root).out(spark, "outbox")).select("user_id", "created_at", "severity", "channel", "contact_id")
 
 
+@query("s4_stream_topics", ORACLES["s4_stream_outbox"])
+def s4_stream_topics(spark, root):
+    """S4 over topic logs: the alert topic among others, delivered to the outbox."""
+    logs = scratch_path(spark, "alert-logs")
+    records = spark.read.schema("key string, topic string, value string").json(_all(spark, root).out(spark, "alerts_topic") + "/*/*")
+    records = records.withColumn("timestamp", F.to_timestamp(F.get_json_object("value", "$.created_at")))
+    T.append_segments(records.unionByName(records.limit(5).withColumn("topic", F.lit("alerts.other"))), logs)
+    cfg = _config(spark, "s4-topics", source_format="topics", alerts_path=logs, starting_offsets="earliest")
+    _drain(J.start_delivery(spark, cfg, lambda: users_of(spark, root)))
+    return spark.read.parquet(cfg.out(spark, "outbox")).select("user_id", "created_at", "severity", "channel", "contact_id")
+
+
 @query("a16_stream_totals", with_views(f"""
 SELECT count(*) AS received, count(*) AS live, count(u.contact_id) AS chat
 FROM (SELECT * FROM alerts WHERE {ALERT_OK}) a LEFT JOIN users u ON a.user_id = u.user_id

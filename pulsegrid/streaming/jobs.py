@@ -30,6 +30,7 @@ from ..operators.joins import route_alerts
 from ..operators.render import alert_message
 from ..operators.rules import detect_alerts, hr_watch
 from ..session import checkpoint_root, ensure_utc
+from ..sources import topics as T
 from ..sources.tables import path_exists, read_table
 from . import sinks as K
 from .watch import early_watch
@@ -38,10 +39,11 @@ from .watch import early_watch
 @dataclass
 class StreamConfig:
     """Where readings come from and where results go."""
-    source_format: str = "json"             # "kafka" | "records" | "json" | "parquet"
+    source_format: str = "json"             # "kafka" | "topics" | "records" | "json" | "parquet"
     source_path: str | None = None           # file sources
     bootstrap: str | None = None             # kafka
     topic_pattern: str = C.STREAM_TOPIC_PATTERN
+    starting_offsets: str = "latest"         # kafka and topics: where a new checkpoint begins
     max_files_per_trigger: int | None = None
     max_offsets_per_trigger: int | None = 1_000_000  # kafka: bounds the batch that follows an outage
     out_root: str | None = None              # sinks (files); default under the checkpoint root
@@ -73,10 +75,17 @@ class StreamConfig:
 
 def _kafka(spark: SparkSession, cfg: StreamConfig):
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", cfg.bootstrap)
-              .option("startingOffsets", "latest").option("failOnDataLoss", "false"))
+              .option("startingOffsets", cfg.starting_offsets).option("failOnDataLoss", "false"))
     return reader.option("maxOffsetsPerTrigger", cfg.max_offsets_per_trigger) if cfg.max_offsets_per_trigger else reader
 
 
+def _topics(spark: SparkSession, cfg: StreamConfig, path: str | None, option: str, topics: str) -> DataFrame:
+    """Topic logs in files (``sources.topics``), with the columns of a Kafka source."""
+    T.register(spark)
+    reader = spark.readStream.format(T.FORMAT).option("path", path).option("startingOffsets", cfg.starting_offsets)
+    return reader.option(option, topics).load()
+
+
 def _files(spark: SparkSession, cfg: StreamConfig, schema):
     reader = spark.readStream.schema(schema)
     return reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger) if cfg.max_files_per_trigger else reader
@@ -86,7 +95,8 @@ def read_marked(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     """S1 + S2 + S3: the decoded reading stream, with ``raw`` and ``reason`` (not null: to quarantine).
 
     Kafka: every topic matching ``biometrics\\..*`` from the latest offset,
-    tolerating data loss, at most ``max_offsets_per_trigger`` a batch.  Files:
+    tolerating data loss, at most ``max_offsets_per_trigger`` a batch.  ``topics``:
+    the same contract over topic logs in files (``sources.topics``).  Files:
     ``records`` = JSON lines of broker records (key, topic, value, timestamp),
     decoded like Kafka values; ``json`` / ``parquet`` = already decoded readings.
     """
@@ -94,6 +104,9 @@ def read_marked(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     if cfg.source_format == "kafka":
         raw = _kafka(spark, cfg).option("subscribePattern", cfg.topic_pattern).load()
         return decode_marked(raw.select("key", "value", "topic", "timestamp"))
+    if cfg.source_format == "topics":
+        raw = _topics(spark, cfg, cfg.source_path, "subscribePattern", cfg.topic_pattern)
+        return decode_marked(raw.select("key", "value", "topic", "timestamp"))
     if cfg.source_format == "records":
         return decode_marked(_files(spark, cfg, S.BROKER_RECORD).json(cfg.source_path))
     return mark_incomplete(_files(spark, cfg, S.DECODED_READING).format(cfg.source_format).load(cfg.source_path))
@@ -110,6 +123,9 @@ def read_alerts(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     if cfg.source_format == "kafka":
         raw = _kafka(spark, cfg).option("subscribe", C.ALERTS_TOPIC).load()
         return raw.select(F.inline(F.array(F.from_json(F.col("value").cast("string"), S.ALERT))))
+    if cfg.source_format == "topics":
+        raw = _topics(spark, cfg, cfg.alerts_path or cfg.source_path, "subscribe", C.ALERTS_TOPIC)
+        return raw.select(F.inline(F.array(F.from_json("value", S.ALERT))))
     return _files(spark, cfg, S.ALERT).json(cfg.alerts_path or cfg.source_path)
 
 
@@ -274,7 +290,7 @@ def start_bridge(spark: SparkSession, cfg: StreamConfig) -> StreamingQuery:
 def start_delivery(spark: SparkSession, cfg: StreamConfig, users=None) -> StreamingQuery:
     """Alert delivery: alert records -> outbox and counters."""
     users = users or (lambda: read_table(spark, cfg.users_root, "users"))
-    alerts = read_alerts(spark, cfg) if cfg.source_format == "kafka" else read_alert_records(spark, cfg)
+    alerts = read_alerts(spark, cfg) if cfg.source_format in ("kafka", "topics") else read_alert_records(spark, cfg)
     return start_query(alerts, "delivery", cfg, spark, foreach=deliver_batch(spark, cfg, users), every=cfg.raw_trigger)
 
 
@@ -309,7 +325,8 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import build_session
 
     ap = argparse.ArgumentParser(description="Run the reading stream: raw fan-out, window aggregate, HR watch.")
-    ap.add_argument("--source-format", default="kafka", choices=["kafka", "records", "json", "parquet"])
+    ap.add_argument("--source-format", default="kafka", choices=["kafka", "topics", "records", "json", "parquet"])
+    ap.add_argument("--starting-offsets", default="latest")
     ap.add_argument("--source-path")
     ap.add_argument("--bootstrap")
     ap.add_argument("--out-root")
@@ -325,7 +342,7 @@ def main(argv: list[str] | None = None) -> None:
     cfg = StreamConfig(source_format=args.source_format, source_path=args.source_path, bootstrap=args.bootstrap,
                        out_root=args.out_root, checkpoint=args.checkpoint, agg_mode=args.agg_mode,
                        available_now=args.available_now, device_path=args.device_path, alerts_path=args.alerts_path,
-                       users_root=args.users_root, max_offsets_per_trigger=args.max_offsets_per_trigger)
+                       users_root=args.users_root, starting_offsets=args.starting_offsets, max_offsets_per_trigger=args.max_offsets_per_trigger)
     if args.available_now:
         for q in start_all(spark, cfg):
             q.awaitTermination()
