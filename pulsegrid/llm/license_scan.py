@@ -10,7 +10,10 @@ paragraphs as unknown.  A held-out third of the variants and paragraphs calibrat
 temperature of least log loss turns scores into probabilities.  A family is
 reported only if its probability reaches ``THRESHOLD`` and the passage holds
 the word pairs of one of the family's notices to ``CONFIRM`` or more, and no
-like notice of another family to more.  Passages without any word that such a
+like notice of another family to more.  The GPL's grant reads alike in all its
+versions and kinds, so a wrapped line may hold too little to tell: the kind or
+version that the paragraph states names the family (``STATED_FAMILY``); a
+grant without one counts as the family that the classifier gave it.  Passages without any word that such a
 share needs (``needed``) can't be reported and aren't scored; the others are
 scored from their first to their last word pair that some notice has.
 
@@ -37,11 +40,23 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "Apache License Version 2.0, January 2004",
+    ],
+    "agpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "GNU Affero General Public License Version 3, 19 November 2007",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Released under the BSD 2-Clause License.",
+        "Licensed under the BSD License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -51,19 +66,49 @@ NOTICES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "cc-by-sa": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "gpl-2.0": [
+        "GNU General Public License Version 2, June 1991",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License Version 3, 29 June 2007",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "Licensed under the MIT License.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
     ],
     "proprietary": [
         "All rights reserved.",
@@ -72,8 +117,26 @@ NOTICES = {
     "public-domain": [
         "This work is in the public domain.",
         "This work is released under CC0 1.0 Universal, public domain dedication.",
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
 }
+# Licence-like sentences that grant nothing: unknown, whatever the corpus holds.
+UNLICENSED = [
+    "A driving license is required to operate this vehicle on public roads.",
+    "The shop was licensed under the old rules of the city council.",
+    "He asked for permission to use the software of the library for any purpose.",
+    "The general public was free to use the library and to copy what it liked.",
+    "The program is free of charge and open to any person without conditions.",
+    "The software is provided as is, without warranty of any kind, express or implied.",
+    "The rights of the author were reserved for the first version of the work.",
+    "The license agreement was signed in January and may be terminated by either party.",
+]
+# The families that share one grant, by the kind or else the version that its paragraph states of the first general public licence.
+STATED_FAMILY = {"lesser": "lgpl", "library": "lgpl", "affero": "agpl-3.0", "2": "gpl-2.0", "3": "gpl-3.0"}
+SHARED_GRANT = ["gpl-2.0", "gpl-3.0"]
+STATED = (r"(?i)(?:(lesser|library|affero)[^\p{L}\p{N}]+)?general[^\p{L}\p{N}]+public[^\p{L}\p{N}]+licen[cs]e"
+          r"(?:(?:[^\p{L}\p{N}]+\p{L}+){0,10}?[^\p{L}\p{N}]+v(?:ersion)?[^\p{L}\p{N}]*([23])(?![\p{L}\p{N}]))?")
 FAMILIES = ["unknown", *sorted(NOTICES)]
 FEATURES = 1 << 15
 SAMPLE = 6000       # paragraphs of the corpus that train and calibrate the unknown class, at most
@@ -163,10 +226,11 @@ def _passages(lines: Column, hits: Callable[[Column], Column], trim: Callable[[C
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, confirm: float) -> DataFrame:
-    """(doc_id, paragraph, first, n, last, start, words): the passages to score of every paragraph.
+    """(doc_id, paragraph, first, n, stated, last, start, words): the passages to score of every paragraph.
 
-    ``n`` is the paragraph's number of words, ``last`` and ``start`` the
-    passage's lines.  A paragraph without a passage to score has a row with no
+    ``n`` is the paragraph's number of words, ``stated`` the kind or
+    version that it states of a general public licence ('' if none), ``last``
+    and ``start`` the passage's lines.  A paragraph without a passage to score has a row with no
     words; ``first`` marks one row a paragraph.
     """
     marks = needed(confirm)
@@ -178,8 +242,9 @@ def passages(docs: DataFrame, id_col: str, text_col: str, confirm: float) -> Dat
     lines = F.filter(F.transform(F.split("block", "\n"), words), lambda w: F.size(w) > 0)
     found = F.when(hits(words(F.col("block"))), F.element_at(F.transform(F.array(lines), lambda x: _passages(x, hits, trim)), 1))
     every = blocks.select("doc_id", F.struct("row", "k").alias("paragraph"), F.size(words(F.col("block"))).alias("n"),
+                          F.coalesce(F.nullif(F.lower(F.regexp_extract("block", STATED, 1)), F.lit("")), F.regexp_extract("block", STATED, 2)).alias("stated"),
                           F.posexplode_outer(found).alias("i", "p"))
-    return every.select("doc_id", "paragraph", (F.coalesce("i", F.lit(0)) == 0).alias("first"), "n", "p.last", "p.start",
+    return every.select("doc_id", "paragraph", (F.coalesce("i", F.lit(0)) == 0).alias("first"), "n", "stated", "p.last", "p.start",
                         F.coalesce("p.words", F.array().cast("array<string>")).alias("words"))
 
 
@@ -208,9 +273,10 @@ def confirmed(pairs: Column, family: Column, confirm: float) -> Column:
 
 
 def examples(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """(label, words, held): notices, notices without each one word, and notices amid words of the corpus; paragraphs as unknown."""
+    """(label, words, held): notices, notices without each one word, and notices amid words of the corpus; licence-like sentences and paragraphs as unknown."""
     spark = docs.sparkSession
-    notices = spark.createDataFrame([(FAMILIES.index(f), t) for f, texts in NOTICES.items() for t in texts], "label int, text string")
+    given = [(FAMILIES.index(f), t) for f, texts in NOTICES.items() for t in texts] + [(0, t) for t in UNLICENSED]
+    notices = spark.createDataFrame(given, "label int, text string")
     notices = notices.select("label", words(F.col("text")).alias("words"))
     lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
     known = F.array(*[F.lit(w) for w in ("licensed", "license", "licence", "copyright", "rights", "spdx")])
@@ -223,6 +289,8 @@ def examples(docs: DataFrame, id_col: str, text_col: str, sample: int) -> DataFr
     place = notices.select("label", "words", F.posexplode("words").alias("i", "w"))
     shorter = place.where(F.size("words") > 3).select(
         "label", F.concat(F.slice("words", F.lit(1), F.col("i")), F.slice("words", F.col("i") + 2, F.size("words"))).alias("words"))
+    # without a word some notices are another family's
+    shorter = shorter.join(F.broadcast(notices.select("words")), "words", "left_anti").select("label", "words")
     around = drawn.select(F.slice("words", 1, 6).alias("around"), F.xxhash64("words").alias("u")).orderBy("u", "around").limit(8)
     around = around.select("around", F.row_number().over(Window.orderBy("u", "around")).alias("k"))  # eight rows
     amid = (notices.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8)))).join(around, "k")
@@ -267,10 +335,12 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), label + 1)
     best = F.when((label > 0) & F.col("last").isNotNull(),
                   F.struct(family.alias("family"), vector_to_array("rawPrediction").alias("z"), "pairs"))
-    named = scored.select("doc_id", "paragraph", "first", "n", "last", "start", best.alias("b"))
+    named = scored.select("doc_id", "paragraph", "first", "n", "stated", "last", "start", best.alias("b"))
     probability = 1 / F.aggregate("b.z", F.lit(0.0), lambda s, x: s + F.exp((x - F.array_max("b.z")) / t))
     sure = F.when(F.col("b").isNotNull(), (probability >= threshold) & confirmed(F.col("b.pairs"), F.col("b.family"), confirm))
-    notice = F.when(sure, F.struct(F.col("b.family").alias("family"), "paragraph", "last", "start", F.round(probability, 6).alias("score")))
+    families = F.create_map(*[F.lit(x) for pair in STATED_FAMILY.items() for x in pair])
+    stated = F.when(F.col("b.family").isin(SHARED_GRANT), F.try_element_at(families, F.col("stated")))
+    notice = F.when(sure, F.struct(F.coalesce(stated, "b.family").alias("family"), "paragraph", "last", "start", F.round(probability, 6).alias("score")))
     found = named.select("paragraph.row", "doc_id", F.col("first") & (F.col("n") > 0), notice).toDF("row", "doc_id", "counts", "notice")
     every = found.groupBy("row", "doc_id").agg(F.count_if("counts").alias("n_paragraphs"), F.array_sort(F.collect_list("notice")).alias("notices"))
     top = F.array_max(F.transform("notices", lambda x: F.struct(x["score"].alias("score"), x["family"].alias("family"))))

@@ -418,6 +418,60 @@ def test_licence_scan_wrapped(spark):
     assert all(got[i + 10000].licence == "unknown" for i, _ in plain)
 
 
+def test_licence_scan_customary(spark):
+    """Customary headers, wrapped as published, that are no example of the training: recall and precision by family."""
+    rng = random.Random(8)
+    wrap = lambda t: textwrap.fill(t, 76)
+    offered = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    found = [
+        ("gpl-2.0", wrap(offered.format("This program", "", "2"))),
+        ("gpl-2.0", "/*\n * " + wrap(offered.format("This program", "", "2")).replace("\n", "\n * ") + "\n */"),
+        ("gpl-2.0", "\t\t    GNU GENERAL PUBLIC LICENSE\n\t\t       Version 2, June 1991"),
+        ("gpl-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later"),
+        ("gpl-2.0", "// SPDX-License-Identifier: GPL-2.0-only"),
+        ("gpl-3.0", wrap(offered.format("This program", "", "3"))),
+        ("gpl-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+        ("lgpl", wrap(offered.format("This library", "Lesser ", "2.1"))),
+        ("lgpl", wrap(offered.format("This program", "Lesser ", "3"))),
+        ("lgpl", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999"),
+        ("agpl-3.0", wrap(offered.format("This program", "Affero ", "3"))),
+        ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+        ("mit", "The MIT License (MIT)\n\nCopyright (c) 2015 Someone"),
+        ("mit", "## License\n\nThis project is licensed under the MIT License - see the LICENSE.md file for details"),
+        ("mit", wrap("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation")),
+        ("isc", wrap("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")),
+        ("isc", "This code is licensed under the ISC license."),
+        ("bsd", wrap("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")),
+        ("bsd", "# SPDX-License-Identifier: BSD-2-Clause"),
+        ("bsd", wrap("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")),
+        ("apache-2.0", "   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License."),
+        ("apache-2.0", wrap("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.")),
+        ("apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004"),
+        ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License (http://creativecommons.org/licenses/by/4.0/)."),
+        ("cc-by-sa", "This article is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("cc-by-nd", "The text is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        ("cc-by-nc", "Content licensed under CC BY-NC 4.0 unless noted."),
+        ("mpl-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this */"),
+        ("public-domain", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish"),
+        ("public-domain", "// SPDX-License-Identifier: CC0-1.0"),
+    ]
+    clean = ["A fishing license is required at the lake, and the general public may apply for it in January.",
+             "The library offers free software courses; you can register for them under the usual terms.",
+             "They were permitted to use the hall, provided that the following rules were met.",
+             "The company was licensed under state law to sell insurance to the public.",
+             "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.",
+             "The apache tribe granted no license; version 2 of the story is longer."]
+    plain = [(i, "\n".join(sentence(rng, rng.randint(3, 15)) for _ in range(4))) for i in range(60)]
+    docs = plain + [(100 + i, f"{sentence(rng, 7)}\n\n{t}\n\n{sentence(rng, 7)}") for i, (_, t) in enumerate(found)] + [(200 + i, t) for i, t in enumerate(clean)]
+    got = {r.doc_id: r.families for r in license_scan.licence_scan(frame(spark, docs)).collect()}
+    wrong = [(f, got[100 + i]) for i, (f, _) in enumerate(found) if set(got[100 + i]) - {f}]
+    missed = [f for i, (f, _) in enumerate(found) if f not in got[100 + i]]
+    assert not wrong, wrong
+    assert len(missed) <= 0.1 * len(found), missed
+    assert not [got[200 + i] for i in range(len(clean)) if got[200 + i]]
+    assert not [got[i] for i, _ in plain if got[i]]
+
+
 def test_licence_scan_shared_ids(spark):
     """Rows without an id, or with one id, have findings of their own."""
     rng = random.Random(7)
