@@ -8,7 +8,9 @@ Chunks ask each other about keys (hashes): a chunk sends its distinct sorted
 keys, packed, to buckets; a bucket compares the keys of all chunks and answers
 each chunk with one bit a key.  A key that a third of all rows share is one
 entry a chunk.  Chunk numbers follow the ids, so "held by an earlier chunk" means
-by a smaller id.
+by a smaller id.  Rows that share an id, or have none, are dealt over chunks of
+their own in the order of their text once they pass a chunk's size; these chunks
+are one group (``group_of``) where rows of one id count as one document.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ _LAST = (1 << 63) - 1
 class Chunked:
     """``frame``: chunk, ids, lens, blob; ``bits``: of a key's first bits, how many name its bucket."""
 
-    def __init__(self, frame: DataFrame, chunks: int) -> None:
-        self.frame, self.chunks = frame, chunks
+    def __init__(self, frame: DataFrame, chunks: int, shared_ids: np.ndarray) -> None:
+        self.frame, self.chunks, self.shared_ids = frame, chunks, shared_ids
         self.bits = min(20, max(0, (chunks - 1).bit_length()))
 
     def emit(self, fn: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
@@ -71,18 +73,33 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     """Deal all rows into chunks of neighbouring integer ids (null ids last), about ``chunk_bytes`` of text each."""
     spark = docs.sparkSession
     small_batches(docs)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("ord"), F.lit(0).cast("bigint").alias("at"), text_or_empty(text_col).alias("text"))
     sized = rows.select("ord", F.octet_length("text").cast("bigint").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
-    bounds = _bounds(sized, chunk_bytes) if total > chunk_bytes else np.zeros(0, dtype=np.int64)
-    shared = spark.sparkContext.broadcast(bounds)
+    bounds, ids, first, cuts, span = (np.zeros(0, dtype=np.int64),) * 5
+    if total > chunk_bytes:
+        per = materialize(sized.groupBy("ord").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "id-bytes")
+        bounds = _bounds(per, "ord", chunk_bytes)
+        crowded = per.where((F.col("rows") > 1) & (F.col("n") > chunk_bytes)).select("ord")
+        if not crowded.isEmpty():
+            rows, ids, first, cuts, span = _spread(rows, crowded, chunk_bytes)
+            before = ids[ids > -(1 << 63)] - 1
+            bounds = np.unique(np.concatenate([bounds, ids, before]))  # such an id stands alone
+    sizes = np.ones(len(bounds) + 1, dtype=np.int64)
+    sizes[np.searchsorted(bounds, ids)] = span
+    starts = np.cumsum(sizes) - sizes
+    shared = spark.sparkContext.broadcast((bounds, starts, ids, first, cuts))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        bounds, starts, crowded, first, cuts = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            of = np.searchsorted(shared.value, ids)
-            texts = batch.column(1)
+            of = starts[np.searchsorted(bounds, ids)]
+            if len(crowded):
+                k = np.minimum(np.searchsorted(crowded, ids), len(crowded) - 1)
+                of = of + np.where(crowded[k] == ids, np.searchsorted(cuts, batch.column(1).to_numpy()) - first[k], 0)
+            texts = batch.column(2)
             out = []
             for c in np.unique(of):
                 own = np.flatnonzero(of == c)
@@ -92,28 +109,54 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                                                  names=["chunk", "ids", "lens", "blob"])
 
-    n = len(bounds) + 1
+    n = int(sizes.sum())
     parts = min(n, MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     packed = rows.mapInArrow(pack, "chunk int, ids binary, lens binary, blob binary")
-    return Chunked(bucketed(packed, "chunks", parts, "chunk"), n)
+    begin = starts[np.searchsorted(bounds, ids)]
+    return Chunked(bucketed(packed, "chunks", parts, "chunk"), n, np.stack([begin, begin + span]))
 
 
-def _bounds(sized: DataFrame, chunk_bytes: int) -> np.ndarray:
-    """The last id of each chunk but the last: ids (with the bytes of their texts) run into chunks by their running sum.
+def _bounds(per: DataFrame, key: str, chunk_bytes: int) -> np.ndarray:
+    """The last key of each chunk but the last: distinct keys (with bytes ``n``) run into chunks by their running sum.
 
     The sum runs in the tasks of a range sort and over their totals; the driver
     gets 8 bytes a chunk.
     """
-    per = materialize(sized.groupBy("ord").agg(F.sum("n").alias("n")), "id-bytes")
-    placed = materialize(load_order(per, [], [F.col("ord")]).withColumn("_part", F.shiftright("_at", 33)), "ordered-ids")
+    placed = materialize(load_order(per, [], [F.col(key)]).withColumn("_part", F.shiftright("_at", 33)), "ordered-keys")
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     tasks = placed.groupBy("_part").agg(F.sum("n").alias("n")).select("_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"))  # a row a task
-    within = Window.partitionBy("_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    run = placed.select("_part", "ord", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_sum")).join(tasks, "_part")
-    last = run.groupBy(F.floor((F.col("_sum") + F.col("_before")) / chunk_bytes).alias("chunk")).agg(F.max("ord").alias("b"))
+    within = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.select("_part", key, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_sum")).join(tasks, "_part")
+    last = run.groupBy(F.floor((F.col("_sum") + F.col("_before")) / chunk_bytes).alias("chunk")).agg(F.max(key).alias("b"))
     return np.sort(last.select("b").toArrow().column("b").to_numpy())[:-1]
 
 
+def _spread(rows: DataFrame, crowded: DataFrame, chunk_bytes: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(``rows`` with ``at``, crowded ids, the first cut of each, last ``at`` of each of their chunks, chunks of each).
+
+    ``at`` numbers the rows of crowded ids by id, then text.  An id is crowded
+    only beyond a chunk's bytes, so the driver and the broadcast get some 8 bytes a chunk.
+    """
+    own = materialize(rows.join(F.broadcast(crowded), "ord", "left_semi").select("ord", "text"), "crowded-rows")
+    placed = materialize(load_order(own, [F.col("ord")], [F.col("text")]).withColumnRenamed("_at", "at"), "ordered-rows")
+    cuts = _bounds(placed.select("at", F.octet_length("text").cast("bigint").alias("n")), "at", chunk_bytes)
+    ends = placed.groupBy("ord").agg(F.min("at").alias("low"), F.max("at").alias("high")).orderBy("ord").toArrow()
+    ids, low, high = (ends.column(c).to_numpy() for c in ("ord", "low", "high"))
+    cuts = np.unique(np.concatenate([cuts, high]))  # nor do two ids share a chunk
+    first = np.searchsorted(cuts, low)
+    every = rows.join(F.broadcast(crowded), "ord", "left_anti").unionByName(placed.select("ord", "at", "text"))
+    return every.select("ord", "at", "text"), ids, first, cuts, np.searchsorted(cuts, high) - first + 1
+
+
+def group_of(shared_ids: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """The number of each chunk, or of the first chunk of its id where rows of one id fill several."""
+    begin, end = shared_ids
+    if not len(begin):
+        return chunks
+    k = np.maximum(np.searchsorted(begin, chunks, side="right") - 1, 0)
+    return np.where((begin[k] <= chunks) & (chunks < end[k]), begin[k], chunks)
+
+
 # -- hashes -----------------------------------------------------------------
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -255,15 +298,16 @@ def send_long(chunk: int, one: np.ndarray, two: np.ndarray, bits: int) -> pa.Tab
                   for b, i, j in buckets_of(one, 64, bits)], LONG_ROWS)
 
 
-def answer_long(sent: DataFrame, kind: int) -> DataFrame:
-    """One bit a key: an earlier chunk holds it."""
+def answer_long(sent: DataFrame, kind: int, shared_ids: np.ndarray | None = None) -> DataFrame:
+    """One bit a key: an earlier chunk holds it (with ``shared_ids``: one of a smaller id)."""
     def compare(key, rows):
         got = sorted(zip(*(rows.column(c).to_pylist() for c in ("chunk", "one", "two"))))
         one = np.concatenate([np.frombuffer(g[1], "<u8") for g in got])
         two = np.concatenate([np.frombuffer(g[2], "<u4") for g in got])
-        first, _ = distinct_long(one, two)
-        held = np.ones(len(one), dtype=bool)
-        held[first] = False
+        first, back = distinct_long(one, two)
+        chunks = np.array([g[0] for g in got], dtype=np.int64)
+        group = np.repeat(chunks if shared_ids is None else group_of(shared_ids, chunks), [len(g[1]) // 8 for g in got])
+        held = group > group[first][back]
         out, at = [], 0
         for chunk, x, _ in got:
             n = len(x) // 8

@@ -7,8 +7,8 @@ is removed.  Texts are dealt into chunks of ascending ids (see ``chunks``):
    minimal hash of ``GRAM`` bytes inside.  Equal windows have equal minima, so
    only segments whose minimum another document has can hold repeats.  Minima
    are compared across chunks as packed 48-bit keys.
-2. Of those segments, whole ones are compared: a segment whose bytes an
-   earlier chunk holds is removed as a whole.
+2. Of those segments, whole ones are compared: a segment whose bytes a
+   chunk of smaller ids holds is removed as a whole.
 3. Where several different segments share a minimum, the windows of each
    (sent once, by the first chunk that has it) are compared one by one.
 4. Within a chunk the windows that are left and whose minimum several of its
@@ -125,8 +125,8 @@ class Segments:
         return at, *_digests(self.data, at.tolist(), (at + self.length).tolist())
 
 
-def _answer_segments(sent: DataFrame, bits: int) -> DataFrame:
-    """Two bits a segment: an earlier chunk holds it; its minimum has several different segments."""
+def _answer_segments(sent: DataFrame, bits: int, shared_ids: np.ndarray) -> DataFrame:
+    """Two bits a segment: a chunk of a smaller id holds it; its minimum has several different segments."""
     def compare(key, rows):
         bucket = key[0].as_py()
         got = sorted(zip(*(rows.column(c).to_pylist() for c in ("chunk", "head", "low", "one", "two"))))
@@ -138,7 +138,8 @@ def _answer_segments(sent: DataFrame, bits: int) -> DataFrame:
         new = np.ones(len(order), dtype=bool)
         new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (m, one, two)], axis=0)
         held, varied = np.empty(len(m), dtype=bool), np.empty(len(m), dtype=bool)
-        held[order] = ~new
+        chunks = np.repeat(C.group_of(shared_ids, np.array([g[0] for g in got], dtype=np.int64)), sizes)[order]
+        held[order] = chunks > chunks[new][np.cumsum(new) - 1]
         group = np.cumsum(np.append(True, m[order][1:] != m[order][:-1])) - 1
         varied[order] = (np.bincount(group, weights=new) > 1)[group]
         out, at = [], 0
@@ -181,7 +182,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return C.table([(b, chunk, *C.pack_short(key[i:j], bits), one[i:j].tobytes(), two[i:j].tobytes())
                         for b, i, j in C.buckets_of(key, C.SHORT, bits)], SEGMENT_ROWS)
 
-    answers = answers.unionByName(materialize(_answer_segments(held.emit(send_segments, SEGMENT_ROWS, answers), bits), "compared-segments"))
+    answers = answers.unionByName(materialize(_answer_segments(held.emit(send_segments, SEGMENT_ROWS, answers), bits, held.shared_ids), "compared-segments"))
 
     def send_windows(chunk: int, texts: C.Texts, answers: dict) -> pa.Table:
         s = Segments(texts, length)
@@ -191,7 +192,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first, _ = C.distinct_long(one, two)
         return C.send_long(chunk, one[first], two[first], bits)
 
-    answers = answers.unionByName(materialize(C.answer_long(held.emit(send_windows, C.LONG_ROWS, answers), _WINDOW), "held-windows"))
+    answers = answers.unionByName(materialize(C.answer_long(held.emit(send_windows, C.LONG_ROWS, answers), _WINDOW, held.shared_ids), "held-windows"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes
 
     def remove(_: int, texts: C.Texts, answers: dict) -> pa.Table:

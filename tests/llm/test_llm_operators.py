@@ -10,12 +10,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, queries, simhash, substring_dedup, suffix_dedup, suffixes, topk
+from pulsegrid.llm import bpe, chunks, exact_dedup, license_scan, line_dedup, mixing, quality, queries, simhash, substring_dedup, suffix_dedup, suffixes, topk
 from pulsegrid.llm.components import components
 
 WORDS = "alpha beta gamma delta the of and in on for lorem ipsum dolor sit amet".split()
@@ -534,6 +535,45 @@ def test_suffix_dedup(spark, length, chunk_bytes):
     assert all(sha(bytes(r.kept)) == r.kept_sha256 for r in got.collect())
 
 
+# -- rows that share an id -------------------------------------------------------------------
+def crowded_rows():
+    """A third of all rows without an id, a third with one id, the least long among the ids, passages shared within and across."""
+    rng = random.Random(9)
+    passages = [sentence(rng, 40) for _ in range(6)]
+    some = lambda: f"{sentence(rng, rng.randint(1, 25))} {rng.choice(passages)} {sentence(rng, rng.randint(0, 9))}"
+    copies = [some() for _ in range(4)]
+    rows = [(i, some()) for i in (*range(28), -(1 << 63), (1 << 63) - 2)]
+    for own in (None, 11, -(1 << 63)):
+        rows += [(own, some()) for _ in range(18)] + [(own, rng.choice(copies)) for _ in range(10)] + [(own, ""), (own, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_rows_that_share_an_id_fill_several_chunks(spark):
+    rows, size = crowded_rows(), 1500
+    held = chunks.deal(frame(spark, rows), chunk_bytes=size)
+    packed = held.frame.toPandas()
+    got = [chunks.Texts(pa.Table.from_pandas(t)) for _, t in packed.groupby("chunk")]
+    assert sum(len(t.texts) for t in got) == len(rows) and packed.chunk.max() < held.chunks
+    assert max(sum(map(len, t.texts)) for t in got) < size + max(len((t or "").encode()) for _, t in rows)
+    begin, end = held.shared_ids
+    assert len(begin) == 3 and ((end - begin) > 3).all()
+    alone = [set(t.ids.tolist()) for t, c in zip(got, sorted(packed.chunk.unique())) if ((begin <= c) & (c < end)).any()]
+    assert all(len(ids) == 1 for ids in alone) and set().union(*alone) == {-(1 << 63), 11, (1 << 63) - 1}
+    assert chunks.group_of(held.shared_ids, np.arange(held.chunks))[begin[1]:end[1]].tolist() == [begin[1]] * (end[1] - begin[1])
+
+
+@pytest.mark.parametrize("size", [1500, 4000])
+def test_dedup_of_rows_that_share_an_id(spark, size):
+    rows = crowded_rows()
+    got = suffix_dedup.suffix_dedup(frame(spark, rows), chunk_bytes=size)
+    assert result(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 50)
+    in_order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    got = substring_dedup.substring_dedup(frame(spark, rows), chunk_bytes=size)
+    want = sorted(brute_substrings(in_order, 20), key=lambda r: [(x is None, x) for x in r])
+    assert result(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 # -- quality -------------------------------------------------------------------------------
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
