@@ -229,7 +229,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def run(data: DataFrame, queries: DataFrame) -> DataFrame:
         """Dual searches of queries (with part and floor) in the blocks they name."""
         by = ["pid", "part", "chunk", "width"]
-        left = data.join(queries.select(*by).distinct(), ["pid", "part", "width"])  # a block goes only to chunks that aim at it
+        left = data.join(queries.select(*by).distinct().toDF(*by), ["pid", "part", "width"])  # a block goes only to chunks that aim at it
         return (left.groupBy(*by).cogroup(queries.groupBy(*by))
                 .applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint"))
 
