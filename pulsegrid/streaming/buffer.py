@@ -7,10 +7,11 @@ alerts that came twice.  Tasks send at most n alerts a user to the state operato
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,15 +20,34 @@ from ..session import DEFAULT_CONF
 FIELDS = ["created_at", "severity", "category", "title", "text", "event_id", "rule_pos"]
 SCHEMA = "created_at timestamp, severity string, category string, title string, text string, event_id string, rule_pos int"
 
+ROW = Row("user_id", "rn", *FIELDS)
 
-def newest(frame: pd.DataFrame, n: int) -> pd.DataFrame:
-    """The first n by time descending, event id descending, rule position; an alert counts once."""
-    frame = frame.drop_duplicates(["event_id", "rule_pos"])
-    return frame.sort_values(["created_at", "event_id", "rule_pos"], ascending=[False, False, True], kind="stable").head(n)
+
+def newest(alerts: Iterable[tuple], n: int) -> list[tuple]:
+    """The first n (tuples of ``FIELDS``) by time descending, event id descending, rule position, nulls last; an alert counts once."""
+    once: dict = {}
+    for a in alerts:
+        once.setdefault((a[5], a[6]), a)
+    kept = sorted(once.values(), key=lambda a: a[6])
+    kept.sort(key=lambda a: (a[5] is not None, a[5] or ""), reverse=True)
+    kept.sort(key=lambda a: (a[0] is not None, a[0] or datetime.min), reverse=True)
+    return kept[:n]
+
+
+def newest_of_each(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """Of every frame at most n alerts a user, by the order of ``newest``: one sort a frame, however many users it has."""
+    for frame in frames:
+        once = frame.drop_duplicates(["user_id", "event_id", "rule_pos"])
+        once = once.sort_values(["user_id", "created_at", "event_id", "rule_pos"], ascending=[True, False, False, True], kind="stable")
+        yield once.groupby("user_id", sort=False).head(n)
 
 
 class AlertBuffer(StatefulProcessor):
-    """Per user: a list state of at most n alerts with a time-to-live."""
+    """Per user: a list state of at most n alerts with a time-to-live.
+
+    Works on plain rows: a user brings a few of them to a batch, and a data
+    frame a user would cost far more than the rows do.
+    """
 
     def __init__(self, n: int, ttl_ms: int | None) -> None:
         self.n, self.ttl_ms = n, ttl_ms
@@ -35,15 +55,12 @@ class AlertBuffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.alerts = handle.getListState("alerts", SCHEMA, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.alerts.get()]
-        frames = [pd.DataFrame(held, columns=FIELDS)] if held else []
-        kept = newest(pd.concat(frames + [f[FIELDS] for f in rows]), self.n)
-        self.alerts.put([(r.created_at.to_pydatetime(), r.severity, r.category, r.title, r.text, r.event_id, int(r.rule_pos)) for r in kept.itertuples()])
-        out = kept.copy()
-        out.insert(0, "user_id", key[0])
-        out.insert(1, "rn", range(1, len(kept) + 1))
-        yield out
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = ((r.created_at and r.created_at.astimezone(UTC).replace(tzinfo=None), *(r[f] for f in FIELDS[1:])) for r in rows)
+        kept = newest([*map(tuple, self.alerts.get()), *came], self.n)  # the state's times have no zone, the rows' have
+        self.alerts.put(kept)
+        for rn, (at, *rest) in enumerate(kept, 1):
+            yield ROW(key[0], rn, at and at.replace(tzinfo=UTC), *rest)
 
     def close(self) -> None:
         pass
@@ -60,15 +77,11 @@ def alert_buffers(alerts: DataFrame, n: int = 100, ttl_days: int | None = None)
     if conf.get(key) != DEFAULT_CONF[key]:
         conf.set(key, DEFAULT_CONF[key])
 
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.concat([newest(part, n) for _, part in frame.groupby("user_id")]) if len(frame) else frame
-
     columns = f"user_id bigint, {SCHEMA}"
     typed = alerts.where("user_id IS NOT NULL").select(
         F.col("user_id").cast("bigint").alias("user_id"), *[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in SCHEMA.split(", ")])
     ttl_ms = ttl_days * 86_400_000 if ttl_days else None
-    return typed.mapInPandas(first, columns).groupBy("user_id").transformWithStateInPandas(
+    return typed.mapInPandas(lambda frames: newest_of_each(frames, n), columns).groupBy("user_id").transformWithState(
         statefulProcessor=AlertBuffer(n, ttl_ms), outputStructType=f"user_id bigint, rn int, {SCHEMA}", outputMode="Update",
         timeMode="ProcessingTime" if ttl_ms else "None")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import os
 import random
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.joins import route_alerts_as_of
@@ -67,3 +69,14 @@ def test_link_as_of_the_alerts_time(spark):
     assert {r.event_id: r.contact_id for r in got.collect()} == want
     empty = spark.createDataFrame([], "seq long, user_id long, contact_id string, linked_at timestamp")
     assert route_alerts_as_of(spark.createDataFrame(alerts, "event_id long, user_id long, created_at timestamp"), empty).where("contact_id IS NULL").count() == len(want)
+
+
+def test_many_users_of_a_frame_are_cut_in_one_sort():
+    rng, users = random.Random(6), 10_000
+    rows = [(u, BASE + dt.timedelta(minutes=rng.randrange(9)), "warning", "c", "t", "x", f"{i:06d}", i % 2) for i, u in enumerate([*range(users), *([5] * 40), 7])]
+    frame = pd.DataFrame(rows + rows[-3:], columns=["user_id", *B.FIELDS])
+    since = time.process_time()
+    got = pd.concat(B.newest_of_each(iter([frame]), 7))
+    assert time.process_time() - since < 5  # a data frame a user took far longer
+    own = B.newest((r[1:] for r in rows if r[0] == 5), 7)
+    assert len(got) == users + 6 + 1 and list(got[got["user_id"] == 5]["event_id"]) == [a[5] for a in own]
