@@ -147,12 +147,16 @@ def with_watermark(df: DataFrame, delay: str = C.WATERMARK_DELAY, time_col: str
     return df.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
 
 
-def once(df: DataFrame, cfg: StreamConfig) -> DataFrame:
+def once(df: DataFrame, cfg: StreamConfig, metric: str | None = None) -> DataFrame:
     """Readings under the watermark, each counted once: a record sent again within the watermark's delay is known by its id.
 
-    State: an id a reading, for as long as the watermark allows a copy.
+    State: an id a reading, for as long as the watermark allows a copy.  With
+    ``metric`` only its readings are kept and known; the watermark is that of
+    all (the condition names the time, so it stays above the watermark).
     """
     marked = with_watermark(df, cfg.watermark)
+    if metric:
+        marked = marked.where(F.when(F.col("event_time").isNotNull(), F.col("metric") == metric))
     if not cfg.dedup:
         return marked
     return marked.withColumn("_reading", K.reading_id(marked)).dropDuplicatesWithinWatermark(["_reading"]).drop("_reading")
@@ -301,7 +305,7 @@ def start_all(spark: SparkSession, cfg: StreamConfig) -> list[StreamingQuery]:
     raw_q = start_query(read_marked(spark, cfg), "raw", cfg, spark, foreach=process_batch(spark, cfg), every=cfg.raw_trigger)
     agg_q = start_query(windowed(parsed, cfg), "agg", cfg, spark, foreach=agg_batch(spark, cfg),
                         mode=cfg.agg_mode, every=cfg.agg_trigger)
-    hr_q = start_query(hr_watch(once(parsed, cfg)).where(F.col("flagged")), "hr_watch",
+    hr_q = start_query(hr_watch(once(parsed, cfg, "heart_rate")).where(F.col("flagged")), "hr_watch",
                        cfg, spark, mode="append", every=cfg.raw_trigger)
     early_q = start_query(early_watch(parsed, cfg.watermark), "hr_early", cfg, spark, mode="append", every=cfg.raw_trigger)
     queries = [raw_q, agg_q, hr_q, early_q]

@@ -11,7 +11,9 @@ A user's minute gives one early row.  With ``rearm`` a minute that fell to that
 give another.
 
 Readings are summed per (user, minute) in the tasks that read them, so the state operator gets a row a user
-and minute from each task, not a user's readings.
+and minute from each task, not a user's readings.  State is kept by bucket of users: its cost goes with the
+rows, not with calls for each user and minute.  (Checkpoints from before that are of another shape: such a
+watch begins a new one.)
 """
 
 from __future__ import annotations
@@ -47,55 +49,67 @@ def minute_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.to_batches()
 
 
+HELD = ["user_id", "minute", "n", "total", "high", "armed"]
+STATE = "user_id array<bigint>, minute array<bigint>, n array<bigint>, total array<double>, high array<double>, armed array<boolean>"
+BUCKETS = 256
+
+
 class MinuteWatch(StatefulProcessor):
-    """Per user: a map of open minutes to (n, total, high, armed, flagged early); a timer at each minute's end."""
+    """Per bucket of users: the open minutes (user, minute, n, total, high, armed) as arrays, and a timer at the end of the earliest.
+
+    A batch reads and writes a bucket's minutes in one step and works on them
+    as columns; a call, a timer or a state access for each user's minute would
+    cost more than the sums do.  Users without an id have a bucket of their own.
+    """
 
     def __init__(self, limit: float, rearm: float | None) -> None:
         self.limit, self.rearm = limit, rearm
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute bigint", "n bigint, total double, high double, armed boolean")
-
-    def _row(self, user: int, minute: int, kind: str, n: int, total: float, high: float | None) -> dict:
-        avg = total / n if n else None
-        return {"user_id": user, "window_start": pd.Timestamp(minute * MINUTE_US, unit="us"), "kind": kind, "avg_hr": avg, "max_hr": high,
-                "n_samples": n, "flagged": None if avg is None else avg > self.limit}
+        self.minutes = handle.getValueState("minutes", STATE)
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(HELD, self.minutes.get() if self.minutes.exists() else [[]] * len(HELD)))).astype(
+            {"minute": "int64", "n": "int64", "total": "float64", "high": "float64", "armed": "bool"})
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        """Keep these minutes, with a timer at the end of the earliest."""
+        if not len(rows):
+            self.minutes.clear()
+            return
+        self.minutes.update(tuple([None if pd.isna(v) else v for v in rows[c].tolist()] for c in HELD))
+        at = (int(rows["minute"].min()) + 1) * MINUTE_US // 1000
+        if at not in set(self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def _rows(self, rows: pd.DataFrame, kind: str) -> pd.DataFrame:
+        avg = (rows["total"] / rows["n"]).where(rows["n"] > 0)
+        return pd.DataFrame({"user_id": rows["user_id"], "window_start": pd.to_datetime(rows["minute"] * MINUTE_US, unit="us"), "kind": kind,
+                             "avg_hr": avg, "max_hr": rows["high"], "n_samples": rows["n"], "flagged": (avg > self.limit).astype("boolean").where(avg.notna())})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        frame = pd.concat(list(rows))
-        for minute, part in frame.groupby("minute"):
-            at = (int(minute),)
-            n, total, high, armed = self.minutes.getValue(at) if self.minutes.containsKey(at) else (0, 0.0, None, True)
-            if not n:
-                self.handle.registerTimer((at[0] + 1) * MINUTE_US // 1000)
-            highest = part["high"].max()
-            n, total = n + int(part["n"].sum()), total + float(part["total"].sum())
-            high = high if pd.isna(highest) else float(highest) if high is None else max(high, float(highest))
-            avg = total / n if n else 0.0
-            if n and armed and avg > self.limit:
-                out.append(self._row(key[0], at[0], "early", n, total, high))
-                armed = False
-            elif self.rearm is not None and avg <= self.rearm:
-                armed = True
-            self.minutes.updateValue(at, (n, total, high, armed))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        came = pd.concat(list(rows))[["user_id", "minute", "n", "total", "high"]].assign(armed=True, came=True)
+        held = self._held().assign(came=False)
+        both = pd.concat([held, came]) if len(held) else came
+        one = both.groupby(["user_id", "minute"], as_index=False, dropna=False).agg(
+            {"n": "sum", "total": "sum", "high": "max", "armed": "min", "came": "max"})
+        avg = (one["total"] / one["n"]).where(one["n"] > 0, 0.0)
+        early = one["came"] & (one["n"] > 0) & one["armed"] & (avg > self.limit)
+        again = one["came"] & ~early & (avg <= self.rearm) if self.rearm is not None else False
+        one["armed"] = (one["armed"] & ~early) | again
+        self._hold(one)
+        yield self._rows(one[early], "early")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for r in initialState.itertuples():
-            at = (int(r.minute),)
-            self.minutes.updateValue(at, (int(r.n), float(r.total), None if pd.isna(r.high) else float(r.high), bool(r.armed)))
-            self.handle.registerTimer((at[0] + 1) * MINUTE_US // 1000)
+        self._hold(pd.concat([self._held(), initialState[HELD]]) if self.minutes.exists() else initialState[HELD])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        minute = expiredTimerInfo.getExpiryTimeInMs() * 1000 // MINUTE_US - 1
-        out = []
-        if self.minutes.containsKey((minute,)):
-            n, total, high, _ = self.minutes.getValue((minute,))
-            out.append(self._row(key[0], minute, "closed", n, total, high))
-            self.minutes.removeKey((minute,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        held = self._held()
+        over = (held["minute"] + 1) * MINUTE_US // 1000 <= timerValues.getCurrentWatermarkInMs()
+        if over.any():
+            self._hold(held[~over])
+        yield self._rows(held[over], "closed")
 
     def close(self) -> None:
         pass
@@ -107,7 +121,7 @@ def open_minutes(spark: SparkSession, checkpoint: str) -> DataFrame:
     Read with Spark's state data source, also while the query runs.
     """
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "minutes").load()
-    return state.select(F.col("key.user_id").alias("user_id"), F.col("user_map_key.minute").alias("minute"), "user_map_value.*", "partition_id")
+    return state.select("partition_id", F.inline(F.arrays_zip(*[F.col(f"value.{c}").alias(c) for c in HELD]))).select(*HELD, "partition_id")
 
 
 def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: float = C.HR_WATCH_LIMIT, rearm: float | None = None,
@@ -128,7 +142,8 @@ def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: floa
         conf.set(key, DEFAULT_CONF[key])
     hr = readings.where(F.col("metric") == "heart_rate").select(
         F.col("user_id").cast("bigint").alias("user_id"), F.col("event_time").cast("timestamp").alias("event_time"), F.col("value").cast("double").alias("value"))
-    sums = hr.mapInArrow(minute_sums, PARTIAL).withWatermark("event_time", delay)
-    held = None if initial is None else initial.select("user_id", "minute", "n", "total", "high", "armed").groupBy("user_id")
-    return sums.groupBy("user_id").transformWithStateInPandas(
+    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col("user_id").cast("bigint")), F.lit(BUCKETS))).cast("int").alias("bucket")
+    sums = hr.mapInArrow(minute_sums, PARTIAL).withWatermark("event_time", delay).select("*", bucket)
+    held = None if initial is None else initial.select(*HELD, bucket).groupBy("bucket")
+    return sums.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=MinuteWatch(limit, rearm), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime", initialState=held)

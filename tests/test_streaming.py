@@ -13,6 +13,7 @@ from pulsegrid.operators.aggregates import flatten_window, window_agg
 from pulsegrid.operators.rules import detect_alerts
 from pulsegrid.plans.common import readings_of, users_of
 from pulsegrid.streaming import jobs as J
+from pulsegrid.streaming import sinks as K
 
 from conftest import SF_SMALL
 
@@ -291,3 +292,35 @@ def test_delivery_replay_and_channels(spark, scratch):
     assert sorted((r.user_id, r.channel) for r in out.collect()) == [(1, "chat"), (1, "live"), (2, "live")]
     assert out.select("outbox_id").distinct().count() == 3
     assert tuple(J.delivery_totals(spark, cfg).first()) == (3, 2, 1)
+
+
+def test_json_batches_are_compressed_and_read_back(spark, scratch):
+    rows = [(f"{i:064d}", "heart_rate") for i in range(2000)]
+    K.write_batch(spark.createDataFrame(rows, "doc_id string, metric string"), os.path.join(scratch, "docs"), "w", 3, "json")
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(scratch) for f in files if f.startswith("part-"))
+    assert size < 2000 * 20
+    got = spark.read.schema("doc_id string, metric string, writer_id string, batch_id long").json(os.path.join(scratch, "docs"))
+    assert sorted((r.doc_id, r.metric, r.writer_id, r.batch_id) for r in got.collect()) == [(*r, "w", 3) for r in rows]
+
+
+def test_record_files_are_spread_over_the_shuffle_tasks(spark):
+    from pulsegrid.plans import q_stream
+    from pulsegrid.sources import fixtures as X
+    plan = X.wire(spark, SF_SMALL, q_stream._files(spark))
+    assert plan.rdd.getNumPartitions() == q_stream._files(spark) == 4
+    sizes = plan.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(sizes) == 4
+    assert plan.exceptAll(X.wire(spark, SF_SMALL)).count() == 0
+
+
+def test_watch_keeps_ids_of_its_metric_under_the_watermark_of_all(spark, scratch):
+    src, at = os.path.join(scratch, "src"), dt.datetime(2024, 1, 1)
+    others = [[_reading(2, at + dt.timedelta(minutes=9, seconds=n), 50.0, metric="hrv")] for n in range(3)]
+    _write_batches(src, [[_reading(1, at, 130.0), _reading(1, at, 130.0)], *others])
+    cfg = _cfg(scratch, src)
+    query = J.start_query(J.once(J.read_readings(spark, cfg), cfg, "heart_rate").groupBy(F.window("event_time", "1 minute")).count(),
+                          "own_ids", cfg, spark, sink="memory")
+    query.awaitTermination()
+    assert [r["count"] for r in spark.table("own_ids").collect()] == [1]  # closed by the other metric's time
+    known = [o for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "dedupeWithinWatermark"]
+    assert sum(o["numRowsUpdated"] for o in known) == 1

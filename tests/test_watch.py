@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.rules import hr_watch
 from pulsegrid.plans.common import readings_of
 from pulsegrid.streaming import jobs as J
-from pulsegrid.streaming.watch import early_watch, open_minutes
+from pulsegrid.streaming.watch import MinuteWatch, early_watch, open_minutes
 
 from conftest import SF_SMALL
 from test_streaming import _cfg, _drain, _reading, _write_batches
@@ -96,3 +97,48 @@ def test_closed_minutes_equal_the_batch_rule(spark, scratch):
     got_closed = {(r.user_id, r.window_start): (round(r.avg_hr, 6), r.max_hr, r.n_samples, r.flagged) for r in got.values() if r.kind == "closed"}
     want = {(r.user_id, r.window_start): (round(r.avg_hr, 6), r.max_hr, r.n_samples, r.flagged) for r in hr_watch(rows).collect()}
     assert got_closed == want and len(want) > 100
+
+
+class _Kept:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 3 * 60_000
+
+
+def test_state_is_read_and_written_once_a_batch_however_many_minutes():
+    kept, watch = _Kept(), MinuteWatch(120.0, None)
+    watch.init(kept)
+    rows = pd.DataFrame({"user_id": [u for u in range(500) for _ in range(10)], "minute": [*range(10)] * 500, "n": 1, "total": 130.0, "high": 130.0})
+    early = pd.concat(watch.handleInputRows((1,), iter([rows[:2500], rows[2500:]]), kept))
+    assert len(early) == 5000 and kept.calls <= 3
+    assert not len(pd.concat(watch.handleInputRows((1,), iter([rows[:1].assign(total=10.0, n=2)]), kept)))
+    closed = pd.concat(watch.handleExpiredTimer((1,), kept, None))
+    assert len(closed) == 1500 and kept.calls <= 10 and sorted(set(kept.value[1])) == [*range(3, 10)]
+    assert list(closed[(closed["user_id"] == 0) & (closed["n_samples"] == 3)]["avg_hr"]) == [140 / 3]
