@@ -37,14 +37,19 @@ DELAY = "INTERVAL {} {}".format(*C.WATERMARK_DELAY.split())
 ALERT_OK = "event_id % 97 <> 0 AND event_id % 25 <> 7"
 
 
+def _files(spark) -> int:
+    """How many files the generated input has: one a shuffle task, so that reading it is spread however large it is."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _records(spark, root) -> str:
     """A folder of broker record files: the bridge's records, and the unreadable payloads as they are."""
     def write() -> str:
         path = scratch_path(spark, "records")
-        good, bad = I.bridge(X.wire(spark, root), now=AS_OF)
+        good, bad = I.bridge(X.wire(spark, root, _files(spark)), now=AS_OF)
         rows = good.select("key", "value", "topic", "timestamp").unionByName(bad.select(
             F.lit(C.ANONYMOUS_KEY).alias("key"), F.col("payload").alias("value"), F.lit("biometrics.unknown").alias("topic"), "timestamp"))
-        rows.repartition(4).write.json(path)
+        rows.write.json(path)  # plain text: a reader splits it further
         return path
 
     return _memo(spark, root, "records", write)
@@ -76,10 +81,10 @@ SELECT user_id, {TYPE_SQL} AS type, unit, value, {METRIC_SQL} AS metric, phase,
 """, "readings"))
 def s1_stream_readings(spark, root):
     """S1 + W3 + W5: the reading stream in two runs of one checkpoint; the restart goes on with the files that came meanwhile."""
-    cfg = _config(spark, "s1", source_format="records", source_path=scratch_path(spark, "s1-files"), max_files_per_trigger=1)
+    cfg = _config(spark, "s1", source_format="records", source_path=scratch_path(spark, "s1-files"), max_files_per_trigger=_files(spark))
     for half in range(2):
         rows = spark.read.schema("key string, value string, topic string, timestamp timestamp").json(_records(spark, root))
-        rows.where(F.pmod(F.xxhash64("value", "timestamp"), F.lit(2)) == half).coalesce(2).write.mode("append").json(cfg.source_path)
+        rows.where(F.pmod(F.xxhash64("value", "timestamp"), F.lit(2)) == half).write.mode("append").option("compression", "gzip").json(cfg.source_path)
         readings = J.read_readings(spark, cfg).withColumn("phase", F.try_element_at("metadata", F.lit("phase")))
         _drain(J.start_query(readings.select("user_id", "type", "unit", "value", "metric", "phase", "event_time", "kafka_topic"), "s1", cfg, spark))
     return spark.read.parquet(cfg.out(spark, "s1"))
@@ -332,7 +337,7 @@ def a1_stream_twice_sent(spark, root):
     """A1 in the stream over records that were all sent twice: windows count each once."""
     cfg = _config(spark, "twice", source_format="records", source_path=scratch_path(spark, "records-twice"), agg_mode="append")
     rows = spark.read.schema("key string, value string, topic string, timestamp timestamp").json(_records(spark, root))
-    rows.unionByName(rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 5 SECONDS"))).repartition(3).write.json(cfg.source_path)
+    rows.unionByName(rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 5 SECONDS"))).write.option("compression", "gzip").json(cfg.source_path)
     _drain(J.start_query(J.windowed(J.read_readings(spark, cfg), cfg), "windows", cfg, spark, mode="append"))
     return spark.read.parquet(cfg.out(spark, "windows")).withColumn("avg_value", F.round(F.col("avg_value") + 1e-9, 6))
 
@@ -422,8 +427,8 @@ def _bridged(spark, root) -> J.StreamConfig:
     """The bridge over device message files."""
     def start() -> J.StreamConfig:
         path = scratch_path(spark, "device-messages")
-        X.wire(spark, root).select("topic", "payload", "timestamp").repartition(3).write.json(path)
-        cfg = _config(spark, "bridge", device_path=path, max_files_per_trigger=2)
+        X.wire(spark, root, _files(spark)).select("topic", "payload", "timestamp").write.json(path)
+        cfg = _config(spark, "bridge", device_path=path, max_files_per_trigger=max(2, _files(spark) // 2))
         _drain(J.start_bridge(spark, cfg))
         return cfg
 
