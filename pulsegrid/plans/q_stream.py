@@ -20,6 +20,7 @@ from ..sources import fixtures as X
 from ..sources import keyed as KD
 from ..sources import stored as ST
 from ..sources import topics as T
+from ..sources.tables import read_table
 from ..streaming import buffer as B
 from ..streaming import compaction as CP
 from ..streaming import jobs as J
@@ -116,6 +117,16 @@ def k6_stream_history(spark, root):
     return dates_as_timestamps(CP.read_history(spark, table).drop("row_id"))
 
 
+def _spread(spark, root) -> str:
+    """A folder with the events alone, in as many files as a shuffle has tasks: a small compressed table is one task's to read, its landings are not."""
+    def write() -> str:
+        path = scratch_path(spark, "spread")
+        read_table(spark, root, "events").repartitionByRange(_files(spark), "ts", "event_id").write.parquet(f"{path}/events.parquet")
+        return path
+
+    return _memo(spark, root, "spread", write)
+
+
 def _twice_compacted(spark, root) -> str:
     """Folder of the histories of readings and alerts: two landings a table, with the landing folder cleared between them.
 
@@ -124,8 +135,8 @@ def _twice_compacted(spark, root) -> str:
     two runs.
     """
     def write() -> str:
-        base = scratch_path(spark, "histories")
-        for name, rows in (("readings", K.reading_rows(readings_of(spark, root))), ("alerts", K.alert_rows(alerts_of(spark, root)))):
+        base, spread = scratch_path(spark, "histories"), _spread(spark, root)
+        for name, rows in (("readings", K.reading_rows(readings_of(spark, spread))), ("alerts", K.alert_rows(alerts_of(spark, spread)))):
             landing, table = f"{base}/landing-{name}", f"{base}/{name}"
             late = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0
             for batch, part in enumerate((rows.where(~late), rows.where(late))):

@@ -324,3 +324,15 @@ def test_watch_keeps_ids_of_its_metric_under_the_watermark_of_all(spark, scratch
     assert [r["count"] for r in spark.table("own_ids").collect()] == [1]  # closed by the other metric's time
     known = [o for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "dedupeWithinWatermark"]
     assert sum(o["numRowsUpdated"] for o in known) == 1
+
+
+def test_histories_land_from_many_files_with_the_same_events(spark, scratch):
+    from pulsegrid.plans import q_stream as Q
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(500)
+    events = events.unionByName(events.limit(20)).unionByName(events.limit(5).withColumns({"ts": F.lit(None).cast("timestamp"), "event_id": F.lit(None).cast("bigint")}))
+    events.coalesce(1).write.parquet(f"{scratch}/events.parquet")  # one file, read by one task
+    spread = spark.read.parquet(Q._spread(spark, scratch) + "/events.parquet")
+    assert len(spread.inputFiles()) >= 4
+    given = spark.read.parquet(f"{scratch}/events.parquet")
+    assert spread.schema == given.schema and spread.count() == given.count() == 525
+    assert spread.exceptAll(given).count() == 0
