@@ -173,3 +173,23 @@ def test_alert_history_and_odd_landings(spark, scratch):
     assert _same(CP.read_history(spark, table), alerts)
     back = ST.stored_alerts(spark, scratch)
     assert back.count() == alerts.count() and back.where("user_id IS NULL").count() == alerts.where("user_id IS NULL").count()
+
+
+def test_a_files_user_filter_is_no_larger_than_its_users_need(spark, place):
+    rows, landing, table = place
+    many = rows.where("event_date = '2024-01-02'").limit(20).crossJoin(spark.range(100).withColumnRenamed("id", "i"))
+    many = many.withColumns({"user_id": F.xxhash64("i", "row_id"), "row_id": F.concat("row_id", F.lit("-"), F.col("i").cast("string"))}).drop("i")
+    K.write_batch(many, landing, "w", 0, by=DAYS)  # 2000 users: too many for a dictionary, so the file has a filter
+    CP.compact(spark, landing, table)
+    files = V.files_of(table, "2024-01-02", V.part_of(spark, table, V.state(spark, table), "2024-01-02")["runs"])
+    assert sum(map(os.path.getsize, files)) < 400_000
+    one = many.select("user_id").first()[0]
+    assert CP.read_history(spark, table, user_id=one).count() == many.where(F.col("user_id") == one).count() > 0
+
+
+def test_rows_that_came_once_are_not_shuffled_to_find_copies(spark, place):
+    rows, _, _ = place
+    keys = CP._keys(rows)
+    assert "Aggregate" not in CP._once(rows, keys)._jdf.queryExecution().optimizedPlan().toString()
+    twice = rows.unionByName(rows.where("event_date = '2024-01-03'"))
+    assert sorted(r.row_id for r in CP._once(twice, keys).collect()) == sorted(r.row_id for r in rows.collect())
