@@ -49,10 +49,10 @@ def value_slice(value: Column) -> Column:
     return F.when(F.isnan(v), F.lit(4 * _ORIGIN)).when(v.isNotNull(), F.when(v < 0, -place).otherwise(place)).cast("bigint")
 
 
-def slice_parts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group and value slice ``_b``: rows, values, sum, min, max.  Parts of parts add up."""
+def slice_parts(df: DataFrame, keys: list[str], value: str, at: str | None = None) -> DataFrame:
+    """Per group and value slice ``_b`` (or the column ``at`` that holds it): rows, values, sum, min, max.  Parts of parts add up."""
     v = F.col(value).cast("double")
-    return df.groupBy(*keys, value_slice(v).alias("_b")).agg(
+    return df.groupBy(*keys, at or value_slice(v).alias("_b")).agg(
         F.count(F.lit(1)).alias("_all"), F.count(v).alias("_c"), F.sum(v).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
 
 

@@ -3,8 +3,8 @@
 A rollup is a versioned table of partial rows by day.  ``refresh`` looks at what the source has gained since
 the version the rollup was made from, reads only those runs, adds their partial rows as a run of the day and
 commits both numbers together, so a source row counts once whatever crashes or is repeated.  Late readings
-add to their own minutes; a day that the source merely rewrote is not read.  If the source's runs can't
-tell what is new (its old version is gone, or merged before the rollup looked), the day is built anew.
+add to their own minutes; a day that the source merely rewrote is not read.  What was merged before the
+rollup looked is found in the source's versions in between; if they are gone, the day is built anew.
 
 Partial rows combine by sum, min and max; readers group them once more, at any width.  A rollup may be the
 source of a wider one (hours from minutes).
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.quantiles import pick_percentile, slice_parts, stats_of_parts
+from ..functions.quantiles import pick_percentile, slice_parts, stats_of_parts, value_slice
 from ..session import ensure_utc
 from ..sources import versions as V
 from .compaction import read_history
@@ -32,36 +32,39 @@ COMBINE: dict[str, Callable[[str], Column]] = {"n": F.sum, "total": F.sum, "rows
 
 
 class Rollup(NamedTuple):
-    """``keys`` of a partial row within a day, and how source rows become partial rows (columns of ``COMBINE``)."""
+    """``keys`` of a partial row within a day, how source rows get them (``keyed``), and how keyed rows become partial rows (columns of ``COMBINE``)."""
     keys: tuple[str, ...]
+    keyed: Callable[[DataFrame], DataFrame]
     partial: Callable[[DataFrame], DataFrame]
 
 
 def _reading_minutes(rows: DataFrame) -> DataFrame:
-    keyed = rows.groupBy(DAY, "user_id", "metric", F.date_trunc("minute", "time").alias("minute"))
+    keyed = rows.groupBy(DAY, "user_id", "metric", "minute")
     return keyed.agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def _reading_hours(minutes: DataFrame) -> DataFrame:
-    keyed = minutes.groupBy(DAY, "user_id", "metric", F.date_trunc("hour", "minute").alias("hour"))
+def _reading_hours(rows: DataFrame) -> DataFrame:
+    keyed = rows.groupBy(DAY, "user_id", "metric", "hour")
     return keyed.agg(*[COMBINE[c](c).alias(c) for c in ("n", "total", "low", "high")])
 
 
 def _alert_minutes(rows: DataFrame) -> DataFrame:
-    keyed = rows.groupBy(DAY, "user_id", F.date_trunc("minute", "created_at").alias("minute"), "severity", "category")
-    return keyed.agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(DAY, "user_id", "minute", "severity", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _reading_slices(rows: DataFrame) -> DataFrame:
-    hours = rows.withColumn("hour", F.date_trunc("hour", "time"))
-    return slice_parts(hours, [DAY, "user_id", "metric", "hour"], "value").withColumnsRenamed(
-        {"_b": "slice", "_all": "rows", "_c": "n", "_s": "total", "_lo": "low", "_hi": "high"})
+    return slice_parts(rows, [DAY, "user_id", "metric", "hour"], "value", "slice").withColumnsRenamed(
+        {"_all": "rows", "_c": "n", "_s": "total", "_lo": "low", "_hi": "high"})
 
 
-READING_MINUTES = Rollup(("user_id", "metric", "minute"), _reading_minutes)
-READING_HOURS = Rollup(("user_id", "metric", "hour"), _reading_hours)
-ALERT_MINUTES = Rollup(("user_id", "minute", "severity", "category"), _alert_minutes)
-READING_SLICES = Rollup(("user_id", "metric", "hour", "slice"), _reading_slices)
+READING_MINUTES = Rollup(("user_id", "metric", "minute"), lambda rows: rows.select(
+    DAY, "user_id", "metric", F.date_trunc("minute", "time").alias("minute"), "value"), _reading_minutes)
+READING_HOURS = Rollup(("user_id", "metric", "hour"), lambda minutes: minutes.select(
+    DAY, "user_id", "metric", F.date_trunc("hour", "minute").alias("hour"), "n", "total", "low", "high"), _reading_hours)
+ALERT_MINUTES = Rollup(("user_id", "minute", "severity", "category"), lambda rows: rows.select(
+    DAY, "user_id", F.date_trunc("minute", "created_at").alias("minute"), "severity", "category"), _alert_minutes)
+READING_SLICES = Rollup(("user_id", "metric", "hour", "slice"), lambda rows: rows.select(
+    DAY, "user_id", "metric", F.date_trunc("hour", "time").alias("hour"), value_slice(F.col("value")).alias("slice"), "value"), _reading_slices)
 
 
 def combined(rows: DataFrame, rollup: Rollup) -> DataFrame:
@@ -70,9 +73,33 @@ def combined(rows: DataFrame, rollup: Rollup) -> DataFrame:
     return rows.groupBy(DAY, *rollup.keys).agg(*[COMBINE[c](c).alias(c) for c in figures]).select(*rows.columns)
 
 
+def _ranged(rows: DataFrame, rollup: Rollup) -> DataFrame:
+    """Contiguous slices of the keys, one a task: rows of a key meet there, so grouping by the keys needs no shuffle of its own."""
+    return rows.repartitionByRange(DAY, *rollup.keys)
+
+
 def _write_days(rows: DataFrame, table: str, rollup: Rollup) -> dict[str, dict]:
-    spread = rows.repartitionByRange(DAY, *rollup.keys)
-    return V.write_run(spread, table, F.col(DAY), list(rollup.keys), ("user_id",))
+    return V.write_run(rows, table, F.col(DAY), list(rollup.keys), ("user_id",))
+
+
+def _gained(spark: SparkSession, source: str, was: dict, now: dict, days: list[str]) -> dict[str, list[dict] | None]:
+    """Per day the runs that hold what ``now`` has and ``was`` has not; None where the runs can't tell.
+
+    Where they were merged with older rows since, the versions in between are
+    asked, one after the other: a new run is there before it is merged.
+    """
+    runs = lambda at, day: V.part_of(spark, source, at, day)["runs"]
+    out = {day: V.fresh_runs(runs(now, day), runs(was, day)) for day in days}
+    unclear = [day for day in days if out[day] is None]
+    if unclear:
+        try:
+            steps = [was, *[V.state(spark, source, number) for number in range(was["number"] + 1, now["number"])], now]
+        except Py4JJavaError:  # one of them is gone
+            return out
+        for day in unclear:
+            fresh = [V.fresh_runs(runs(b, day), runs(a, day)) for a, b in zip(steps, steps[1:]) if a["parts"].get(day) != b["parts"].get(day)]
+            out[day] = None if None in fresh else [r for some in fresh for r in some]
+    return out
 
 
 def refresh(spark: SparkSession, source: str, table: str, rollup: Rollup, max_runs: int = MAX_RUNS) -> int:
@@ -86,20 +113,18 @@ def refresh(spark: SparkSession, source: str, table: str, rollup: Rollup, max_ru
             was = V.state(spark, source, base["notes"].get("source", 0))
         except Py4JJavaError:  # that version is gone
             was = None
-        files, anew = [], set()
+        files = []
         changed = [day for day in {**(was or base)["parts"], **now["parts"]} if was is None or now["parts"].get(day) != was["parts"].get(day)]
-        for day in changed:
-            runs = V.part_of(spark, source, now, day)["runs"]
-            fresh = V.fresh_runs(runs, V.part_of(spark, source, was, day)["runs"]) if was else None
-            if fresh is None:
-                anew.add(day)
-            files += V.files_of(source, day, runs if fresh is None else fresh)
+        gained = _gained(spark, source, was, now, changed) if was else dict.fromkeys(changed)
+        for day, fresh in gained.items():
+            files += V.files_of(source, day, V.part_of(spark, source, now, day)["runs"] if fresh is None else fresh)
         schema = V.StructType.fromJson(now["schema"])
-        rows = rollup.partial(spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema))
+        rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+        rows = rollup.partial(_ranged(rollup.keyed(rows), rollup))
         made = _write_days(rows, table, rollup)
         parts: dict[str, dict | None] = {}
         for day in changed:
-            kept = [] if day in anew else V.part_of(spark, table, base, day)["runs"]
+            kept = [] if gained[day] is None else V.part_of(spark, table, base, day)["runs"]
             runs = kept + ([made[day]] if day in made else [])
             parts[day] = {"runs": runs, "notes": {}} if runs else None
         if V.commit(spark, table, base, parts, rows.schema, {"source": now["number"]}) is not None:
@@ -115,7 +140,7 @@ def merge_runs(spark: SparkSession, table: str, rollup: Rollup, days: list[str]
         if not parts:
             return base["number"]
         rows = V.read(spark, table, base, list(parts))
-        made = _write_days(combined(rows, rollup), table, rollup)
+        made = _write_days(combined(_ranged(rows, rollup), rollup), table, rollup)
         after = {day: part | {"runs": [V.merged_run(made[day], part["runs"])]} for day, part in parts.items()}
         number = V.commit(spark, table, base, after, rows.schema)
         if number is not None:

@@ -138,3 +138,23 @@ def test_window_statistics_with_the_exact_median(spark, scratch, rows, as_of, ho
     own = rows if user is None else rows.where(F.col("user_id") == user)
     assert _rows(got) == _rows(A.metric_stats(own, as_of, hours, time_col="time"))
     assert os.path.isdir(f"{scratch}/slices/versions")
+
+
+def test_rows_merged_before_the_rollup_looked_are_found_between_versions(spark, scratch, rows):
+    _land(spark, _slice(rows, 4, 0, 1, 2), scratch, 0)
+    R.refresh(spark, f"{scratch}/readings", f"{scratch}/minutes", R.READING_MINUTES)
+    _land(spark, _slice(rows, 4, 3), scratch, 1, max_runs=2)  # merged at once
+    R.refresh(spark, f"{scratch}/readings", f"{scratch}/minutes", R.READING_MINUTES)
+    at = V.state(spark, f"{scratch}/minutes")
+    runs = [V.part_of(spark, f"{scratch}/minutes", at, d)["runs"] for d in at["parts"]]
+    assert {len(r) for r in runs} == {2}
+    assert sum(r[-1]["rows"] for r in runs) <= _slice(rows, 4, 3).count()  # the late rows only
+    assert _trend(spark, scratch) == _raw_trend(rows)
+
+
+@pytest.mark.parametrize("rollup", [R.READING_MINUTES, R.READING_SLICES])
+def test_partial_rows_need_one_shuffle(spark, rows, rollup):
+    made = rollup.partial(R._ranged(rollup.keyed(rows), rollup))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+    assert made.count() == made.select("event_date", *rollup.keys).distinct().count()
