@@ -21,6 +21,8 @@ the largest value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +81,17 @@ def _located(rank: Column) -> Column:
 
 
 def pick_percentile(df: DataFrame, stats: DataFrame, keys: list[str], value: str, p: float = 0.5,
-                    alias: str = "percentile") -> DataFrame:
-    """``stats`` (from ``sliced_stats`` of the same rows) with the exact percentile of ``value``; null for groups without values."""
+                    alias: str = "percentile", kept: Callable[[DataFrame], DataFrame] = lambda spots: spots) -> DataFrame:
+    """``stats`` (from ``sliced_stats`` of the same rows) with the exact percentile of ``value``; null for groups without values.
+
+    The located ranks, a row a group, are read twice; ``kept`` may store them, so that the slices are counted once.
+    """
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
     pos = F.lit(p) * (F.col("n") - 1)
     spots = stats.withColumn("_frac", pos - F.floor(pos)).withColumns(
         {"_at_lo": F.when(F.col("n") > 0, _located(F.floor(pos))), "_at_hi": F.when(F.col("n") > 0, _located(F.ceil(pos)))}).drop("_slices")
+    spots = kept(spots)
     wanted = spots.select(*keys, F.explode(F.array_distinct(F.array("_at_lo", "_at_hi"))).alias("x")).where(F.col("x.lo") != F.col("x.hi"))
     wanted = wanted.groupBy(*keys, F.col("x.b").alias("_b")).agg(F.array_sort(F.collect_set("x.k")).alias("_ks"))  # one or two ranks
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.quantiles import pick_percentile, slice_parts, stats_of_parts, value_slice
-from ..session import ensure_utc
+from ..session import ensure_utc, scratch_path
 from ..sources import versions as V
 from .compaction import read_history
 
@@ -185,7 +185,12 @@ def metric_stats(spark: SparkSession, history: str, slices: str, as_of: str, hou
         edges = edges.unionByName(raw(start, first).where(F.col("time") < F.lit(text(first)).cast("timestamp")))
     parts = whole.unionByName(slice_parts(edges, keys, "value")).groupBy(*keys, "_b").agg(
         F.sum("_all").alias("_all"), F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    stats = pick_percentile(raw(start, end), stats_of_parts(parts, keys), keys, "value", 0.5, "median_value")
+    def kept(spots: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "median-spots")
+        spots.write.parquet(path)
+        return spark.read.schema(spots.schema).parquet(path)
+
+    stats = pick_percentile(raw(start, end), stats_of_parts(parts, keys), keys, "value", 0.5, "median_value", kept)
     return stats.select(*keys, F.col("n_rows").alias("n_samples"), F.col("avg").alias("avg_value"), F.col("min").alias("min_value"),
                         F.col("max").alias("max_value"), "median_value")
 

@@ -158,3 +158,11 @@ def test_partial_rows_need_one_shuffle(spark, rows, rollup):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
     assert made.count() == made.select("event_date", *rollup.keys).distinct().count()
+
+
+def test_window_statistics_count_the_slices_once(spark, scratch, rows):
+    _land(spark, rows, scratch, 0)
+    R.refresh(spark, f"{scratch}/readings", f"{scratch}/slices", R.READING_SLICES)
+    got = R.metric_stats(spark, f"{scratch}/readings", f"{scratch}/slices", "2024-01-05 00:00:00", 72)
+    assert not any("/slices/" in f for f in got.inputFiles())  # their counts are kept a row a group
+    assert _rows(got) == _rows(A.metric_stats(rows, "2024-01-05 00:00:00", 72, time_col="time"))
