@@ -31,7 +31,7 @@ def iso_text(ts: Column) -> Column:
     """Timestamp -> ISO-8601 text with offset (session zone is UTC), like Python's ``isoformat()``:
     microseconds are written only when they are not zero."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, ISO_FORMAT))
+    return F.when(F.date_trunc("second", ts) == ts, whole).otherwise(F.date_format(ts, ISO_FORMAT))
 
 
 def encode_readings(df: DataFrame, now=None, keep: list[str] | None = None) -> DataFrame:
@@ -114,6 +114,22 @@ def bridge(messages: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
     field already, escapes or deeper objects is rebuilt by the variant parser.
     """
     good, bad = split_malformed(parse_payload(messages, "payload"))
+    extra = [c for c in messages.columns if c not in ("topic", "payload")]
+    return _to_broker(good, extra, now), bad
+
+
+def bridge_all(messages: DataFrame, now=None) -> DataFrame:
+    """Both sides of ``bridge`` in one pass, parsed once and in the order they came: the broker records, and the unreadable
+    payloads as the values of records without a user and of an unknown topic."""
+    parsed = parse_payload(messages, "payload")
+    extra = [c for c in messages.columns if c not in ("topic", "payload")]
+    kept = [F.col("payload").alias("_p"), F.col(S.CORRUPT_COLUMN).isNull().alias("_good")]
+    records = _to_broker(parsed, [*extra, *kept], now)
+    as_came = {"key": F.lit(C.ANONYMOUS_KEY), "value": F.col("_p"), "topic": route_topic(F.lit(C.UNKNOWN_METRIC))}
+    return records.select(*extra, *[F.when(F.col("_good"), F.col(c)).otherwise(v).alias(c) for c, v in as_came.items()])
+
+
+def _to_broker(good: DataFrame, extra: list, now) -> DataFrame:
     enriched = enrich(good, now=now)
     names = ", ".join(f"'{n}'" for n in BRIDGE_FIELDS)
     added = ", ".join(f"'{n}', cast({n} as variant)" for n in BRIDGE_FIELDS)
@@ -121,15 +137,13 @@ def bridge(messages: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
                    f"(k, v) -> k not in ({names})), map({added})))")
     # an object that the variant parser refuses (say, a field named twice) passes its known fields
     known = F.to_json(F.struct(*S.DEVICE_READING.fieldNames(), *BRIDGE_FIELDS))
-    extra = [c for c in messages.columns if c not in ("topic", "payload")]
-    records = enriched.select(
+    return enriched.select(
         *extra,
         route_key(F.col("user_id")).alias("key"),
         route_topic(F.col("metric")).alias("topic"),
         F.coalesce(_put_in(F.col("payload")), whole, known).alias("value"),
         "metric",
     )
-    return records, bad
 
 
 def decode_marked(records: DataFrame, schema=S.BROKER_READING) -> DataFrame:

@@ -20,6 +20,7 @@ from ..sources import fixtures as X
 from ..sources import keyed as KD
 from ..sources import stored as ST
 from ..sources import topics as T
+from ..sources import versions as V
 from ..sources.tables import read_table
 from ..streaming import buffer as B
 from ..streaming import compaction as CP
@@ -38,6 +39,10 @@ DELAY = "INTERVAL {} {}".format(*C.WATERMARK_DELAY.split())
 ALERT_OK = "event_id % 97 <> 0 AND event_id % 25 <> 7"
 
 
+FILE_ROWS = 50_000   # records in a file, about: a compressed file is one task's to read
+TASK_ROWS = 50_000   # records of a micro-batch for each core that the cluster has
+
+
 def _files(spark) -> int:
     """How many files the generated input has: one a shuffle task, so that reading it is spread however large it is."""
     return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -45,17 +50,37 @@ def _files(spark) -> int:
 
 def _records(spark, root) -> str:
     """A folder of broker record files: the bridge's records, and the unreadable payloads as they are."""
-    def write() -> str:
-        path = scratch_path(spark, "records")
-        good, bad = I.bridge(X.wire(spark, root, _files(spark)), now=AS_OF)
-        rows = good.select("key", "value", "topic", "timestamp").unionByName(bad.select(
-            F.lit(C.ANONYMOUS_KEY).alias("key"), F.col("payload").alias("value"), F.lit("biometrics.unknown").alias("topic"), "timestamp"))
-        rows.write.json(path)  # plain text: a reader splits it further
-        return path
+    return _landed(spark, root)[0]
+
+
+def _landed(spark, root) -> tuple[str, int | None]:
+    """The folder of ``_records``, and how many of its files a micro-batch may take (None: all).
+
+    As from a broker, the records come in order of time, a minute in one file:
+    however many there are, a stream takes them in batches of bounded size and
+    its watermark lets go of the state of those before.  A file is one task's
+    to read, so its rows are bounded too.
+    """
+    def write() -> tuple[str, int | None]:
+        path, n = scratch_path(spark, "records"), read_table(spark, root, "events").count()
+        files = max(_files(spark), -(-n // FILE_ROWS))
+        rows = I.bridge_all(X.wire(spark, root, files, by_time=True), now=AS_OF)
+        rows.select("key", "value", "topic", "timestamp").write.option("compression", "gzip").json(path)
+        batches = -(-n // (TASK_ROWS * spark.sparkContext.defaultParallelism))
+        found = V.order_by_name(spark, f"{path}/part-*")
+        return path, -(-found // batches) if found and batches > 1 else None
 
     return _memo(spark, root, "records", write)
 
 
+def _source(spark, root, **options) -> dict:
+    """Stream options: the record files in batches of bounded size, state as wide as the cluster, and of it what a restart needs."""
+    path, take = _landed(spark, root)
+    width = min(_files(spark), max(4, 2 * spark.sparkContext.defaultParallelism))
+    return {"source_format": "records", "source_path": path, "max_files_per_trigger": take, "state_tasks": width, "state_batches": 2,
+            "state_heap": take is not None} | options
+
+
 def _config(spark, name: str, **options) -> J.StreamConfig:
     base = scratch_path(spark, f"stream-{name}")
     return J.StreamConfig(available_now=True, checkpoint=os.path.join(base, "checkpoint"), out_root=os.path.join(base, "out"), **options)
@@ -69,7 +94,7 @@ def _drain(*queries) -> None:
 def _all(spark, root) -> J.StreamConfig:
     """Every job over the record files; windows in update mode."""
     def start() -> J.StreamConfig:
-        cfg = _config(spark, "all", source_format="records", source_path=_records(spark, root))
+        cfg = _config(spark, "all", **_source(spark, root))
         _drain(*J.start_all(spark, cfg))
         return cfg
 
@@ -325,7 +350,7 @@ WHERE ws + INTERVAL 5 MINUTE <= (SELECT max(event_time) FROM x) - {} GROUP BY AL
 """.format(DELAY), "readings", ctes=WINDOWS))
 def w1_stream_closed_windows(spark, root):
     """W1 + W4: windows that the watermark has closed, each appended once."""
-    cfg = _config(spark, "w1", source_format="records", source_path=_records(spark, root), agg_mode="append")
+    cfg = _config(spark, "w1", **_source(spark, root, agg_mode="append"))
     _drain(J.start_query(J.windowed(J.read_readings(spark, cfg), cfg), "windows", cfg, spark, mode="append"))
     return spark.read.parquet(cfg.out(spark, "windows")).withColumn("avg_value", F.round(F.col("avg_value") + 1e-9, 6))
 

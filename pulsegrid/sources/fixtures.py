@@ -116,7 +116,7 @@ def survey(spark: SparkSession, root: str) -> DataFrame:
         "AS quality_of_sleep")
 
 
-def wire(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+def wire(spark: SparkSession, root: str, tasks: int | None = None, by_time: bool = False) -> DataFrame:
     """Device messages (offset, topic, payload, timestamp) built from readings.
 
     The payload is the P10 JSON encoding of a reading and the topic is P8's
@@ -124,14 +124,16 @@ def wire(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     resting-heart-rate identifier; where ``event_id % 97 = 0`` the payload is
     unreadable: no JSON, empty, blank or null.  This is the bridge's input (P1-P9).
     With ``tasks`` the readings are spread over so many before they are
-    encoded: the table's few files are small, the messages are not.
+    encoded: the table's few files are small, the messages are not.  ``by_time``
+    gives each task a stretch of whole minutes, in their order (no time: last).
     """
     from ..functions.metrics import topic_of
     from ..operators.ingest import encode_readings
 
     r = readings(spark, root)
     if tasks:
-        r = r.repartition(tasks, "event_id")
+        minute = F.date_trunc("minute", "event_time").asc_nulls_last()
+        r = r.repartitionByRange(tasks, minute) if by_time else r.repartition(tasks, "event_id")
     r = r.withColumn(
         "type", F.when(F.col("event_id") % 25 == 7, F.lit(C.HK_RESTING_HEART_RATE)).otherwise(F.col("type")))
     enc = encode_readings(r, keep=["event_id", "event_time", "type"])

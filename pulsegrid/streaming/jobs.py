@@ -15,7 +15,8 @@ first start.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from ..operators.ingest import bridge, decode_marked, mark_incomplete
 from ..operators.joins import route_alerts
 from ..operators.render import alert_message
 from ..operators.rules import detect_alerts, hr_watch
-from ..session import checkpoint_root, ensure_utc
+from ..session import DEFAULT_CONF, checkpoint_root, ensure_utc
 from ..sources import topics as T
 from ..sources.tables import path_exists, read_table
 from . import sinks as K
@@ -51,6 +52,9 @@ class StreamConfig:
     raw_trigger: str | None = C.RAW_TRIGGER
     agg_trigger: str | None = C.AGG_TRIGGER
     available_now: bool = False              # tests: drain what is there, then stop
+    state_tasks: int | None = None           # shuffle width of a new checkpoint (default: the session's)
+    state_batches: int | None = None         # batches that a checkpoint can go back to (default: the session's)
+    state_heap: bool = False                 # windows in the executors' heap: faster, where the size of a batch bounds them
     watermark: str = C.WATERMARK_DELAY
     agg_mode: str = "update"                 # "update" (reference) or "append" (final windows)
     dedup: bool = True                       # windows and watches count a record sent twice once
@@ -170,15 +174,17 @@ def windowed(df: DataFrame, cfg: StreamConfig) -> DataFrame:
 def process_batch(spark: SparkSession, cfg: StreamConfig, name: str = "raw"):
     """K6: micro-batch fan-out: quarantine, raw documents, history rows and rule alerts.
 
-    The batch is persisted once and written by DataFrame writers (no
-    collect); an empty batch writes nothing.  Every write goes to the stream's
+    The batch is persisted once, with the readings' ids and the text of
+    unreadable records only, and written by DataFrame writers (no collect); an
+    empty batch writes nothing.  Every write goes to the stream's
     and batch's own partition, so a replayed batch overwrites its own output.
     History rows land by day, writer and batch; ``compaction.compact`` merges them into the history.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         if "reason" not in batch.columns:
             batch = mark_incomplete(batch)
-        batch = batch.persist()
+        complete = F.col("reason").isNull()
+        batch = batch.withColumns({"event_id": F.when(complete, K.reading_id(batch)), "raw": F.when(~complete, F.col("raw"))}).persist()
         try:
             if batch.isEmpty():
                 return
@@ -187,13 +193,12 @@ def process_batch(spark: SparkSession, cfg: StreamConfig, name: str = "raw"):
             def put(df: DataFrame, table: str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
                 K.write_batch(df, cfg.out(spark, table), writer, batch_id, fmt, by)
 
-            good = batch.where(F.col("reason").isNull()).drop("raw", "reason")
+            good = batch.where(complete).drop("raw", "reason")
             put(batch.where(F.col("reason").isNotNull()).select(
                 "reason", "raw", *[c for c in ("kafka_topic", "kafka_ts") if c in batch.columns]), "quarantine", "json")
             put(K.raw_docs(good), "raw_docs", "json")
             put(K.reading_rows(good), "readings", by=("event_date",))
-            marked = good.withColumn("event_id", K.reading_id(good))
-            alerts = detect_alerts(marked, created_at=F.col("event_time"), keep=["event_id", "event_time"]).persist()
+            alerts = detect_alerts(good, created_at=F.col("event_time"), keep=["event_id", "event_time"]).persist()
             try:
                 put(K.alert_rows(alerts), "alerts", by=("event_date",))
                 K.publish(K.alert_records(alerts), cfg.alerts_cfg or {"path": cfg.out(spark, "alerts_topic")}, writer, batch_id)
@@ -274,16 +279,48 @@ def _trigger(writer, every: str | None, available_now: bool):
     return writer.trigger(processingTime=every) if every else writer
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State outside the heap, in a bounded part of each executor's memory; changes are logged, not whole files of the store copied.
+STATE_CONF = {
+    _PROVIDER: DEFAULT_CONF[_PROVIDER],
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: State in the heap, of one batch only; what is known of the batches before is in the checkpoint.
+HEAP_CONF = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+             "spark.sql.streaming.maxBatchesToRetainInMemory": "1"}
+
+
+@contextmanager
+def _state_conf(spark: SparkSession, cfg: StreamConfig):
+    """The session's settings for queries that start within: a query keeps those it was started with."""
+    wanted = (HEAP_CONF if cfg.state_heap else STATE_CONF) | {k: str(v) for k, v in (("spark.sql.shuffle.partitions", cfg.state_tasks),
+                                                  ("spark.sql.streaming.minBatchesToRetain", cfg.state_batches)) if v}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def start_query(df: DataFrame, name: str, cfg: StreamConfig, spark: SparkSession, foreach=None,
                 mode: str = "append", every: str | None = None, sink: str | None = None) -> StreamingQuery:
     """Start one query with its trigger, output mode and own checkpoint."""
     writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", cfg.ckpt(spark, name))
     writer = _trigger(writer, every, cfg.available_now)
     if foreach is not None:
-        return writer.foreachBatch(foreach).start()
-    if sink == "memory":
-        return writer.format("memory").start()
-    return writer.format("parquet").option("path", cfg.out(spark, name)).start()
+        writer = writer.foreachBatch(foreach)
+    elif sink == "memory":
+        writer = writer.format("memory")
+    else:
+        writer = writer.format("parquet").option("path", cfg.out(spark, name))
+    with _state_conf(spark, cfg):
+        return writer.start()
 
 
 def start_bridge(spark: SparkSession, cfg: StreamConfig) -> StreamingQuery:
@@ -307,7 +344,8 @@ def start_all(spark: SparkSession, cfg: StreamConfig) -> list[StreamingQuery]:
                         mode=cfg.agg_mode, every=cfg.agg_trigger)
     hr_q = start_query(hr_watch(once(parsed, cfg, "heart_rate")).where(F.col("flagged")), "hr_watch",
                        cfg, spark, mode="append", every=cfg.raw_trigger)
-    early_q = start_query(early_watch(parsed, cfg.watermark), "hr_early", cfg, spark, mode="append", every=cfg.raw_trigger)
+    few = replace(cfg, state_heap=False, state_tasks=cfg.state_tasks and -(-cfg.state_tasks // 3))  # sums of a few minutes; a task has a Python worker
+    early_q = start_query(early_watch(parsed, cfg.watermark), "hr_early", few, spark, mode="append", every=cfg.raw_trigger)
     queries = [raw_q, agg_q, hr_q, early_q]
     if cfg.device_path:
         queries.append(start_bridge(spark, cfg))
