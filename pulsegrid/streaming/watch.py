@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,7 +52,25 @@ def minute_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 HELD = ["user_id", "minute", "n", "total", "high", "armed"]
 STATE = "user_id array<bigint>, minute array<bigint>, n array<bigint>, total array<double>, high array<double>, armed array<boolean>"
+KINDS = {"minute": "int64", "n": "int64", "total": "float64", "high": "float64", "armed": "bool"}
 BUCKETS = 256
+NO_USER = -1  # the bucket of those without an id
+
+
+def _average(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Per minute; NaN where it has no value."""
+    return np.divide(rows["total"], rows["n"], out=np.full(len(rows["n"]), np.nan), where=rows["n"] > 0)
+
+
+def _by_minute(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row a user and minute: sums, the maximum (NaN: none), whether all are armed and whether any came now."""
+    order = np.lexsort((rows["minute"], rows["user_id"]))
+    user, minute = rows["user_id"][order], rows["minute"][order]
+    at = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (minute[1:] != minute[:-1])])
+    total = np.nan_to_num(rows["total"][order], nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return {"user_id": user[at], "minute": minute[at], "n": np.add.reduceat(rows["n"][order], at), "total": np.add.reduceat(total, at),
+            "high": np.fmax.reduceat(rows["high"][order], at), "armed": np.logical_and.reduceat(rows["armed"][order], at),
+            "came": np.logical_or.reduceat(rows["came"][order], at)}
 
 
 class MinuteWatch(StatefulProcessor):
@@ -69,47 +88,60 @@ class MinuteWatch(StatefulProcessor):
         self.handle = handle
         self.minutes = handle.getValueState("minutes", STATE)
 
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(HELD, self.minutes.get() if self.minutes.exists() else [[]] * len(HELD)))).astype(
-            {"minute": "int64", "n": "int64", "total": "float64", "high": "float64", "armed": "bool"})
+    def _held(self, null: bool) -> dict[str, np.ndarray]:
+        return self._columns(dict(zip(HELD, self.minutes.get() if self.minutes.exists() else [[]] * len(HELD))), null)
+
+    def _columns(self, values: dict, null: bool) -> dict[str, np.ndarray]:
+        """As arrays; in the bucket of users without an id the id is 0 here (another bucket's ids are whole numbers, not to be made floats)."""
+        users = np.zeros(len(values["minute"]), "int64") if null else np.asarray(values["user_id"], "int64")
+        return {"user_id": users} | {c: np.asarray(values[c], kind) for c, kind in KINDS.items()}
 
-    def _hold(self, rows: pd.DataFrame) -> None:
-        """Keep these minutes, with a timer at the end of the earliest."""
-        if not len(rows):
+    def _hold(self, rows: dict[str, np.ndarray], null: bool, timer: bool = True) -> None:
+        """Keep these minutes, with a timer at the end of the earliest (``timer``: unless it has one)."""
+        n = len(rows["minute"])
+        if not n:
             self.minutes.clear()
             return
-        self.minutes.update(tuple([None if pd.isna(v) else v for v in rows[c].tolist()] for c in HELD))
-        at = (int(rows["minute"].min()) + 1) * MINUTE_US // 1000
-        if at not in set(self.handle.listTimers()):
-            self.handle.registerTimer(at)
-
-    def _rows(self, rows: pd.DataFrame, kind: str) -> pd.DataFrame:
-        avg = (rows["total"] / rows["n"]).where(rows["n"] > 0)
-        return pd.DataFrame({"user_id": rows["user_id"], "window_start": pd.to_datetime(rows["minute"] * MINUTE_US, unit="us"), "kind": kind,
-                             "avg_hr": avg, "max_hr": rows["high"], "n_samples": rows["n"], "flagged": (avg > self.limit).astype("boolean").where(avg.notna())})
+        values = {c: rows[c].tolist() for c in HELD}
+        self.minutes.update(tuple([None] * n if c == "user_id" and null else [None if v != v else v for v in values[c]] for c in HELD))
+        if timer:
+            at = (int(rows["minute"].min()) + 1) * MINUTE_US // 1000
+            if at not in set(self.handle.listTimers()):
+                self.handle.registerTimer(at)
+
+    def _rows(self, rows: dict[str, np.ndarray], which: np.ndarray, kind: str, null: bool) -> Iterator[pd.DataFrame]:
+        own = {c: rows[c][which] for c in ("user_id", "minute", "n", "total", "high")}
+        avg = _average(own)
+        flagged = pd.Series(avg > self.limit).astype("boolean").where(pd.Series(~np.isnan(avg)))
+        yield pd.DataFrame({"user_id": [None] * len(avg) if null else own["user_id"], "window_start": pd.to_datetime(own["minute"] * MINUTE_US, unit="us"),
+                            "kind": kind, "avg_hr": avg, "max_hr": own["high"], "n_samples": own["n"], "flagged": flagged})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows))[["user_id", "minute", "n", "total", "high"]].assign(armed=True, came=True)
-        held = self._held().assign(came=False)
-        both = pd.concat([held, came]) if len(held) else came
-        one = both.groupby(["user_id", "minute"], as_index=False, dropna=False).agg(
-            {"n": "sum", "total": "sum", "high": "max", "armed": "min", "came": "max"})
-        avg = (one["total"] / one["n"]).where(one["n"] > 0, 0.0)
+        null, frames = key[0] == NO_USER, list(rows)
+        size = sum(map(len, frames))
+        came = self._columns({c: np.concatenate([f[c].to_numpy() for f in frames]) for c in ("user_id", "minute", "n", "total", "high")} | {"armed": np.ones(size)}, null)
+        held = self._held(null)
+        both = {c: np.concatenate([held[c], came[c]]) for c in HELD} | {"came": np.arange(len(held["minute"]) + size) >= len(held["minute"])}
+        one = _by_minute(both)
+        avg = np.where(one["n"] > 0, _average(one), 0.0)
         early = one["came"] & (one["n"] > 0) & one["armed"] & (avg > self.limit)
         again = one["came"] & ~early & (avg <= self.rearm) if self.rearm is not None else False
         one["armed"] = (one["armed"] & ~early) | again
-        self._hold(one)
-        yield self._rows(one[early], "early")
+        self._hold(one, null, timer=not len(held["minute"]) or one["minute"].min() < held["minute"].min())
+        yield from self._rows(one, early, "early", null)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._hold(pd.concat([self._held(), initialState[HELD]]) if self.minutes.exists() else initialState[HELD])
+        null = key[0] == NO_USER
+        held, came = self._held(null), self._columns({c: initialState[c].to_numpy() for c in HELD}, null)
+        self._hold({c: np.concatenate([held[c], came[c]]) for c in HELD}, null)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._held()
+        null = key[0] == NO_USER
+        held = self._held(null)
         over = (held["minute"] + 1) * MINUTE_US // 1000 <= timerValues.getCurrentWatermarkInMs()
         if over.any():
-            self._hold(held[~over])
-        yield self._rows(held[over], "closed")
+            self._hold({c: v[~over] for c, v in held.items()}, null)
+        yield from self._rows(held, over, "closed", null)
 
     def close(self) -> None:
         pass
@@ -142,7 +174,7 @@ def early_watch(readings: DataFrame, delay: str = C.WATERMARK_DELAY, limit: floa
         conf.set(key, DEFAULT_CONF[key])
     hr = readings.where(F.col("metric") == "heart_rate").select(
         F.col("user_id").cast("bigint").alias("user_id"), F.col("event_time").cast("timestamp").alias("event_time"), F.col("value").cast("double").alias("value"))
-    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col("user_id").cast("bigint")), F.lit(BUCKETS))).cast("int").alias("bucket")
+    bucket = F.when(F.col("user_id").isNull(), NO_USER).otherwise(F.pmod(F.xxhash64(F.col("user_id").cast("bigint")), F.lit(BUCKETS))).cast("int").alias("bucket")
     sums = hr.mapInArrow(minute_sums, PARTIAL).withWatermark("event_time", delay).select("*", bucket)
     held = None if initial is None else initial.select(*HELD, bucket).groupBy("bucket")
     return sums.groupBy("bucket").transformWithStateInPandas(

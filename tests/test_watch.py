@@ -142,3 +142,32 @@ def test_state_is_read_and_written_once_a_batch_however_many_minutes():
     closed = pd.concat(watch.handleExpiredTimer((1,), kept, None))
     assert len(closed) == 1500 and kept.calls <= 10 and sorted(set(kept.value[1])) == [*range(3, 10)]
     assert list(closed[(closed["user_id"] == 0) & (closed["n_samples"] == 3)]["avg_hr"]) == [140 / 3]
+
+
+def test_minutes_are_summed_as_one_by_one():
+    """Random sums in several calls, with minutes without values, users beyond a float's whole numbers and users without an id."""
+    import random
+
+    rnd, big = random.Random(3), 1 << 60
+    for key in (5, -1):
+        kept, watch, held = _Kept(), MinuteWatch(120.0, 115.0), {}
+        watch.init(kept)
+        for _ in range(4):
+            rows = [{"user_id": None if key < 0 else big + rnd.randrange(3), "minute": rnd.randrange(3), "n": (n := rnd.randrange(3)),
+                     "total": n * 110.0 + 30 * rnd.random() * n, "high": 130.0 + rnd.random() if n else None} for _ in range(9)]
+            frame = pd.DataFrame(rows) if key < 0 else pd.DataFrame(rows).astype({"user_id": "int64"})
+            got = [r for f in watch.handleInputRows((key,), iter([frame[:4], frame[4:]]), kept) for r in f.itertuples()]
+            want, came = set(), {(r["user_id"], r["minute"]) for r in rows}
+            for r in rows:
+                own = held.setdefault((r["user_id"], r["minute"]), [0, 0.0, None, True])
+                own[:3] = own[0] + r["n"], own[1] + r["total"], max((v for v in (own[2], r["high"]) if v is not None), default=None)
+            for at in came:
+                n, total, _, armed = held[at]
+                if n and armed and total / n > 120:
+                    held[at][3] = False
+                    want.add(at)
+                elif not n or total / n <= 115:
+                    held[at][3] = True
+            assert {(None if r.user_id is None else int(r.user_id), int(r.window_start.timestamp()) // 60) for r in got} == want
+        state = {(u, m): [n, round(t, 6), h, a] for u, m, n, t, h, a in zip(*kept.value)}
+        assert state == {at: [n, round(t, 6), h, a] for at, (n, t, h, a) in held.items()}
